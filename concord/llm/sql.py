@@ -1,3 +1,27 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_benchmark_decontamination"] = r"""
+WITH low AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g, len(w[i:i + 12]) AS n FROM starts),
+sizes AS (SELECT DISTINCT n FROM wins),
+grams AS (
+  SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM low, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, p, grams.n AS n, item_id FROM grams JOIN wins ON grams.g = wins.g AND grams.n = wins.n),
+words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM low LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
