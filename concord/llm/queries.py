@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, simhash
+from concord.llm import decontaminate, simhash, topk
 from concord.llm.common import table
 
 __all__ = [
     "op2_benchmark_decontamination",
+    "op5_exact_top_k",
     "op9_simhash_near_dedup",
 ]
 
@@ -27,6 +28,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 best of all other rows for each row whose vec_id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = simhash.components(table(spark, sf_dir, "documents"))
