@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontaminate, simhash, topk
+from concord.llm import chat, decontaminate, langid, simhash, topk
 from concord.llm.common import table
 
 __all__ = [
+    "op1_language_id",
     "op2_benchmark_decontamination",
     "op3_chat_formatting",
     "op5_exact_top_k",
@@ -16,6 +17,15 @@ __all__ = [
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document. Rows with a null doc_id are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    learned = langid.train(docs.select("doc_id", "text", "lang").filter(~held_out))
+    found = langid.predict(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     found = decontaminate.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
