@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontaminate, langid, simhash, topk
+from concord.llm import chat, decontaminate, langid, quality, simhash, topk
 from concord.llm.common import table
 
 __all__ = [
@@ -14,6 +14,7 @@ __all__ = [
     "op3_chat_formatting",
     "op5_exact_top_k",
     "op9_simhash_near_dedup",
+    "op10_quality_classifier",
 ]
 
 
@@ -58,3 +59,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score (of bad) and rejected of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, scorer).select("doc_id", F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
