@@ -169,7 +169,7 @@ class Scorer:
 
 def _fit(rows: list[list[int]], target: np.ndarray, n: int) -> tuple[np.ndarray, float]:
     """Logistic regression with an L2 penalty on sets of features 0 .. n - 1, by full gradients with adaptive steps."""
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], np.int64)
     col = np.concatenate([np.array(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), sizes)
     w, bias = np.zeros(n), 0.0

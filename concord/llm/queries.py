@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontaminate, langid, quality, simhash, topk
+from concord.llm import chat, decontaminate, langid, pieces, quality, simhash, topk, wavelet
 from concord.llm.common import table
 
 __all__ = [
@@ -13,6 +13,8 @@ __all__ = [
     "op2_benchmark_decontamination",
     "op3_chat_formatting",
     "op5_exact_top_k",
+    "op7_token_shards",
+    "op8_sentencepiece",
     "op9_simhash_near_dedup",
     "op10_quality_classifier",
 ]
@@ -55,6 +57,18 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shard files."""
+    folder = wavelet.new_folder(spark)
+    shards = wavelet.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return wavelet.read(shards, folder)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, decoded_sha256, lossless of every document."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = simhash.components(table(spark, sf_dir, "documents"))
