@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontaminate, langid, pieces, quality, simhash, topk, wavelet
+from concord.llm import chat, chunks, decontaminate, langid, pieces, quality, simhash, topk, wavelet
 from concord.llm.common import table
 
 __all__ = [
     "op1_language_id",
     "op2_benchmark_decontamination",
     "op3_chat_formatting",
+    "op4_substring_dedup",
     "op5_exact_top_k",
     "op7_token_shards",
     "op8_sentencepiece",
@@ -52,6 +53,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.unionByName(extra)))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start_word, n_words, first_doc_id of every passage of over 50 words that documents share."""
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 5 best of all other rows for each row whose vec_id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
