@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, chunks, decontaminate, langid, pieces, quality, simhash, topk, wavelet
+from concord.llm import chat, chunks, decontaminate, langid, lines, pieces, quality, simhash, topk, wavelet
 from concord.llm.common import table
 
 __all__ = [
@@ -14,6 +14,7 @@ __all__ = [
     "op3_chat_formatting",
     "op4_substring_dedup",
     "op5_exact_top_k",
+    "op6_line_dedup",
     "op7_token_shards",
     "op8_sentencepiece",
     "op9_simhash_near_dedup",
@@ -63,6 +64,18 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, and the digest and length of what stays, of every document."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+        F.length("text").cast("long").alias("kept_chars"),
+    )
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shard files."""
     folder = wavelet.new_folder(spark)
