@@ -2,11 +2,13 @@
 
 1. A gear hash rolls over the words of a text, joined by single spaces. A chunk ends at a space where the hash of the
    last _WINDOW bytes has CUT_BITS zero bits, so cuts depend on nearby bytes only and an insertion moves none of them
-   for long. The key of two neighbouring chunks is their digest.
-2. Keys that two documents share mark candidate runs: stretches of RUN_WORDS or more words covered by shared keys.
-3. An exact check follows on candidate stretches alone: digests of PASSAGE-word windows that hold a shared pair of
-   chunks (of runs longer than LONG words: those that begin or end at a cut). Windows that two documents share are
-   repeated passages; overlapping ones are joined.
+   for long. The key of two neighbouring chunks (more, if they are short) is their digest.
+2. Keys that two documents share mark candidate runs: stretches of RUN_WORDS or more words covered by shared keys that
+   overlap. A second pass over the texts knows shared keys by a Bloom filter of bounded size; if there are more than it
+   can tell apart, by a join.
+3. An exact check follows on candidate stretches alone, by digests of PASSAGE-word windows: in a run of more words those
+   from its cuts and its two ends on, else all that hold one of its keys. Windows that two documents share are repeated
+   passages; overlapping ones are joined.
 
 Keys and windows are counted by grouped minimum and maximum of doc_id, so a key that a third of all documents share is
 two numbers per task. Those counts are written before they are joined back, which leaves both sides of the join
@@ -23,16 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import cut, encode
+from concord.llm.common import FILTER_BITS, cut, encode, key_filter, may_hold, stored
 
 #: A passage has so many words at least: more than 50.
 PASSAGE = 51
 RUN_WORDS = 12
 #: One space in 2 ** CUT_BITS ends a chunk, in the mean.
 CUT_BITS = 2
-#: A key of fewer words is no sign of copying.
+#: A key has so many words at least.
 KEY_WORDS = 6
-LONG = 160
+#: A run of so many words more than PASSAGE is looked at from its cuts only.
+SLACK = 8
+#: Up to so many shared keys go by the filter: 8 bits a key.
+FILTER_KEYS = FILTER_BITS // 8
 #: Bytes of the rolling window, a power of two.
 _WINDOW = 16
 _PIECE = 1 << 22
@@ -74,24 +79,27 @@ def chunked(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, starts, cuts
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, s, n): every pair of neighbouring chunks, its first word and its number of words."""
+def keys_of(data: bytes, starts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first word, number of words) from every cut on: two chunks, or more up to KEY_WORDS words."""
+    if len(starts) <= PASSAGE or len(cuts) < 3:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = np.maximum(np.arange(len(cuts)) + 2, np.searchsorted(cuts, cuts + KEY_WORDS))
+    fits = last < len(cuts)
+    s, e = cuts[fits], cuts[last[fits]]
     digest = xxhash.xxh3_64_intdigest
+    key = np.array([digest(data[a:b]) for a, b in zip(starts[s].tolist(), (starts[e] - 1).tolist())], np.uint64)
+    return key, s, e - s
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, s, n) of all documents."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            key, size, first, many = [], [], [], []
-            for t in part.column("text"):
-                data, starts, cuts = chunked(t.as_py())
-                s, n = cuts[:-2], cuts[2:] - cuts[:-2]
-                wide = n >= KEY_WORDS if len(starts) > PASSAGE else np.zeros(len(s), bool)
-                s, n = s[wide], n[wide]
-                key += [digest(data[a:b]) for a, b in zip(starts[s].tolist(), (starts[s + n] - 1).tolist())]
-                size.append(len(s))
-                first.append(s)
-                many.append(n)
-            docs = np.repeat(part.column("doc_id").to_numpy(), size)
-            cols = [np.array(key, np.uint64).view(np.int64), docs, np.concatenate(first).astype(np.int32), np.concatenate(many).astype(np.int32)]
+            found = [keys_of(*chunked(t.as_py())) for t in part.column("text")]
+            key, s, n = (np.concatenate([f[i] for f in found]) for i in range(3))
+            docs = np.repeat(part.column("doc_id").to_numpy(), [len(f[0]) for f in found])
+            cols = [key.view(np.int64), docs, s.astype(np.int32), n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc_id", "s", "n"])
 
 
@@ -102,10 +110,11 @@ def shared_by_two(rows: DataFrame, key: str) -> DataFrame:
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Runs [s, e) of overlapping or touching (start, words), with their own spans."""
+    """Runs [s, e) of overlapping (start, words), with their own spans. Shared keys that follow each other in one passage
+    overlap; those of two passages that only touch do not."""
     out: list[list] = []
     for s, n in sorted(spans):
-        if out and s <= out[-1][1]:
+        if out and s < out[-1][1]:
             out[-1][1] = max(out[-1][1], s + n)
             out[-1][2].append((s, n))
         else:
@@ -113,41 +122,56 @@ def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, i
     return [tuple(x) for x in out]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, s, h, first): windows to compare, or, without h, a whole text that copies the one of first."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        doc, start, h, words, whole = [], [], [], [], []
-
-        def record() -> pa.RecordBatch:
-            cols = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(words, pa.int32()), pa.array(h, pa.binary()), pa.array(whole, pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "s", "n", "h", "first"])
-
-        for d, t, spans, first in zip(*(batch.column(c) for c in ("doc_id", "text", "spans", "first"))):
-            d, first = d.as_py(), first.as_py()
-            data, starts, cuts = chunked(t.as_py())
-            total = len(starts) - 1
-            if first is not None and total >= PASSAGE:
-                doc.append(d), start.append(0), words.append(total), h.append(None), whole.append(first)
-                if first != d:
-                    continue
-            picked: set[int] = set()
-            for a, e, own in runs([(x["s"], x["n"]) for x in spans.as_py()]):
-                if e - a < RUN_WORDS:
-                    continue
-                low = max(0, a + min(n for s, n in own if s == a) - PASSAGE)
-                high = min(total - PASSAGE, max(s for s, n in own if s + n == e))
-                if e - a < LONG:
-                    picked.update(range(low, high + 1))
-                else:
-                    at = cuts[(cuts >= a) & (cuts <= e)]
-                    picked.update(x for x in (*at.tolist(), *(at - PASSAGE).tolist()) if low <= x <= high)
-            for s in sorted(picked):
-                doc.append(d), start.append(s), words.append(PASSAGE), h.append(digest(data[starts[s] : starts[s + PASSAGE] - 1])), whole.append(None)
-            if len(doc) > 1 << 16:
-                yield record()
-                doc, start, h, words, whole = [], [], [], [], []
-        yield record()
+def window_starts(total: int, cuts: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
+    """Where the windows begin that are compared, for a text of total words with shared keys at spans."""
+    picked: set[int] = set()
+    for a, e, own in runs(spans):
+        if e - a < RUN_WORDS or total < PASSAGE:
+            continue
+        if e - a < PASSAGE + SLACK:
+            low = max(0, a + min(n for s, n in own if s == a) - PASSAGE)
+            picked.update(range(low, min(total - PASSAGE, max(s for s, n in own if s + n == e)) + 1))
+        else:
+            at = cuts[(cuts >= a) & (cuts <= e - PASSAGE)].tolist()
+            picked.update([a, *at, e - PASSAGE])
+    return sorted(picked)
+
+
+def _window_rows(own: DataFrame, spans_of) -> DataFrame:
+    """(doc_id, s, h): the windows to compare of own (doc_id, text, ...); spans_of(batch, row, keys) gives the shared keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                docs, start, h = [], [], []
+                for row, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"))):
+                    data, starts, cuts = chunked(t.as_py())
+                    got = window_starts(len(starts) - 1, cuts, spans_of(part, row, lambda: keys_of(data, starts, cuts)))  # noqa: B023
+                    docs += [d] * len(got)
+                    start += got
+                    h += [digest(data[starts[s] : starts[s + PASSAGE] - 1]) for s in got]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start, pa.int32()), pa.array(h, pa.binary())], ["doc_id", "s", "h"])
+
+    return own.mapInArrow(run, "doc_id long, s int, h binary")
+
+
+def _by_filter(own: DataFrame, common: DataFrame, n: int) -> DataFrame:
+    held = key_filter(common, n)
+
+    def spans(_, __, keys) -> list[tuple[int, int]]:
+        key, s, size = keys()
+        yes = may_hold(held.value, key)
+        return list(zip(s[yes].tolist(), size[yes].tolist()))
+
+    return _window_rows(own, spans)
+
+
+def _by_join(own: DataFrame, common: DataFrame) -> DataFrame:
+    keyed = own.mapInArrow(_keys, "key long, doc_id long, s int, n int")
+    marked = keyed.join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    return _window_rows(own.join(marked, "doc_id"), lambda b, row, _: [(x["s"], x["n"]) for x in b.column("spans")[row].as_py()])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -160,18 +184,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Null, empty and shorter texts, and empty tables, give no rows. Other columns are ignored. A passage is found if
     PASSAGE words of it hold two whole chunks, which fails for about one in a thousand of the shortest."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    keyed = own.mapInArrow(_keys, "key long, doc_id long, s int, n int")
-    common = shared_by_two(keyed, "key").select("key")
-    marked = keyed.join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    copies = own.select(F.md5("text").alias("key"), "doc_id").distinct()
-    copied = shared_by_two(copies, "key")
-    of = copies.join(copied, "key").groupBy("doc_id").agg(F.min("first").alias("first"))
-    asked = own.join(marked.join(of, "doc_id", "full"), "doc_id").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,n:int>>")))
-    found = cut(asked.mapInArrow(_windows, "doc_id long, s int, n int, h binary, first long"))
-    same = shared_by_two(found.filter("h is not null"), "h")
-    hits = found.filter("h is not null").drop("first").join(same, "h").select("doc_id", "s", "n", "first")
-    every = hits.unionByName(found.filter("h is null").select("doc_id", "s", "n", "first"))
-    each = every.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "n", "first"))).alias("x"))
+    common = shared_by_two(own.mapInArrow(_keys, "key long, doc_id long, s int, n int"), "key").select("key")
+    n = common.count()
+    found = stored(_by_filter(own, common, n) if n <= FILTER_KEYS else _by_join(own, common))
+    same = shared_by_two(found, "h")
+    hits = found.join(same, "h").select("doc_id", "s", F.lit(PASSAGE).alias("n"), "first")
+    each = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "n", "first"))).alias("x"))
     return each.mapInArrow(_joined, "doc_id long, start_word long, n_words long, first_doc_id long")
 
 

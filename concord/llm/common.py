@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,48 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it: as cut(), but small on disk."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most bits of a key filter, 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def _filter_bits(key: np.ndarray, size: int) -> list[np.ndarray]:
+    k = key.view(np.uint64)
+    return [(k >> np.uint64(s)) & np.uint64(size - 1) for s in (0, 29)]
+
+
+def key_filter(keys: DataFrame, n: int) -> Broadcast:
+    """A Bloom filter of keys (key long, n rows) of 16 bits a key and FILTER_BITS at most. It only spares work: what it
+    lets through is checked exactly, so that a full one costs time and nothing else."""
+    size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length() - 1))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = np.unique(np.concatenate(_filter_bits(b.column("key").to_numpy(), size)))
+            word, start = np.unique(places >> np.uint64(6), return_index=True)
+            bits = np.uint64(1) << (places & np.uint64(63))
+            value = np.bitwise_or.reduceat(bits, start) if len(word) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    got = keys.select("key").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    mask = np.zeros(max(1, size // 64), np.uint64)  # FILTER_BITS / 64 rows at most
+    mask[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast((mask, size))
+
+
+def may_hold(held: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through."""
+    mask, size = held
+    a, b = (mask[p >> np.uint64(6)] >> (p & np.uint64(63)) for p in _filter_bits(keys, size))
+    return a & b & np.uint64(1) == 1
+
+
 def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
 

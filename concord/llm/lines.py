@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import connected_components, cut, encode
+from concord.llm.common import connected_components, cut, encode, key_filter, may_hold
 
 EDITS = 2
 MIN_CHARS = 20
 KEY_ROWS = 256
 REFINE_ROWS = 4096
-#: Most bits of the filter of shared keys; above 8 bits a key it lets less than a tenth of the other keys through.
-FILTER_BITS = 1 << 27
 #: Characters compared at once.
 CHARS = 1 << 20
 
@@ -179,24 +177,15 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(key), _signed(own)], ["key", "line"])
 
 
-def _bits(key: np.ndarray, size: int) -> list[np.ndarray]:
-    """The places of keys in a filter of size bits, a power of two."""
-    k = key.view(np.uint64)
-    return [(k >> np.uint64(s)) & np.uint64(size - 1) for s in (0, 29)]
-
-
 def _candidates(held) -> callable:
     """Lines with the keys that may be shared: (key, start, length, line, d, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, size = held.value
-        mask = np.frombuffer(bits, np.uint8)
         for _, rows in _line_rows(batches):
             lines = list({x for _, _, x in rows})
             each = [keys(x, MIN_CHARS) for x in lines]
             flat = np.array([k for f in each for k, _, _ in f], np.uint64)
-            a, b = _bits(flat, size)
-            hit = ((mask[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (mask[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1) == 1
+            hit = may_hold(held.value, flat)
             of = np.repeat(np.arange(len(lines)), [len(f) for f in each])[hit]
             spot = [x for f in each for x in f]
             spot = [spot[i] for i in np.flatnonzero(hit).tolist()]
@@ -208,14 +197,6 @@ def _candidates(held) -> callable:
     return run
 
 
-def _filter_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        places = np.unique(np.concatenate(_bits(b.column("key").to_numpy(), size)))
-        byte, start = np.unique(places >> np.uint64(3), return_index=True)
-        value = np.bitwise_or.reduceat(np.left_shift(1, (places & np.uint64(7)).astype(np.int32)), start) if len(byte) else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int64)), pa.array(value.astype(np.int32))], ["byte", "bits"])
-
-
 def _spanning(a: list[int], b: list[int], n: int) -> list[tuple[int, int]]:
     """(member, smallest member) of the components of links a[i], b[i] among n."""
     root = list(range(n))
@@ -288,15 +269,8 @@ def _shared(rows: DataFrame, line: str) -> DataFrame:
 
 def links(own: DataFrame) -> DataFrame:
     """Links (a, b) between digests of near lines of own (doc_id, text, k) that span all their components."""
-    spark = own.sparkSession
     shared = _shared(own.mapInArrow(_keyed, "key long, line long"), "line")
-    n = max(1, shared.count())
-    size = min(FILTER_BITS, 1 << max(10, (8 * n).bit_length()))
-    bits = np.zeros(size // 8, np.uint8)
-    rows = shared.select("key").mapInArrow(lambda b: _filter_rows(b, size), "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
-    got = rows.toArrow()  # FILTER_BITS / 8 rows at most
-    bits[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
-    held = spark.sparkContext.broadcast((bits.tobytes(), size))
+    held = key_filter(shared, shared.count())
     level = own.mapInArrow(_candidates(held), _ROW).join(shared.select("key"), "key").dropDuplicates(["key", "d"])
     first = _compared(level, REFINE_ROWS)
     return first[0] if first[1].isEmpty() else first[0].unionByName(_compared(first[1].mapInArrow(_finer, _ROW).dropDuplicates(["key", "d"]), None)[0])

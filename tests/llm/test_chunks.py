@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from concord.llm import chunks
 from concord.llm.common import table
@@ -18,7 +19,9 @@ def brute(rows):
     return {d: {i + k for i in range(len(w) - 50) if len(by[tuple(w[i : i + 51])]) > 1 for k in range(51)} for d, w in docs.items()}
 
 
-def test_planted_passages(spark):
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_planted_passages(spark, monkeypatch, limit):
+    monkeypatch.setattr(chunks, "FILTER_KEYS", limit)
     r = random.Random(4)
     vocabulary = ["".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(3000)] + ["the", "of"] * 300
     text = lambda n: " ".join(r.choices(vocabulary, k=n))
