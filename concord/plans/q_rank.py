@@ -1 +1,189 @@
+"""Queries of ranking, reports and retrieval."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from concord.operators import rank as R
+from concord.operators.dedup import cap_round_robin
+from concord.plans.q_text import EVENTS_SQL, NOW, as_events
+from concord.plans.registry import query, table
+
+
+@query("""WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, min(event_id) OVER (PARTITION BY event_type) AS f FROM events)
+  SELECT event_type, event_id, CAST(row_number() OVER (ORDER BY pos, f) AS INT) AS place FROM p ORDER BY pos, f LIMIT 60""")
+def w1_round_robin_cap(spark, sf):
+    return cap_round_robin(table(spark, sf, "events"), 60, "event_type", "event_id").select("event_type", "event_id", "place")
+
+
+@query("""SELECT user_id, event_id, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 3""")
+def w2_top_k(spark, sf):
+    return R.top_k(table(spark, sf, "events"), "user_id", "value", "event_id", 3).select("user_id", "event_id", "rank")
+
+
+@query("SELECT url, CAST(row_number() OVER (ORDER BY page_id) AS INT) AS rank FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) ORDER BY page_id LIMIT 20")
+def w3_rank_merged(spark, sf):
+    first = table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")).orderBy("page_id").limit(20)
+    return first.select("url", F.row_number().over(Window.orderBy("page_id")).alias("rank"))
+
+
+_DAYS = f"date_diff('day', DATE '{NOW[:10]}', CAST(deadline AS DATE))"
+
+
+@query(f"""SELECT event_id, status, coalesce(CAST({_DAYS} AS INT), 9999) AS days FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY deadline NULLS LAST, event_id) AS n FROM {EVENTS_SQL}
+  WHERE status IN ('O', 'P') AND deadline >= TIMESTAMP '{NOW}' AND deadline <= TIMESTAMP '{NOW}' + INTERVAL 7 DAY) WHERE n <= 50""")
+def w4_deadline_reminders(spark, sf):
+    at = F.lit(NOW).cast("timestamp")
+    e = as_events(spark, sf).filter(F.col("status").isin("O", "P") & F.col("deadline").between(at, at + F.expr("INTERVAL 7 DAY")))
+    order = Window.partitionBy("status").orderBy(F.col("deadline").asc_nulls_last(), "event_id")
+    days = F.coalesce(F.datediff(F.to_date("deadline"), F.to_date(at)), F.lit(9999))
+    return e.withColumn("n", F.row_number().over(order)).filter("n <= 50").select("event_id", "status", days.alias("days"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY ORDER BY ts DESC, event_id DESC LIMIT 500")
+def w5_prune_state(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = e.agg(F.max("ts").alias("newest"))
+    recent = e.join(F.broadcast(newest)).filter(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 14 DAY"))
+    return recent.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def w6_last_n_turns(spark, sf):
+    return R.last_n_turns(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role")
+
+
+@query("""SELECT event_type, count(*) AS discovered, count_if(value < 20) AS rejected_low, count_if(value >= 20) AS accepted FROM events GROUP BY ROLLUP (event_type)""")
+def a2_funnel(spark, sf):
+    reason = F.when(F.col("value") < 20, "rejected_low").otherwise("accepted")
+    e = table(spark, sf, "events").withColumn("reason", reason)
+    counts = [F.count_if(F.col("reason") == r).alias(r) for r in ("rejected_low", "accepted")]
+    return e.rollup("event_type").agg(F.count("*").alias("discovered"), *counts)
+
+
+@query("SELECT CASE o_orderkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'updated' WHEN 2 THEN 'skipped' ELSE 'error' END AS action, count(*) AS n FROM orders GROUP BY 1")
+def a3_sync_stats(spark, sf):
+    action = F.element_at(F.array(*map(F.lit, ("added", "updated", "skipped", "error"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "orders").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'status' AS col, o_orderstatus AS val, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def a4_distributions(spark, sf):
+    long = table(spark, sf, "orders").select(F.explode(F.array(F.struct(F.lit("status").alias("col"), F.col("o_orderstatus").alias("val")), F.struct(F.lit("priority").alias("col"), F.col("o_orderpriority").alias("val")))).alias("x"))
+    return long.groupBy("x.col", "x.val").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, reason")
+def a5_reason_counts(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ROLLUP (s_nationkey)")
+def a6_account_summary(spark, sf):
+    return table(spark, sf, "supplier").rollup("s_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS seen, count_if(event_type <> 'error') AS verified, count_if(value > 50) AS relevant FROM events")
+def a7_crawl_stats(spark, sf):
+    return table(spark, sf, "events").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") != "error").alias("verified"), F.count_if(F.col("value") > 50).alias("relevant"))
+
+
+@query("""WITH o AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 <> 1)
+  SELECT p_name, CASE WHEN a THEN CASE WHEN b THEN 'same' ELSE 'removed' END ELSE 'added' END AS change FROM
+  (SELECT coalesce(o.p_name, n.p_name) AS p_name, o.p_name IS NOT NULL AS a, n.p_name IS NOT NULL AS b FROM o FULL JOIN n ON o.p_name = n.p_name)""")
+def a8_catalog_diff(spark, sf):
+    part = table(spark, sf, "part")
+    old, new = part.filter("p_partkey % 3 <> 0").select("p_name").distinct(), part.filter("p_partkey % 3 <> 1").select("p_name").distinct()
+    tag = lambda df, t: df.withColumn("change", F.lit(t))
+    return tag(new.join(old, "p_name", "left_anti"), "added").unionByName(tag(old.join(new, "p_name", "left_anti"), "removed")).unionByName(tag(old.intersect(new), "same"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT url) AS n_urls, count_if(html IS NULL) AS no_html, count_if(url IS NULL) AS no_url FROM pages")
+def a9_quality_profile(spark, sf):
+    return table(spark, sf, "pages").agg(F.count("*").alias("n"), F.count_distinct("url").alias("n_urls"), F.count_if(F.col("html").isNull()).alias("no_html"), F.count_if(F.col("url").isNull()).alias("no_url"))
+
+
+@query("SELECT user_id, CAST(floor(greatest(max(epoch(ts)), max(epoch(TIMESTAMP '2024-01-01')))) AS BIGINT) AS cursor FROM events GROUP BY user_id")
+def a10_advance_cursors(spark, sf):
+    e = table(spark, sf, "events").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    old = e.select("user_id").distinct().withColumn("was", F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")))
+    new = e.groupBy("user_id").agg(F.max("t").alias("now"))
+    return old.join(new, "user_id", "full").select("user_id", F.greatest("was", "now").alias("cursor"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_size > 25 THEN 'checked' ELSE '' END, ''), 'active') AS status, '2026-07-21' AS verified_at FROM part")
+def a11_stamp_verified(spark, sf):
+    status = F.when(F.col("p_size") > 25, "checked").otherwise("")
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.nullif(status, F.lit("")), F.lit("active")).alias("status"), F.lit("2026-07-21").alias("verified_at"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'a,b' ELSE '' END AS tags FROM customer""")
+def r1_json_array(spark, sf):
+    text = F.when(F.col("c_custkey") % 2 == 0, '["a", "b"]').otherwise("not json")
+    tags = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(tags, ",").alias("tags"))
+
+
+def _pairs(spark, sf):
+    """Every 20th customer as a profile, each of the sizes of part as an event."""
+    c = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(
+        F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("major"), F.array(F.lit("STEEL"), F.lower(F.substring("c_name", 1, 3))).alias("interests"))
+    p = table(spark, sf, "part").filter("p_partkey <= 200").select(
+        F.col("p_partkey").alias("seq"), F.lower("p_name").alias("target_major"), F.col("p_type").alias("category"), F.col("p_size").alias("days"),
+        F.when(F.col("p_partkey") % 3 == 0, "国家级").otherwise("省级").alias("level"), (F.col("p_partkey") % 5 == 0).alias("approved"))
+    return c, p
+
+
+def _on():
+    blank, none = F.lit(""), F.array().cast("array<string>")
+    cols = {k: F.col(k) for k in ("major", "interests", "target_major", "category", "days", "level", "approved")}
+    return cols | {"grade": blank, "target_grade": blank, "tags": none, "policy_tags": none, "followed": F.col("seq") == F.col("user_id")}
+
+
+_SCORE = """(SELECT c_custkey AS user_id, p_partkey AS seq, CASE WHEN contains(lower(p_name), lower(c_mktsegment)) THEN 3.0 ELSE 0.0 END
+  + CASE WHEN contains(lower(p_type), 'steel') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(p_type), lower(substr(c_name, 1, 3))) THEN 1.0 ELSE 0.0 END
+  + CASE WHEN p_partkey % 5 = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN p_partkey = c_custkey THEN 5.0 ELSE 0.0 END
+  + CASE WHEN p_size BETWEEN 0 AND 7 THEN 3.0 WHEN p_size <= 30 THEN 2.0 WHEN p_size > 0 THEN 1.0 ELSE 0.0 END
+  + CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 1.0 END AS score FROM customer, part WHERE c_custkey % 20 = 0 AND p_partkey <= 200)"""
+
+
+@query(f"SELECT user_id, seq, CAST(score AS DOUBLE) AS score FROM {_SCORE}")
+def r2_relevance_score(spark, sf):
+    c, p = _pairs(spark, sf)
+    return c.crossJoin(F.broadcast(p)).select("user_id", "seq", R.relevance_score(_on()).alias("score"))
+
+
+@query(f"SELECT user_id, seq, CASE WHEN seq % 5 = 0 THEN 'approved;' ELSE '' END || CASE WHEN seq = user_id THEN 'followed;' ELSE '' END AS reasons FROM {_SCORE}")
+def r3_reasons(spark, sf):
+    c, p = _pairs(spark, sf)
+    why = F.array_compact(F.array(F.when(F.col("approved"), "approved;"), F.when(F.col("seq") == F.col("user_id"), "followed;")))
+    return c.crossJoin(F.broadcast(p)).select("user_id", "seq", F.array_join(why, "").alias("reasons"))
+
+
+@query(f"SELECT user_id, seq, CAST(score AS DOUBLE) AS score, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, seq) AS n FROM {_SCORE}) WHERE n <= 5")
+def r4_recommend(spark, sf):
+    c, p = _pairs(spark, sf)
+    return R.score_pairs(c, p, _on(), 5)
+
+
+@query("SELECT p_partkey, 'title: ' || p_name || chr(10) || CASE WHEN p_size > 25 THEN 'organizer: ' || p_brand || chr(10) ELSE '' END || 'category: ' || p_type AS v FROM part")
+def r5_event_document(spark, sf):
+    brand = F.when(F.col("p_size") > 25, F.col("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", R.event_document(F.col("p_name"), brand, F.col("p_type"), F.lit("")).alias("v"))
+
+
+@query()
+def r6_chunk_documents(spark, sf):
+    return R.chunk_documents(table(spark, sf, "documents").select("doc_id", "text"), "text", 200).select("doc_id", "chunk", "chunk_text")
+
+
+_COS = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+
+
+@query(f"""SELECT query_id, vec_id, CAST(n AS INT) AS rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM
+  (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_COS} / ({_NORM.format('v')} * {_NORM.format('q')}) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE score >= 0.3) WHERE n <= 5""")
+def r7_vector_top_k(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return R.vector_top_k(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v).select("query_id", "vec_id", "rank")
