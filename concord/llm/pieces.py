@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 RANK_SHIFT = 2.7
 POWER = 1.0
 #: Characters handled at once; a longer text is a batch of its own.
-CHARS = 1 << 21
+CHARS = 1 << 19
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
