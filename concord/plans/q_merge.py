@@ -1 +1,288 @@
+"""Queries of merges, sources, sinks, streaming and whole pipelines."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from concord.functions import text as X
+from concord.functions import times as T
+from concord.operators import merge as M
+from concord.operators import state as S
+from concord.plans.q_text import EVENTS_SQL, NOW, as_events
+from concord.plans.registry import query, table
+from concord.sources import tables as IO
+from concord.streaming.sync import run_stream_sync
+
+
+def shared_folder(spark) -> str:
+    """A new folder below the one that driver and executors share (a local one where none is set, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='concord-')}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_FIELDS = ["organizer", "summary", "authority_level"]
+
+
+def versions(spark, sf):
+    """customer as existing records, and as incoming ones of other authority, some fields empty."""
+    c = table(spark, sf, "customer")
+    old = c.filter("c_custkey % 5 <> 0").select(
+        F.col("c_custkey").alias("event_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("organizer"), F.col("c_mktsegment").alias("summary"),
+        F.when(F.col("c_custkey") % 3 == 0, "高").otherwise("中").alias("authority_level"), (F.col("c_custkey") % 7 == 0).alias("is_ministry_approved"))
+    new = c.filter("c_custkey % 4 <> 1").select(
+        F.col("c_custkey").alias("event_id"), F.concat(F.lit("new "), F.col("c_name")).alias("organizer"), F.when(F.col("c_custkey") % 11 != 0, "new summary").otherwise("null").alias("summary"),
+        F.when(F.col("c_custkey") % 2 == 0, "高").otherwise("低").alias("authority_level"), (F.col("c_custkey") % 13 == 0).alias("is_ministry_approved"))
+    return old, new
+
+
+_VERSIONS = """WITH o AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS organizer, c_mktsegment AS summary, CASE WHEN c_custkey % 3 = 0 THEN '高' ELSE '中' END AS authority_level,
+    c_custkey % 7 = 0 AS ap FROM customer WHERE c_custkey % 5 <> 0),
+  i AS (SELECT c_custkey AS id, 'new ' || c_name AS organizer, CASE WHEN c_custkey % 11 <> 0 THEN 'new summary' ELSE 'null' END AS summary, CASE WHEN c_custkey % 2 = 0 THEN '高' ELSE '低' END AS authority_level,
+    c_custkey % 13 = 0 AS ap FROM customer WHERE c_custkey % 4 <> 1),
+  b AS (SELECT o.id AS oid, i.id AS iid, {higher} AS hi, o.organizer AS oo, i.organizer AS io, o.summary AS os, i.summary AS ins, o.authority_level AS oa, i.authority_level AS ia, o.ap AS oap, i.ap AS iap FROM o FULL JOIN i ON o.id = i.id)
+  SELECT coalesce(oid, iid) AS event_id, CASE WHEN oid IS NULL THEN io WHEN iid IS NOT NULL AND (hi OR oo IS NULL) THEN io ELSE oo END AS organizer,
+   CASE WHEN oid IS NULL THEN ins WHEN iid IS NOT NULL AND ins <> 'null' AND hi THEN ins ELSE os END AS summary,
+   CASE WHEN oid IS NULL THEN ia WHEN iid IS NOT NULL AND hi THEN ia ELSE oa END AS authority_level,
+   CASE WHEN oid IS NULL OR (hi AND iap IS NOT NULL) THEN iap ELSE coalesce(oap, iap) END AS is_ministry_approved FROM b"""
+_RANK = "CASE {0} WHEN '高' THEN 3 WHEN '中' THEN 2 ELSE 1 END"
+_BOTH = f"coalesce((i.ap::INT * 10 + {_RANK.format('i.authority_level')}) > (o.ap::INT * 10 + {_RANK.format('o.authority_level')}), false)"
+
+
+@query(_VERSIONS.format(higher=_BOTH))
+def m1_merge_by_priority(spark, sf):
+    return M.merge_by_priority(*versions(spark, sf), "event_id", _FIELDS)
+
+
+@query(_VERSIONS.format(higher="coalesce(i.ap AND NOT o.ap, false)"))
+def m2_merge_approved_only(spark, sf):
+    return M.merge_by_priority(*versions(spark, sf), "event_id", _FIELDS, approved_only=True)
+
+
+@query()
+def m1_fold_several(spark, sf):
+    old, new = versions(spark, sf)
+    twice = new.withColumn("seq", F.lit(1)).unionByName(new.withColumn("organizer", F.lit("second")).withColumn("authority_level", F.lit("高")).withColumn("seq", F.lit(2)))
+    return M.fold(old, twice, "event_id", _FIELDS)
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'a' END AS signup_deadline, 'a,b' AS tags, 'y' AS src FROM events")
+def m3_merge_candidates(spark, sf):
+    side = lambda d, auth, tag, v: F.struct(F.lit("t").alias("title"), F.lit(d).alias("signup_deadline"), auth.alias("source_authority"), F.array(F.lit(tag)).alias("tags"), F.create_map(F.lit("src"), F.lit(v)).alias("evidence"))
+    even = F.when(F.col("event_id") % 2 == 0, "high").otherwise("low")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), side("a", F.lit("medium"), "a", "x").alias("a"), side("b", even, "b", "y").alias("b"))
+    return M.merge_candidates(rows).select("id", "signup_deadline", F.array_join("tags", ",").alias("tags"), F.element_at("evidence", "src").alias("src"))
+
+
+@query("""WITH o AS (SELECT p_name, min(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END) AS b FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), i AS (SELECT p_name, min(p_type) AS b FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1)
+  SELECT coalesce(o.p_name, i.p_name) AS p_name, CASE WHEN o.b IS NULL OR o.b IN ('', '中') THEN coalesce(nullif(i.b, ''), o.b) ELSE o.b END AS brand, o.p_name IS NULL AS created FROM o FULL JOIN i ON o.p_name = i.p_name""")
+def m4_upsert_catalog(spark, sf):
+    p = table(spark, sf, "part")
+    old = p.filter("p_partkey % 2 = 0").groupBy("p_name").agg(F.min(F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand"))).alias("brand"))
+    new = p.filter("p_partkey % 5 <> 0").groupBy("p_name").agg(F.min("p_type").alias("brand"))
+    return M.fill_if_empty(old, new, "p_name", ["brand"])
+
+
+def upsert_editions(editions, incoming, now):
+    """Title replaced, valid incoming times win and missing ones never erase, start before deadline cleared, state recomputed."""
+    e, i = editions.alias("e"), incoming.alias("i")
+    both = e.join(i, F.col("e.event_id") == F.col("i.event_id"), "full")
+    deadline, start = F.coalesce("i.deadline", "e.deadline"), F.coalesce("i.start", "e.start")
+    return both.select(
+        F.coalesce("e.event_id", "i.event_id").alias("event_id"), F.coalesce("i.title", "e.title").alias("title"), deadline.alias("deadline"),
+        F.when(start < deadline, None).otherwise(start).alias("start"), T.status_of(deadline, now).alias("status"), F.col("e.event_id").isNull().alias("created"),
+    )
+
+
+@query(f"""WITH o AS (SELECT * FROM {EVENTS_SQL} WHERE event_id % 3 <> 0), i AS (SELECT event_id, 'new' AS title, CASE WHEN event_id % 2 = 0 THEN deadline + INTERVAL 40 DAY END AS deadline, NULL::TIMESTAMP AS start FROM {EVENTS_SQL} WHERE event_id % 4 <> 0)
+  SELECT event_id, title, strftime(d, '%Y-%m-%d') AS deadline, strftime(CASE WHEN s < d THEN NULL ELSE s END, '%Y-%m-%d') AS start, created FROM
+  (SELECT coalesce(o.event_id, i.event_id) AS event_id, coalesce(i.title, o.title) AS title, coalesce(i.deadline, o.deadline) AS d, coalesce(i.start, o.start) AS s, o.event_id IS NULL AS created FROM o FULL JOIN i ON o.event_id = i.event_id)""")
+def m5_upsert_editions(spark, sf):
+    e = as_events(spark, sf)
+    new = e.filter("event_id % 4 <> 0").select("event_id", F.lit("new").alias("title"), F.when(F.col("event_id") % 2 == 0, F.col("deadline") + F.expr("INTERVAL 40 DAY")).alias("deadline"), F.lit(None).cast("timestamp").alias("start"))
+    got = upsert_editions(e.filter("event_id % 3 <> 0"), new, F.lit(NOW).cast("timestamp"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return got.select("event_id", "title", day("deadline"), day("start"), "created")
+
+
+@query("""SELECT event_id, f AS field_name, v AS field_value, 'u' AS source_url FROM (SELECT c_custkey AS event_id, unnest(['organizer', 'summary']) AS f, unnest([c_name, CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE c_mktsegment END]) AS v FROM customer)
+  WHERE v <> 'none' AND NOT (f = 'organizer' AND event_id % 2 = 0)""")
+def m6_record_evidence(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("event_id"), F.lit("u").alias("source_url"), F.col("c_name").alias("organizer"), F.when(F.col("c_custkey") % 3 == 0, "none").otherwise(F.col("c_mktsegment")).alias("summary"))
+    known = c.filter("event_id % 2 = 0").select("event_id", F.lit("organizer").alias("field_name"), F.col("organizer").alias("field_value"), "source_url")
+    return M.record_evidence(c, known, ["organizer", "summary"])
+
+
+def sync_actions(raw):
+    """raw (seq, title, url) with key and action: blank titles and promotions are skipped, the first row of a key is added, later ones update it."""
+    key = X.catalog_key(F.col("title"))
+    marked = raw.withColumn("key", key)
+    first = marked.groupBy("key").agg(F.min("seq").alias("_first"))
+    skip = F.when(F.trim("title") == "", "skipped_invalid").when(X.is_promotion(F.col("title")), "skipped_ad")
+    action = F.coalesce(skip, F.when(F.col("seq") == F.col("_first"), "added").otherwise("updated"))
+    return marked.join(first, "key").select("seq", "key", action.alias("action"))
+
+
+_RAW = "CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN '培训' || o_custkey ELSE o_orderpriority || o_custkey END"
+
+
+@query(f"""SELECT CASE WHEN trim(t) = '' THEN 'skipped_invalid' WHEN contains(t, '培训') THEN 'skipped_ad' WHEN n = 1 THEN 'added' ELSE 'updated' END AS action, count(*) AS n FROM
+  (SELECT t, row_number() OVER (PARTITION BY regexp_replace(t, '\\s+', '', 'g') ORDER BY o_orderkey) AS n FROM (SELECT o_orderkey, {_RAW} AS t FROM orders)) GROUP BY 1""")
+def m7_sync_events(spark, sf):
+    raw = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.expr(_RAW).alias("title"), F.lit("u").alias("url"))
+    return sync_actions(raw).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def observations(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("domain"), F.lit("level").alias("field"), F.floor(F.col("value") / 60).cast("string").alias("value"))
+
+
+_CONSENSUS = """(WITH f AS (SELECT user_id AS e, event_type AS d, arg_min(CAST(floor(value / 60) AS BIGINT), event_id) AS v, min(event_id) AS s FROM events GROUP BY 1, 2),
+  c AS (SELECT e, v, count(*) AS n, min(s) AS s FROM f GROUP BY 1, 2), t AS (SELECT e, count(*) AS m FROM f GROUP BY 1)
+  SELECT c.e AS entity_id, CAST(c.v AS VARCHAR) AS value, n AS n_agree, m AS n_domains FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY n DESC, s) AS k FROM c) c JOIN t ON c.e = t.e WHERE k = 1 AND n >= 2 AND m >= 2)"""
+
+
+@query(f"SELECT * FROM {_CONSENSUS}")
+def a1_consensus(spark, sf):
+    return M.consensus(observations(spark, sf)).select("entity_id", "value", "n_agree", "n_domains")
+
+
+@query(f"SELECT DISTINCT e.user_id, coalesce(c.value, 'unknown') AS level, c.value IS NOT NULL AS verified FROM events e LEFT JOIN {_CONSENSUS} c ON e.user_id = c.entity_id")
+def m8_apply_verified(spark, sf):
+    got = M.consensus(observations(spark, sf)).select(F.col("entity_id").alias("user_id"), "value")
+    users = table(spark, sf, "events").select("user_id").distinct()
+    return users.join(got, "user_id", "left").select("user_id", F.coalesce("value", F.lit("unknown")).alias("level"), F.col("value").isNotNull().alias("verified"))
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'cs' ELSE c_mktsegment END AS major, 'none' AS notify FROM customer")
+def m9_upsert_profiles(spark, sf):
+    c = table(spark, sf, "customer")
+    old = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("major"))
+    new = c.select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, "cs").when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment")).alias("major"))
+    both = old.alias("o").join(new.alias("n"), "user_id", "full")
+    return both.select("user_id", F.coalesce("n.major", "o.major").alias("major"), F.lit("none").alias("notify"))
+
+
+@query("SELECT user_id, CASE WHEN count_if(event_type = 'purchase') > 0 THEN 'bought' ELSE '' END AS focus FROM events GROUP BY 1")
+def m10_follow_changes(spark, sf):
+    e = table(spark, sf, "events")
+    profiles = e.select("user_id").distinct().withColumn("focus", F.array(F.lit("old")))
+    ops = e.select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "add").otherwise("remove").alias("op"), F.when(F.col("event_type") == "purchase", "bought").otherwise("old").alias("item"))
+    ops = ops.unionByName(e.select("user_id").distinct().select("user_id", F.lit(-1).cast("long").alias("seq"), F.lit("remove").alias("op"), F.lit("old").alias("item")))
+    return M.apply_follow_changes(profiles, ops).select("user_id", F.array_join("focus", ",").alias("focus"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'parsed ' || page_id ELSE url END AS title FROM pages")
+def m11_overlay_parsed(spark, sf):
+    p = table(spark, sf, "pages")
+    parsed = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("parsed "), F.col("page_id").cast("string"))).otherwise("").alias("t"))
+    return p.join(parsed, "page_id", "left").select("page_id", F.coalesce(F.nullif("t", F.lit("")), "url").alias("title"))
+
+
+@query("SELECT p_name AS title, p_brand AS organizer, '' AS source_url, 'active' AS status FROM part")
+def s1_catalog_json(spark, sf):
+    path = shared_folder(spark)
+    table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("organizer")).write.json(path)
+    return IO.read_catalog_json(spark, path, multi_line=False).select("title", "organizer", "source_url", "status")
+
+
+@query("SELECT 'p' || page_id AS title, url, 'unknown' AS source_name FROM pages")
+def s2_contest_records(spark, sf):
+    path = shared_folder(spark)
+    table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"), F.col("url").alias("source_url")).write.json(path)
+    return IO.read_contest_records(spark, path, multi_line=False)
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '.org') THEN 'medium' ELSE 'low' END AS authority FROM pages")
+def s3_source_config(spark, sf):
+    rules = spark.createDataFrame([(".org", "medium")], "mark string, authority string")
+    p = table(spark, sf, "pages")
+    return p.join(F.broadcast(rules), F.col("url").contains(F.col("mark")), "left").select("page_id", F.coalesce("authority", F.lit("low")).alias("authority"))
+
+
+@query("SELECT page_id, substr(html, 1, 8192) AS html FROM pages WHERE strlen(html) <= 2097152")
+def s4_read_pages(spark, sf):
+    return IO.read_pages(table(spark, sf, "pages")).select("page_id", "html")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1")
+def s5_table_store(spark, sf):
+    store, n = IO.TableStore(spark, shared_folder(spark)), table(spark, sf, "nation").select("n_nationkey", "n_name")
+    store.overwrite("nation", n)
+    store.overwrite("nation", store.read("nation").filter("n_nationkey % 2 = 1"))
+    return store.read("nation")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def s7_report(spark, sf):
+    path = shared_folder(spark)
+    e = table(spark, sf, "events").select("event_id", F.lit("all").alias("source"), "event_type")
+    IO.write_report(e, path, "source", "event_type", "event_id")
+    return spark.read.schema("event_type string, n long").json(f"{path}/funnel")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS url FROM pages")
+def s8_export_ranked(spark, sf):
+    return IO.export_columns(table(spark, sf, "pages").withColumn("url", F.when(F.col("page_id") % 2 == 1, F.col("url"))), ["page_id", "url"])
+
+
+@query("SELECT page_id, '2026-07-21' AS run_date FROM pages")
+def s9_snapshot(spark, sf):
+    path = shared_folder(spark)
+    IO.write_snapshot(table(spark, sf, "pages"), path, F.lit("2026-07-21"))
+    return spark.read.parquet(path).select("page_id", F.col("run_date").cast("string").alias("run_date"))
+
+
+@query("SELECT url, min(page_id % 2) = 0 AS seeded FROM pages GROUP BY url")
+def s10_append_new(spark, sf):
+    p = table(spark, sf, "pages")
+    seed = p.filter("page_id % 2 = 0").select("url").distinct().withColumn("seeded", F.lit(True))
+    return IO.append_new(seed, p.filter("page_id % 2 = 1").select("url").withColumn("seeded", F.lit(False)), "url")
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+def x5_stream_sync(spark, sf):
+    path = shared_folder(spark)
+    table(spark, sf, "events").select("event_id", "user_id").repartition(4, "user_id").sortWithinPartitions("event_id").write.parquet(f"{path}/in")
+    store = IO.TableStore(spark, f"{path}/store")
+    for _ in range(2):  # the second run finds nothing new
+        run_stream_sync(spark, IO.stream_raw_events(spark, f"{path}/in", "event_id long, user_id long"), store, f"{path}/checkpoint", "user_id", "event_id")
+    return store.read("final").select("user_id", "event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= least(TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-10' - INTERVAL 24 HOUR ELSE TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR END)")
+def x1_incremental_intake(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cursors = e.filter("user_id % 2 = 0").select("user_id").distinct().withColumn("last_at", F.lit("2024-01-10").cast("timestamp"))
+    return S.incremental_intake(e, cursors, "ts", "user_id", F.lit("2024-01-20").cast("timestamp"), 48).select("event_id")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0")
+def x2_drop_processed(spark, sf):
+    e = table(spark, sf, "events").select("user_id")
+    return S.drop_processed(e, e.filter("user_id % 3 = 0").distinct(), "user_id")
+
+
+@query("SELECT user_id AS key, 'fetch' AS stage, CAST(CASE WHEN user_id % 2 = 0 THEN 2 ELSE 0 END + 1 AS INT) AS attempts FROM (SELECT DISTINCT user_id FROM events)")
+def x3_failures(spark, sf):
+    users = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.lit("fetch").alias("stage")).distinct()
+    at = F.lit("2026-01-01").cast("timestamp")
+    old = users.filter("key % 2 = 0").select("key", "stage", F.lit(2).alias("attempts"), at.alias("first_seen_at"), at.alias("last_seen_at"))
+    return S.upsert_failures(old, users, at).select("key", "stage", "attempts")
+
+
+@query("SELECT user_id AS key, count_if(event_type = 'purchase') > 0 AS done FROM events GROUP BY 1")
+def x4_acknowledge(spark, sf):
+    e, at = table(spark, sf, "events"), F.lit("2026-01-01").cast("timestamp")
+    actions = e.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "purchase", "added").otherwise("error").alias("action"))
+    keys = actions.select("key").distinct()
+    processed, failures = S.acknowledge(actions, keys.limit(0).withColumn("processed_at", at), keys, at)
+    return processed.select("key", F.lit(True).alias("done")).unionByName(failures.select("key", F.lit(False).alias("done")))
+
+
+@query("SELECT CASE WHEN event_id % 10 = 0 THEN 'undated' WHEN ts < TIMESTAMP '2024-01-15' THEN 'late' ELSE 'take' END AS route, count(*) AS n FROM events GROUP BY 1")
+def x6_route_by_time(spark, sf):
+    e = table(spark, sf, "events").withColumn("at", F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("timestamp")))
+    return S.route_by_time(e, "at", F.lit("2024-01-15").cast("timestamp")).groupBy("route").agg(F.count("*").alias("n"))
