@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from concord.plans import q_dedup, q_extract, q_merge, q_rank, q_text, q_times  # noqa: E402, F401
+from concord.plans import q_dedup, q_extract, q_merge, q_pipelines, q_rank, q_text, q_times  # noqa: E402, F401
