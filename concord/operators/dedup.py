@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """See that checkpoints have a folder: spark.checkpoint.dir where it is set, a local one otherwise (tests)."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='concord-')}")
+
+
 def first_by(df: DataFrame, key: Column, *order: str | Column, keep_blank: bool = True) -> DataFrame:
     """The first row of each key; rows with a null or empty key all stay if keep_blank."""
     blank = key.isNull() | (key == "") if keep_blank else F.lit(False)
@@ -32,8 +40,7 @@ def dedup_greedy_or(df: DataFrame, url: str, title: str, seq: str = "seq") -> Da
 
     Solved by rounds over the whole table: a row whose every earlier rival is decided is decided itself. A round keeps
     every undecided row that is first by its URL and by its title, and drops what those block."""
-    from pyspark.sql import SparkSession  # noqa: F401
-
+    shared_folder(df.sparkSession)
     left = df.select(seq, F.col(url).alias("_u"), F.col(title).alias("_t")).checkpoint()
     kept = None
     while not left.isEmpty():

@@ -20,9 +20,9 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, least: float = 0.85
     """(l_seq, r_seq, score): the best right row of each left row (mode best; ties to the smaller seq), or the first (mode
     first), among those at least so similar.
 
-    Distinct keys are compared, not rows. Equal keys match by an equality join. Others share a character pair: with at
-    most 15 % of edits each destroys two of a key's pairs and some pair survives, so a join on the pairs and on the length
-    band loses nothing; the rarest pairs of a key are enough, as edits can destroy only so many."""
+    Distinct keys are compared, not rows. Equal keys match by an equality join. Others share a character pair: an edit
+    destroys two of the L - 1 pairs of a key at most, and 2 (1 - least) L is below L - 1 for least above 0.5 and all but
+    the shortest keys, which can only match if equal. So a join on the pairs and on the length band loses nothing."""
     lk = left.select(F.col(key).alias("lk")).distinct().filter("lk <> ''")
     rk = right.select(F.col(key).alias("rk")).distinct().filter("rk <> ''")
     lg = lk.withColumn("g", F.explode(_grams(F.col("lk")))).withColumn("n", F.explode(_band(F.length("lk"), least)))
@@ -72,7 +72,7 @@ def charset_match(pairs: DataFrame, a: str, b: str, mode: str = "flag") -> DataF
     start = F.struct(F.lit(0).alias("n"), F.lit(1).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        where = F.locate_in(y, c, s["at"]) if hasattr(F, "locate_in") else F.call_function("locate", c, y, s["at"])
+        where = F.call_function("locate", c, y, s["at"])
         return F.struct(F.when(where > 0, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(where > 0, where + 1).otherwise(s["at"]).alias("at"))
 
     n = F.aggregate(F.split(x, ""), start, step, lambda s: s["n"])

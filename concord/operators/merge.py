@@ -82,12 +82,10 @@ def record_evidence(editions: DataFrame, evidence: DataFrame, fields: list[str],
 def consensus(observations: DataFrame, least: int = 2) -> DataFrame:
     """(entity_id, field, value, n_agree, n_domains) of values that least domains agree on, out of least domains or more.
     observations: entity_id, seq, domain, field, value; the first of each domain counts, and the first seen value wins a tie."""
-    first = Window.partitionBy("entity_id", "domain").orderBy("seq")
     rows = observations.withColumn("m", F.min("seq").over(Window.partitionBy("entity_id", "domain"))).filter("seq = m")
     domains = rows.groupBy("entity_id").agg(F.count_distinct("domain").alias("n_domains"))
     by = rows.filter(is_meaningful(F.col("value"))).groupBy("entity_id", "field", "value").agg(F.count_distinct("domain").alias("n"), F.min("seq").alias("s"))
     best = by.groupBy("entity_id", "field").agg(F.max_by("value", F.struct("n", -F.col("s"))).alias("value"), F.max("n").alias("n_agree"))
-    del first
     return best.join(domains, "entity_id").filter((F.col("n_domains") >= least) & (F.col("n_agree") >= least))
 
 
