@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Words whose ids a task remembers.
 CACHE_WORDS = 1 << 18
+#: Below this character lower case goes letter by letter and nothing composes.
+_SIMPLE = "\u0250"
 _MAGIC, _BLOCK = b"WMT1", 512
 
 
@@ -43,25 +46,58 @@ def default_tokenizer() -> str:
 
 class Tokens:
     """Ids of whole texts. The tokenizer drops white space and no token spans it, so a text is cut at spaces and line
-    feeds, and each distinct word is encoded once and remembered."""
+    feeds and each distinct word is encoded once. Words of Latin letters are cut further into the pieces that the
+    tokenizer encodes one by one, and unknown pieces are encoded as one text, whose ids are dealt back at the tokens that
+    carry the word-end mark. All other words are encoded alone. Up to CACHE_WORDS words and pieces stay known."""
+
+    #: Fixed value: the tokenizer's pattern for the pieces of a word.
+    _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.own, self.known = Tokenizer.from_file(path), {"": ()}
+        self.own, self.known = Tokenizer.from_file(path), {"": b""}
+        self.piece: dict[str, bytes] = {}
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _pieces(self, new: list[str]) -> None:
+        """Learn the ids of pieces, encoded as one text."""
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
+            ids = np.array(self.own.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                cuts, data = [0, *(4 * ends).tolist()], ids.tobytes()
+                self.piece.update((w, data[x:y]) for w, x, y in zip(part, cuts, cuts[1:]))
+            else:
+                self.piece.update((w, self._alone(w)) for w in part)
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.own.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        cut = {w: self._PIECES.findall(w.lower()) for w in words if "<|" not in w and max(w) < _SIMPLE}
+        if len(self.piece) > CACHE_WORDS:
+            self.piece = {}
+        self._pieces(list({p for ps in cut.values() for p in ps} - self.piece.keys()))
+        get = self.piece.__getitem__
+        found = {w: b"".join(map(get, ps)) for w, ps in cut.items()}
+        found.update((w, self._alone(w)) for w in words if w not in found)
+        return found
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": ()}
-            new = list({w for ws in words for w in ws} - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.known.update((w, e.ids) for w, e in zip(part, self.own.encode_batch(part, add_special_tokens=False)))
-        get = self.known.__getitem__
+        new = self._encoded(list({w for ws in words for w in ws} - self.known.keys()))
+        keep = len(self.known) < CACHE_WORDS
+        self.known.update(new)
+        get, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
         for ws in words:
-            yield np.array([i for w in ws for i in get(w)] + [END_ID], np.uint32)
+            yield np.frombuffer(b"".join(map(get, ws)) + end, "<u4")
+        if not keep:
+            for w in new:
+                del self.known[w]
 
 
 class WaveletMatrix:
@@ -72,8 +108,10 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        alphabet, code = np.unique(ids, return_inverse=True)
-        code = code.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+        alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+        place = np.zeros(int(alphabet.max(initial=0)) + 1, np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+        place[alphabet] = np.arange(len(alphabet))
+        code = place[ids]
         depth = max(1, int(max(0, len(alphabet) - 1)).bit_length())
         planes, ranks, zeros = [], [], []
         for b in range(depth - 1, -1, -1):
