@@ -101,7 +101,7 @@ def p5_promotions_1(spark, sf):
     return _words(spark, sf).select("doc_id", X.is_promotion(F.col("title"), 1).alias("promotion"))
 
 
-@query(f"SELECT doc_id, regexp_matches(regexp_replace(lower(title), '[\\s（()）【\\[\\]《》<>「」】]', '', 'g'), '{_alternation(X.PROMOTIONS_2)}') AS promotion FROM {_WORDS_SQL}")
+@query(f"SELECT doc_id, regexp_matches(regexp_replace(lower(title), '[\\s（()）【\\[\\]《》<>「」】“”''\"·—_\\-，,。.!！:：;；]', '', 'g'), '{_alternation(X.PROMOTIONS_2)}') AS promotion FROM {_WORDS_SQL}")
 def p6_promotions_2(spark, sf):
     return _words(spark, sf).select("doc_id", X.is_promotion(F.col("title"), 2).alias("promotion"))
 
