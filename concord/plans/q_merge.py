@@ -286,3 +286,13 @@ def x4_acknowledge(spark, sf):
 def x6_route_by_time(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("timestamp")))
     return S.route_by_time(e, "at", F.lit("2024-01-15").cast("timestamp")).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id FROM events")
+def s6_stream_source(spark, sf):
+    path = shared_folder(spark)
+    table(spark, sf, "events").select("event_id", "user_id").write.parquet(f"{path}/in")
+    stream = IO.stream_raw_events(spark, f"{path}/in", "event_id long, user_id long")
+    sink = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
