@@ -31,7 +31,9 @@ from concord.llm.common import cut, shared_dir
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: Words whose ids a task remembers.
+#: Most tasks that read shards.
+READ_TASKS = 10_000
+#: Words whose ids a worker remembers.
 CACHE_WORDS = 1 << 18
 #: Below this character lower case goes letter by letter and nothing composes.
 _SIMPLE = "\u0250"
@@ -100,6 +102,16 @@ class Tokens:
                 del self.known[w]
 
 
+_known: dict[str, Tokens] = {}
+
+
+def tokens_at(path: str) -> Tokens:
+    """The tokenizer of a worker process, with the words it has met in earlier tasks."""
+    if path not in _known:
+        _known[path] = Tokens(path)
+    return _known[path]
+
+
 class WaveletMatrix:
     """alphabet (sorted ids), planes (packed bits, highest first), zeros (in each plane), n."""
 
@@ -236,7 +248,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        tokens = Tokens(path)
+        tokens = tokens_at(path)
         ids, doc_ids, sizes, done, part = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
@@ -291,7 +303,8 @@ def read(shards: DataFrame, folder: str) -> DataFrame:
                 cols = [pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("file").mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(shards.count(), READ_TASKS))  # rows are few and small, but each stands for a file
+    return placed.repartition(tasks, "file").mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark) -> str:
