@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ class Tokens:
         cut = {w: self._PIECES.findall(w.lower()) for w in words if "<|" not in w and max(w) < _SIMPLE}
         if len(self.piece) > CACHE_WORDS:
             self.piece = {}
-        self._pieces(list({p for ps in cut.values() for p in ps} - self.piece.keys()))
+        self._pieces([p for p in set(chain.from_iterable(cut.values())) if p not in self.piece])
         get = self.piece.__getitem__
         found = {w: b"".join(map(get, ps)) for w, ps in cut.items()}
         found.update((w, self._alone(w)) for w in words if w not in found)
@@ -91,7 +92,7 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = self._encoded(list({w for ws in words for w in ws} - self.known.keys()))
+        new = self._encoded([w for w in set(chain.from_iterable(words)) if w not in self.known])
         keep = len(self.known) < CACHE_WORDS
         self.known.update(new)
         get, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
