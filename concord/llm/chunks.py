@@ -3,12 +3,13 @@
 1. A gear hash rolls over the words of a text, joined by single spaces. A chunk ends at a space where the hash of the
    last _WINDOW bytes has CUT_BITS zero bits, so cuts depend on nearby bytes only and an insertion moves none of them
    for long. The key of two neighbouring chunks (more, if they are short) is their digest.
-2. Keys that two documents share mark candidate runs: stretches of RUN_WORDS or more words covered by shared keys that
-   overlap. A second pass over the texts knows shared keys by a Bloom filter of bounded size; if there are more than it
-   can tell apart, by a join.
-3. An exact check follows on candidate stretches alone, by digests of PASSAGE-word windows: in a run of more words those
-   from its cuts and its two ends on, else all that hold one of its keys. Windows that two documents share are repeated
-   passages; overlapping ones are joined.
+2. A PASSAGE-word window has as its own the keys whose cuts its own bytes decide, which are therefore the same in every
+   document that has the window. A window that two documents share has shared keys only; so windows are left out if one
+   of their own keys is not shared, and no others. A second pass over the texts knows shared keys by a Bloom filter of
+   bounded size; if there are more than it can tell apart, by a join. A key that is wrongly taken for a shared one adds
+   windows that no other document has, and changes no result.
+3. The windows left are compared by their digests. Those that two documents share are repeated passages; overlapping ones
+   are joined.
 
 Keys and windows are counted by grouped minimum and maximum of doc_id, so a key that a third of all documents share is
 two numbers per task. Those counts are written before they are joined back, which leaves both sides of the join
@@ -25,17 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import FILTER_BITS, cut, encode, key_filter, may_hold, stored
+from concord.llm.common import FILTER_BITS, cut, encode, key_filter, let_go, may_hold, stored
 
 #: A passage has so many words at least: more than 50.
 PASSAGE = 51
-RUN_WORDS = 12
 #: One space in 2 ** CUT_BITS ends a chunk, in the mean.
 CUT_BITS = 2
 #: A key has so many words at least.
 KEY_WORDS = 6
-#: A run of so many words more than PASSAGE is looked at from its cuts only.
-SLACK = 8
 #: Up to so many shared keys go by the filter: 8 bits a key.
 FILTER_KEYS = FILTER_BITS // 8
 #: Bytes of the rolling window, a power of two.
@@ -109,36 +107,19 @@ def shared_by_two(rows: DataFrame, key: str) -> DataFrame:
     return cut(by.filter("first < last").select(key, "first"))
 
 
-def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Runs [s, e) of overlapping (start, words), with their own spans. Shared keys that follow each other in one passage
-    overlap; those of two passages that only touch do not."""
-    out: list[list] = []
-    for s, n in sorted(spans):
-        if out and s < out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n)
-            out[-1][2].append((s, n))
-        else:
-            out.append([s, s + n, [(s, n)]])
-    return [tuple(x) for x in out]
-
-
-def window_starts(total: int, cuts: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
-    """Where the windows begin that are compared, for a text of total words with shared keys at spans."""
-    picked: set[int] = set()
-    for a, e, own in runs(spans):
-        if e - a < RUN_WORDS or total < PASSAGE:
-            continue
-        if e - a < PASSAGE + SLACK:
-            low = max(0, a + min(n for s, n in own if s == a) - PASSAGE)
-            picked.update(range(low, min(total - PASSAGE, max(s for s, n in own if s + n == e)) + 1))
-        else:
-            at = cuts[(cuts >= a) & (cuts <= e - PASSAGE)].tolist()
-            picked.update([a, *at, e - PASSAGE])
-    return sorted(picked)
-
-
-def _window_rows(own: DataFrame, spans_of) -> DataFrame:
-    """(doc_id, s, h): the windows to compare of own (doc_id, text, ...); spans_of(batch, row, keys) gives the shared keys."""
+def window_starts(starts: np.ndarray, first: np.ndarray, size: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Where the windows begin that are compared: those without an own key that is not shared. Keys have first word, number
+    of words and whether they are shared. A window's own keys begin _WINDOW bytes after it or later and end before its last
+    word ends; windows without any are all compared."""
+    w = np.arange(max(0, len(starts) - PASSAGE))
+    low = np.searchsorted(starts[first], starts[w] + _WINDOW)
+    high = np.maximum(low, np.searchsorted(first + size, w + PASSAGE - 1, "right"))
+    single = np.concatenate([[0], np.cumsum(~shared)])
+    return w[single[high] == single[low]]
+
+
+def _window_rows(own: DataFrame, shared_of) -> DataFrame:
+    """(doc_id, s, h): the windows to compare of own (doc_id, text, ...); shared_of(batch, row, key, first) marks shared keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -148,30 +129,26 @@ def _window_rows(own: DataFrame, spans_of) -> DataFrame:
                 docs, start, h = [], [], []
                 for row, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"))):
                     data, starts, cuts = chunked(t.as_py())
-                    got = window_starts(len(starts) - 1, cuts, spans_of(part, row, lambda: keys_of(data, starts, cuts)))  # noqa: B023
-                    docs += [d] * len(got)
-                    start += got
-                    h += [digest(data[starts[s] : starts[s + PASSAGE] - 1]) for s in got]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start, pa.int32()), pa.array(h, pa.binary())], ["doc_id", "s", "h"])
+                    key, first, size = keys_of(data, starts, cuts)
+                    got = window_starts(starts, first, size, shared_of(part, row, key, first))
+                    docs.append(np.full(len(got), d, np.int64))
+                    start.append(got)
+                    h += [digest(data[a:b]) for a, b in zip(starts[got].tolist(), (starts[got + PASSAGE] - 1).tolist())]
+                cols = [pa.array(np.concatenate(docs)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(h, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s", "h"])
 
     return own.mapInArrow(run, "doc_id long, s int, h binary")
 
 
 def _by_filter(own: DataFrame, common: DataFrame, n: int) -> DataFrame:
     held = key_filter(common, n)
-
-    def spans(_, __, keys) -> list[tuple[int, int]]:
-        key, s, size = keys()
-        yes = may_hold(held.value, key)
-        return list(zip(s[yes].tolist(), size[yes].tolist()))
-
-    return _window_rows(own, spans)
+    return _window_rows(own, lambda _, __, key, ___: may_hold(held.value, key))
 
 
 def _by_join(own: DataFrame, common: DataFrame) -> DataFrame:
     keyed = own.mapInArrow(_keys, "key long, doc_id long, s int, n int")
-    marked = keyed.join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    return _window_rows(own.join(marked, "doc_id"), lambda b, row, _: [(x["s"], x["n"]) for x in b.column("spans")[row].as_py()])
+    marked = keyed.join(common, "key").groupBy("doc_id").agg(F.collect_set("s").alias("at"))
+    return _window_rows(own.join(marked, "doc_id", "left"), lambda b, row, _, first: np.isin(first, b.column("at")[row].as_py() or []))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -181,13 +158,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Words are parted by ASCII white space and compared byte by byte. Repeats within one document do not count, nor do
     rows with a null doc_id; rows that share a doc_id are one document to each other, so repeated rows are no repeats.
-    Null, empty and shorter texts, and empty tables, give no rows. Other columns are ignored. A passage is found if
-    PASSAGE words of it hold two whole chunks, which fails for about one in a thousand of the shortest."""
+    Null, empty and shorter texts, and empty tables, give no rows. Other columns are ignored. Every passage is found."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     common = shared_by_two(own.mapInArrow(_keys, "key long, doc_id long, s int, n int"), "key").select("key")
     n = common.count()
+    let_go(docs.sparkSession)
     found = stored(_by_filter(own, common, n) if n <= FILTER_KEYS else _by_join(own, common))
     same = shared_by_two(found, "h")
+    let_go(docs.sparkSession)
     hits = found.join(same, "h").select("doc_id", "s", F.lit(PASSAGE).alias("n"), "first")
     each = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "n", "first"))).alias("x"))
     return each.mapInArrow(_joined, "doc_id long, start_word long, n_words long, first_doc_id long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have both collectors look for plans that nothing refers to any more: Spark deletes shuffle files only then, and
+    otherwise those of finished steps stay on disk beside those of the next one."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Most bits of a key filter, 16 MB.
 FILTER_BITS = 1 << 27
 

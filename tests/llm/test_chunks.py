@@ -69,3 +69,20 @@ def test_whole_table(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     want = {d for d, w in brute([(r.doc_id, r.text) for r in docs.collect()]).items() if w}
     assert {r.doc_id for r in chunks.repeated_passages(docs).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_passages_of_copied_documents_in_unique_ones(spark, monkeypatch, limit):
+    monkeypatch.setattr(chunks, "FILTER_KEYS", limit)
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(n))
+    rows = []
+    for i in range(40):
+        passage = text(51 + i % 10)
+        copied = f"{text(120)} {passage} {text(130)}"
+        rows += [(3 * i, copied), (3 * i + 1, copied), (3 * i + 2, f"{text(60 * (i % 3))} {passage} {text(60 * (i % 2))}")]
+    rows += [(200 + i, "no " * 60 + "cut") for i in range(2)]
+    got = defaultdict(set)
+    for x in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x.doc_id] |= set(range(x.start_word, x.start_word + x.n_words))
+    assert got == {d: w for d, w in brute(rows).items() if w}
