@@ -5,12 +5,13 @@
    groups of GROUP_ROWS rows by ranges of that order; a group holds blocks of BLOCK_ROWS rows. A block is one forward
    index: ids, an integer matrix, and the largest and smallest value of every dimension (the term maxima of positive
    and of negative query weights).
-3. Queries travel in chunks of CHUNK_QUERIES rows, one copy for each group of blocks: a stated query set against all
-   rows, in blocks. A task holds one group of blocks and one chunk at a time.
+3. Queries are dealt by a hash of their row number into buckets of about QUERY_ROWS rows and travel in chunks of
+   CHUNK_QUERIES. Each group of blocks is copied to each bucket and each chunk to each group: a stated query set against
+   all rows, in blocks. A task holds one group of blocks and one bucket of queries.
 4. In a task the bound of a block for a query is the sum of its term maxima times the query's weights. Blocks are
    visited by falling summed bound; a block is scored only for the queries whose bound reaches their kth score so far,
    and the task ends when no bound does. Ties at the kth score are visited, as a smaller id may win.
-5. Each query's candidates, k for each group, are merged by Spark.
+5. Each query's candidates, k for each group of blocks, are merged by Spark.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SCALE = 256
 BLOCK_ROWS = 128
 GROUP_ROWS = 8192
 CHUNK_QUERIES = 256
+QUERY_ROWS = 8192
 #: Float64 sums of integer products are exact below this bound; larger ones are made with Python integers.
 EXACT = 2**53
 _LONG = 2**63 - 1
@@ -135,6 +137,23 @@ def best(queries: Block, found: list[Block], k: int) -> Iterator[tuple[int, int,
         yield queries.rows[i], queries.ids[i], ids[i, c], rows[i, c], score[i, c]
 
 
+def tiles(stored: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
+    """Records (g, q, width, ids, rows, matrix) of all rows and of the queries; each pair of a group g of rows and a bucket
+    q of queries has both in bounded number."""
+    groups = max(1, -(-stored.count() // GROUP_ROWS))
+    laid = stored.repartitionByRange(groups, "dim", "signs", "row").sortWithinPartitions("dim", "signs", "row")
+    grouped = laid.select((F.spark_partition_id() % groups).alias("g"), "row", "vec_id", "v")
+    record = "{} int, width int, ids binary, rows binary, matrix binary"
+    found = grouped.mapInArrow(_packer(BLOCK_ROWS, "g"), record.format("g"))
+    wanted = stored.filter(is_query)
+    buckets = max(1, -(-wanted.count() // QUERY_ROWS))
+    asked = wanted.select(F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("q"), "row", "vec_id", "v")
+    dealt = asked.repartition(buckets, "q").sortWithinPartitions("q") if buckets > 1 else asked
+    chunks = dealt.mapInArrow(_packer(CHUNK_QUERIES, "q"), record.format("q"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return found.withColumn("q", every(buckets)), chunks.withColumn("g", every(groups))
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank int, vec_id, score long): the k highest integer inner products of each row for which the
     condition is_query holds, against every other row. Ties go to the smaller vec_id.
@@ -150,14 +169,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         "signs": F.aggregate(F.slice(v, 1, 12), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int")),
     }
     stored = cut(integer_vectors(vectors).withColumns(alike).withColumn("row", F.monotonically_increasing_id()))
-    groups = max(1, -(-stored.count() // GROUP_ROWS))
-    laid = stored.repartitionByRange(groups, "dim", "signs", "row").sortWithinPartitions("dim", "signs", "row")
-    grouped = laid.select((F.spark_partition_id() % groups).alias("g"), "row", "vec_id", "v")
-    record = "{} int, width int, ids binary, rows binary, matrix binary"
-    found = grouped.mapInArrow(_packer(BLOCK_ROWS, "g"), record.format("g"))
-    asked = stored.filter(is_query).select(F.lit(0).alias("c"), "row", "vec_id", "v")
-    chunks = asked.mapInArrow(_packer(CHUNK_QUERIES, "c"), record.format("c")).drop("c")
-    copies = chunks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found, asked = tiles(stored, is_query)
 
     def search(blocks: pa.Table, queries: pa.Table) -> pa.Table:
         records = lambda t: zip(*(t.column(c).to_pylist() for c in ("width", "ids", "rows", "matrix")))
@@ -166,7 +178,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         names = ("query_row", "query_id", "vec_id", "row", "score")
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, zip(*out) if out else [()] * 5)})
 
-    pairs = found.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(
+    pairs = found.groupBy("g", "q").cogroup(asked.groupBy("g", "q")).applyInArrow(
         search, "query_row long, query_id long, vec_id long, row long, score long"
     )
     first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")

@@ -39,3 +39,18 @@ def test_small_blocks_and_odd_rows(spark, monkeypatch):
 
 def test_query_matches_sql(spark):
     assert rows_of(queries.op5_exact_top_k(spark, SF)) == rows_of_sql(sql.ORACLES["op5_exact_top_k"])
+
+
+def test_tasks_hold_bounded_rows_and_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_ROWS", 100)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 20, raising=False)
+    r = random.Random(3)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.125, 0.7]) for _ in range(6)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0)
+    assert sorted(map(tuple, got.filter("query_id % 50 = 0").collect())) == brute(rows) and got.count() == 1000
+    stored = topk.integer_vectors(df).withColumns({"row": F.col("vec_id"), "dim": F.lit(0), "signs": F.lit(0)})
+    found, asked = topk.tiles(stored, F.col("vec_id") % 5 == 0)
+    for part, most in ((found, 200), (asked, 40)):
+        sizes = part.groupBy("g", "q").agg((F.sum(F.length("ids")) / 8).alias("n")).collect()
+        assert len(sizes) == 100 and max(x.n for x in sizes) <= most
