@@ -145,7 +145,9 @@ def d3_cross_source(spark, sf):
 
 @query()
 def d4_greedy_or(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("u"), F.concat("source", F.lit(":"), (F.col("n_chars") % 50).cast("string")).alias("t"))
+    digest = lambda c: F.coalesce(F.sha2(c, 256), F.concat(F.lit("row "), F.col("doc_id").cast("string")))
+    words = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    d = table(spark, sf, "documents").select("doc_id", digest(F.col("text")).alias("u"), digest(words).alias("t"))
     return D.dedup_greedy_or(d, "u", "t", "doc_id").select("doc_id")
 
 
