@@ -161,6 +161,16 @@ def r3_reasons(spark, sf):
     return c.crossJoin(F.broadcast(p)).select("user_id", "seq", F.array_join(why, "").alias("reasons"))
 
 
+@query()
+def r3_recommendation_reasons(spark, sf):
+    c = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("major"))
+    p = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("seq"), F.lower("p_name").alias("target_major"), F.col("p_type").alias("category"), F.col("p_size").alias("days"),
+        F.when(F.col("p_partkey") % 3 == 0, "国家级").otherwise("省级").alias("level"), (F.col("p_partkey") % 5 == 0).alias("approved"), F.col("p_brand").alias("organizer"))
+    cols = {k: F.col(k) for k in ("major", "target_major", "category", "days", "level", "approved", "organizer")}
+    return c.crossJoin(p).select("user_id", "seq", R.recommendation_reasons({**_on(), **cols}).alias("reasons"))
+
+
 @query(f"SELECT user_id, seq, CAST(score AS DOUBLE) AS score, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, seq) AS n FROM {_SCORE}) WHERE n <= 5")
 def r4_recommend(spark, sf):
     c, p = _pairs(spark, sf)
