@@ -161,7 +161,7 @@ class Scorer:
     def score(self, text: str | None) -> float:
         measures, known = look(text, self.learned)
         z = self.bias
-        if known:
+        if text and not text.isspace():
             get = self.weight.get
             z += sum(get(b, 0.0) for b in sorted(features(measures, known) & self.weight.keys()))
         return 1 / (1 + float(np.exp(-max(-50.0, min(50.0, z)))))
@@ -241,7 +241,7 @@ def _only(place):
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """docs with _score, the probability of bad from 0 to 1, and _rejected; the other columns stay.
 
-    A text without words (null, empty, only marks) gets the score of the bias alone. Repeated texts get equal scores."""
+    A null or blank text gets the score of the bias alone, a text of marks alone that of its votes. Repeated texts get equal scores."""
     held = docs.sparkSession.sparkContext.broadcast(scorer)  # FEATURES weights and the lexicon
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,3 +43,10 @@ def test_measures_in_pieces(monkeypatch):
     monkeypatch.setattr(quality, "blocks", lambda data: common.blocks(data, 30))
     assert quality.look(text, frozenset([b"abc"])) == whole
     assert whole[0][5] == 80 and whole[0][6] == 40
+
+
+def test_marks_alone_are_scored_by_their_votes():
+    bad = {x: quality.zlib.crc32(f"{x}={quality.BAD}".encode()) % quality.BUCKETS for x in ("bars", "symbols", "exclaims")}
+    scorer = quality.Scorer(list(bad.values()), np.full(3, 5.0), -2.0, frozenset())
+    assert all(scorer.score(t) > 0.5 for t in ("| | | | | |", "*** ### $$$ %%%", "!!!! !!!! !!!!"))
+    assert scorer.score(None) == scorer.score("") == scorer.score(" \n\t") == scorer.score(" . ") < 0.5
