@@ -7,27 +7,40 @@ probability of all segmentations that reach a position. Backward sampling then w
 start, drawing an incoming edge in proportion to what it contributed. The draws are hashes of the row's key, the unit's
 place and the step, so a row's segmentation depends on nothing else: not on batches, partitions or retries.
 
+A unit of more than LONG characters is filtered and sampled in stretches of STRETCH characters: the forward pass keeps
+only the probabilities of the last positions before each stretch, and the backward pass makes the stretches again from
+the last to the first. The lattice held at once is so bounded, however long a text or a word is.
+
 The model's pieces carry ranks, not probabilities; a piece of rank r weighs 1 / (r + RANK_SHIFT), and POWER sharpens
 (above 1) or flattens the distribution.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANK_SHIFT = 2.7
 POWER = 1.0
-#: Characters handled at once; a longer text is a batch of its own.
-CHARS = 1 << 19
+#: Characters of text, and of distinct units, that are handled at once.
+CHARS, DISTINCT = 1 << 19, 1 << 16
+#: Units of more characters go in stretches of so many.
+LONG, STRETCH = 1 << 10, 1 << 12
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
+#: Where a text may be parted without parting a unit: before a line feed, or before the first space of a run.
+_BORDER = re.compile(r"\n|(?<=[^ ]) ")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -37,10 +50,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def draws(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
+def draws(key: np.ndarray, place: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) for the step-th draw of the unit at place of the row with key."""
     with np.errstate(over="ignore"):
-        x = key + (place.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(step + 1)) * np.uint64(_MIX[0])
+        x = key + (place.astype(np.uint64) * np.uint64(1 << 20) + np.asarray(step + 1, np.uint64)) * np.uint64(_MIX[0])
         x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
         x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
         return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
@@ -54,6 +67,11 @@ def row_keys(ids: list[int | None]) -> np.ndarray:
         return np.where(null, np.uint64(0x5851F42D4C957F2D), (known + np.uint64(1)) * np.uint64(_MIX[1]))
 
 
+def n_bytes(code: np.ndarray) -> np.ndarray:
+    """How many bytes the UTF-8 of code points has."""
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
 class Model:
     """The vocabulary as a trie over characters, with ' ' for the space mark."""
 
@@ -86,7 +104,10 @@ class Model:
                     nodes[t[:k]] = len(nodes)
                     edges[nodes[t[: k - 1]] * self.width + int(self.symbol[ord(t[k - 1])])] = nodes[t[:k]]
         self.keys = np.array(sorted(edges), np.int64)
-        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int32)
+        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.first = np.zeros(self.width, np.int64)  # the children of the root
+        at_root = self.keys < self.width
+        self.first[self.keys[at_root]] = self.child[at_root]
         self.piece = np.full(len(nodes), -1, np.int32)
         for t, i in plain:
             self.piece[nodes[t]] = i
@@ -96,8 +117,52 @@ class Model:
         self.byte_log = POWER * np.log(weight.min(initial=1, where=weight > 0) / weight.sum())
         self.longest = max(len(t) for t, _ in plain)
 
-    def lattice(self, units: list[str]) -> Lattice:
-        return Lattice(self, units)
+    def edges(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece, log weight) of all edges that leave the places of text (code points); left has how many
+        characters an edge may have from each place on. A place without a one-letter piece gets the edge of its bytes,
+        whose piece is -1 - place."""
+        symbol = self.symbol[text]
+        at, node = np.arange(len(text)), np.zeros(len(text), np.int64)
+        src, length, piece = [], [], []
+        single = left <= 0
+        for d in range(1, self.longest + 1):
+            fits = left[at] >= d
+            at, node = at[fits], node[fits]
+            if d == 1:
+                node = self.first[symbol[at]]
+                hit = node > 0
+                at, node = at[hit], node[hit]
+            else:
+                key = node * self.width + symbol[at + d - 1]
+                slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[slot] == key
+                at, node = at[hit], self.child[slot[hit]]
+            if not len(at):
+                break
+            whole = self.piece[node] >= 0
+            src.append(at[whole])
+            length.append(np.full(whole.sum(), d))
+            piece.append(self.piece[node[whole]])
+            if d == 1:
+                single[at[whole]] = True
+        rest = np.flatnonzero(~single)
+        src, length = np.concatenate([*src, rest]), np.concatenate([*length, np.ones(len(rest), np.int64)])
+        known = np.concatenate(piece) if piece else np.zeros(0, np.int32)
+        log = np.concatenate([self.log[known], self.byte_log * n_bytes(text[rest])])
+        return src, length, np.concatenate([known, -1 - rest]), log
+
+    def ids(self, piece: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of edges, and how many each has (the bytes of a character without a piece, else one)."""
+        raw = piece < 0
+        many = np.ones(len(piece), np.int64)
+        if not raw.any():
+            return piece.astype(np.int32), many
+        code = text[-1 - piece[raw]]
+        many[raw] = n_bytes(code)
+        out = np.repeat(piece, many).astype(np.int32)
+        data = "".join(map(chr, code.tolist())).encode("utf-8", "surrogatepass")
+        out[np.repeat(raw, many)] = np.frombuffer(data, np.uint8).astype(np.int32) + self.first_byte
+        return out, many
 
     def decode(self, ids: list[int]) -> str:
         """The text of encoded ids; the space that encoding puts first goes."""
@@ -111,40 +176,14 @@ class Lattice:
     def __init__(self, model: Model, units: list[str]):
         size = np.fromiter(map(len, units), np.int64, len(units))
         text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.text, symbol = text, model.symbol[text]
+        self.model, self.text = model, text
         self.size, self.base = size, np.cumsum(size + 1) - (size + 1)
         unit = np.repeat(np.arange(len(units)), size)
         offset = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
         start_node = self.base[unit] + offset
-        left = size[unit] - offset
-        at, node = np.arange(len(text)), np.zeros(len(text), np.int64)
-        src, length, piece = [], [], []
-        single = np.zeros(len(text), bool)
-        for d in range(1, model.longest + 1):
-            fits = left[at] >= d
-            at, node = at[fits], node[fits]
-            key = node * model.width + symbol[at + d - 1]
-            slot = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-            hit = model.keys[slot] == key
-            at, node = at[hit], model.child[slot[hit]].astype(np.int64)
-            if not len(at):
-                break
-            whole = model.piece[node] >= 0
-            src.append(at[whole])
-            length.append(np.full(whole.sum(), d))
-            piece.append(model.piece[node[whole]])
-            if d == 1:
-                single[at[whole]] = True
-        rest = np.flatnonzero(~single)  # characters without a piece
-        code = text[rest]
-        n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        src.append(rest)
-        length.append(np.ones(len(rest), np.int64))
-        piece.append(-1 - rest)
-        src, length, piece = np.concatenate(src), np.concatenate(length), np.concatenate(piece)
-        log = np.concatenate([model.log[piece[: len(piece) - len(rest)]], model.byte_log * n_bytes])
+        src, length, piece, log = model.edges(text, size[unit] - offset)
         end = offset[src] + length
-        order = np.lexsort((start_node[src] + length, end))
+        order = np.argsort(end << 40 | (start_node[src] + length) << 8 | length)  # no two edges are equal here
         self.src, self.piece, log, end = start_node[src][order], piece[order], log[order], end[order]
         self.dst = self.src + length[order]
         alpha = np.full(len(text) + len(units), -np.inf)
@@ -190,19 +229,69 @@ class Lattice:
             out[end[who] - 1 - s] = edge
         return out, count
 
-    def ids(self, edges: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of edges, and how many each has (the bytes of a character without a piece, else one)."""
-        piece = self.piece[edges]
-        raw = piece < 0
-        many = np.ones(len(edges), np.int64)
-        if not raw.any():
-            return piece.astype(np.int32), many
-        code = self.text[-1 - piece[raw]]
-        many[raw] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        out = np.repeat(piece, many).astype(np.int32)
-        data = b"".join(chr(c).encode("utf-8", "surrogatepass") for c in code.tolist())
-        out[np.repeat(raw, many)] = np.frombuffer(data, np.uint8).astype(np.int32) + first_byte
-        return out, many
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of edges, and how many each has."""
+        return self.model.ids(self.piece[edges], self.text)
+
+
+class LongUnit:
+    """One unit of any length, whose lattice is made STRETCH characters at a time."""
+
+    def __init__(self, model: Model, unit: str):
+        self.model, self.n = model, len(unit)
+        self.text = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.before: list[list[float]] = []  # for each stretch: log alpha of the last positions up to its start
+        alpha = [0.0]
+        for a in range(0, self.n, STRETCH):
+            self.before.append(alpha)
+            alpha = self._stretch(a, alpha)[0]
+
+    def _stretch(self, a: int, before: list[float]) -> tuple[list[float], list[int], list[float], np.ndarray, np.ndarray, np.ndarray, int]:
+        """The edges that end in (a, a + STRETCH], by end: log alpha of the last positions; where each position's edges
+        begin; their cumulated shares; their pieces and lengths; the code points pieces refer to."""
+        keep = self.model.longest
+        low, high = max(0, a - keep), min(self.n, a + STRETCH)
+        text = self.text[low:high]
+        src, length, piece, log = self.model.edges(text, np.arange(len(text), 0, -1))
+        end = src + length
+        inside = end > a - low
+        src, length, piece, log, end = src[inside], length[inside], piece[inside], log[inside], end[inside]
+        order = np.lexsort((length, end))
+        src, length, piece, log, end = src[order], length[order], piece[order], log[order], end[order]
+        first = np.searchsorted(end, np.arange(a - low + 1, high - low + 2)).tolist()
+        alpha = [-np.inf] * (a - low + 1 - len(before)) + before
+        share: list[float] = []
+        exp, from_, weight = math.exp, src.tolist(), log.tolist()
+        for p in range(len(first) - 1):
+            reach = [alpha[from_[e]] + weight[e] for e in range(first[p], first[p + 1])]
+            top = max(reach)
+            part = [exp(x - top) for x in reach]
+            total = sum(part)
+            alpha.append(top + math.log(total))
+            run = 0.0
+            for x in part:
+                run += x
+                share.append(run / total)
+        return alpha[-keep:], first, share, piece, length, text, low
+
+    def sample(self, key: np.ndarray, place: int) -> np.ndarray:
+        """The ids of one occurrence; key has one number."""
+        node, step, out = self.n, 0, []
+        spot = np.array([place])
+        for k in range(len(self.before) - 1, -1, -1):
+            a = k * STRETCH
+            _, first, share, piece, length, text, _ = self._stretch(a, self.before[k])
+            size, chosen, u = length.tolist(), [], []
+            while node > a:
+                if not u:
+                    u = draws(key, spot, step + np.arange(1024))[::-1].tolist()
+                low, high = first[node - a - 1], first[node - a]
+                e = min(bisect.bisect_right(share, u.pop(), low, high), high - 1)
+                chosen.append(e)
+                node -= size[e]
+                step += 1
+            out.append(self.model.ids(piece[np.array(chosen[::-1], np.int64)], text)[0])
+        return np.concatenate(out[::-1])
 
 
 _models: dict[str, Model] = {}
@@ -214,31 +303,87 @@ def model_at(path: str) -> Model:
     return _models[path]
 
 
-def encode_rows(model: Model, ids: list[int | None], texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, ids of each row) for rows in order, in batches of about CHARS characters."""
-    keys, start = row_keys(ids), 0
-    while start < len(texts):
-        known: dict[str, int] = {}
-        codes, sizes, end, chars = [], [], start, 0
-        while end < len(texts) and (end == start or chars + len(texts[end] or "") <= CHARS):
-            units = _UNITS.findall(" " + texts[end]) if texts[end] else []
-            codes += [known.setdefault(u, len(known)) for u in units]
-            sizes.append(len(units))
-            chars += len(texts[end] or "")
-            end += 1
-        n = np.array(sizes, np.int64)
+def _unit_lists(text: str) -> Iterator[list[str]]:
+    """The units of a text, in lists of about CHARS characters."""
+    text, at = " " + text, 0
+    while len(text) - at > CHARS:
+        found = _BORDER.search(text, at + CHARS)
+        if not found:
+            break
+        yield _UNITS.findall(text, at, found.start())
+        at = found.start()
+    yield _UNITS.findall(text, at)
+
+
+def encode_rows(model: Model, ids: list[int | None], texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The ids of each row, in order. Units of several rows, and of parts of long rows, are handled together."""
+    keys = row_keys(ids)
+    known: dict[str, int] = {}
+    rows: list[list[np.ndarray]] = []  # what each row has so far, from row `done` on
+    codes, owner, places, chars, fresh, done = [], [], [], 0, 0, 0
+
+    def flush() -> None:
+        nonlocal known, codes, owner, places, chars, fresh
         if codes:
-            unit = np.array(codes, np.int64)
-            place = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
-            lattice = model.lattice(list(known))
-            edges, per_unit = lattice.sample(unit, np.repeat(keys[start:end], n), place)
-            out, per_edge = lattice.ids(edges, model.first_byte)
-            row = np.repeat(np.arange(end - start), n)
-            row = np.repeat(np.repeat(row, per_unit), per_edge)
-            yield out, np.bincount(row, minlength=end - start)
-        else:
-            yield np.zeros(0, np.int32), np.zeros(end - start, np.int64)
-        start = end
+            unit, of, place = np.concatenate(codes), np.concatenate(owner), np.concatenate(places)
+            lattice = Lattice(model, list(known))
+            edges, per_unit = lattice.sample(unit, keys[of], place)
+            out, per_edge = lattice.ids(edges)
+            sizes = np.bincount(np.repeat(np.repeat(of - done, per_unit), per_edge), minlength=len(rows))
+            for got, part in zip(rows, np.split(out, np.cumsum(sizes)[:-1])):
+                if len(part):
+                    got.append(part)
+        known, codes, owner, places, chars, fresh = {}, [], [], [], 0, 0
+
+    for row, text in enumerate(texts):
+        rows.append([])
+        place = 0
+        for units in _unit_lists(text) if text else ():
+            while units:  # up to the next long unit
+                cut = next((i for i, u in enumerate(units) if len(u) > LONG), len(units)) if max(map(len, units)) > LONG else len(units)
+                if cut:
+                    was = len(known)
+                    codes.append(np.array([known.setdefault(u, len(known)) for u in units[:cut]], np.int64))
+                    owner.append(np.full(cut, row))
+                    places.append(np.arange(place, place + cut))
+                    fresh += sum(map(len, islice(known, was, None)))
+                    chars += sum(map(len, units[:cut]))
+                if cut < len(units):
+                    flush()
+                    rows[-1].append(LongUnit(model, units[cut]).sample(keys[row : row + 1], place + cut))
+                place += min(cut + 1, len(units))
+                units = units[cut + 1 :]
+                if chars > CHARS or fresh > DISTINCT:
+                    flush()
+        if not codes:  # everything up to here is done
+            for got in rows:
+                yield np.concatenate(got) if got else np.zeros(0, np.int32)
+            rows, done = [], row + 1
+    flush()
+    for got in rows:
+        yield np.concatenate(got) if got else np.zeros(0, np.int32)
+
+
+def _id_lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+
+
+#: Rows, and characters of a text counted as so many rows' worth, that a task hands on at once.
+BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of up to BATCH_ROWS rows and about BATCH_CHARS bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= BATCH_ROWS or held + n > BATCH_CHARS):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -251,15 +396,10 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
-        for b in batches:
-            at = 0
-            for ids, sizes in encode_rows(model, b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                part = b.slice(at, len(sizes))
-                at += len(sizes)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                own = [(f.name, c) for f, c in zip(part.schema, part.columns) if f.name != "_ids"]
-                yield pa.RecordBatch.from_arrays([c for _, c in own] + [lists], [x for x, _ in own] + ["_ids"])
+        for b in chain.from_iterable(map(_slices, batches)):
+            lists = _id_lists(list(encode_rows(model, b.column("doc_id").to_pylist(), (t.as_py() for t in b.column("text")))))
+            own = [(f.name, c) for f, c in zip(b.schema, b.columns) if f.name != "_ids"]
+            yield pa.RecordBatch.from_arrays([c for _, c in own] + [lists], [x for x, _ in own] + ["_ids"])
 
     fields = [f for f in docs.schema.fields if f.name != "_ids"]
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
@@ -286,12 +426,24 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_sha256, lossless) of every row: encoded, then decoded from the ids alone."""
-    both = decoded(encoded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path), path)
-    return both.select(
-        "doc_id",
-        F.size("_ids").cast("long").alias("n_pieces"),
-        F.col("_ids_crc32").alias("ids_crc32"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
-        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    """(doc_id, ids, n_pieces, ids_crc32, decoded_sha256, lossless) of every row: encoded, then decoded from the ids
+    alone, in one pass. Null and empty texts have no ids and decode to the empty text; a text of any length is handled
+    with bounded lattices, and only its own ids grow with it. Repeated rows give equal rows; no rows give none."""
+    path = path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_at(path)
+        for b in chain.from_iterable(map(_slices, batches)):
+            got = list(encode_rows(model, b.column("doc_id").to_pylist(), (t.as_py() for t in b.column("text"))))
+            crc, digest, same = [], [], []
+            for ids, text in zip(got, b.column("text")):
+                crc.append(zlib.crc32(ids.astype("<u4")))
+                back = model.decode(ids.tolist())
+                digest.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                same.append(back == (text.as_py() or ""))
+            n = [len(x) for x in got]
+            cols = [b.column("doc_id"), _id_lists(got), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(digest, pa.string()), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")

@@ -84,8 +84,9 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, decoded_sha256, lossless of every document."""
-    return pieces.round_trip(table(spark, sf_dir, "documents"))
+    """doc_id, n_pieces, ids_crc32, decoded_sha256, lossless of every document. The model file ranks its pieces and has
+    no probabilities; a piece of rank r weighs 1 / (r + pieces.RANK_SHIFT)."""
+    return pieces.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
