@@ -5,10 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,31 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like wanted that no name of taken equals, upper or lower case."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """batch in parts of up to rows rows and about size bytes of a text column; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it: as cut(), but small on disk."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"

@@ -27,11 +27,12 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.llm.common import slices
+
 RANK_SHIFT = 2.7
 POWER = 1.0
 #: Characters of text, and of distinct units, that are handled at once.
@@ -369,23 +370,6 @@ def _id_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
 
 
-#: Rows, and characters of a text counted as so many rows' worth, that a task hands on at once.
-BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """batch in slices of up to BATCH_ROWS rows and about BATCH_CHARS bytes of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and (i - start >= BATCH_ROWS or held + n > BATCH_CHARS):
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with _ids, the sampled piece ids of text; the other columns stay.
 
@@ -396,7 +380,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
-        for b in chain.from_iterable(map(_slices, batches)):
+        for b in chain.from_iterable(map(slices, batches)):
             lists = _id_lists(list(encode_rows(model, b.column("doc_id").to_pylist(), (t.as_py() for t in b.column("text")))))
             own = [(f.name, c) for f, c in zip(b.schema, b.columns) if f.name != "_ids"]
             yield pa.RecordBatch.from_arrays([c for _, c in own] + [lists], [x for x, _ in own] + ["_ids"])
@@ -433,7 +417,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
-        for b in chain.from_iterable(map(_slices, batches)):
+        for b in chain.from_iterable(map(slices, batches)):
             got = list(encode_rows(model, b.column("doc_id").to_pylist(), (t.as_py() for t in b.column("text"))))
             crc, digest, same = [], [], []
             for ids, text in zip(got, b.column("text")):

@@ -27,7 +27,7 @@ def brute(texts):
 
     for i, a in enumerate(own):
         for b in own[:i]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if min(len(a), len(b)) >= lines.MIN_CHARS and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
                 root[find(a)] = find(b)
     return {x: find(x) for x in own}
 
@@ -39,11 +39,14 @@ def edited(r, line, n):
     return line
 
 
-def test_verifier():
+def test_verifier(monkeypatch):
     r = random.Random(1)
     a = ["".join(r.choices("ab", k=r.randrange(0, 40))) for _ in range(800)]
     b = [edited(r, x, r.randrange(5)) for x in a]
-    assert lines.near(a, b).tolist() == [distance(x, y) <= 2 for x, y in zip(a, b)]
+    want = [distance(x, y) <= 2 for x, y in zip(a, b)]
+    assert lines.near(a, b).tolist() == want
+    monkeypatch.setattr(lines, "LONG", 5)
+    assert lines.near(a, b).tolist() == want
 
 
 @pytest.mark.parametrize("bound, refine", [(256, 4096), (6, 12)])
@@ -52,13 +55,14 @@ def test_against_all_pairs(spark, monkeypatch, bound, refine):
     monkeypatch.setattr(lines, "REFINE_ROWS", refine)
     r = random.Random(5)
     base = ["".join(r.choices("abcd ", k=r.randrange(19, 60))) for _ in range(25)]
-    pool = base + [edited(r, r.choice(base), r.randrange(1, 4)) for _ in range(120)] + ["a" * 20 + c + d for c in "xyzw" for d in "pqrst"] + ["short", "", "  "]
+    pool = base + [edited(r, r.choice(base), r.randrange(1, 4)) for _ in range(120)] + ["a" * 20 + c + d for c in "xyzw" for d in "pqrst"] + ["short", "tiny", "", "  "]
     texts = ["\n".join(r.choices(pool, k=r.randrange(1, 6))) for _ in range(90)] + [None, "", pool[0], pool[0] + "\n" + pool[0]]
     rows = list(enumerate(texts)) + [(None, pool[3]), (0, texts[0]), (3, "other " * 5)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, gone int")
+    clash = "doc_id long, text string, gone int, _row int, _K int, _doc string, _gone int, d int, k int"
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "x", 4, 5, 6) for i, t in rows], clash)
     found = lines.dedup_lines(df)
-    assert found.columns == ["doc_id", "text", "gone", "_n_lines", "_n_removed"]
-    got = sorted(map(tuple, found.drop("gone").collect()), key=repr)
+    assert found.columns == [*df.columns, "_n_lines", "_n_removed"] and found.first()[2:9] == (1, 2, 3, "x", 4, 5, 6)
+    got = sorted(map(tuple, found.select("doc_id", "text", "_n_lines", "_n_removed").collect()), key=repr)
     cls, seen, want = brute([t for _, t in rows]), {}, []
     keyed = df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) k").collect()
     order = sorted({(x.doc_id is not None, x.doc_id or 0, x.k, x.text) for x in keyed if x.text is not None})
@@ -90,3 +94,29 @@ def test_empty_and_whole_table(spark):
             n += bool(p) and cls[p] in seen
             seen |= {cls[p]} if p else set()
         assert found[r.doc_id]._n_removed == n
+
+
+def test_keys_of_long_lines_and_batches(monkeypatch):
+    r = random.Random(9)
+    own = ["".join(r.choices("abé語", k=n)) for n in (0, 1, 7, 30, 64, 200, 45)]
+    whole = lines.keys(own, 20)
+    monkeypatch.setattr(lines, "CHARS", 40)  # several batches, and lines longer than one
+    parts = lines.keys(own, 20)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_very_long_lines(spark):
+    r = random.Random(3)
+    long = "".join(r.choices("abcdefgh ", k=40_000))
+    rows = [(1, long), (2, long[:20_000] + "X" + long[20_000:]), (3, "y" + long[:-1]), (4, long[:1000]), (5, "\n".join([long[:5000]] * 3))]
+    got = {x.doc_id: x._n_removed for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 2}
+
+
+def test_template_with_many_variants(spark, monkeypatch):
+    monkeypatch.setattr(lines, "KEY_ROWS", 16)
+    monkeypatch.setattr(lines, "REFINE_ROWS", 32)
+    rows = [(i, f"Posted by the user number {i:07d} today") for i in range(0, 40_000, 397)]
+    cls = brute([t for _, t in rows])
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("_n_removed = 0").count()
+    assert got == len(set(cls.values()))
