@@ -17,8 +17,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import cut, shared_dir
+from concord.llm.common import cut, shared_dir, slices
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -38,6 +38,10 @@ READ_TASKS = 10_000
 CACHE_WORDS = 1 << 18
 #: Below this character lower case goes letter by letter and nothing composes.
 _SIMPLE = "\u0250"
+#: Marks that often end a word.
+_MARKS = frozenset(".,;:!?")
+#: Characters whose words are handled at once.
+PART_CHARS = 1 << 20
 _MAGIC, _BLOCK = b"WMT1", 512
 
 
@@ -80,27 +84,71 @@ class Tokens:
     def _alone(self, word: str) -> bytes:
         return np.array(self.own.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _split(self, word: str) -> tuple[str, ...] | list[str]:
+        """The pieces of a word; a word of letters is one, and one mark behind it another."""
+        low = word.lower()
+        if low.isalpha():
+            return (low,)
+        if low[-1] in _MARKS and low[:-1].isalpha():
+            return low[:-1], low[-1]
+        return self._PIECES.findall(low)
+
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        cut = {w: self._PIECES.findall(w.lower()) for w in words if "<|" not in w and max(w) < _SIMPLE}
+        simple = [w for w in words if (w.isascii() or max(w) < _SIMPLE) and "<|" not in w]
+        cut = list(map(self._split, simple))
         if len(self.piece) > CACHE_WORDS:
             self.piece = {}
-        self._pieces([p for p in set(chain.from_iterable(cut.values())) if p not in self.piece])
+        self._pieces([p for p in set(chain.from_iterable(cut)) if p not in self.piece])
         get = self.piece.__getitem__
-        found = {w: b"".join(map(get, ps)) for w, ps in cut.items()}
-        found.update((w, self._alone(w)) for w in words if w not in found)
+        found = {w: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for w, ps in zip(simple, cut)}
+        if len(simple) < len(words):
+            found.update((w, self._alone(w)) for w in words if w not in found)
         return found
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = self._encoded([w for w in set(chain.from_iterable(words)) if w not in self.known])
-        keep = len(self.known) < CACHE_WORDS
-        self.known.update(new)
-        get, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
-        for ws in words:
-            yield np.frombuffer(b"".join(map(get, ws)) + end, "<u4")
-        if not keep:
-            for w in new:
-                del self.known[w]
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, with END_ID; a long text is handled in parts cut at spaces."""
+        end = np.array([END_ID], "<u4")
+        held: list[list[list[str]]] = []  # the words of some texts, in lists
+        chars = 0
+        for text in texts:
+            text = (text or "").replace("\n", " ")
+            if len(text) > PART_CHARS:
+                yield from self._flush(held, end)
+                parts = [np.frombuffer(b"".join(self._ids(p.split(" "))), "<u4") for p in _parts(text)]
+                yield np.concatenate([*parts, end])
+                held, chars = [], 0
+                continue
+            held.append(text.split(" "))
+            chars += len(text)
+            if chars > PART_CHARS:
+                yield from self._flush(held, end)
+                held, chars = [], 0
+        yield from self._flush(held, end)
+
+    def _flush(self, held: list[list[str]], end: np.ndarray) -> Iterator[np.ndarray]:
+        ids = self._ids(list(chain.from_iterable(held)))
+        for words in held:
+            yield np.frombuffer(b"".join(islice(ids, len(words))) + end.tobytes(), "<u4")
+
+    def _ids(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word. The words of the last call are known beside the first CACHE_WORDS."""
+        new = self._encoded([w for w in set(words) if w not in self.known])
+        if len(self.known) < CACHE_WORDS:
+            self.known.update(new)
+            return map(self.known.__getitem__, words)
+        if not new:
+            return map(self.known.__getitem__, words)
+        both = self.known
+        return (both[w] if w in both else new[w] for w in words)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """text in parts of about PART_CHARS characters, cut at spaces, which are left out."""
+    at = 0
+    while len(text) - at > PART_CHARS and (end := text.find(" ", at + PART_CHARS)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
 
 _known: dict[str, Tokens] = {}
@@ -241,7 +289,8 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
     """Writes docs (doc_id, text) as shards into folder, a URI that all executors share, and returns the table of shards
     (file, part, k, n_docs, n_tokens); (part, k) is their order. Null texts count as empty: the end id alone. Null
-    doc_ids come first; rows that share a doc_id are written one after the other. No rows, no shards."""
+    doc_ids come first; rows that share a doc_id are written one after the other. No rows, no shards. A text of any length
+    is one document of one shard, which it may make larger than SHARD_TOKENS; its words are handled part by part."""
     path = tokenizer or default_tokenizer()
     key = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", key)
@@ -265,10 +314,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
 
         total = 0
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                some = b.slice(s, 256)
+            for some in slices(b):
                 part = some.column("part")[0].as_py()
-                for doc, got in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text").to_pylist())):
+                for doc, got in zip(some.column("doc_id").to_pylist(), tokens.encode(t.as_py() for t in some.column("text"))):
                     ids.append(got)
                     doc_ids.append(doc)
                     sizes.append(len(got))
