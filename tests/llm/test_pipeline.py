@@ -5,8 +5,7 @@ from concord.llm import lines, pieces, quality
 from concord.llm.common import table
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_lines import brute as classes
-from tests.llm.test_simhash import brute as fingerprint
-from tests.llm.test_simhash import closure
+from tests.llm.test_simhash import classes as near_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +34,7 @@ def test_stages_against_brute_force(spark, tmp_path):
                 assert rows[i].text == "\n".join(own)
                 assert rows[i].n_chars == (len(rows[i].text) if rows[i].text != before[i].text else before[i].n_chars)
         elif k == 2:
-            of = closure([(i, fingerprint(r.text)) for i, r in sorted(before.items())])
+            of = near_classes([(i, r.text) for i, r in sorted(before.items())])
             assert set(rows) == set(of.values())
         elif k == 3:
             items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from concord.llm import simhash
@@ -68,3 +69,66 @@ def test_links_match_all_pairs_with_hot_keys(spark, monkeypatch):
             if before == label:
                 break
         assert label == want
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def classes(rows):
+    """Smallest id over pairs of Jaccard similarity 0.8 or more, by comparing all pairs."""
+    own = [(i, shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    pairs = []
+    for k, (i, a) in enumerate(own):
+        for j, b in own[:k]:
+            if (not a and not b) or (a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                pairs.append((i, j))
+    while True:
+        was = dict(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if was == label:
+            return label
+
+
+def variants(r, n):
+    """Texts, and copies with a few words replaced, with their ids."""
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
+    rows = []
+    for _ in range(n):
+        base = r.choices(words, k=r.randrange(40, 400))
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(r.randrange(4)):
+            copy = list(base)
+            for _ in range(max(1, len(copy) * r.randrange(1, 5) // 200)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_near_duplicates_against_all_pairs(spark, monkeypatch):
+    rows = variants(random.Random(11), 120)
+    want = classes(rows)
+    for bound in (1024, 3):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", bound)
+        df = spark.createDataFrame([(i, t, 7, "y") for i, t in rows], "doc_id long, text string, fp int, k string")
+        got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+        assert set(got) == set(want) and all(want[i] == want[got[i]] for i in got)  # nothing is joined that should not be
+        missed = sum(got[i] != want[i] for i in got)
+        assert missed <= len(rows) // 100
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i] == i}
+
+
+def test_bit_sliced_distances():
+    r = random.Random(5)
+    rows = np.array([[r.getrandbits(64) & r.getrandbits(64), r.getrandbits(64) & r.getrandbits(64)] for _ in range(150)], np.uint64)
+    flat, a, b = simhash._near_pairs([rows[:70], rows[70:73], rows[73:]], 45)
+    got = {(int(x), int(y)) for x, y in zip(a, b)}
+    group = [0] * 70 + [1] * 3 + [2] * 77
+    apart = lambda i, j: sum((int(x) ^ int(y)).bit_count() for x, y in zip(rows[i], rows[j]))
+    assert got == {(i, j) for j in range(150) for i in range(j) if group[i] == group[j] and apart(i, j) <= 45} and got
+    links = simhash.forest([rows[:70]], 50)
+    assert len(links) == len(set(links)) < 70
