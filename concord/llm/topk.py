@@ -1,17 +1,17 @@
 """Exact top-k search with block-at-a-time pruning (operator 5).
 
 1. Vectors become integer vectors, floor(256 x) of each component. A stored row number, not vec_id, names a row.
-2. Rows are ordered by the signs and the place of their largest components, so that neighbours are alike, and dealt into
-   groups of GROUP_ROWS rows by ranges of that order; a group holds blocks of BLOCK_ROWS rows. A block is one forward
-   index: ids, an integer matrix, and the largest and smallest value of every dimension (the term maxima of positive
-   and of negative query weights).
-3. Queries are dealt by a hash of their row number into buckets of about QUERY_ROWS rows and travel in chunks of
-   CHUNK_QUERIES. Each group of blocks is copied to each bucket and each chunk to each group: a stated query set against
-   all rows, in blocks. A task holds one group of blocks and one bucket of queries.
-4. In a task the bound of a block for a query is the sum of its term maxima times the query's weights. Blocks are
-   visited by falling summed bound; a block is scored only for the queries whose bound reaches their kth score so far,
-   and the task ends when no bound does. Ties at the kth score are visited, as a smaller id may win.
-5. Each query's candidates, k for each group of blocks, are merged by Spark.
+2. PIVOTS rows are drawn by a hash; every row is ordered by its nearest and its second nearest pivot, so that neighbours
+   are alike, and dealt into groups of about GROUP_ROWS rows by ranges of that order. A group holds blocks of BLOCK_ROWS
+   rows. A block is one forward index: ids, an integer matrix, and the largest and smallest value of every dimension
+   (the term maxima of positive and of negative query weights).
+3. The bound of a block for a query is the sum of its term maxima times the query's weights. Each query visits blocks
+   by its own falling bounds and stops at the first that falls below its kth score. Ties are visited, as a smaller id
+   may win. The visits of all queries of a task to one block are one matrix product.
+4. Every query searches the group that it lies in first, which gives it a kth score. Term maxima of the groups (of
+   MOST_BOUNDS ranges of groups at most) are then broadcast, and a query travels to those groups alone whose bound
+   reaches that score. A task holds one group and one bucket of about QUERY_ROWS queries.
+5. Each query's candidates, k at most from each group, are merged by Spark.
 """
 
 from __future__ import annotations
@@ -22,14 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.llm.common import cut
 
 SCALE = 256
 BLOCK_ROWS = 128
 GROUP_ROWS = 8192
-CHUNK_QUERIES = 256
 QUERY_ROWS = 8192
+#: Rows that the order of rows is made by. The result does not depend on it.
+PIVOTS = 256
+#: Ranges of groups whose term maxima are broadcast.
+MOST_BOUNDS = 1024
 #: Float64 sums of integer products are exact below this bound; larger ones are made with Python integers.
 EXACT = 2**53
 _LONG = 2**63 - 1
@@ -60,27 +64,6 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return out
 
 
-def _packer(rows: int, key: str):
-    """Rows (key, row, vec_id, v), sorted by key, to records of up to rows rows: key, width, ids, row numbers, matrix."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = batch.column(key).to_numpy()
-            ids, numbers = batch.column("vec_id").to_numpy(), batch.column("row").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else []
-            out = {key: [], "width": [], "ids": [], "rows": [], "matrix": []}
-            for a, b in zip(edges, edges[1:]):
-                for s in range(a, b, rows):
-                    e = min(b, s + rows)
-                    m = _matrix(batch.column("v").slice(s, e - s))
-                    for k, x in zip(out, (int(group[a]), m.shape[1], ids[s:e].tobytes(), numbers[s:e].tobytes(), m.tobytes())):
-                        out[k].append(x)
-            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types)], list(out))
-
-    return pack
-
-
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers: rows of a by rows of b."""
     w = min(a.shape[1], b.shape[1])
@@ -93,15 +76,21 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Ids, integer matrix, and term maxima and minima of a document range."""
+    """Ids, row numbers, integer matrix, and term maxima and minima of a document range."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray):
+        self.ids, self.rows, self.matrix = ids, rows, matrix
+        self.most, self.least = matrix.max(axis=0), matrix.min(axis=0)
 
-    def __init__(self, width: int, ids: bytes, rows: bytes, matrix: bytes):
-        self.ids, self.rows = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
-        self.matrix = np.frombuffer(matrix).reshape(len(self.ids), width)
-        self.most, self.least = self.matrix.max(axis=0), self.matrix.min(axis=0)
 
+class Bound:
+    """Term maxima and minima alone, of a range of groups."""
 
-def bounds(queries: np.ndarray, found: list[Block]) -> np.ndarray:
+    def __init__(self, most: np.ndarray, least: np.ndarray):
+        self.most, self.least = most, least
+
+
+def bounds(queries: np.ndarray, found: list[Block] | list[Bound]) -> np.ndarray:
     """No score of query i in block j is above [i, j]. Rounded up where float64 sums may not be exact."""
     width = max([queries.shape[1], *(len(b.most) for b in found)])
     fill = lambda x: np.pad(x, (0, width - len(x)))
@@ -113,45 +102,168 @@ def bounds(queries: np.ndarray, found: list[Block]) -> np.ndarray:
     return bound + np.where(np.abs(slack) * 1e12 < EXACT, 0, slack)
 
 
-def best(queries: Block, found: list[Block], k: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(query row, query id, vec_id, row, score): the k best rows of found for each query, itself excepted."""
-    n = len(queries.ids)
-    score = np.full((n, k), -_LONG - 1, np.int64)
-    ids, rows = np.zeros((n, k), np.int64), np.full((n, k), -1, np.int64)
-    bound = bounds(queries.matrix, found)
-    for j in np.argsort(-bound.sum(axis=0), kind="stable"):
-        need = np.flatnonzero((bound[:, j] >= score[:, -1]) | (rows[:, -1] < 0))
-        if not len(need):
-            continue  # every query has k scores above this block's bound
-        b = found[j]
-        got = products(queries.matrix[need], b.matrix)
-        reach = (got >= score[need, -1:]).any(axis=1) | (rows[need, -1] < 0)
+class Best:
+    """The k best rows of each query so far. floor is a score that k rows of another group reach, or None."""
+
+    def __init__(self, matrix: np.ndarray, rows: np.ndarray, floor: np.ndarray, k: int):
+        n = len(rows)
+        self.matrix, self.own, self.floor, self.k = matrix, rows, floor, k
+        self.score = np.full((n, k), -_LONG - 1, np.int64)
+        self.ids, self.rows = np.zeros((n, k), np.int64), np.full((n, k), -1, np.int64)
+        self.visited = 0
+
+    def least(self, at: np.ndarray) -> np.ndarray:
+        """What a row must reach to matter to queries at; the lowest number where anything does."""
+        return np.maximum(np.where(self.rows[at, -1] < 0, -_LONG - 1, self.score[at, -1]), self.floor[at])
+
+    def visit(self, need: np.ndarray, b: Block) -> None:
+        got = products(self.matrix[need], b.matrix)
+        reach = (got >= self.least(need)[:, None]).any(axis=1)
         need, got = need[reach], got[reach]
-        own = queries.rows[need][:, None] == b.rows[None, :]
-        all_score = np.concatenate([score[need], got], axis=1)
-        all_ids = np.concatenate([ids[need], np.broadcast_to(b.ids, got.shape)], axis=1)
-        all_rows = np.concatenate([rows[need], np.where(own, -1, b.rows[None, :])], axis=1)
-        order = np.lexsort((all_rows, all_ids, -np.maximum(all_score, -_LONG), all_rows < 0), axis=1)[:, :k]
-        score[need], ids[need], rows[need] = (np.take_along_axis(x, order, axis=1) for x in (all_score, all_ids, all_rows))
-    for i, c in zip(*np.nonzero(rows >= 0)):
-        yield queries.rows[i], queries.ids[i], ids[i, c], rows[i, c], score[i, c]
-
-
-def tiles(stored: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
-    """Records (g, q, width, ids, rows, matrix) of all rows and of the queries; each pair of a group g of rows and a bucket
-    q of queries has both in bounded number."""
+        own = self.own[need][:, None] == b.rows[None, :]
+        score = np.concatenate([self.score[need], got], axis=1)
+        ids = np.concatenate([self.ids[need], np.broadcast_to(b.ids, got.shape)], axis=1)
+        rows = np.concatenate([self.rows[need], np.where(own, -1, b.rows[None, :])], axis=1)
+        order = np.lexsort((rows, ids, -np.maximum(score, -_LONG), rows < 0), axis=1)[:, : self.k]
+        self.score[need], self.ids[need], self.rows[need] = (np.take_along_axis(x, order, axis=1) for x in (score, ids, rows))
+
+    def search(self, blocks: list[Block]) -> None:
+        """Visit blocks, each query in its own order, until its next bound is too low."""
+        if not blocks or not len(self.own):
+            return
+        bound = bounds(self.matrix, blocks)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        live = np.arange(len(self.own))
+        for step in range(len(blocks)):
+            to = order[live, step]
+            go = bound[live, to] >= self.least(live)
+            live, to = live[go], to[go]  # bounds only fall from here on: the others are done
+            if not len(live):
+                break
+            self.visited += len(live)
+            for j in np.unique(to):
+                self.visit(live[to == j], blocks[j])
+
+
+def blocks_of(group: pa.Table) -> list[Block]:
+    """The blocks of a group's rows (row, vec_id, v, near, second)."""
+    row, near, second = (group.column(c).to_numpy() for c in ("row", "near", "second"))
+    laid = group.select(["row", "vec_id", "v"]).take(pa.array(np.lexsort((row, second, near)))).combine_chunks()
+    out = []
+    for batch in laid.to_batches(max_chunksize=BLOCK_ROWS):
+        out.append(Block(batch.column("vec_id").to_numpy(), batch.column("row").to_numpy(), _matrix(batch.column("v"))))
+    return out
+
+
+_FOUND = "query_row long, query_id long, vec_id long, row long, score long"
+
+
+def _results(best: Best, ids: np.ndarray) -> pa.Table:
+    i, c = np.nonzero((best.rows >= 0) & (best.score >= best.floor[:, None]))
+    cols = (best.own[i], ids[i], best.ids[i, c], best.rows[i, c], best.score[i, c])
+    return pa.table({n.split()[0]: pa.array(x, pa.int64()) for n, x in zip(_FOUND.split(", "), cols)})
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    column = table.column("v").combine_chunks()
+    return _matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+
+
+def laid_out(stored: DataFrame) -> DataFrame:
+    """stored (row, vec_id, v, ...) with near and second, the pivots of a row, and g, its group."""
     groups = max(1, -(-stored.count() // GROUP_ROWS))
-    laid = stored.repartitionByRange(groups, "dim", "signs", "row").sortWithinPartitions("dim", "signs", "row")
-    grouped = laid.select((F.spark_partition_id() % groups).alias("g"), "row", "vec_id", "v")
-    record = "{} int, width int, ids binary, rows binary, matrix binary"
-    found = grouped.mapInArrow(_packer(BLOCK_ROWS, "g"), record.format("g"))
-    wanted = stored.filter(is_query)
-    buckets = max(1, -(-wanted.count() // QUERY_ROWS))
-    asked = wanted.select(F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("q"), "row", "vec_id", "v")
-    dealt = asked.repartition(buckets, "q").sortWithinPartitions("q") if buckets > 1 else asked
-    chunks = dealt.mapInArrow(_packer(CHUNK_QUERIES, "q"), record.format("q"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return found.withColumn("q", every(buckets)), chunks.withColumn("g", every(groups))
+    drawn = stored.orderBy(F.xxhash64("row"), "row").limit(PIVOTS).select("v").toArrow()
+    pivots = _vectors(drawn) if drawn.num_rows else np.zeros((1, 0))
+    held = stored.sparkSession.sparkContext.broadcast(pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                m, p = _matrix(batch.column("v")), held.value
+                w = min(m.shape[1], p.shape[1])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    alike = np.nan_to_num(m[:, :w] @ p[:, :w].T)
+                near = alike.argmax(axis=1)
+                alike[np.arange(len(near)), near] = -np.inf
+                cols = [pa.array(near.astype(np.int32)), pa.array(alike.argmax(axis=1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "near", "second"])
+
+    schema = T.StructType([*stored.schema.fields, T.StructField("near", T.IntegerType()), T.StructField("second", T.IntegerType())])
+    ranged = stored.mapInArrow(placed, schema).repartitionByRange(groups, "near", "second", "row")
+    return cut(ranged.withColumn("g", F.spark_partition_id()))
+
+
+def group_bounds(laid: DataFrame) -> tuple[list[Bound], np.ndarray, int]:
+    """Term maxima of the rows of each pivot in each range of groups; the range of each; and how many groups a range has.
+    As rows are in the order of their pivots there are MOST_BOUNDS + PIVOTS of them at most."""
+    groups = (laid.agg(F.max("g")).first()[0] or 0) + 1
+    per = -(-groups // MOST_BOUNDS)
+
+    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = (batch.column("g").to_numpy() // per).astype(np.int64) << 32 | batch.column("near").to_numpy()
+            for one in np.unique(part):
+                m = _matrix(batch.column("v").filter(pa.array(part == one)))
+                n = m.shape[1] + 1
+                most, least = (np.append(f(axis=0), 0.0) for f in (m.max, m.min))
+                cols = [np.full(n, one), np.append(np.arange(n - 1), -1).astype(np.int32), most, least]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["part", "dim", "most", "least"])
+
+    rows = laid.select("g", "near", "v").mapInArrow(maxima, "part long, dim int, most double, least double")
+    got = rows.groupBy("part", "dim").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.count("*").alias("n")).toArrow()
+    part, dim, most, least, n = (got.column(c).to_numpy() for c in ("part", "dim", "most", "least", "n"))
+    parts, s = np.unique(part, return_inverse=True)
+    width, own = int(dim.max(initial=-1)) + 1, dim >= 0
+    whole = np.zeros(len(parts), np.int64)
+    whole[s[~own]] = n[~own]
+    up, down, seen = np.zeros((len(parts), width)), np.zeros((len(parts), width)), np.zeros((len(parts), width), np.int64)
+    up[s[own], dim[own]], down[s[own], dim[own]], seen[s[own], dim[own]] = most[own], least[own], n[own]
+    short = seen < whole[:, None]  # some rows end before this dimension, as if filled up with zeros
+    up, down = np.where(short, np.maximum(up, 0), up), np.where(short, np.minimum(down, 0), down)
+    return [Bound(x, y) for x, y in zip(up, down)], (parts >> 32).astype(np.int32), per
+
+
+def own_group(laid: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query's own group; laid has asked, whether a row is a query."""
+
+    def search(group: pa.Table) -> pa.Table:
+        asked = group.filter(group.column("asked"))
+        rows, ids = asked.column("row").to_numpy(), asked.column("vec_id").to_numpy()
+        best = Best(_vectors(asked), rows, np.full(len(rows), -_LONG - 1, np.int64), k)
+        if len(rows):
+            best.search(blocks_of(group))
+        return _results(best, ids)
+
+    return laid.groupBy("g").applyInArrow(search, _FOUND)
+
+
+def other_groups(laid: DataFrame, first: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups and the queries that go to them, by (to_g, to_q) and (g, q): a group and a bucket of queries. A query goes to the
+    groups whose bound reaches the kth score that it has from first."""
+    found, range_of, per = group_bounds(laid)
+    groups = laid.agg(F.max("g")).first()[0] or 0
+    held = laid.sparkSession.sparkContext.broadcast(found)  # MOST_BOUNDS + PIVOTS pairs of vectors at most
+    floor = first.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    asked = laid.filter("asked").join(floor.withColumnRenamed("query_row", "row"), "row", "left")
+
+    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                floor = batch.column("floor").fill_null(-_LONG - 1).to_numpy()
+                reach = bounds(_matrix(batch.column("v")), held.value) >= floor[:, None]
+                lists = pa.array([np.unique(range_of[r]) for r in reach], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v", "g")), pa.array(floor), lists], ["row", "vec_id", "v", "own", "floor", "to"])
+
+    buckets = max(1, -(-asked.count() // QUERY_ROWS))
+    sent = asked.select("row", "vec_id", "v", "g", "floor").mapInArrow(aimed, "row long, vec_id long, v array<double>, own int, floor long, to array<int>")
+    sent = sent.withColumn("s", F.explode("to"))
+    sent = sent.withColumn("g", F.explode(F.sequence(F.col("s") * per, F.least(F.col("s") * per + per - 1, F.lit(groups))))).filter("g <> own")
+    sent = cut(sent.select("row", "vec_id", "v", "floor", "g", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("q")))
+    pairs = sent.select(F.col("g").alias("to_g"), F.col("q").alias("to_q")).distinct()
+    rows = laid.join(pairs, F.col("g") == F.col("to_g")).select("to_g", "to_q", "row", "vec_id", "v", "near", "second")
+    return rows, sent
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
@@ -162,24 +274,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     lengths are compared as if filled up with zeros. Rows that share a vec_id are rows of their own: each is a query,
     and a candidate for the others. Scores beyond the range of long are cut to it. Fewer than k other rows: all of them.
     Other columns are ignored."""
-    v = F.col("v")
-    size_of = F.transform(v, lambda x: F.abs(x))
-    alike = {
-        "dim": F.coalesce(F.array_position(size_of, F.array_max(size_of)), F.lit(0)),
-        "signs": F.aggregate(F.slice(v, 1, 12), F.lit(0), lambda a, x: a * 2 + (x > 0).cast("int")),
-    }
-    stored = cut(integer_vectors(vectors).withColumns(alike).withColumn("row", F.monotonically_increasing_id()))
-    found, asked = tiles(stored, is_query)
-
-    def search(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        records = lambda t: zip(*(t.column(c).to_pylist() for c in ("width", "ids", "rows", "matrix")))
-        held = [Block(*x) for x in records(blocks)]
-        out = [r for x in records(queries) for r in best(Block(*x), held, k)] if held else []
-        names = ("query_row", "query_id", "vec_id", "row", "score")
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, zip(*out) if out else [()] * 5)})
-
-    pairs = found.groupBy("g", "q").cogroup(asked.groupBy("g", "q")).applyInArrow(
-        search, "query_row long, query_id long, vec_id long, row long, score long"
-    )
-    first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return pairs.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    stored = integer_vectors(vectors).withColumns({"row": F.monotonically_increasing_id(), "asked": F.coalesce(is_query, F.lit(False))})
+    laid = laid_out(cut(stored))
+    first = cut(own_group(laid, k))
+    rows, asked = other_groups(laid, first, k)
+
+    def search(group: pa.Table, queries: pa.Table) -> pa.Table:
+        best = Best(_vectors(queries), queries.column("row").to_numpy(), queries.column("floor").to_numpy(), k)
+        if group.num_rows:
+            best.search(blocks_of(group))
+        return _results(best, queries.column("vec_id").to_numpy())
+
+    rest = rows.groupBy("to_g", "to_q").cogroup(asked.groupBy("g", "q")).applyInArrow(search, _FOUND)
+    by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

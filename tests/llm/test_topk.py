@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from concord.llm import queries, sql, topk
@@ -20,7 +21,8 @@ def brute(rows, k=5):
 def test_small_blocks_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
     monkeypatch.setattr(topk, "GROUP_ROWS", 50)
-    monkeypatch.setattr(topk, "CHUNK_QUERIES", 3)
+    monkeypatch.setattr(topk, "MOST_BOUNDS", 3)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
     r = random.Random(2)
     rows = [(i, [r.choice([-0.5, 0.25, 0.125, 0.7]) for _ in range(4)]) for i in range(300)]
     rows += [(50, [1.0] * 4), (50, [1.0] * 4), (None, [1.0] * 4), (700, None), (701, [1.0, None, 0.0, 0.0]), (702, [float("nan")] * 4)]
@@ -49,8 +51,32 @@ def test_tasks_hold_bounded_rows_and_queries(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(df, F.col("vec_id") % 5 == 0)
     assert sorted(map(tuple, got.filter("query_id % 50 = 0").collect())) == brute(rows) and got.count() == 1000
-    stored = topk.integer_vectors(df).withColumns({"row": F.col("vec_id"), "dim": F.lit(0), "signs": F.lit(0)})
-    found, asked = topk.tiles(stored, F.col("vec_id") % 5 == 0)
-    for part, most in ((found, 200), (asked, 40)):
-        sizes = part.groupBy("g", "q").agg((F.sum(F.length("ids")) / 8).alias("n")).collect()
-        assert len(sizes) == 100 and max(x.n for x in sizes) <= most
+    laid = topk.laid_out(topk.integer_vectors(df).withColumns({"row": F.col("vec_id"), "asked": F.col("vec_id") % 5 == 0}))
+    found, asked = topk.other_groups(laid, topk.own_group(laid, 5), 5)
+    for part, most in ((found.withColumnsRenamed({"to_g": "g", "to_q": "q"}), 300), (asked, 60)):
+        sizes = part.groupBy("g", "q").count().collect()
+        assert max(x["count"] for x in sizes) <= most
+
+
+def clustered(seed=4, n=3000, dims=16):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(30, dims)) * 2
+    return np.floor(256 * (centres[r.integers(0, 30, n)] + r.normal(size=(n, dims)) * 0.05))
+
+
+def test_blocks_and_groups_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_ROWS", 300)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    rows = [(i, (x / 256).tolist()) for i, x in enumerate(clustered())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    laid = topk.laid_out(topk.integer_vectors(df).withColumns({"row": F.col("vec_id"), "asked": F.col("vec_id") % 50 == 0}))
+    _, asked = topk.other_groups(laid, topk.own_group(laid, 5), 5)
+    groups = laid.select("g").distinct().count()
+    assert groups >= 8 and asked.count() < 60 * (groups - 1) / 2  # most groups are not asked
+    whole = laid.toArrow()
+    blocks = topk.blocks_of(whole)
+    queries = whole.filter(whole.column("asked"))
+    best = topk.Best(topk._vectors(queries), queries.column("row").to_numpy(), np.full(60, -(2**63)), 5)
+    best.search(blocks)
+    assert best.visited < 60 * len(blocks) / 2  # and most blocks are not visited
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == brute(rows)
