@@ -2,14 +2,19 @@
 
 1. A gear hash rolls over the words of a text, joined by single spaces. A chunk ends at a space where the hash of the
    last _WINDOW bytes has CUT_BITS zero bits, so cuts depend on nearby bytes only and an insertion moves none of them
-   for long. The key of two neighbouring chunks (more, if they are short) is their digest.
+   for long. The key of two neighbouring chunks (more, if they are short) is their digest. Spans are chunks by more
+   bits, 2 ** SPAN_BITS words long in the mean, and are deduplicated whole by their digest.
 2. A PASSAGE-word window has as its own the keys whose cuts its own bytes decide, which are therefore the same in every
    document that has the window. A window that two documents share has shared keys only; so windows are left out if one
-   of their own keys is not shared, and no others. A second pass over the texts knows shared keys by a Bloom filter of
-   bounded size; if there are more than it can tell apart, by a join. A key that is wrongly taken for a shared one adds
-   windows that no other document has, and changes no result.
-3. The windows left are compared by their digests. Those that two documents share are repeated passages; overlapping ones
-   are joined.
+   of their own keys is not shared.
+3. A key is closed if all of its occurrences, in all documents, lie in spans of one digest. Every document that has a
+   window with a closed key of its own, inside such a span, then has the whole span: the span's digest answers for the
+   window, which is left out too. So of copies only the seams of spans are compared word by word.
+4. A second pass over the texts knows shared and open keys by Bloom filters of bounded size; if there are more keys
+   than they can tell apart, by a join. A key that is wrongly taken for shared or open adds windows that are compared
+   in vain, and changes no result.
+5. Spans and the windows left are compared by their digests. Those that two documents share are repeated passages;
+   overlapping ones are joined.
 
 Keys and windows are counted by grouped minimum and maximum of doc_id, so a key that a third of all documents share is
 two numbers per task. Those counts are written before they are joined back, which leaves both sides of the join
@@ -19,6 +24,7 @@ exchanged and so lets adaptive execution split a hot key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import FILTER_BITS, cut, encode, key_filter, let_go, may_hold, stored
+from concord.llm.common import FILTER_BITS, cut, encode, fresh, key_filter, let_go, may_hold, slices, stored
 
 #: A passage has so many words at least: more than 50.
 PASSAGE = 51
 #: One space in 2 ** CUT_BITS ends a chunk, in the mean.
 CUT_BITS = 2
+#: And one in 2 ** SPAN_BITS a span.
+SPAN_BITS = 8
 #: A key has so many words at least.
 KEY_WORDS = 6
 #: Up to so many shared keys go by the filter: 8 bits a key.
@@ -59,22 +67,28 @@ def rolled(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunked(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The joined words; where each word begins (and one past the end); the words at which chunks begin, and the last end."""
+def _ends(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint32(_WINDOW - 1 - bits)) & np.uint32((1 << bits) - 1) == 0
+
+
+def chunked(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined words; where each word begins (and one past the end); the words at which chunks begin, and the last end;
+    the same of spans."""
     data = b" ".join(encode(text or "").split())
     if not data:
-        return data, np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return data, *(np.zeros(1, np.int64) for _ in range(3))
     raw = np.frombuffer(data, np.uint8)
     space = np.flatnonzero(raw == 32)
-    ends = np.zeros(len(space), bool)
+    ends, far = np.zeros(len(space), bool), np.zeros(len(space), bool)
     for s in range(0, len(raw), _PIECE):  # in pieces that overlap by the window
         a = max(0, s - _WINDOW)
         h = rolled(raw[a : s + _PIECE])
         here = slice(*np.searchsorted(space, [s, s + _PIECE]))
-        ends[here] = (h[space[here] - a] >> np.uint32(_WINDOW - 1 - CUT_BITS)) & np.uint32((1 << CUT_BITS) - 1) == 0
+        at = h[space[here] - a]
+        ends[here], far[here] = _ends(at, CUT_BITS), _ends(at, SPAN_BITS)
     starts = np.concatenate([[0], space + 1, [len(data) + 1]])
-    cuts = np.concatenate([[0], np.flatnonzero(ends) + 1, [len(space) + 1]])
-    return data, starts, cuts
+    cuts, borders = (np.concatenate([[0], np.flatnonzero(x) + 1, [len(space) + 1]]) for x in (ends, far))
+    return data, starts, cuts, borders
 
 
 def keys_of(data: bytes, starts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,16 +103,47 @@ def keys_of(data: bytes, starts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarr
     return key, s, e - s
 
 
+def spans_of(data: bytes, starts: np.ndarray, borders: np.ndarray) -> list[bytes]:
+    """The digest of each span; empty for spans of fewer than PASSAGE words."""
+    digest, at = xxhash.xxh3_128_digest, starts[borders].tolist()
+    return [digest(data[a : b - 1]) if n >= PASSAGE else b"" for a, b, n in zip(at, at[1:], np.diff(borders).tolist())]
+
+
+def home_of(first: np.ndarray, size: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The span that holds each stretch of words (first, size) whole; -1 if none of PASSAGE words or more does."""
+    span = np.searchsorted(borders, first, "right") - 1
+    whole = (first + size <= borders[np.minimum(span + 1, len(borders) - 1)]) & (np.diff(borders, append=borders[-1])[span] >= PASSAGE)
+    return np.where(whole, span, -1)
+
+
+def _contexts(doc: int, data: bytes, starts: np.ndarray, borders: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each key what it lies in: a number of its span's digest, or one that no other place has."""
+    home = home_of(first, size, borders)
+    own = np.array([int.from_bytes(d[:8], "little") for d in spans_of(data, starts, borders)] + [0], np.uint64)
+    with np.errstate(over="ignore"):
+        alone = (np.uint64(doc & (1 << 64) - 1) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(home >= 0, own[home], alone)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, s, n) of all documents."""
+    """(key, doc_id, s, ctx) of all documents: the first word of a key, and what it lies in."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = [keys_of(*chunked(t.as_py())) for t in part.column("text")]
-            key, s, n = (np.concatenate([f[i] for f in found]) for i in range(3))
-            docs = np.repeat(part.column("doc_id").to_numpy(), [len(f[0]) for f in found])
-            cols = [key.view(np.int64), docs, s.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc_id", "s", "n"])
+        for part in slices(batch, 512):
+            docs = part.column("doc_id").to_pylist()
+            out = {"key": [], "doc_id": [], "s": [], "ctx": []}
+            for doc, text in zip(docs, part.column("text")):
+                data, starts, cuts, borders = chunked(text.as_py())
+                key, first, size = keys_of(data, starts, cuts)
+                if len(key):
+                    cols = (key, np.full(len(key), doc, np.int64), first.astype(np.int32), _contexts(doc, data, starts, borders, first, size))
+                    for c, x in zip(out.values(), cols):
+                        c.append(x)
+            kinds = (np.int64, np.int64, np.int32, np.int64)
+            cols = [pa.array((np.concatenate(c) if c else np.zeros(0, k)).view(k)) for c, k in zip(out.values(), kinds)]
+            yield pa.RecordBatch.from_arrays(cols, list(out))
+
+
+_KEY = "key long, doc_id long, s int, ctx long"
 
 
 def shared_by_two(rows: DataFrame, key: str) -> DataFrame:
@@ -107,48 +152,69 @@ def shared_by_two(rows: DataFrame, key: str) -> DataFrame:
     return cut(by.filter("first < last").select(key, "first"))
 
 
-def window_starts(starts: np.ndarray, first: np.ndarray, size: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Where the windows begin that are compared: those without an own key that is not shared. Keys have first word, number
-    of words and whether they are shared. A window's own keys begin _WINDOW bytes after it or later and end before its last
-    word ends; windows without any are all compared."""
+def window_starts(starts: np.ndarray, first: np.ndarray, size: np.ndarray, shared: np.ndarray, open_: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Where the windows begin that are compared: those without an own key that is not shared and, inside a span, without
+    an own key that is not open. Keys have first word, number of words and whether they are shared and open. A
+    window's own keys begin _WINDOW bytes after it or later and end before its last word ends; windows without any are
+    all compared."""
     w = np.arange(max(0, len(starts) - PASSAGE))
     low = np.searchsorted(starts[first], starts[w] + _WINDOW)
     high = np.maximum(low, np.searchsorted(first + size, w + PASSAGE - 1, "right"))
-    single = np.concatenate([[0], np.cumsum(~shared)])
-    return w[single[high] == single[low]]
+    single, closed = (np.concatenate([[0], np.cumsum(~x)]) for x in (shared, open_))
+    inside = home_of(w, np.full(len(w), PASSAGE), borders) >= 0
+    return w[(single[high] == single[low]) & (~inside | (closed[high] == closed[low]))]
+
+
+def span_starts(borders: np.ndarray, first: np.ndarray, size: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Which spans are compared: of PASSAGE words or more, without a key that is not shared."""
+    home = home_of(first, size, borders)
+    alone = np.bincount(home[(home >= 0) & ~shared], minlength=len(borders) - 1)
+    return np.flatnonzero((np.diff(borders) >= PASSAGE) & (alone[: len(borders) - 1] == 0))
 
 
-def _window_rows(own: DataFrame, shared_of) -> DataFrame:
-    """(doc_id, s, h): the windows to compare of own (doc_id, text, ...); shared_of(batch, row, key, first) marks shared keys."""
+def _window_rows(own: DataFrame, known) -> DataFrame:
+    """(doc_id, s, n, h): spans and windows to compare of own (doc_id, text, ...); known(batch, row, key, first) says which
+    keys are shared and which are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                docs, start, h = [], [], []
-                for row, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"))):
-                    data, starts, cuts = chunked(t.as_py())
-                    key, first, size = keys_of(data, starts, cuts)
-                    got = window_starts(starts, first, size, shared_of(part, row, key, first))
-                    docs.append(np.full(len(got), d, np.int64))
-                    start.append(got)
-                    h += [digest(data[a:b]) for a, b in zip(starts[got].tolist(), (starts[got + PASSAGE] - 1).tolist())]
-                cols = [pa.array(np.concatenate(docs)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(h, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s", "h"])
-
-    return own.mapInArrow(run, "doc_id long, s int, h binary")
+        for part in chain.from_iterable(slices(b) for b in batches):
+            docs, start, many, h = [], [], [], []
+            for row, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"))):
+                data, starts, cuts, borders = chunked(t.as_py())
+                key, first, size = keys_of(data, starts, cuts)
+                shared, open_ = known(part, row, key, first)
+                spans = span_starts(borders, first, size, shared)
+                windows = window_starts(starts, first, size, shared, open_, borders)
+                s = np.concatenate([borders[spans], windows])
+                n = np.concatenate([np.diff(borders)[spans], np.full(len(windows), PASSAGE)])
+                docs.append(np.full(len(s), d, np.int64))
+                start.append(s)
+                many.append(n)
+                h += [digest(data[a:b]) for a, b in zip(starts[s].tolist(), (starts[s + n] - 1).tolist())]
+            cols = [np.concatenate(docs), np.concatenate(start).astype(np.int32), np.concatenate(many).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(h, pa.binary())], ["doc_id", "s", "n", "h"])
+
+    return own.mapInArrow(run, "doc_id long, s int, n int, h binary")
 
 
 def _by_filter(own: DataFrame, common: DataFrame, n: int) -> DataFrame:
-    held = key_filter(common, n)
-    return _window_rows(own, lambda _, __, key, ___: may_hold(held.value, key))
+    shared, open_ = key_filter(common, n), key_filter(common.filter("open"), n)
+
+    def known(_, __, key: np.ndarray, ___) -> tuple[np.ndarray, np.ndarray]:
+        return may_hold(shared.value, key), may_hold(open_.value, key)
+
+    return _window_rows(own, known)
 
 
 def _by_join(own: DataFrame, common: DataFrame) -> DataFrame:
-    keyed = own.mapInArrow(_keys, "key long, doc_id long, s int, n int")
-    marked = keyed.join(common, "key").groupBy("doc_id").agg(F.collect_set("s").alias("at"))
-    return _window_rows(own.join(marked, "doc_id", "left"), lambda b, row, _, first: np.isin(first, b.column("at")[row].as_py() or []))
+    keyed = own.mapInArrow(_keys, _KEY).join(common, "key")
+    marked = keyed.groupBy("doc_id").agg(F.collect_set("s").alias("at"), F.collect_set(F.when(F.col("open"), F.col("s"))).alias("wide"))
+
+    def known(batch: pa.RecordBatch, row: int, _, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(np.isin(first, batch.column(c)[row].as_py() or []) for c in ("at", "wide"))
+
+    return _window_rows(own.join(marked, "doc_id", "left"), known)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -158,15 +224,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Words are parted by ASCII white space and compared byte by byte. Repeats within one document do not count, nor do
     rows with a null doc_id; rows that share a doc_id are one document to each other, so repeated rows are no repeats.
-    Null, empty and shorter texts, and empty tables, give no rows. Other columns are ignored. Every passage is found."""
+    Null, empty and shorter texts, and empty tables, give no rows. Other columns are ignored. Every passage is found. A text of any length is handled whole in
+    the task that has its row, with some 50 bytes for each of its words."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    common = shared_by_two(own.mapInArrow(_keys, "key long, doc_id long, s int, n int"), "key").select("key")
+    seen = own.mapInArrow(_keys, _KEY).groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "ctx") for n, f in (("min", F.min), ("max", F.max))))
+    common = cut(seen.filter("min_doc_id < max_doc_id").select("key", (F.col("min_ctx") < F.col("max_ctx")).alias("open")))
     n = common.count()
     let_go(docs.sparkSession)
     found = stored(_by_filter(own, common, n) if n <= FILTER_KEYS else _by_join(own, common))
     same = shared_by_two(found, "h")
     let_go(docs.sparkSession)
-    hits = found.join(same, "h").select("doc_id", "s", F.lit(PASSAGE).alias("n"), "first")
+    hits = found.join(same, "h").select("doc_id", "s", "n", "first")
     each = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "n", "first"))).alias("x"))
     return each.mapInArrow(_joined, "doc_id long, start_word long, n_words long, first_doc_id long")
 
@@ -193,13 +261,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with the words of repeated passages taken out of text, save in the document that has them first (by
     doc_id). Changed texts have their words joined by single spaces; other texts, and all other columns, stay."""
-    gone = repeated_passages(docs).filter("doc_id <> first_doc_id")
-    by = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("_gone"))
+    names, (doc, gone) = docs.columns, fresh(docs.columns, "_doc", "_gone")
+    found = repeated_passages(docs).filter("doc_id <> first_doc_id")
+    by = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(gone))
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             text = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist()):
+            for t, spans in zip(b.column("text").to_pylist(), b.column(gone).to_pylist()):
                 if t is not None and spans:
                     words = encode(t).split()
                     for x in reversed(spans):
@@ -208,5 +277,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 text.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(text, f.type) if f.name == "text" else c for f, c in zip(b.schema, b.columns)], schema=b.schema)
 
-    both = docs.join(by, "doc_id", "left").select(*docs.columns, "_gone")
-    return both.mapInArrow(taken, both.schema).select(*docs.columns)
+    both = docs.join(by, F.col("doc_id").cast("long") == F.col(doc), "left").select(*names, gone)
+    return both.mapInArrow(taken, both.schema).select(*names)
