@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concord.functions.text import any_of
+from concord.functions.text import account_key, any_of, is_listing_url, light_key, nfkc, url_key
+from concord.functions.times import coerce_ts
 
 #: Levels and their patterns, in order.
 LEVELS = [("国家级", r"国家[级际]|全国"), ("省级", r"省[级际]|全省"), ("校级", r"校[级际]|全校|南京大学.*主办"), ("院级", r"院[级际]|书院.*主办|学院.*主办")]
@@ -140,13 +141,32 @@ def name_from_host(c: Column) -> Column:
 
 
 def event_id(*parts: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
-    """'EVT_' and the first 12 hex digits of the name-based UUID of the parts."""
+    """'EVT-' and the first 12 hex digits, upper case, of the name-based UUID of the parts (catalog, year, title, URL)."""
     name = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
-    return F.concat(F.lit("EVT_"), F.upper(F.substring(digest, 1, 12)))
-
-
-def article_id(platform: Column, publisher: Column, time: Column, title: Column) -> Column:
-    """'ART_' and 24 hex digits of SHA-256 of the platform's id, else of publisher, time and title."""
-    name = F.coalesce(F.nullif(platform, F.lit("")), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (publisher, time, title)]))
-    return F.concat(F.lit("ART_"), F.substring(F.sha2(name, 256), 1, 24))
+    return F.concat(F.lit("EVT-"), F.upper(F.substring(digest, 1, 12)))
+
+
+def article_id(biz: Column, mid: Column, idx: Column, publisher: Column, time: Column, title: Column) -> Column:
+    """'WX-' and 24 upper-case hex digits of SHA-256: of biz:mid:idx where all are known, else of the publisher's account
+    key, the time as ISO text at +08:00 (as it is, if it is no time) and the title in NFKC and lower case."""
+    known = lambda c: F.nullif(c, F.lit(""))
+    platform = F.concat(known(biz), F.lit(":"), known(mid), F.lit(":"), known(idx))  # null if any is unknown
+    at = F.date_format(F.from_utc_timestamp(coerce_ts(time, "Asia/Shanghai"), "Asia/Shanghai"), "yyyy-MM-dd'T'HH:mm:ss'+08:00'")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    named = F.concat_ws("|", account_key(text(publisher)), F.coalesce(at, text(time)), F.lower(F.trim(nfkc(text(title)))))
+    return F.concat(F.lit("WX-"), F.upper(F.substring(F.sha2(F.coalesce(platform, named), 256), 1, 24)))
+
+
+def candidate_identity(platform_id: Column, source: Column, url: Column, title: Column, day: Column) -> Column:
+    """What makes a candidate one: its platform's id, else its URL unless that is a listing, else source, title and date,
+    else source and URL. day is the first known of start, deadline and end, as text."""
+    url_of, name = url_key(url), light_key(F.coalesce(title, F.lit("")))
+    known = lambda c: c.isNotNull() & (c != "")
+    part = lambda kind, *cs: F.concat_ws("|", F.lit(kind), *[F.coalesce(c, F.lit("")) for c in cs])
+    return (
+        F.when(known(platform_id), part("platform", source, platform_id))
+        .when(known(url_of) & ~is_listing_url(url), part("url", url_of))
+        .when(known(name), part("listing_event", source, name, F.substring(day, 1, 10)))
+        .otherwise(part("listing_url", source, url_of))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STRICT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
@@ -41,6 +41,38 @@ def status_of(ts: Column, now: Column) -> Column:
     return F.when(ts.isNull(), "none").when(days < 0, "expired").when(days <= 3, "closing").otherwise("open")
 
 
+#: What the states are called: without a deadline, unclear, past, within four days, later.
+STATES = {"none": "暂无本届信息", "unclear": "待确认", "expired": "已截止", "closing": "即将截止", "open": "报名中"}
+
+
+def state_name(state: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+    return F.element_at(names, state)
+
+
+def status_of_text(c: Column, now: Column) -> Column:
+    """As status_of, of a deadline's text: none if null or empty, unclear if it is no time with an offset, expired as soon
+    as it is past."""
+    ts = parse_event_ts(c)["ts"]
+    return F.when(c.isNull() | (c == ""), "none").when(ts.isNull(), "unclear").when(ts < now, "expired").otherwise(status_of(ts, now))
+
+
+def timeline(deadline: Column, event: Column) -> Column:
+    """The event's time, unless it lies before the deadline: nobody knows which of both is wrong."""
+    return F.when(event < deadline, None).otherwise(event)
+
+
+def epoch_to_iso(seconds: Column, zone: str = "Asia/Shanghai") -> Column:
+    """Local ISO time, without an offset, of seconds since 1970."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def refresh_status(df: DataFrame, deadline: str, status: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """df with the state that its deadline stands for now, and the rows whose state changes, with the new one. No row goes."""
+    new = df.withColumn(status, state_name(status_of(F.col(deadline), now)))
+    return new, df.withColumn("_new", state_name(status_of(F.col(deadline), now))).filter(~F.col("_new").eqNullSafe(F.col(status)))
+
+
 def accept_by_time(deadline: Column, start: Column, end: Column, status: Column, now: Column, max_days: int = 400) -> Column:
     """The reason why an event is taken or not; the first rule that applies."""
     far = now + F.expr(f"INTERVAL {max_days} DAY")

@@ -36,20 +36,53 @@ def with_dropped(df: DataFrame, kept: DataFrame, source: str, seq: str = "seq")
 
 
 def dedup_greedy_or(df: DataFrame, url: str, title: str, seq: str = "seq") -> DataFrame:
-    """A row goes if its URL or its title is that of an earlier row that stays; rows that went do not block others.
+    """A row goes if its URL or its title is that of an earlier row that stays; rows that went do not block others. Null and
+    empty URLs and titles block nothing and are blocked by nothing. seq is unique.
 
-    Solved by rounds over the whole table: a row whose every earlier rival is decided is decided itself. A round keeps
-    every undecided row that is first by its URL and by its title, and drops what those block."""
+    Solved by rounds over what is left undecided. A row is decided at once if no other row shares its keys; those never
+    enter a round. A round keeps every row that is first by its URL and by its title, and drops what those block; so a
+    chain of n rows, each blocked by the one before, takes n / 2 rounds, and all chains are solved side by side."""
     shared_folder(df.sparkSession)
-    left = df.select(seq, F.col(url).alias("_u"), F.col(title).alias("_t")).checkpoint()
-    kept = None
+    key = lambda c: F.when(F.col(c) != "", F.col(c))
+    own = df.select(seq, key(url).alias("_u"), key(title).alias("_t"))
+    several = lambda c: own.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"{c}n")).filter(f"{c}n > 1")
+    left = own.join(several("_u"), "_u", "left").join(several("_t"), "_t", "left").filter("_un is not null or _tn is not null")
+    left = left.select(seq, "_u", "_t").checkpoint()
+    dropped = None
     while not left.isEmpty():
-        first_u = F.min(seq).over(Window.partitionBy("_u")) == F.col(seq)
-        first_t = F.min(seq).over(Window.partitionBy("_t")) == F.col(seq)
-        chosen = left.withColumn("a", first_u).withColumn("b", first_t).filter("a and b").select(seq, "_u", "_t").checkpoint()
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        left = left.join(chosen.select("_u").distinct(), "_u", "left_anti").join(chosen.select("_t").distinct(), "_t", "left_anti").checkpoint()
-    return df.limit(0) if kept is None else df.join(kept.select(seq), seq, "left_semi")
+        least = [left.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(seq).alias(f"{c}m")) for c in ("_u", "_t")]
+        first = left.join(least[0], "_u", "left").join(least[1], "_t", "left")
+        chosen = first.filter(f"coalesce(_um, {seq}) = {seq} and coalesce(_tm, {seq}) = {seq}").select(seq, "_u", "_t").checkpoint()
+        rest = left.join(chosen.select(seq), seq, "left_anti")
+        by_url = rest.join(chosen.select("_u").distinct(), "_u", "left_semi").select(seq)
+        by_title = rest.join(chosen.select("_t").distinct(), "_t", "left_semi").select(seq)
+        blocked = by_url.union(by_title).distinct().checkpoint()
+        dropped = blocked if dropped is None else dropped.union(blocked)
+        left = rest.join(blocked, seq, "left_anti").checkpoint()
+    return df if dropped is None else df.join(dropped, seq, "left_anti")
+
+
+def dedup_cross_source(df: DataFrame, platform_id: str, title_key: Column, seq: str = "seq") -> DataFrame:
+    """First by the platform's id, then the survivors first by title, over all sources; rows without an id or a title are
+    not compared by it. See with_dropped for the counts per source."""
+    return first_by(first_by(df, F.col(platform_id), seq), title_key, seq)
+
+
+def drop_processed(df: DataFrame, key: str, processed: DataFrame) -> DataFrame:
+    """The rows whose key is not in processed (key); a null key was never processed."""
+    return df.join(processed.select(key).distinct(), key, "left_anti")
+
+
+def in_blocks(asked: DataFrame, rows: DataFrame, asked_rows: int = 2048, block_rows: int = 1 << 16) -> DataFrame:
+    """Every row of asked, a stated query set, beside every row of rows. Both sides are dealt into blocks of bounded size
+    and joined by block numbers, so that no task holds more than two blocks and none is broadcast unchecked."""
+    n_asked = max(1, -(-asked.count() // asked_rows))
+    n_rows = max(1, -(-rows.count() // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    a = asked.withColumn("_a", part(asked, n_asked)).withColumn("_b", every(n_rows))
+    b = rows.withColumn("_b", part(rows, n_rows)).withColumn("_a", every(n_asked))
+    return b.join(a, ["_a", "_b"]).drop("_a", "_b")
 
 
 def cap_round_robin(df: DataFrame, n: int, source: str, seq: str = "seq") -> DataFrame:

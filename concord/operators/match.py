@@ -11,6 +11,11 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
 
 
+def _counted(c: Column) -> Column:
+    """The character pairs of a key with their places among equal ones left out: struct<p, i>, repeats apart."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.struct(F.substring(c, i, F.lit(2)).alias("p"), i.alias("i")))
+
+
 def similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
@@ -20,14 +25,23 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, least: float = 0.85
     """(l_seq, r_seq, score): the best right row of each left row (mode best; ties to the smaller seq), or the first (mode
     first), among those at least so similar.
 
-    Distinct keys are compared, not rows. Equal keys match by an equality join. Others share a character pair: an edit
-    destroys two of the L - 1 pairs of a key at most, and 2 (1 - least) L is below L - 1 for least above 0.5 and all but
-    the shortest keys, which can only match if equal. So a join on the pairs and on the length band loses nothing."""
+    Distinct keys are compared, not rows. Equal keys match by an equality join. Others by a prefix filter: an edit destroys
+    two of a key's L - 1 character pairs at most, counted with their repeats, and there are up to (1 - least) / least * L
+    edits (L the longer length). So of a key's pairs, the rarest first, one of the first 2 * edits + 1 is a pair of the
+    other key: only those are indexed, and joined with all pairs of the other side, within the length band. Keys too
+    short to have as many pairs are joined by their length alone with others as short."""
     lk = left.select(F.col(key).alias("lk")).distinct().filter("lk <> ''")
     rk = right.select(F.col(key).alias("rk")).distinct().filter("rk <> ''")
-    lg = lk.withColumn("g", F.explode(_grams(F.col("lk")))).withColumn("n", F.explode(_band(F.length("lk"), least)))
+    rare = rk.select(F.explode(_grams(F.col("rk"))).alias("g")).groupBy("g").agg(F.count("*").alias("f"))
+    edits = F.floor(F.length("lk") / F.lit(least) * F.lit(1 - least) + 1e-9)
+    placed = lk.select("lk", F.explode(_counted(F.col("lk"))).alias("g")).join(rare.select(F.col("g").alias("pair"), "f"), F.col("g")["p"] == F.col("pair"), "left")
+    order = Window.partitionBy("lk").orderBy(F.coalesce("f", F.lit(0)), "g")
+    prefix = placed.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= 2 * edits + 1)
+    lg = prefix.select("lk", F.col("g")["p"].alias("g")).distinct().withColumn("n", F.explode(_band(F.length("lk"), least)))
     rg = rk.withColumn("g", F.explode(_grams(F.col("rk")))).withColumn("n", F.length("rk"))
-    pairs = lg.join(rg, ["g", "n"]).select("lk", "rk").distinct().filter(similarity(F.col("lk"), F.col("rk")) >= least)
+    short = lk.filter(F.length("lk") - 1 <= 2 * edits).withColumn("n", F.explode(_band(F.length("lk"), least)))
+    by_length = short.join(rk.withColumn("n", F.length("rk")), "n").select("lk", "rk")
+    pairs = lg.join(rg, ["g", "n"]).select("lk", "rk").union(by_length).distinct().filter(similarity(F.col("lk"), F.col("rk")) >= least)
     equal = lk.join(rk, F.col("lk") == F.col("rk")).select("lk", "rk")
     scored = pairs.unionByName(equal).distinct().withColumn("score", similarity(F.col("lk"), F.col("rk")))
     firsts = right.groupBy(F.col(key).alias("rk")).agg(F.min("seq").alias("r_seq"))
@@ -42,18 +56,39 @@ def _band(n: Column, least: float) -> Column:
     return F.sequence(F.ceil(n * F.lit(least)).cast("int"), F.floor(n / F.lit(least)).cast("int"))
 
 
-def exact_then_contains(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(l_seq, r_seq, how): by equal key, else the first right row whose key holds the left key or is held by it.
+def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (k, rk) of distinct keys, of left (k) and right (rk), of which one holds the other. Every key is joined by its
+    own text with the substrings of the other side that have the length of some key there: an equality join, no nested
+    loop. Empty keys hold nothing and are held by nothing."""
+    l, r = left.select("k").filter("k <> ''").distinct(), right.select("rk").filter("rk <> ''").distinct()
+
+    def held(inner: DataFrame, outer: DataFrame, i: str, o: str) -> DataFrame:
+        sizes = inner.agg(F.collect_set(F.length(i)).alias("sizes"))  # as many as there are lengths of names
+        at = lambda n: F.transform(F.sequence(F.lit(1), F.length(o) - n + 1), lambda s: F.substring(F.col(o), s, n))
+        fits = F.filter("sizes", lambda n: n <= F.length(o))
+        parts = outer.crossJoin(F.broadcast(sizes)).select(o, F.explode(F.array_distinct(F.flatten(F.transform(fits, at)))).alias(i))
+        return parts.join(inner, i).select("k", "rk")
+
+    return held(l, r, "k", "rk").union(held(r, l, "rk", "k")).distinct()
 
-    Containment is a nested loop over distinct keys that no equality settles; the right side is a catalog of names."""
+
+def exact_then_contains(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(l_seq, r_seq, how): by equal key, else the first right row whose key holds the left key or is held by it."""
     l, r = left.select(F.col("seq").alias("l_seq"), F.col(key).alias("k")), right.groupBy(F.col(key).alias("k")).agg(F.min("seq").alias("r_seq"))
     exact = l.join(r, "k").withColumn("how", F.lit("exact"))
     rest = l.join(r, "k", "left_anti")
-    keys = rest.select("k").distinct().join(r.withColumnRenamed("k", "rk"), F.col("k").contains(F.col("rk")) | F.col("rk").contains(F.col("k")))
-    first = keys.groupBy("k").agg(F.min("r_seq").alias("r_seq")).withColumn("how", F.lit("contains"))
+    rk = r.withColumnRenamed("k", "rk")
+    first = containing_pairs(rest, rk).join(rk, "rk").groupBy("k").agg(F.min("r_seq").alias("r_seq")).withColumn("how", F.lit("contains"))
     return exact.select("l_seq", "r_seq", "how").unionByName(rest.join(first, "k").select("l_seq", "r_seq", "how"))
 
 
+def propagate_urls(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(seq, value): for each left row the largest value of the right rows whose key holds its own or is held by it."""
+    l, r = left.select("seq", F.col(key).alias("k")), right.groupBy(F.col(key).alias("rk")).agg(F.max(value).alias(value))
+    best = containing_pairs(l, r).join(r, "rk").groupBy("k").agg(F.max(value).alias(value))
+    return l.join(best, "k").select("seq", value)
+
+
 def charset_overlap(a: Column, b: Column) -> Column:
     """Shared distinct characters over the larger number of distinct characters."""
     x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))

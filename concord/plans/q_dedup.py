@@ -70,10 +70,11 @@ def j6_resolve_editions(spark, sf):
     return M.resolve_editions(incoming, o.filter("seq % 2 = 0").withColumn("event_id", F.col("seq"))).select("seq", "event_id", "how")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("""SELECT event_id FROM events WHERE user_id || '-' || strftime(ts, '%Y-%m-%d') NOT IN
+  (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'purchase')""")
 def j7_drop_processed(spark, sf):
-    e = table(spark, sf, "events")
-    return e.join(e.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti").select("event_id")
+    e = table(spark, sf, "events").withColumn("k", F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")))
+    return D.drop_processed(e, "k", e.filter("event_type = 'purchase'")).select("event_id")
 
 
 @query("SELECT s_suppkey, min(page_id) AS page_id FROM supplier JOIN (SELECT page_id, lower(url) AS u FROM pages) ON contains(u, CAST(s_suppkey AS VARCHAR)) GROUP BY 1")
@@ -90,10 +91,12 @@ def _runs(x):
     return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(x) - i + 1), lambda n: F.substring(x, i, n))))
 
 
-@query("SELECT c_custkey, count(*) AS n FROM customer, part WHERE c_custkey % 50 = 0 AND p_size > 45 GROUP BY 1")
+@query("""SELECT c_custkey, count(*) AS n, sum(p_size) AS days FROM customer, part WHERE c_custkey % 50 = 0
+  AND p_size >= 0 AND p_name IS NOT NULL GROUP BY 1""")
 def j9_profile_pairs(spark, sf):
     profiles = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select("c_custkey")
-    return table(spark, sf, "part").filter("p_size > 45").crossJoin(profiles).groupBy("c_custkey").agg(F.count("*").alias("n"))
+    events = table(spark, sf, "part").filter("p_size >= 0 and p_name is not null").select("p_partkey", "p_size")
+    return D.in_blocks(profiles, events).groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("p_size").alias("days"))
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT e.*, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-10' END AS cur FROM events e) WHERE ts >= least(TIMESTAMP '2024-01-15', coalesce(cur - INTERVAL 24 HOUR, TIMESTAMP '2024-01-15')) GROUP BY user_id")
@@ -108,9 +111,7 @@ def j10_apply_cursor(spark, sf):
 def j11_propagate_urls(spark, sf):
     left = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("seq"))
     left = left.select("seq", F.when(F.col("seq") % 2 == 0, F.col("p_name")).otherwise(F.substring_index("p_name", " ", 1)).alias("key"))
-    right = names(spark, sf, False).select(F.col("seq").alias("r_seq"), F.col("key").alias("rk"))
-    keys = left.select("key").distinct().join(right, F.col("key").contains(F.col("rk")) | F.col("rk").contains(F.col("key")))
-    return left.join(keys.groupBy("key").agg(F.max("r_seq").alias("fixed")), "key").select("seq", "fixed")
+    return M.propagate_urls(left, names(spark, sf, False).withColumnRenamed("seq", "fixed"), "key", "fixed")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://fixed.example/' || page_id ELSE url END AS url FROM pages")
@@ -138,19 +139,31 @@ def d2_by_identity(spark, sf):
     return D.with_dropped(e, kept, "event_type", "event_id")
 
 
-@query("SELECT min(event_id) AS event_id FROM events GROUP BY user_id")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id || '/' || event_id % 7 END AS pid, event_type || CAST(value AS INT) AS title FROM events),
+  a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY event_id) AS n FROM e) WHERE pid IS NULL OR n = 1)
+  SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY title ORDER BY event_id) AS m FROM a) WHERE m = 1""")
 def d3_cross_source(spark, sf):
-    return D.first_by(table(spark, sf, "events"), F.col("user_id").cast("string"), "event_id").select("event_id")
+    pid = F.when(F.col("event_id") % 3 != 0, F.concat("user_id", F.lit("/"), F.col("event_id") % 7))
+    e = table(spark, sf, "events").withColumn("pid", pid)
+    return D.dedup_cross_source(e, "pid", F.concat("event_type", F.round("value").cast("int")), "event_id").select("event_id")
 
 
 @query()
 def d4_greedy_or(spark, sf):
-    digest = lambda c: F.coalesce(F.sha2(c, 256), F.concat(F.lit("row "), F.col("doc_id").cast("string")))
     words = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    d = table(spark, sf, "documents").select("doc_id", digest(F.col("text")).alias("u"), digest(words).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("u"), F.sha2(words, 256).alias("t"))
     return D.dedup_greedy_or(d, "u", "t", "doc_id").select("doc_id")
 
 
+@query()
+def d4_greedy_or_links(spark, sf):
+    """Lines of orders as links, supplier and order as URL, part as title: keys that cross, some of them blank."""
+    rows = table(spark, sf, "lineitem")
+    u = F.when(F.col("l_linenumber") != 3, F.concat(F.lit("s"), "l_suppkey", F.lit("/"), F.col("l_orderkey") % 40)).otherwise("")
+    t = F.when(F.col("l_linenumber") != 5, F.concat(F.lit("p"), "l_partkey"))
+    return D.dedup_greedy_or(rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), u.alias("u"), t.alias("t")), "u", "t").select("seq")
+
+
 @query("SELECT s_nationkey, min(s_suppkey) AS s_suppkey, bool_or(s_suppkey % 3 = 0) AS core FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 <> 0, s_suppkey) AS n FROM supplier) WHERE n = 1 GROUP BY 1")
 def d5_merge_account_lists(spark, sf):
     s = table(spark, sf, "supplier")

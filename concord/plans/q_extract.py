@@ -149,19 +149,28 @@ def f19_articles_to_raw(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.col("url").alias("source_url"), F.coalesce(own, "url").alias("source_article_id"))
 
 
-@query(titles_sql("'EVT_' || upper(substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_name || '|' || '2026' || '|' || title || '|')), 1, 12)) AS v"))
+@query(titles_sql("'EVT-' || upper(substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_name || '|' || '2026' || '|' || title || '|')), 1, 12)) AS v"))
 def i1_event_id(spark, sf):
     return titles(spark, sf).select("p_partkey", E.event_id(F.col("p_name"), F.lit(2026), F.col("title"), F.lit(None)).alias("v"))
 
 
-@query("SELECT event_id, 'ART_' || substr(sha256(CASE WHEN event_id % 2 = 0 THEN 'p' || event_id ELSE event_type || '|' || user_id || '|' || event_id END), 1, 24) AS v FROM events")
+@query("""SELECT event_id, 'WX-' || substr(upper(sha256(CASE event_id % 3 WHEN 0 THEN 'MzA' || user_id || ':' || event_id || ':1'
+  WHEN 1 THEN event_type || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+08:00|' || 'big news ' || event_id
+  ELSE event_type || '|soon|abc ' || event_id END)), 1, 24) AS v FROM events""")
 def i2_article_id(spark, sf):
-    own = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("p"), F.col("event_id").cast("string")))
-    return table(spark, sf, "events").select("event_id", E.article_id(own, F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("v"))
+    e, k = table(spark, sf, "events"), F.col("event_id") % 3
+    biz, mid, idx = F.concat(F.lit("MzA"), "user_id"), F.when(k == 0, F.col("event_id").cast("string")), F.lit("1")
+    time = F.when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
+    title = F.concat(F.when(k == 1, " BIG News ").otherwise(" ＡＢc "), "event_id")
+    return e.select("event_id", E.article_id(biz, mid, idx, F.upper("event_type"), time, title).alias("v"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'id:' || o_custkey WHEN 1 THEN 'url:' || o_orderpriority ELSE 'title:' || o_orderstatus || '|' || o_orderkey END AS v FROM orders")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'platform|' || o_orderstatus || '|' || o_custkey
+  WHEN 1 THEN 'url|x.org/event/' || o_custkey WHEN 2 THEN 'listing_event|' || o_orderstatus || '|' || replace(lower(o_orderpriority), ' ', '') || '|' || strftime(o_orderdate, '%Y-%m-%d')
+  ELSE 'listing_url|' || o_orderstatus || '|x.org/hackathons' END AS v FROM orders""")
 def i3_candidate_identity(spark, sf):
-    o = table(spark, sf, "orders")
-    a, b = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("id:"), F.col("o_custkey").cast("string"))), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("url:"), F.col("o_orderpriority")))
-    return o.select("o_orderkey", F.coalesce(a, b, F.concat(F.lit("title:"), F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")))).alias("v"))
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey") % 4
+    url = F.when(k == 1, F.concat(F.lit("https://www.x.org/event/"), "o_custkey", F.lit("/"))).otherwise("https://x.org/hackathons")
+    title = F.when(k <= 2, F.concat(F.lit("【"), "o_orderpriority", F.lit("】")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    return o.select("o_orderkey", E.candidate_identity(F.when(k == 0, F.col("o_custkey").cast("string")), F.col("o_orderstatus"), url, title, day).alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concord.operators import rank as R
-from concord.operators.dedup import cap_round_robin
+from concord.operators.dedup import cap_round_robin, in_blocks
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
 from concord.plans.registry import query, table
 
@@ -41,12 +41,10 @@ def w4_deadline_reminders(spark, sf):
     return e.withColumn("n", F.row_number().over(order)).filter("n <= 50").select("event_id", "status", days.alias("days"))
 
 
-@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY ORDER BY ts DESC, event_id DESC LIMIT 500")
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 14 DAY ORDER BY ts DESC, event_id DESC LIMIT 500")
 def w5_prune_state(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    newest = e.agg(F.max("ts").alias("newest"))
-    recent = e.join(F.broadcast(newest)).filter(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 14 DAY"))
-    return recent.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id")
+    return R.prune_state(e, "ts", "event_id", F.lit("2024-01-20").cast("timestamp"), 14, 500).select("event_id")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
@@ -126,10 +124,10 @@ def r1_json_array(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Every 20th customer as a profile, each of the sizes of part as an event."""
-    c = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(
+    """The stated query set, every 50th customer, as profiles; all parts as events."""
+    c = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(
         F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("major"), F.array(F.lit("STEEL"), F.lower(F.substring("c_name", 1, 3))).alias("interests"))
-    p = table(spark, sf, "part").filter("p_partkey <= 200").select(
+    p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("seq"), F.lower("p_name").alias("target_major"), F.col("p_type").alias("category"), F.col("p_size").alias("days"),
         F.when(F.col("p_partkey") % 3 == 0, "国家级").otherwise("省级").alias("level"), (F.col("p_partkey") % 5 == 0).alias("approved"))
     return c, p
@@ -145,30 +143,47 @@ _SCORE = """(SELECT c_custkey AS user_id, p_partkey AS seq, CASE WHEN contains(l
   + CASE WHEN contains(lower(p_type), 'steel') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(p_type), lower(substr(c_name, 1, 3))) THEN 1.0 ELSE 0.0 END
   + CASE WHEN p_partkey % 5 = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN p_partkey = c_custkey THEN 5.0 ELSE 0.0 END
   + CASE WHEN p_size BETWEEN 0 AND 7 THEN 3.0 WHEN p_size <= 30 THEN 2.0 WHEN p_size > 0 THEN 1.0 ELSE 0.0 END
-  + CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 1.0 END AS score FROM customer, part WHERE c_custkey % 20 = 0 AND p_partkey <= 200)"""
+  + CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 1.0 END AS score FROM customer, part WHERE c_custkey % 50 = 0)"""
 
 
 @query(f"SELECT user_id, seq, CAST(score AS DOUBLE) AS score FROM {_SCORE}")
 def r2_relevance_score(spark, sf):
     c, p = _pairs(spark, sf)
-    return c.crossJoin(F.broadcast(p)).select("user_id", "seq", R.relevance_score(_on()).alias("score"))
+    return in_blocks(c, p).select("user_id", "seq", R.relevance_score(_on()).alias("score"))
+
 
+#: Parts dressed as events with all that reasons are made of, alike in Spark and DuckDB.
+_REASON_PARTS = """SELECT p_partkey AS seq, lower(p_name) AS target_major, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '2021,2022' END AS target_grade, p_type AS category,
+  CASE WHEN p_size % 10 <> 0 THEN p_size - 3 END AS days, CASE p_partkey % 4 WHEN 0 THEN '国际级' WHEN 1 THEN '国家级' WHEN 2 THEN '省级' ELSE '校级' END AS level, p_partkey % 5 = 0 AS approved,
+  CASE p_partkey % 6 WHEN 0 THEN '教育部高等教育司（北京）某某办公室' ELSE p_brand END AS organizer, p_partkey % 4 AS policy, p_partkey % 7 AS tag FROM part"""
+_REASON_USERS = "SELECT c_custkey AS user_id, lower(c_mktsegment) AS major, CASE WHEN c_custkey % 4 = 0 THEN '2022' ELSE '2023' END AS grade FROM customer WHERE c_custkey % 50 = 0"
 
-@query(f"SELECT user_id, seq, CASE WHEN seq % 5 = 0 THEN 'approved;' ELSE '' END || CASE WHEN seq = user_id THEN 'followed;' ELSE '' END AS reasons FROM {_SCORE}")
+
+@query(f"""SELECT user_id, seq, array_to_string(list_filter([CASE WHEN contains(target_major, major) THEN '专业核心竞赛（' || major || '）' END,
+  CASE WHEN target_grade = '' THEN NULL WHEN contains(target_grade, grade) THEN '适合当前年级（' || grade || '）' ELSE '可跨年级参与' END,
+  CASE WHEN policy = 1 THEN '保研加分项' END, CASE WHEN policy = 2 THEN '综测加分项' END, CASE WHEN policy = 3 THEN '奖学金评定相关' END, CASE WHEN policy = 2 THEN '五育认定' END,
+  CASE WHEN approved THEN '教育部官方认证竞赛' END, CASE level WHEN '国际级' THEN '国际级高含金量赛事' WHEN '国家级' THEN '国家级权威竞赛' WHEN '省级' THEN '省级竞赛' END,
+  CASE WHEN days IS NULL THEN '报名时间待确认，建议主动查询' WHEN days BETWEEN 0 AND 3 THEN '⏰ 即将截止（仅剩' || days || '天）' WHEN days BETWEEN 4 AND 7 THEN '本周截止（' || days || '天）'
+    WHEN days BETWEEN 8 AND 30 THEN '本月截止（' || days || '天）' ELSE '充裕准备时间（' || days || '天）' END,
+  CASE WHEN tag = 1 THEN '经典数学建模赛事' END, CASE WHEN tag = 2 THEN '创新创业类竞赛' END, CASE WHEN tag = 3 THEN '程序设计竞赛' END,
+  CASE WHEN contains(organizer, '教育部') THEN '权威主办方（' || substr(organizer, 1, 15) || '）' END], lambda x: x IS NOT NULL), '|') AS reasons
+  FROM ({_REASON_USERS}) u, ({_REASON_PARTS}) p""")
 def r3_reasons(spark, sf):
-    c, p = _pairs(spark, sf)
-    why = F.array_compact(F.array(F.when(F.col("approved"), "approved;"), F.when(F.col("seq") == F.col("user_id"), "followed;")))
-    return c.crossJoin(F.broadcast(p)).select("user_id", "seq", F.array_join(why, "").alias("reasons"))
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    words = lambda c, *kinds: F.element_at(F.array(*[F.array(*map(F.lit, k)).cast("array<string>") for k in kinds]), F.col(c).cast("int") + 1)
+    p = spark.sql(_REASON_PARTS).withColumn("policy_tags", words("policy", [], ["保研明确相关"], ["综测加分", "五育A"], ["奖学金评定"]))
+    p = p.withColumn("tags", words("tag", [], ["全国数学建模"], ["创新创业"], ["ACM-x"], [], [], []))
+    names = ("major", "grade", "target_major", "target_grade", "category", "days", "level", "approved", "organizer", "policy_tags", "tags")
+    pairs = in_blocks(spark.sql(_REASON_USERS), p)
+    return pairs.select("user_id", "seq", F.array_join(R.recommendation_reasons({c: F.col(c) for c in names}), "|").alias("reasons"))
 
 
 @query()
 def r3_recommendation_reasons(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("major"))
-    p = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("seq"), F.lower("p_name").alias("target_major"), F.col("p_type").alias("category"), F.col("p_size").alias("days"),
-        F.when(F.col("p_partkey") % 3 == 0, "国家级").otherwise("省级").alias("level"), (F.col("p_partkey") % 5 == 0).alias("approved"), F.col("p_brand").alias("organizer"))
-    cols = {k: F.col(k) for k in ("major", "target_major", "category", "days", "level", "approved", "organizer")}
-    return c.crossJoin(p).select("user_id", "seq", R.recommendation_reasons({**_on(), **cols}).alias("reasons"))
+    c, p = _pairs(spark, sf)
+    p = p.join(table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("organizer")), "seq")
+    return in_blocks(c, p).select("user_id", "seq", R.recommendation_reasons({**_on(), "organizer": F.col("organizer")}).alias("reasons"))
 
 
 @query(f"SELECT user_id, seq, CAST(score AS DOUBLE) AS score, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, seq) AS n FROM {_SCORE}) WHERE n <= 5")
@@ -193,7 +208,7 @@ _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE)
 
 
 @query(f"""SELECT query_id, vec_id, CAST(n AS INT) AS rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM
-  (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_COS} / ({_NORM.format('v')} * {_NORM.format('q')}) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE score >= 0.3) WHERE n <= 5""")
+  (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_COS} / ({_NORM.format('v')} * {_NORM.format('q')}) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE score >= 0.3) WHERE n <= 5""")
 def r7_vector_top_k(spark, sf):
     v = table(spark, sf, "embeddings")
-    return R.vector_top_k(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v).select("query_id", "vec_id", "rank")
+    return R.vector_top_k(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v).select("query_id", "vec_id", "rank")

@@ -57,13 +57,15 @@ def p2_is_meaningful(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", v.alias("v")).withColumn("meaningful", X.is_meaningful(F.col("v")))
 
 
-def query_events(df, *, scope_type=None, category=None, status=None, keyword=None, days_within=None, now=NOW, limit=50):
-    """Events by equality, substring of the title and a deadline window from now on, nearest deadline first, unknown last."""
-    for c, v in (("scope_type", scope_type), ("category", category), ("status", status)):
+def query_events(df, *, scope_type=None, category=None, status=None, contest_level=None, target_major=None, target_grade=None, keyword=None, days_within=None, now=NOW, limit=50):
+    """Events by equality, by substrings (title, major, grade) and a deadline window from now on, nearest deadline first,
+    unknown last."""
+    for c, v in (("scope_type", scope_type), ("category", category), ("status", status), ("contest_level", contest_level)):
         if v is not None:
             df = df.filter(F.col(c) == v)
-    if keyword:
-        df = df.filter(F.col("title").ilike(f"%{keyword}%"))
+    for c, v in (("title", keyword), ("target_major", target_major), ("target_grade", target_grade)):
+        if v:
+            df = df.filter(F.contains(F.lower(F.col(c)), F.lower(F.lit(v))))
     at = F.lit(now).cast("timestamp")
     if days_within and days_within > 0:
         df = df.filter(F.col("deadline").between(at, at + F.expr(f"INTERVAL {days_within} DAY")))
@@ -71,10 +73,12 @@ def query_events(df, *, scope_type=None, category=None, status=None, keyword=Non
 
 
 @query(f"""SELECT event_id, title, strftime(deadline, '%Y-%m-%d') AS deadline FROM {EVENTS_SQL}
-  WHERE scope_type = 'national' AND title ILIKE '%urgent%' AND deadline BETWEEN TIMESTAMP '{NOW}' AND TIMESTAMP '{NOW}' + INTERVAL 60 DAY
+  WHERE scope_type = 'national' AND title ILIKE '%urgent%' AND event_id % 2 = 0 AND event_id % 7 < 5 AND deadline BETWEEN TIMESTAMP '{NOW}' AND TIMESTAMP '{NOW}' + INTERVAL 180 DAY
   ORDER BY deadline ASC NULLS LAST, event_id LIMIT 50""")
 def p3_query_events(spark, sf):
-    got = query_events(as_events(spark, sf), scope_type="national", keyword="urgent", days_within=60)
+    events = as_events(spark, sf).withColumn("contest_level", F.when(F.col("event_id") % 2 == 0, "国家级").otherwise("省级"))
+    events = events.withColumn("target_major", F.when(F.col("event_id") % 7 < 5, "Physics, AI").otherwise("Law"))
+    got = query_events(events, scope_type="national", contest_level="国家级", target_major="physics", keyword="urgent", days_within=180)
     return got.select("event_id", "title", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
 
 
@@ -84,19 +88,19 @@ def p4_event_detail(spark, sf):
 
 
 def _words(spark, sf):
-    """Document heads as titles, some with a promotion word."""
+    """Documents' texts as titles, some with a promotion word."""
     word = F.element_at(F.array(F.lit("培 训"), F.lit("GRE"), F.lit("会员"), F.lit(""), F.lit("付费")), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), word).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", F.concat("text", word).alias("title"))
 
 
-_WORDS_SQL = "(SELECT doc_id, substr(text, 1, 40) || CASE doc_id % 5 WHEN 0 THEN '培 训' WHEN 1 THEN 'GRE' WHEN 2 THEN '会员' WHEN 3 THEN '' ELSE '付费' END AS title FROM documents)"
+_WORDS_SQL = "(SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '培 训' WHEN 1 THEN 'GRE' WHEN 2 THEN '会员' WHEN 3 THEN '' ELSE '付费' END AS title FROM documents)"
 
 
 def _alternation(words):
     return X.quoted(words).replace("'", "''")
 
 
-@query(f"SELECT doc_id, regexp_matches(regexp_replace(lower(title), '[\\s（()）【\\[\\]《》<>「」】]', '', 'g'), '{_alternation(X.PROMOTIONS_1)}') AS promotion FROM {_WORDS_SQL}")
+@query(f"SELECT doc_id, regexp_matches(regexp_replace(lower(title), '{X.PROMOTION_MARKS}', '', 'g'), '{_alternation(X.PROMOTIONS_1)}') AS promotion FROM {_WORDS_SQL}")
 def p5_promotions_1(spark, sf):
     return _words(spark, sf).select("doc_id", X.is_promotion(F.col("title"), 1).alias("promotion"))
 
@@ -135,11 +139,11 @@ def p10_listing_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.expr(_LIST_URL).alias("u")).select("page_id", X.is_listing_url(F.col("u")).alias("listing"))
 
 
-_ANY_URL = "CASE page_id % 6 WHEN 0 THEN 'http://192.168.1.4/a' WHEN 1 THEN 'file:///etc/x' WHEN 2 THEN 'http://localhost:80/' WHEN 3 THEN 'http://172.20.0.1/x' ELSE url END"
+_ANY_URL = """CASE page_id % 12 WHEN 0 THEN 'http://192.168.1.' || page_id % 250 || '/a' WHEN 1 THEN 'file:///etc/x' WHEN 2 THEN 'http://localhost:80/' WHEN 3 THEN 'http://172.20.0.1/x'
+  WHEN 4 THEN 'http://10.example.com/' || page_id WHEN 5 THEN 'http://127.evil.org/' WHEN 6 THEN 'http://printer.local/' WHEN 7 THEN 'http://172.32.0.1/x' WHEN 8 THEN 'http://[fe80::1]/x' ELSE url END"""
 
 
-@query(f"""SELECT page_id, regexp_matches(u, '^https?://') AND NOT regexp_matches(lower(regexp_extract(u, '^https?://([^/?#:]*)', 1)),
-  '^(localhost|.*\\.local|127\\..*|10\\..*|192\\.168\\..*|169\\.254\\..*|0\\.0\\.0\\.0|172\\.(1[6-9]|2[0-9]|3[01])\\..*|)$') AS public FROM (SELECT page_id, {_ANY_URL} AS u FROM pages)""")
+@query("SELECT page_id, page_id % 12 NOT IN (0, 1, 2, 3, 8) AS public FROM pages")
 def p11_public_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.is_public_url(F.expr(_ANY_URL)).alias("public"))
 
@@ -184,11 +188,13 @@ def p17_known_publisher(spark, sf):
     return events.join(F.broadcast(keys), F.lower("event_type") == F.col("k"), "left").select("event_id", F.col("k").isNotNull().alias("known"))
 
 
-@query(f"SELECT event_id FROM {EVENTS_SQL} WHERE start >= TIMESTAMP '{NOW}'")
+@query(f"""SELECT event_id FROM {EVENTS_SQL} WHERE CASE event_id % 4 WHEN 0 THEN start + INTERVAL 40 DAY >= TIMESTAMP '{NOW}' WHEN 1 THEN start >= TIMESTAMP '{NOW}'
+  WHEN 2 THEN true ELSE deadline >= TIMESTAMP '{NOW}' END""")
 def p18_drop_finished(spark, sf):
-    e = as_events(spark, sf)
-    at = F.coalesce("start", "deadline")
-    return e.filter(at.isNull() | (at >= F.lit(NOW).cast("timestamp"))).select("event_id")
+    e, k = as_events(spark, sf), F.col("event_id") % 4
+    end = F.when(k == 0, F.col("start") + F.expr("INTERVAL 40 DAY")).when(k == 3, F.col("deadline"))
+    own = e.withColumn("end", end).withColumn("start", F.when(k != 2, F.col("start")))
+    return X.drop_finished(own, "end", "start", F.lit(NOW).cast("timestamp")).select("event_id")
 
 
 @query(f"SELECT event_id FROM {EVENTS_SQL} WHERE status IN ('O', 'P') AND deadline >= TIMESTAMP '{NOW}'")
@@ -225,21 +231,14 @@ _title_query("n7_search_keyword", X.search_keyword, f"substr(CASE WHEN length({_
 _title_query("n8_catalog_name_key", lambda c: X.catalog_name_key(F.concat(c, F.lit("竞赛"))), r"trim(regexp_replace(regexp_replace(title || '竞赛', '[（(][^)）]*[)）]', '', 'g'), '竞赛$', ''))")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(names):
-    import unicodedata
+#: Names of accounts in full-width letters, with dots, dashes and brackets; what they come to is written out by hand.
+_ACCOUNT = "CASE s_suppkey % 4 WHEN 0 THEN ' ＡＢ·c•D_e ' || s_suppkey WHEN 1 THEN 'x—y（z）(w)[v].' || s_suppkey WHEN 2 THEN s_name ELSE NULL END"
+_ACCOUNT_KEY = "CASE s_suppkey % 4 WHEN 0 THEN 'abcde' || s_suppkey WHEN 1 THEN 'xyzw[v].' || s_suppkey WHEN 2 THEN replace(lower(replace(s_name, '#', '#')), '-', '') ELSE NULL END"
 
-    return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
-
-def account_key(c):
-    """NFKC, lower case, without spaces, dots, dashes and brackets."""
-    return F.regexp_replace(F.lower(F.trim(_nfkc(c))), r"[\s.·\-_()（）\[\]【】]", "")
-
-
-@query(r"SELECT s_suppkey, regexp_replace(lower(trim(s_name)), '[\s.\-_()]', '', 'g') AS v FROM supplier")
+@query(f"SELECT s_suppkey, regexp_replace({_ACCOUNT_KEY}, '\\s', '', 'g') AS v FROM supplier")
 def n9_account_key(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", account_key(F.col("s_name")).alias("v"))
+    return table(spark, sf, "supplier").select("s_suppkey", X.account_key(F.expr(_ACCOUNT)).alias("v"))
 
 
 _PATH = "rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from concord.functions import dates as D
 from concord.functions import times as T
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
 from concord.plans.registry import query, table
@@ -57,27 +58,35 @@ def t3_days_remaining(spark, sf):
 @query(f"SELECT event_id, CASE WHEN s < deadline THEN NULL ELSE strftime(s, '%Y-%m-%d') END AS start FROM (SELECT event_id, deadline, CASE WHEN event_id % 2 = 0 THEN start - INTERVAL 60 DAY ELSE start END AS s FROM {EVENTS_SQL})")
 def t4_timeline(spark, sf):
     e = as_events(spark, sf).withColumn("s", F.when(F.col("event_id") % 2 == 0, F.col("start") - F.expr("INTERVAL 60 DAY")).otherwise(F.col("start")))
-    return e.select("event_id", F.date_format(F.when(F.col("s") < F.col("deadline"), None).otherwise(F.col("s")), "yyyy-MM-dd").alias("start"))
+    return e.select("event_id", F.date_format(T.timeline(F.col("deadline"), F.col("s")), "yyyy-MM-dd").alias("start"))
 
 
-_STATUS_SQL = f"CASE WHEN deadline IS NULL THEN 'none' WHEN floor((epoch_us(deadline) - epoch_us(TIMESTAMP '{NOW}')) / 86400000000.0) < 0 THEN 'expired' WHEN floor((epoch_us(deadline) - epoch_us(TIMESTAMP '{NOW}')) / 86400000000.0) <= 3 THEN 'closing' ELSE 'open' END"
+_STATUS_SQL = f"""CASE WHEN deadline IS NULL THEN '暂无本届信息' WHEN floor((epoch_us(deadline) - epoch_us(TIMESTAMP '{NOW}')) / 86400000000.0) < 0 THEN '已截止'
+  WHEN floor((epoch_us(deadline) - epoch_us(TIMESTAMP '{NOW}')) / 86400000000.0) <= 3 THEN '即将截止' ELSE '报名中' END"""
 
 
 @query(f"SELECT event_id, {_STATUS_SQL} AS state FROM {EVENTS_SQL}")
 def t5_status(spark, sf):
-    return as_events(spark, sf).select("event_id", T.status_of(F.col("deadline"), AT()).alias("state"))
+    return as_events(spark, sf).select("event_id", T.state_name(T.status_of(F.col("deadline"), AT())).alias("state"))
 
 
-@query(f"SELECT status AS old, {_STATUS_SQL} AS new, count(*) AS n FROM {EVENTS_SQL} WHERE status <> {_STATUS_SQL} GROUP BY ALL")
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 12 = 7 THEN '暂无本届信息' WHEN ts IS NULL THEN '待确认' WHEN ts < TIMESTAMP '{NOW}' THEN '已截止'
+  WHEN ts < TIMESTAMP '{NOW}' + INTERVAL 4 DAY THEN '即将截止' ELSE '报名中' END AS state FROM {_PARSED}""")
+def t5_status_of_text(spark, sf):
+    text = F.when(F.col("o_orderkey") % 12 != 7, F.expr(_SPARK_FORMS)).otherwise("")
+    return table(spark, sf, "orders").select("o_orderkey", T.state_name(T.status_of_text(text, AT())).alias("state"))
+
+
+@query(f"SELECT status AS old, {_STATUS_SQL} AS new, count(*) AS n FROM (SELECT deadline, CASE WHEN event_id % 3 = 0 THEN '报名中' ELSE '已截止' END AS status FROM {EVENTS_SQL}) WHERE status <> {_STATUS_SQL} GROUP BY ALL")
 def t6_refresh_status(spark, sf):
-    new = as_events(spark, sf).withColumn("new", T.status_of(F.col("deadline"), AT()))
-    return new.filter(F.col("status") != F.col("new")).groupBy(F.col("status").alias("old"), "new").agg(F.count("*").alias("n"))
+    e = as_events(spark, sf).withColumn("status", F.when(F.col("event_id") % 3 == 0, T.STATES["open"]).otherwise(T.STATES["expired"]))
+    _, changed = T.refresh_status(e, "deadline", "status", AT())
+    return changed.groupBy(F.col("status").alias("old"), F.col("_new").alias("new")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, strftime(to_timestamp(event_id * 1000) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') AS v FROM events")
 def t7_epoch_to_ts(spark, sf):
-    local = F.from_utc_timestamp(F.timestamp_seconds(F.col("event_id") * 1000), "Asia/Shanghai")
-    return table(spark, sf, "events").select("event_id", F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss").alias("v"))
+    return table(spark, sf, "events").select("event_id", T.epoch_to_iso(F.col("event_id") * 1000).alias("v"))
 
 
 _REG = "CASE event_id % 7 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' WHEN 2 THEN 'upcoming' ELSE NULL END"
@@ -110,65 +119,89 @@ def t9_labelled_dates(spark, sf):
     )
 
 
-def dates_in(c):
-    """The distinct ISO dates of a text, in order."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d{4}-\d{2}-\d{2})"), 1))
+#: An order's date and the one nine days later in text, by parts; {y} and so on are filled in for Spark and for DuckDB.
+def _dated(form: str, spark: bool) -> str:
+    for key, (java, c) in {"ISO": ("yyyy-MM-dd", "%Y-%m-%d"), "NAME": ("MMMM d", "%B %-d"), "SHORT": ("MMM d", "%b %-d"), "DAY": ("d MMMM", "%-d %B"), "YEAR": ("yyyy", "%Y"), "CN": ("yyyy年M月d日", "%Y年%-m月%-d日"), "CNSHORT": ("M月d日", "%-m月%-d日"), "DD": ("d", "%-d")}.items():
+        for name, col in (("A", "o_orderdate"), ("B", "o_orderdate + INTERVAL 9 DAY")):
+            form = form.replace("{" + key + name + "}", f"' || date_format({col}, '{java}') || '" if spark else f"' || strftime({col}, '{c}') || '")
+    return form
+
+
+def _texts(forms: list[str], spark: bool) -> str:
+    return "CASE " + " ".join(f"WHEN o_orderkey % {len(forms)} = {i} THEN '{_dated(f, spark)}'" for i, f in enumerate(forms)) + " END"
+
 
+def _notices(spark, sf, forms):
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(_texts(forms, True)).alias("t"))
 
-@query("""SELECT o_orderkey, d AS first_date, e AS second_date FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d,
-  strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') AS e FROM orders)""")
+
+_D, _E = "strftime(o_orderdate, '%Y-%m-%d')", "strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d')"
+_FAR = "and so on " * 25
+_TWO = [
+    "Apply here. Registration deadline: {ISOA}; hackathon begins: {ISOB}", "deadline: {NAMEA}th, {YEARA}", "Apply by {SHORTA}", "报名截止：{CNA}，地点待定",
+    "活动时间：{CNA}", "{CNA}至{CNB} 报名", "no date at all", "on {ISOA} and again {ISOA}, then {ISOB}",
+]
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 2 THEN strftime(try_cast('1996' || strftime(o_orderdate, '-%m-%d') AS DATE), '%Y-%m-%d') WHEN 5 THEN {_E} WHEN 6 THEN NULL ELSE {_D} END AS deadline,
+  CASE o_orderkey % 8 WHEN 0 THEN {_E} WHEN 4 THEN {_D} WHEN 5 THEN {_D} WHEN 7 THEN {_E} END AS event_time, o_orderkey % 8 NOT IN (1, 2, 6) AS has_full FROM orders""")
 def t10_two_dates(spark, sf):
-    day, later = "date_format(o_orderdate, 'yyyy-MM-dd')", "date_format(o_orderdate + INTERVAL 9 DAY, 'yyyy-MM-dd')"
-    found = dates_in(F.expr(f"'Apply by ' || {day} || ' (' || {day} || '), starts ' || {later}"))
-    return table(spark, sf, "orders").select("o_orderkey", F.get(found, F.lit(0)).alias("first_date"), F.get(found, F.lit(1)).alias("second_date"))
+    found = _notices(spark, sf, _TWO).select("o_orderkey", D.two_dates(F.col("t"), 1996).alias("x"))
+    return found.select("o_orderkey", F.col("x.signup_deadline").alias("deadline"), "x.event_time", F.col("x.has_full_deadline").alias("has_full"))
 
 
-def scored_dates(df, text, near=100):
-    """(columns of df, place, date, deadline_score, start_score): every ISO date with the keywords around it counted. The
-    offsets are running sums over the pieces between the dates."""
-    pieces = F.split(text, r"\d{4}-\d{2}-\d{2}")
-    found = F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), 1)
-    rows = df.withColumn("_p", pieces).select(*df.columns, "_p", F.posexplode(found).alias("place", "date"))
-    before = F.lower(F.right(F.get("_p", F.col("place")), F.lit(near)))
-    count = lambda words: sum((before.contains(w).cast("int") for w in words), F.lit(0))
-    return rows.select(*df.columns, "place", "date", count(["deadline", "apply", "due", "close"]).alias("deadline_score"), count(["start", "begin", "kick", "takes place"]).alias("start_score"))
+_SCORED = [
+    "The event starts {ISOA}. " + _FAR + "Last day: {DAYB} {YEARB}, registration deadline", "applications close on {NAMEA}, {YEARA} " + _FAR + "hackathon date {CNB}",
+    "applications open on {ISOA} " + _FAR + "deadline {ISOB}", "just {ISOA} and {ISOB}", "deadline 1997-02-30 or {ISOB}",
+]
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') AS deadline, strftime(o_orderdate, '%Y-%m-%d') AS start FROM orders""")
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN {_D} WHEN 3 THEN NULL ELSE {_E} END AS deadline,
+  CASE o_orderkey % 5 WHEN 0 THEN {_D} WHEN 1 THEN {_E} END AS event_start, CASE o_orderkey % 5 WHEN 2 THEN {_D} END AS opens FROM orders""")
 def t11_scored_dates(spark, sf):
-    day, later = "date_format(o_orderdate, 'yyyy-MM-dd')", "date_format(o_orderdate + INTERVAL 9 DAY, 'yyyy-MM-dd')"
-    df = table(spark, sf, "orders").select("o_orderkey", F.expr(f"'The event starts ' || {day} || '. Deadline to apply: ' || {later}").alias("t"))
-    rows = scored_dates(df, F.col("t"))
-    role = lambda s, o: F.max_by("date", F.when(F.col(s) > F.col(o), F.struct(F.col(s), -F.col("place"))))
-    return rows.groupBy("o_orderkey").agg(role("deadline_score", "start_score").alias("deadline"), role("start_score", "deadline_score").alias("start"))
+    roles = D.assign_dates(D.scored_dates(F.col("t")))
+    found = _notices(spark, sf, _SCORED).select("o_orderkey", roles.alias("x"))
+    return found.select("o_orderkey", F.col("x.signup_deadline").alias("deadline"), "x.event_start", F.col("x.registration_open_time").alias("opens"))
 
 
-_RANGE = "date_format(o_orderdate, 'MMM d') || ' - ' || date_format(o_orderdate + INTERVAL 4 DAY, 'MMM d')"
+_RANGES = [
+    "{NAMEA}-{DDB}, {YEARA}", "{NAMEA} to {NAMEB}, {YEARA}", "{SHORTA} - {SHORTB} in 2027", "{DDA}-{DAYB} {YEARB}", "{ISOA} - {ISOB}", "报名截止 {CNA}至{CNB}",
+    "{CNA}到{CNSHORTB}", "apply by {SHORTA} - {SHORTB}", "no range",
+]
+#: The day of B in the month of A, and of A in the month of B; in a given year. Null where there is none.
+_MIX = "strftime(try_cast(strftime({m}, '{y}-%m-') || strftime({d}, '%d') AS DATE), '%Y-%m-%d')"
+_B = "o_orderdate + INTERVAL 9 DAY"
 
 
-@query("""SELECT o_orderkey, strftime(make_date(1997, month(o_orderdate), day(o_orderdate)), '%Y-%m-%d') AS first_day,
-  strftime(make_date(1997, month(o_orderdate + INTERVAL 4 DAY), day(o_orderdate + INTERVAL 4 DAY)), '%Y-%m-%d') AS last_day
-  FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) >= 25)""")
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 5 THEN {_E} WHEN 7 THEN {_MIX.format(m=_B, d=_B, y='1996')} END AS deadline,
+  CASE o_orderkey % 9 WHEN 0 THEN {_D} WHEN 1 THEN {_D} WHEN 2 THEN {_MIX.format(m='o_orderdate', d='o_orderdate', y='2027')} WHEN 3 THEN {_MIX.format(m=_B, d='o_orderdate', y='%Y')}
+    WHEN 4 THEN {_D} WHEN 6 THEN {_D} END AS first_day,
+  CASE o_orderkey % 9 WHEN 0 THEN {_MIX.format(m='o_orderdate', d=_B, y='%Y')} WHEN 1 THEN {_MIX.format(m='o_orderdate', d=_B, y='%Y')} WHEN 2 THEN {_MIX.format(m=_B, d=_B, y='2027')}
+    WHEN 3 THEN {_E} WHEN 4 THEN {_E} WHEN 6 THEN strftime(try_cast(strftime(o_orderdate, '%Y') || strftime({_B}, '-%m-%d') AS DATE), '%Y-%m-%d') END AS last_day FROM orders""")
 def t12_ranges(spark, sf):
-    return _ranges(spark, sf)
+    found = _notices(spark, sf, _RANGES).select("o_orderkey", D.ranges(F.col("t"), 1996).alias("x"))
+    return found.select("o_orderkey", F.col("x.signup_deadline").alias("deadline"), F.col("x.event_start").alias("first_day"), F.col("x.event_end").alias("last_day"))
 
 
-def _ranges(spark, sf):
-    got = T.range_dates(F.expr(_RANGE), 1997)
-    rows = table(spark, sf, "orders").filter("not (month(o_orderdate) = 2 and day(o_orderdate) >= 25)")
-    return rows.select("o_orderkey", got["start"].cast("string").alias("first_day"), got["end"].cast("string").alias("last_day"))
+_PLATFORM = ["{SHORTA} - {SHORTB}, 2027", "{SHORTA} - {SHORTB}", "soon", "{ISOA} - {ISOB}"]
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '2027-08-22' END AS first_day, CASE WHEN o_orderkey % 2 = 0 THEN '2027-08-24' END AS last_day FROM orders")
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN {_MIX.format(m='o_orderdate', d='o_orderdate', y='2027')} WHEN 1 THEN {_MIX.format(m='o_orderdate', d='o_orderdate', y='1997')} END AS first_day,
+  CASE o_orderkey % 4 WHEN 0 THEN {_MIX.format(m=_B, d=_B, y='2027')} WHEN 1 THEN {_MIX.format(m=_B, d=_B, y='1997')} END AS last_day FROM orders""")
 def t13_range_text(spark, sf):
-    got = T.range_dates(F.when(F.col("o_orderkey") % 2 == 0, "AUG 22 - 24").otherwise("AUG 32 - 40"), 2027)
+    got = T.range_dates(F.expr(_texts(_PLATFORM, True)), 1997)
     return table(spark, sf, "orders").select("o_orderkey", got["start"].cast("string").alias("first_day"), got["end"].cast("string").alias("last_day"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'range' WHEN o_orderkey % 3 = 1 THEN 'context' ELSE 'listed' END AS v FROM orders")
+_MIXED = ["Dates: {ISOA} - {ISOB}", "The event starts {ISOA}", "come along", "register by {ISOB}"]
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN {_E} ELSE '1995-01-01' END AS deadline,
+  CASE o_orderkey % 4 WHEN 0 THEN {_D} WHEN 1 THEN {_D} ELSE '1995-01-02' END AS first_day, CASE o_orderkey % 4 WHEN 0 THEN {_E} ELSE '1995-01-03' END AS last_day FROM orders""")
 def t14_resolve_dates(spark, sf):
-    a, b = F.when(F.col("o_orderkey") % 3 == 0, "range"), F.when(F.col("o_orderkey") % 3 <= 1, "context")
-    return table(spark, sf, "orders").select("o_orderkey", F.coalesce(a, b, F.lit("listed")).alias("v"))
+    text, own = F.col("t"), [F.lit(f"1995-01-0{i}") for i in (1, 2, 3)]
+    found = _notices(spark, sf, _MIXED).select("o_orderkey", D.resolve_dates(D.ranges(text, 1996), D.assign_dates(D.scored_dates(text)), *own).alias("x"))
+    return found.select("o_orderkey", F.col("x.signup_deadline").alias("deadline"), F.col("x.event_start").alias("first_day"), F.col("x.event_end").alias("last_day"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+08:00' END AS v FROM orders")
