@@ -34,8 +34,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Most tasks that read shards.
 READ_TASKS = 10_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1 << 18
+#: Words, and pieces of words, whose ids a worker remembers: some 200 bytes each.
+CACHE_WORDS, CACHE_PIECES = 1 << 19, 1 << 18
 #: Below this character lower case goes letter by letter and nothing composes.
 _SIMPLE = "\u0250"
 #: Marks that often end a word.
@@ -73,7 +73,7 @@ class Tokens:
         """Learn the ids of pieces, encoded as one text."""
         for i in range(0, len(new), 1024):
             part = new[i : i + 1024]
-            ids = np.array(self.own.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 cuts, data = [0, *(4 * ends).tolist()], ids.tobytes()
@@ -96,7 +96,7 @@ class Tokens:
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         simple = [w for w in words if (w.isascii() or max(w) < _SIMPLE) and "<|" not in w]
         cut = list(map(self._split, simple))
-        if len(self.piece) > CACHE_WORDS:
+        if len(self.piece) > CACHE_PIECES:
             self.piece = {}
         self._pieces([p for p in set(chain.from_iterable(cut)) if p not in self.piece])
         get = self.piece.__getitem__
@@ -131,15 +131,15 @@ class Tokens:
             yield np.frombuffer(b"".join(islice(ids, len(words))) + end.tobytes(), "<u4")
 
     def _ids(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word. The words of the last call are known beside the first CACHE_WORDS."""
+        """The ids of each word. Up to CACHE_WORDS words stay known."""
         new = self._encoded([w for w in set(words) if w not in self.known])
-        if len(self.known) < CACHE_WORDS:
-            self.known.update(new)
-            return map(self.known.__getitem__, words)
-        if not new:
-            return map(self.known.__getitem__, words)
-        both = self.known
-        return (both[w] if w in both else new[w] for w in words)
+        keep = len(self.known) < CACHE_WORDS
+        self.known.update(new)
+        out = list(map(self.known.__getitem__, words))
+        if not keep:
+            for w in new:
+                del self.known[w]
+        return iter(out)
 
 
 def _parts(text: str) -> Iterator[str]:
