@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ WINDOW = 13
 SHINGLE = 3
 #: A document is contaminated if a 1/SHARE of its words, or more, is hit.
 SHARE = 20
+#: Words of a run that are looked at together.
+RUN_WORDS = 1 << 16
 #: Most bytes of window text in one broadcast block.
 BLOCK_BYTES = 32 << 20
 
@@ -80,7 +82,8 @@ class Index:
         self.prefix: dict[int, tuple[np.ndarray, list]] = {}
 
     def codes(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """A number for each run of n words; 0 where one of them is no benchmark word."""
+        """A number for each run of n words; 0 where one of them is no benchmark word. Numbers of very large vocabularies run
+        over and may then coincide: what they find is compared word by word."""
         out = np.zeros(max(0, len(ids) - n + 1), np.int64)
         known = np.ones(len(out), bool)
         for k in range(n):
@@ -101,7 +104,8 @@ class Index:
 
     def stretches(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         """(position, word ids) of the runs of benchmark words that are long enough to hold a window; last (number of
-        words, nothing). Runs go on over the pieces of a long text."""
+        words, nothing). Runs go on over the pieces of a long text; one of more than RUN_WORDS is handed on in parts
+        that overlap by a window."""
         at, open_ids, get = 0, np.zeros(0, np.int64), self.word_id.get
         for part in words(text):
             ids = np.fromiter((get(w, 0) for w in part), np.int64, len(part))
@@ -115,6 +119,9 @@ class Index:
                 if e < len(ids):
                     yield begin + s, ids[s:e]
             open_ids = ids[edges[-2] + 1 :]
+            if len(open_ids) > RUN_WORDS:
+                yield at - len(open_ids), open_ids
+                open_ids = open_ids[-(WINDOW - 1) :]
         if len(open_ids) >= self.shortest:
             yield at - len(open_ids), open_ids
         yield at, np.zeros(0, np.int64)
@@ -216,10 +223,18 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with _n_words, _n_hit, _items and _contaminated (a SHARE-th of the words hit, and at least one)."""
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     found = annotate(docs, benchmark).withColumn("_n_hit", hit)
-    return found.withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * SHARE >= F.col("_n_words"))).drop("_spans")
+    return found.withColumn("_contaminated", _rule(F.col("_n_hit"), F.col("_n_words"))).drop("_spans")
+
+
+def _rule(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (n_hit * SHARE >= n_words)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with docs' own columns."""
-    return verdicts(docs, benchmark).filter("not _contaminated").select(*docs.columns)
+    """The rows of docs that are not contaminated, with docs' own columns, whatever their names. A null text has no words and
+    is not contaminated; repeated rows go or stay together; an empty benchmark contaminates nothing."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]  # annotate() has names of its own
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    found = annotate(docs.select("text", *own), benchmark)
+    return found.filter(~_rule(hit, F.col("_n_words"))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

@@ -28,6 +28,8 @@ SLOT_BITS = 18
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: The bound of the sample: about so many labelled rows of each language are learned from.
 TRAIN_ROWS = 2000
+#: Languages learned, at most.
+MOST_LANGUAGES = 1024
 #: A gram belongs to a language if it makes up this share of its grams, and occurs at least twice.
 LEAST_SHARE = 2e-5
 #: Characters looked at in one numpy step.
@@ -172,10 +174,11 @@ def _slot_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame) -> Filter:
     """The filter learned from labelled (doc_id, text, lang); rows without text or lang are left out.
 
-    About TRAIN_ROWS rows of each language are taken, chosen by a hash of doc_id. Languages are numbered from the most
+    About TRAIN_ROWS rows of each language are taken, chosen by a hash of doc_id; rows that repeat a text count once. The
+    MOST_LANGUAGES most frequent values of lang are learned, which bounds the filter where lang is dirty. Languages are numbered from the most
     frequent on, names in order where they tie; a tie in a prediction goes to the first."""
     rows = labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null")
-    sizes = sorted(rows.groupBy("lang").count().collect(), key=lambda r: (-r["count"], r["lang"]))  # a row for each language
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     languages = [r["lang"] for r in sizes]
     words = max(1, -(-len(languages) // 64))
     masks = np.zeros((words, 1 << SLOT_BITS), np.uint64)
@@ -184,7 +187,7 @@ def train(labelled: DataFrame) -> Filter:
     spark = labelled.sparkSession
     plan = spark.createDataFrame([(i, r["lang"], min(1.0, TRAIN_ROWS / r["count"])) for i, r in enumerate(sizes)], "l int, lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(plan), "lang").filter(draw < F.col("share")).select("l", "text")
+    sample = rows.join(F.broadcast(plan), "lang").filter(draw < F.col("share")).select("l", "text").dropDuplicates()
     counted = sample.mapInArrow(_gram_counts, "l int, gram long, c long").groupBy("l", "gram").agg(F.sum("c").alias("c"))
     counted = cut(counted)
     total = F.broadcast(counted.groupBy("l").agg(F.sum("c").alias("n")))  # a row for each language

@@ -28,6 +28,8 @@ REJECT = 0.5
 LABELLED_ROWS = 20_000
 #: The bound of the sample that the scorer is fitted on, in rows.
 TRAIN_ROWS = 20_000
+#: What the sample for the fit never exceeds, should one doc_id have very many different texts.
+MOST_ROWS = 4 * TRAIN_ROWS
 #: A learned insult occurs in so many bad labelled texts of good style at least, and in this share of bad ones.
 LEXICON_TEXTS, LEXICON_SHARE, LEXICON_WORDS = 5, 0.8, 10_000
 #: Hashed features: size of the space, and how many the scorer keeps.
@@ -39,8 +41,8 @@ INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthle
 #: Measures, and the values from which each votes bad, and below which it votes good.
 STYLES = {"capitals": (0.3, 0.2), "symbols": (0.2, 0.05), "bars": (0.08, 0.02), "exclaims": (0.08, 0.02), "repeats": (0.1, 0.06)}
 LABELLERS = [*STYLES, "insults", "learned", "labels"]
-#: How often a given label says bad, of good and of bad texts.
-GIVEN = [0.002, 0.98]
+#: How often a given label says bad, of good and of bad texts: where its estimate starts.
+GIVEN = [0.01, 0.95]
 #: The faults that a bad text may have, by the labellers that look for each.
 FAULTS = [("capitals", "exclaims"), ("symbols",), ("bars",), ("repeats",), ("insults", "learned")]
 NONE, GOOD, BAD = 0, 1, 2
@@ -131,8 +133,8 @@ def expectation_maximisation(patterns: list[tuple[int, int]]) -> dict[int, float
     """The probability of bad for each (pattern, number of documents).
 
     A text is good or has one of the faults of FAULTS; a labeller votes bad with a probability of its own for each of
-    them, and its silence says nothing. The start ties each labeller to its fault. The given labels anchor the classes:
-    their accuracy is GIVEN throughout."""
+    them, and its silence says nothing. The start ties each labeller to its fault and the given labels, which are right or
+    wrong alike about every fault, to GIVEN. All accuracies, those of the labels too, are estimated from there on."""
     code = np.array([p for p, _ in patterns], np.int64)
     weight = np.array([n for _, n in patterns], float)
     vote = (code[:, None] >> 2 * np.arange(len(LABELLERS))) & 3
@@ -140,14 +142,18 @@ def expectation_maximisation(patterns: list[tuple[int, int]]) -> dict[int, float
     rate = np.array([[0.8 if name in own else 0.01 for name in LABELLERS] for own in [(), *FAULTS]])  # P(votes bad)
     prior = np.array([0.8, *[0.2 / len(FAULTS)] * len(FAULTS)])
     share = np.zeros((len(code), len(prior)))
+    rate[:, -1] = [GIVEN[0], *[GIVEN[1]] * len(FAULTS)]
     for _ in range(EM_STEPS):
-        rate[:, -1] = [GIVEN[0], *[GIVEN[1]] * len(FAULTS)]
         log = said_bad @ np.log(rate).T + (spoke - said_bad) @ np.log(1 - rate).T + np.log(prior)
         share = np.exp(log - log.max(axis=1, keepdims=True)) if len(code) else share
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
         mass = weight[:, None] * share
         prior = (mass.sum(axis=0) + 0.1) / (mass.sum() + 0.1 * len(prior))
-        rate = np.clip((mass.T @ said_bad + 0.01) / (mass.T @ spoke + 0.1), 1e-4, 1 - 1e-3)
+        hits, all_ = mass.T @ said_bad, mass.T @ spoke
+        rate = (hits + 0.01) / (all_ + 0.1)
+        for k, start in ((slice(0, 1), GIVEN[0]), (slice(1, None), GIVEN[1])):
+            rate[k, -1] = (hits[k, -1].sum() + 0.1 * start) / (all_[k, -1].sum() + 0.1)
+        rate = np.clip(rate, 1e-4, 1 - 1e-3)
     return dict(zip(code.tolist(), (1 - share[:, 0]).tolist()))
 
 
@@ -215,8 +221,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
                 f.append(sorted(features(measures, words)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "p", "f"])
 
-    chosen = sampled(docs, TRAIN_ROWS, n, 2).join(F.broadcast(sampled(known, TRAIN_ROWS, n, 2)), "doc_id", "left")
-    rows = cut(chosen.select("doc_id", "text", "vote").mapInArrow(hashed, "doc_id long, p double, f array<int>"))
+    chosen = sampled(docs, TRAIN_ROWS, n, 2).join(sampled(known, TRAIN_ROWS, n, 2), "doc_id", "left")
+    made = chosen.select("doc_id", "text", "vote").mapInArrow(hashed, "doc_id long, p double, f array<int>")
+    rows = cut(made.dropDuplicates().limit(MOST_ROWS))  # rows that repeat a doc_id and its text count once
     by = rows.select("p", F.explode("f").alias("b")).groupBy("b").agg(F.sum("p").alias("bad"), F.count("*").alias("n")).filter(F.col("n") >= FEATURE_TEXTS)
     total = rows.agg(F.sum("p"), F.count("*")).first()
     bads, size = total[0] or 0.0, total[1]

@@ -137,11 +137,17 @@ def within(planes_of: np.ndarray, valid: np.ndarray, block: np.ndarray, query: n
     return alive, ~_above(count, over, radius)
 
 
-def _near_pairs(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The members of all groups (a row each, of one or more words), and the places of all pairs within the radius."""
+def _members(groups: list[np.ndarray]) -> np.ndarray:
+    """The members of all groups, a row each, of one or more words."""
+    return np.concatenate(groups).reshape(sum(map(len, groups)), -1)
+
+
+def _near_pairs(groups: list[np.ndarray], radius: int, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (in _members) of all pairs within the radius, at_once (block, query) comparisons after the other: 64 times
+    as many pairs at most."""
     sizes = np.array([len(g) for g in groups])
     base = np.concatenate([[0], np.cumsum(-(-sizes // 64))])
-    flat = np.concatenate(groups).reshape(int(sizes.sum()), -1)
+    flat = _members(groups)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     parts = [flat[a:b] for a, b in zip(starts, starts[1:])]
     store = np.concatenate([np.concatenate([planes(g[:, w]) for w in range(flat.shape[1])], axis=1) for g in parts])
@@ -152,24 +158,21 @@ def _near_pairs(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.n
     tasks = np.repeat(np.arange(len(flat)), n_blocks[group])
     nth = np.arange(len(tasks)) - np.repeat(np.cumsum(n_blocks[group]) - n_blocks[group], n_blocks[group])
     block = base[group[tasks]] + nth
-    left, right = [], []
-    for i in range(0, len(tasks), LANES):
-        q = tasks[i : i + LANES]
-        hit, mask = within(store, valid, block[i : i + LANES], flat[q], radius)
+    for i in range(0, len(tasks), at_once):
+        q = tasks[i : i + at_once]
+        hit, mask = within(store, valid, block[i : i + at_once], flat[q], radius)
         bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(bits)
         at = hit[row]
-        other = starts[group[q[at]]] + 64 * nth[i : i + LANES][at] + lane
+        other = starts[group[q[at]]] + 64 * nth[i : i + at_once][at] + lane
         right_of = other > q[at]
-        left.append(q[at][right_of])
-        right.append(other[right_of])
-    return flat, np.concatenate(left), np.concatenate(right)
+        yield q[at][right_of], other[right_of]
 
 
 def _pairs(groups: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Spanning links (fp, smaller fp) of each group's near pairs."""
-    flat, a, b = _near_pairs(groups, RADIUS)
-    flat = flat[:, 0]
+    flat = _members(groups)[:, 0]
+    a, b = (np.concatenate(x) for x in zip(*_near_pairs(groups, RADIUS, LANES)))
     label = np.arange(len(flat))
     while len(a):  # smallest member that links reach
         m = np.minimum(label[a], label[b])
@@ -303,23 +306,20 @@ def _dealt(masks: np.ndarray):
     return run
 
 
-def forest(groups: list[np.ndarray], radius: int) -> list[tuple[bytes, bytes]]:
-    """A minimum spanning forest, by differing bits, of each group's pairs within the radius: every component takes its
-    nearest link to another, until there are none."""
-    flat, a, b = _near_pairs(groups, radius)
-    apart = np.bitwise_count(flat[a] ^ flat[b]).sum(axis=1)
+def _spanning(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the links a, b among n members make a minimum spanning forest: every component takes its nearest link to
+    another, until there are none."""
     order = np.lexsort((b, a, apart))
-    a, b = a[order], b[order]
-    label, chosen = np.arange(len(flat)), []
+    label, chosen = np.arange(n), []
     while True:
-        la, lb = label[a], label[b]
+        la, lb = label[a[order]], label[b[order]]
         cross = la != lb
-        a, b, la, lb = a[cross], b[cross], la[cross], lb[cross]
-        if not len(a):
-            break
-        ends, at = np.unique(np.concatenate([la, lb]), return_index=True)  # the first, so nearest, link of each
-        take = np.unique(at % len(a))
-        chosen.append(np.stack([a[take], b[take]]))
+        order, la, lb = order[cross], la[cross], lb[cross]
+        if not len(order):
+            return np.concatenate(chosen) if chosen else order
+        _, at = np.unique(np.stack([la, lb], axis=1).ravel(), return_index=True)  # the first, so nearest, of each component
+        take = np.unique(at // 2)
+        chosen.append(order[take])
         x, y = la[take], lb[take]
         while True:
             m = np.minimum(label[x], label[y])
@@ -330,9 +330,22 @@ def forest(groups: list[np.ndarray], radius: int) -> list[tuple[bytes, bytes]]:
             if (new == label).all():
                 break
             label = new
-    raw = flat.tobytes()
-    n = flat.shape[1] * 8
-    both = np.concatenate(chosen, axis=1).T.tolist() if chosen else []
+
+
+def forest(groups: list[np.ndarray], radius: int) -> list[tuple[bytes, bytes]]:
+    """A minimum spanning forest, by differing bits, of each group's pairs within the radius. Pairs are looked at a part
+    at a time, and only the forest of those so far is kept."""
+    flat = _members(groups)
+    kept = [np.zeros(0, np.int64) for _ in range(3)]
+    for a, b in _near_pairs(groups, radius, LANES // 8):
+        apart = np.bitwise_count(flat[a] ^ flat[b]).sum(axis=1)
+        kept = [np.concatenate(x) for x in zip(kept, (a, b, apart))]
+        if len(kept[0]) > 2 * len(flat):
+            chosen = _spanning(len(flat), *kept)
+            kept = [x[chosen] for x in kept]
+    chosen = _spanning(len(flat), *kept)
+    raw, n = flat.tobytes(), flat.shape[1] * 8
+    both = zip(kept[0][chosen].tolist(), kept[1][chosen].tolist())
     return [(raw[i * n : (i + 1) * n], raw[j * n : (j + 1) * n]) for i, j in both]
 
 

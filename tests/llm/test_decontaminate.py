@@ -64,3 +64,22 @@ def test_long_text_in_pieces(monkeypatch):
 def test_query_matches_sql(spark):
     name = "op2_benchmark_decontamination"
     assert rows_of(queries.op2_benchmark_decontamination(spark, SF)) == rows_of_sql(sql.ORACLES[name])
+
+
+def test_pipeline_stage_keeps_columns_of_any_name(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, item, 1, 2, 3, "a", True, 4), (2, "clean words only", 1, 2, 3, "b", False, 4), (3, None, 1, 2, 3, None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans int, _n_words int, _n_hit int, _items string, _contaminated boolean, c0 int")
+    kept = d.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[1:]
+
+
+def test_long_runs_of_benchmark_words(spark, monkeypatch):
+    monkeypatch.setattr(d, "RUN_WORDS", 40)
+    words = [f"w{i}" for i in range(30)]
+    text = " ".join(words * 40)
+    monkeypatch.setattr(d, "words", lambda t: (text.encode().split()[i : i + 50] for i in range(0, 1200, 50)))
+    index = d.Index([("a", words[:13]), ("b", words[28:] + words[:11])])
+    index.order_by_rarity({})
+    n, spans, items = index.search(text)
+    assert n == 1200 and items == {"a", "b"} and sum(e - s for s, e in spans) == 40 * 13 + 39 * 2

@@ -50,3 +50,23 @@ def test_marks_alone_are_scored_by_their_votes():
     scorer = quality.Scorer(list(bad.values()), np.full(3, 5.0), -2.0, frozenset())
     assert all(scorer.score(t) > 0.5 for t in ("| | | | | |", "*** ### $$$ %%%", "!!!! !!!! !!!!"))
     assert scorer.score(None) == scorer.score("") == scorer.score(" \n\t") == scorer.score(" . ") < 0.5
+
+
+def test_agrees_with_labels_it_has_not_seen(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
+    held = "crc32(cast(doc_id as string)) % 4 = 0"
+    scorer = quality.train(docs, labels.filter(f"not {held}"))
+    got = {r.doc_id: r._rejected for r in quality.score(docs.filter(held), scorer).select("doc_id", "_rejected").collect()}
+    rows = labels.filter(held).collect()
+    bad = [got[r.doc_id] for r in rows if r.quality == 0 or r.toxic == 1]
+    good = [got[r.doc_id] for r in rows if r.quality == 1 and r.toxic == 0]
+    assert np.mean(bad) > 0.93 and np.mean(good) < 0.03
+
+
+def test_em_estimates_the_accuracy_of_every_labeller():
+    """Ten labels in a hundred are wrong; the other labellers outvote them."""
+    g, b, last = quality.GOOD, quality.BAD, 2 * (len(quality.LABELLERS) - 1)
+    code = lambda bad, label: sum((b if i in bad else g) << 2 * i for i in range(7)) | label << last
+    fault = (5, 6)  # two labellers look for it
+    p = quality.expectation_maximisation([(code((), g), 8100), (code((), b), 90), (code(fault, b), 900), (code(fault, g), 100)])
+    assert p[code((), g)] < 0.05 and p[code(fault, b)] > 0.95 and p[code(fault, g)] > 0.5

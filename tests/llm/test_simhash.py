@@ -125,10 +125,17 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
 def test_bit_sliced_distances():
     r = random.Random(5)
     rows = np.array([[r.getrandbits(64) & r.getrandbits(64), r.getrandbits(64) & r.getrandbits(64)] for _ in range(150)], np.uint64)
-    flat, a, b = simhash._near_pairs([rows[:70], rows[70:73], rows[73:]], 45)
-    got = {(int(x), int(y)) for x, y in zip(a, b)}
+    parts = list(simhash._near_pairs([rows[:70], rows[70:73], rows[73:]], 45, 50))
+    got = {(int(x), int(y)) for a, b in parts for x, y in zip(a, b)}
     group = [0] * 70 + [1] * 3 + [2] * 77
     apart = lambda i, j: sum((int(x) ^ int(y)).bit_count() for x, y in zip(rows[i], rows[j]))
     assert got == {(i, j) for j in range(150) for i in range(j) if group[i] == group[j] and apart(i, j) <= 45} and got
     links = simhash.forest([rows[:70]], 50)
-    assert len(links) == len(set(links)) < 70
+    want, root = 0, list(range(70))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for d, i, j in sorted((apart(i, j), i, j) for j in range(70) for i in range(j) if apart(i, j) <= 50):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            want += d
+    place = {row.tobytes(): i for i, row in enumerate(rows[:70])}
+    assert sum(apart(place[a], place[b]) for a, b in links) == want and len(links) == sum(find(i) != i for i in range(70))
