@@ -12,6 +12,7 @@ from concord.functions import times as T
 from concord.operators import merge as M
 from concord.operators import state as S
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
+from concord.operators.dedup import shared_folder
 from concord.plans.registry import query, table
 from concord.sources import tables as IO
 from concord.streaming.sync import run_stream_sync
@@ -115,24 +116,70 @@ def m6_record_evidence(spark, sf):
     return M.record_evidence(c, known, ["organizer", "summary"])
 
 
-def sync_actions(raw):
-    """raw (seq, title, url) with key and action: blank titles and promotions are skipped, the first row of a key is added, later ones update it."""
-    key = X.catalog_key(F.col("title"))
-    marked = raw.withColumn("key", key)
-    first = marked.groupBy("key").agg(F.min("seq").alias("_first"))
-    skip = F.when(F.trim("title") == "", "skipped_invalid").when(X.is_promotion(F.col("title")), "skipped_ad")
-    action = F.coalesce(skip, F.when(F.col("seq") == F.col("_first"), "added").otherwise("updated"))
-    return marked.join(first, "key").select("seq", "key", action.alias("action"))
+_RAW = "CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN '培训' || o_custkey ELSE o_orderpriority || o_custkey END"
+#: Raw events made of orders: titles with and without years, some blank or promotions.
+_EVENT_TITLE = "CASE WHEN o_orderkey % 9 = 0 THEN ' ' WHEN o_orderkey % 9 = 1 THEN '培训' || o_custkey ELSE {year} || o_orderpriority || o_custkey % 50 || '大赛' END"
+_EVENT_TITLE = _EVENT_TITLE.format(year="(2020 + o_custkey % 5) || '年'")
+
+
+def raw_events(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    day = lambda n: (F.col("o_orderdate") + F.expr(f"INTERVAL {n} DAY")).cast("timestamp")
+    return o.select(
+        k.alias("seq"), F.expr(_EVENT_TITLE).alias("title"), F.concat(F.lit("https://x.org/"), (k % 97).cast("string")).alias("url"),
+        F.when(k % 3 != 0, F.col("o_orderstatus")).otherwise("").alias("organizer"), F.lit("其他").alias("category"), F.when(k % 2 == 0, "国家级").alias("contest_level"),
+        F.when(k % 5 == 0, "高").otherwise("中").alias("authority_level"), F.when(k % 11 == 0, "教育部竞赛目录").otherwise("web").alias("source_name"),
+        F.when(k % 4 != 0, day(90)).alias("deadline"), F.when(k % 5 != 0, day(120)).alias("event_time"), F.when(k % 7 == 0, F.concat(F.lit("sum "), k)).otherwise("").alias("summary"),
+    )
 
 
-_RAW = "CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN '培训' || o_custkey ELSE o_orderpriority || o_custkey END"
+_GOOD = f"""(SELECT o_orderkey AS seq, {_EVENT_TITLE} AS title, replace(o_orderpriority, ' ', '') || o_custkey % 50 || '大赛' AS k, 2020 + o_custkey % 5 AS y, o_orderkey % 97 AS u, *
+  FROM orders WHERE o_orderkey % 9 > 1)"""
+
 
+def merged_events(spark, sf):
+    """The tables after two batches, of which the second repeats rows of the first."""
+    from concord.operators import upsert as U
 
-@query(f"""SELECT CASE WHEN trim(t) = '' THEN 'skipped_invalid' WHEN contains(t, '培训') THEN 'skipped_ad' WHEN n = 1 THEN 'added' ELSE 'updated' END AS action, count(*) AS n FROM
-  (SELECT t, row_number() OVER (PARTITION BY regexp_replace(t, '\\s+', '', 'g') ORDER BY o_orderkey) AS n FROM (SELECT o_orderkey, {_RAW} AS t FROM orders)) GROUP BY 1""")
+    raw, now = raw_events(spark, sf), F.lit(NOW).cast("timestamp")
+    one = U.merge_events(raw.filter("seq % 3 <> 2"), *[spark.createDataFrame([], s) for s in (U.CATALOG, U.EDITIONS, U.EVIDENCE)], now)
+    shared_folder(spark)
+    return U.merge_events(raw.filter("seq % 3 <> 1"), *[one[n].checkpoint() for n in ("catalog", "editions", "evidence")], now)
+
+
+@query(f"""WITH g AS {_GOOD}, a AS (SELECT k, y FROM g WHERE seq % 3 <> 2 GROUP BY ALL), b AS (SELECT k, y, min(seq) AS f FROM g WHERE seq % 3 <> 1 GROUP BY ALL)
+  SELECT action, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL AND seq = f THEN 'added' ELSE 'updated' END AS action FROM g LEFT JOIN a ON g.k = a.k AND g.y = a.y JOIN b ON g.k = b.k AND g.y = b.y WHERE seq % 3 <> 1
+  UNION ALL SELECT CASE o_orderkey % 9 WHEN 0 THEN 'skipped_invalid' ELSE 'skipped_ad' END FROM orders WHERE o_orderkey % 9 < 2 AND o_orderkey % 3 <> 1) GROUP BY 1""")
 def m7_sync_events(spark, sf):
-    raw = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.expr(_RAW).alias("title"), F.lit("u").alias("url"))
-    return sync_actions(raw).groupBy("action").agg(F.count("*").alias("n"))
+    return merged_events(spark, sf)["actions"].groupBy("action").agg(F.count("*").alias("n"))
+
+
+_MERGED = f"""WITH r AS (SELECT *, 0 AS batch FROM {_GOOD} WHERE seq % 3 <> 2 UNION ALL SELECT *, 1 FROM {_GOOD} WHERE seq % 3 <> 1), g AS (SELECT *, batch * 1000000000000 + seq AS o FROM r)"""
+
+
+@query(f"""{_MERGED}, m AS (SELECT k, y, arg_max(title, o) AS title, arg_max(o_orderdate + INTERVAL 90 DAY, o) FILTER (seq % 4 <> 0) AS d, arg_max(o_orderdate + INTERVAL 120 DAY, o) FILTER (seq % 5 <> 0) AS e,
+    arg_min('sum ' || seq, o) FILTER (seq % 7 = 0) AS summary FROM g GROUP BY k, y),
+  one AS (SELECT k, y, arg_max(o_orderdate + INTERVAL 90 DAY, o) FILTER (seq % 4 <> 0) AS d, arg_max(o_orderdate + INTERVAL 120 DAY, o) FILTER (seq % 5 <> 0) AS e FROM g WHERE batch = 0 GROUP BY k, y),
+  two AS (SELECT k, y, arg_max(o_orderdate + INTERVAL 120 DAY, o) FILTER (seq % 5 <> 0) AS e FROM g WHERE batch = 1 GROUP BY k, y)
+  SELECT m.k AS catalog_key, CAST(m.y AS INT) AS year, title, strftime(m.d, '%Y-%m-%d') AS deadline,
+    strftime(CASE WHEN coalesce(two.e, CASE WHEN one.e < one.d THEN NULL ELSE one.e END) < m.d THEN NULL ELSE coalesce(two.e, CASE WHEN one.e < one.d THEN NULL ELSE one.e END) END, '%Y-%m-%d') AS event_time, summary
+  FROM m LEFT JOIN one ON m.k = one.k AND m.y = one.y LEFT JOIN two ON m.k = two.k AND m.y = two.y""")
+def m7_editions(spark, sf):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return merged_events(spark, sf)["editions"].select("catalog_key", "year", "title", day("deadline"), day("event_time"), "summary")
+
+
+@query(f"""{_MERGED} SELECT k AS catalog_key, coalesce(arg_min(o_orderstatus, o) FILTER (seq % 3 <> 0), '') AS organizer, CASE WHEN count_if(seq % 2 = 0) > 0 THEN '国家级' ELSE '' END AS contest_level,
+  CASE WHEN count_if(seq % 5 = 0) > 0 THEN '高' ELSE '中' END AS authority_level, count_if(seq % 11 = 0) > 0 AS approved FROM g GROUP BY k""")
+def m7_catalog(spark, sf):
+    return merged_events(spark, sf)["catalog"].select("catalog_key", "organizer", "contest_level", "authority_level", F.col("is_ministry_approved").alias("approved"))
+
+
+@query(f"""WITH g AS {_GOOD}, v AS (SELECT k, y, u, unnest(['deadline', 'event_time', 'summary', 'organizer', 'contest_level']) AS f, unnest([CASE WHEN seq % 4 <> 0 THEN strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') END,
+  CASE WHEN seq % 5 <> 0 THEN strftime(o_orderdate + INTERVAL 120 DAY, '%Y-%m-%d') END, CASE WHEN seq % 7 = 0 THEN 'sum ' || seq END, CASE WHEN seq % 3 <> 0 THEN o_orderstatus END, CASE WHEN seq % 2 = 0 THEN '国家级' END]) AS x FROM g)
+  SELECT f AS field_name, count(*) AS n FROM (SELECT DISTINCT * FROM v WHERE x IS NOT NULL) GROUP BY f""")
+def m7_evidence(spark, sf):
+    return merged_events(spark, sf)["evidence"].groupBy("field_name").agg(F.count("*").alias("n"))
 
 
 def observations(spark, sf):
