@@ -89,19 +89,21 @@ def consensus(observations: DataFrame, least: int = 2) -> DataFrame:
     return best.join(domains, "entity_id").filter((F.col("n_domains") >= least) & (F.col("n_agree") >= least))
 
 
+#: Fields of a candidate that a source of the same or a higher authority replaces, and those that only fill.
+RANKED = ["signup_deadline", "event_start", "event_end", "registration_status"]
+FILLING = ["organizer", "location", "mode"]
+
+
 def merge_candidates(pairs: DataFrame) -> DataFrame:
-    """pairs of struct columns a and b (title, signup_deadline, source_authority, tags, evidence): b's deadline replaces a's if
-    its authority is not lower, other fields fill, tags are united, evidence is merged with b's winning."""
+    """pairs of struct columns a and b (title, RANKED, FILLING, source_authority, tags, evidence): what b knows replaces a's
+    RANKED values if its authority is not lower, and fills gaps of all; tags are united, evidence is merged with b's
+    winning. The rest is a's."""
     rank = lambda s: priority(F.lit(False), F.col(f"{s}.source_authority"))["r"]
-    newer = (rank("b") >= rank("a")) & filled(F.col("b.signup_deadline")).isNotNull()
+    known = lambda s, c: F.when(F.col(f"{s}.{c}") != "", F.col(f"{s}.{c}"))
+    ranked = [F.when(rank("b") >= rank("a"), F.coalesce(known("b", c), F.col(f"a.{c}"))).otherwise(F.coalesce(known("a", c), F.col(f"b.{c}"))).alias(c) for c in RANKED]
+    filling = [F.coalesce(known("a", c), F.col(f"b.{c}")).alias(c) for c in FILLING]
     ev = F.map_zip_with("a.evidence", "b.evidence", lambda k, x, y: F.coalesce(y, x))
-    return pairs.select(
-        "id",
-        F.coalesce(filled(F.col("a.title")), F.col("b.title")).alias("title"),
-        F.when(newer, F.col("b.signup_deadline")).otherwise(F.coalesce(filled(F.col("a.signup_deadline")), F.col("b.signup_deadline"))).alias("signup_deadline"),
-        F.array_union("a.tags", "b.tags").alias("tags"),
-        ev.alias("evidence"),
-    )
+    return pairs.select("id", F.col("a.title").alias("title"), *ranked, *filling, F.array_union("a.tags", "b.tags").alias("tags"), ev.alias("evidence"), F.col("a.source_authority").alias("source_authority"))
 
 
 def apply_follow_changes(profiles: DataFrame, changes: DataFrame) -> DataFrame:

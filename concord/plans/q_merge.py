@@ -69,12 +69,23 @@ def m1_fold_several(spark, sf):
     return M.fold(old, twice, "event_id", _FIELDS)
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'a' END AS signup_deadline, 'a,b' AS tags, 'y' AS src FROM events")
+@query("""WITH c AS (SELECT event_id AS id, event_id % 3 AS ra, event_id % 4 AS rb, user_id AS u, event_type AS t, event_id % 5 AS k FROM events),
+  s AS (SELECT id, t, u, k, ra + 1 AS a, CASE WHEN rb = 3 THEN 0 ELSE rb + 1 END AS b FROM c)
+  SELECT id, CASE WHEN k = 1 THEN 'a' || u WHEN b >= a OR k = 0 THEN 'b' || u ELSE 'a' || u END AS signup_deadline, CASE WHEN b >= a THEN 'y' ELSE 'x' END AS event_start,
+    'only b' AS event_end, CASE WHEN b >= a THEN t ELSE 'open' END AS registration_status, CASE WHEN k = 2 THEN t ELSE 'own' END AS organizer, 'a,' || t AS tags, 'y' AS src FROM s""")
 def m3_merge_candidates(spark, sf):
-    side = lambda d, auth, tag, v: F.struct(F.lit("t").alias("title"), F.lit(d).alias("signup_deadline"), auth.alias("source_authority"), F.array(F.lit(tag)).alias("tags"), F.create_map(F.lit("src"), F.lit(v)).alias("evidence"))
-    even = F.when(F.col("event_id") % 2 == 0, "high").otherwise("low")
-    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), side("a", F.lit("medium"), "a", "x").alias("a"), side("b", even, "b", "y").alias("b"))
-    return M.merge_candidates(rows).select("id", "signup_deadline", F.array_join("tags", ",").alias("tags"), F.element_at("evidence", "src").alias("src"))
+    u, k, blank = F.col("user_id").cast("string"), F.col("event_id") % 5, F.lit("")
+
+    def side(deadline, start, end, status, organizer, authority, tags, src):
+        values = (deadline, start, end, status, organizer, blank, blank, authority)
+        names = ("signup_deadline", "event_start", "event_end", "registration_status", "organizer", "location", "mode", "source_authority")
+        return F.struct(F.lit("t").alias("title"), *[v.alias(n) for v, n in zip(values, names)], tags.alias("tags"), F.create_map(F.lit("src"), F.lit(src)).alias("evidence"))
+
+    rank = lambda n: F.element_at(F.array(*map(F.lit, ["low", "medium", "high", ""])), (F.col("event_id") % n + 1).cast("int"))
+    a = side(F.when(k != 0, F.concat(F.lit("a"), u)), F.lit("x"), blank, F.lit("open"), F.when(k == 2, "").otherwise("own"), rank(3), F.array(F.lit("a")), "x")
+    b = side(F.when(k == 1, "").otherwise(F.concat(F.lit("b"), u)), F.lit("y"), F.lit("only b"), F.col("event_type"), F.col("event_type"), rank(4), F.array(F.lit("a"), F.col("event_type")), "y")
+    got = M.merge_candidates(table(spark, sf, "events").select(F.col("event_id").alias("id"), a.alias("a"), b.alias("b")))
+    return got.select("id", *M.RANKED, "organizer", F.array_join("tags", ",").alias("tags"), F.element_at("evidence", "src").alias("src"))
 
 
 @query("""WITH o AS (SELECT p_name, min(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END) AS b FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), i AS (SELECT p_name, min(p_type) AS b FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1)

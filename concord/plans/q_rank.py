@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concord.operators import rank as R
+from concord.operators import state as S
 from concord.operators.dedup import cap_round_robin, in_blocks
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
 from concord.plans.registry import query, table
@@ -52,12 +53,17 @@ def w6_last_n_turns(spark, sf):
     return R.last_n_turns(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role")
 
 
-@query("""SELECT event_type, count(*) AS discovered, count_if(value < 20) AS rejected_low, count_if(value >= 20) AS accepted FROM events GROUP BY ROLLUP (event_type)""")
+_REASON_OF = "CASE event_id % 30 {} WHEN 23 THEN 'no_title' WHEN 24 THEN event_type ELSE 'accepted' END".format(" ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(R.COUNTERS)))
+
+
+@query(f"""WITH s AS (SELECT event_type AS source, {_REASON_OF} AS reason FROM events), c AS (SELECT source, count(*) AS discovered, {", ".join(f"count_if(reason = '{c}') AS {c}" for c in R.COUNTERS)}, grouping(source) AS g FROM s GROUP BY ROLLUP (source)),
+  o AS (SELECT source, string_agg(reason || '=' || n, ',' ORDER BY reason) AS other FROM (SELECT source, reason, count(*) AS n FROM s WHERE reason = 'no_title' OR reason = source GROUP BY 1, 2) GROUP BY 1
+    UNION ALL SELECT NULL, string_agg(reason || '=' || n, ',' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM s WHERE reason = 'no_title' OR reason = source GROUP BY 1))
+  SELECT c.* EXCLUDE (g), coalesce(o.other, '') AS other FROM c LEFT JOIN o ON c.source IS NOT DISTINCT FROM o.source""")
 def a2_funnel(spark, sf):
-    reason = F.when(F.col("value") < 20, "rejected_low").otherwise("accepted")
-    e = table(spark, sf, "events").withColumn("reason", reason)
-    counts = [F.count_if(F.col("reason") == r).alias(r) for r in ("rejected_low", "accepted")]
-    return e.rollup("event_type").agg(F.count("*").alias("discovered"), *counts)
+    steps = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.expr(_REASON_OF).alias("reason"))
+    text = F.array_join(F.transform(F.map_entries("other"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return R.funnel(steps).withColumn("other", text)
 
 
 @query("SELECT CASE o_orderkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'updated' WHEN 2 THEN 'skipped' ELSE 'error' END AS action, count(*) AS n FROM orders GROUP BY 1")
@@ -77,24 +83,39 @@ def a5_reason_counts(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
-@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ROLLUP (s_nationkey)")
+@query("""SELECT s_nationkey, count(*) AS n, string_agg(s_name, ',' ORDER BY s_name) AS names, grouping(s_nationkey) AS total FROM supplier WHERE s_nationkey IS NOT NULL GROUP BY s_nationkey
+  UNION ALL SELECT NULL, count(*), NULL, 1 FROM supplier""")
 def a6_account_summary(spark, sf):
-    return table(spark, sf, "supplier").rollup("s_nationkey").agg(F.count("*").alias("n"))
+    s = table(spark, sf, "supplier")
+    names = s.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("s_name")), ",").alias("names"), F.lit(0).cast("long").alias("total"))
+    whole = s.agg(F.lit(None).cast("int").alias("s_nationkey"), F.count("*").alias("n"), F.lit(None).cast("string").alias("names"), F.lit(1).cast("long").alias("total"))
+    return names.unionByName(whole)
 
 
-@query("SELECT count(*) AS seen, count_if(event_type <> 'error') AS verified, count_if(value > 50) AS relevant FROM events")
+@query("""SELECT count(*) AS seen, count_if(event_type <> 'error') AS verified, count_if(event_type <> 'error' AND ts < TIMESTAMP '2024-01-10') AS out_of_window, count_if(event_type = 'error') AS quarantined,
+  count_if(event_type <> 'error' AND ts >= TIMESTAMP '2024-01-10' AND value > 50) AS relevant, count_if(event_type <> 'error' AND ts >= TIMESTAMP '2024-01-10' AND value <= 50) AS irrelevant,
+  count(DISTINCT user_id) AS accounts, count(*) - count(DISTINCT user_id || '/' || event_type) AS duplicates FROM events""")
 def a7_crawl_stats(spark, sf):
-    return table(spark, sf, "events").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") != "error").alias("verified"), F.count_if(F.col("value") > 50).alias("relevant"))
+    ok, recent, high = F.col("event_type") != "error", F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"), F.col("value") > 50
+    n = F.count_if
+    return table(spark, sf, "events").agg(
+        F.count("*").alias("seen"), n(ok).alias("verified"), n(ok & ~recent).alias("out_of_window"), n(~ok).alias("quarantined"), n(ok & recent & high).alias("relevant"),
+        n(ok & recent & ~high).alias("irrelevant"), F.count_distinct("user_id").alias("accounts"), (F.count("*") - F.count_distinct("user_id", "event_type")).alias("duplicates"))
+
+
+_OLD = "(SELECT DISTINCT p_name || p_size % 3 AS name FROM part WHERE p_partkey % 3 <> 0)"
+_NEW = "(SELECT DISTINCT CASE WHEN p_size % 3 = 1 THEN upper(p_name || p_size % 3) ELSE p_name || p_size % 3 END AS name FROM part WHERE p_partkey % 3 <> 1)"
 
 
-@query("""WITH o AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 <> 1)
-  SELECT p_name, CASE WHEN a THEN CASE WHEN b THEN 'same' ELSE 'removed' END ELSE 'added' END AS change FROM
-  (SELECT coalesce(o.p_name, n.p_name) AS p_name, o.p_name IS NOT NULL AS a, n.p_name IS NOT NULL AS b FROM o FULL JOIN n ON o.p_name = n.p_name)""")
+@query(f"""WITH o AS {_OLD}, n AS {_NEW}, g AS (SELECT lower(name) AS k, min(name) AS name FROM o WHERE name NOT IN (FROM n) GROUP BY 1), c AS (SELECT lower(name) AS k, min(name) AS name FROM n WHERE name NOT IN (FROM o) GROUP BY 1),
+  r AS (SELECT g.name AS a, c.name AS b FROM g JOIN c ON g.k = c.k)
+  SELECT 'unchanged' AS change, name AS old_name, name AS new_name FROM o WHERE name IN (FROM n) UNION ALL SELECT 'renamed', a, b FROM r
+  UNION ALL SELECT 'removed', name, NULL FROM o WHERE name NOT IN (FROM n) AND name NOT IN (SELECT a FROM r) UNION ALL SELECT 'added', NULL, name FROM n WHERE name NOT IN (FROM o) AND name NOT IN (SELECT b FROM r)""")
 def a8_catalog_diff(spark, sf):
-    part = table(spark, sf, "part")
-    old, new = part.filter("p_partkey % 3 <> 0").select("p_name").distinct(), part.filter("p_partkey % 3 <> 1").select("p_name").distinct()
-    tag = lambda df, t: df.withColumn("change", F.lit(t))
-    return tag(new.join(old, "p_name", "left_anti"), "added").unionByName(tag(old.join(new, "p_name", "left_anti"), "removed")).unionByName(tag(old.intersect(new), "same"))
+    part, name = table(spark, sf, "part"), F.concat("p_name", F.col("p_size") % 3)
+    old = part.filter("p_partkey % 3 <> 0").select(name.alias("name"))
+    new = part.filter("p_partkey % 3 <> 1").select(F.when(F.col("p_size") % 3 == 1, F.upper(name)).otherwise(name).alias("name"))
+    return R.catalog_diff(old, new, "name", F.lower("name"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT url) AS n_urls, count_if(html IS NULL) AS no_html, count_if(url IS NULL) AS no_url FROM pages")
@@ -102,12 +123,13 @@ def a9_quality_profile(spark, sf):
     return table(spark, sf, "pages").agg(F.count("*").alias("n"), F.count_distinct("url").alias("n_urls"), F.count_if(F.col("html").isNull()).alias("no_html"), F.count_if(F.col("url").isNull()).alias("no_url"))
 
 
-@query("SELECT user_id, CAST(floor(greatest(max(epoch(ts)), max(epoch(TIMESTAMP '2024-01-01')))) AS BIGINT) AS cursor FROM events GROUP BY user_id")
+@query("""SELECT user_id, CAST(floor(epoch(greatest(CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-01-15' END, max(ts) FILTER (event_type <> 'error')))) AS BIGINT) AS cursor FROM events
+  GROUP BY user_id HAVING user_id % 3 = 0 OR count_if(event_type <> 'error') > 0""")
 def a10_advance_cursors(spark, sf):
-    e = table(spark, sf, "events").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    old = e.select("user_id").distinct().withColumn("was", F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")))
-    new = e.groupBy("user_id").agg(F.max("t").alias("now"))
-    return old.join(new, "user_id", "full").select("user_id", F.greatest("was", "now").alias("cursor"))
+    e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    old = e.filter("user_id % 3 = 0").select("user_id").distinct().withColumn("last_at", F.lit("2024-01-15").cast("timestamp"))
+    got = S.advance_cursors(old, e.filter("event_type <> 'error'"), "user_id", "at")
+    return got.select("user_id", F.unix_timestamp("last_at").alias("cursor"))
 
 
 @query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_size > 25 THEN 'checked' ELSE '' END, ''), 'active') AS status, '2026-07-21' AS verified_at FROM part")
