@@ -84,25 +84,28 @@ class Tokens:
     def _alone(self, word: str) -> bytes:
         return np.array(self.own.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _split(self, word: str) -> tuple[str, ...] | list[str]:
-        """The pieces of a word; a word of letters is one, and one mark behind it another."""
-        low = word.lower()
-        if low.isalpha():
-            return (low,)
-        if low[-1] in _MARKS and low[:-1].isalpha():
-            return low[:-1], low[-1]
-        return self._PIECES.findall(low)
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        simple = [w for w in words if (w.isascii() or max(w) < _SIMPLE) and "<|" not in w]
-        cut = list(map(self._split, simple))
+    def _encoded(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of words. A word of letters is one piece, and one mark behind it another."""
+        letters, marked, other, odd = [], [], [], []
+        for w in words:
+            if not w.isascii() and (max(w) >= _SIMPLE or "\u0130" in w) or "<|" in w:
+                odd.append(w)
+            elif w.isalpha():
+                letters.append(w)
+            elif w[-1] in _MARKS and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                other.append(w)
+        low, heads = list(map(str.lower, letters)), [w[:-1].lower() for w in marked]
+        cut = [self._PIECES.findall(w.lower()) for w in other]
         if len(self.piece) > CACHE_PIECES:
             self.piece = {}
-        self._pieces([p for p in set(chain.from_iterable(cut)) if p not in self.piece])
+        self._pieces(list(set(chain(low, heads, chain.from_iterable(cut), _MARKS)).difference(self.piece)))
         get = self.piece.__getitem__
-        found = {w: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for w, ps in zip(simple, cut)}
-        if len(simple) < len(words):
-            found.update((w, self._alone(w)) for w in words if w not in found)
+        found = dict(zip(letters, map(get, low)))
+        found.update((w, get(h) + get(w[-1])) for w, h in zip(marked, heads))
+        found.update((w, b"".join(map(get, ps))) for w, ps in zip(other, cut))
+        found.update((w, self._alone(w)) for w in odd)
         return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
@@ -132,7 +135,7 @@ class Tokens:
 
     def _ids(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each word. Up to CACHE_WORDS words stay known."""
-        new = self._encoded([w for w in set(words) if w not in self.known])
+        new = self._encoded(set(words).difference(self.known))
         keep = len(self.known) < CACHE_WORDS
         self.known.update(new)
         out = list(map(self.known.__getitem__, words))
@@ -176,17 +179,19 @@ class WaveletMatrix:
         depth = max(1, int(max(0, len(alphabet) - 1)).bit_length())
         planes, ranks, zeros = [], [], []
         for b in range(depth - 1, -1, -1):
-            bit = (code >> b) & 1 == 1
+            bit = (code & code.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit))
-            ranks.append(cls.directory(bit))
-            code = np.concatenate([code[~bit], code[bit]])
-            zeros.append(int(len(bit) - bit.sum()))
+            ranks.append(cls.directory(planes[-1]))
+            one = np.flatnonzero(bit)
+            zeros.append(len(bit) - len(one))
+            code = np.concatenate([code[np.flatnonzero(~bit)], code[one]])
         return cls(alphabet.astype(np.uint32), planes, ranks, zeros, len(ids))
 
     @staticmethod
-    def directory(bit: np.ndarray) -> np.ndarray:
-        """The ones before every _BLOCK-th bit."""
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), _BLOCK), dtype=np.uint32) if len(bit) else np.zeros(0, np.uint32)
+    def directory(plane: np.ndarray) -> np.ndarray:
+        """The ones before every _BLOCK-th bit of packed bits."""
+        each = np.bitwise_count(plane)
+        ones = np.add.reduceat(each, np.arange(0, len(each), _BLOCK // 8), dtype=np.uint32) if len(each) else np.zeros(0, np.uint32)
         return np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
 
     def rank(self, level: int, i: int) -> int:
@@ -250,8 +255,8 @@ class WaveletMatrix:
         for k in range(len(self.zeros) - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up = np.empty_like(code)
-            up[~bit] = code[: self.zeros[k]]
-            up[bit] = code[self.zeros[k] :] | code.dtype.type(1 << (len(self.zeros) - 1 - k))
+            up[np.flatnonzero(~bit)] = code[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = code[self.zeros[k] :] | code.dtype.type(1 << (len(self.zeros) - 1 - k))
             code = up
         return self.alphabet[code]
 
