@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.functions import extract as E
+from concord.functions import pages as P
 from concord.functions import text as X
 from concord.functions.times import range_dates
 from concord.plans.q_text import titles, titles_sql
@@ -24,16 +25,24 @@ def f2_organizer(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", E.organizer(zh).alias("a"), E.organizer(en, E.ORGANIZERS_BOTH).alias("b"))
 
 
-@query("SELECT doc_id, '黑客松' || CASE WHEN doc_id % 3 = 0 THEN ',AI,线上' WHEN doc_id % 3 = 1 THEN ',Web3,开源' ELSE '' END AS v FROM documents")
+@query(r"""SELECT doc_id, array_to_string(list_filter(['黑客松', CASE WHEN doc_id % 3 = 0 OR regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])ai($|[^\p{L}\p{N}_])|artificial intelligence') THEN 'AI' END, CASE WHEN doc_id % 3 = 1 OR regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])web3($|[^\p{L}\p{N}_])|blockchain') THEN 'Web3' END,
+  CASE WHEN doc_id % 3 = 0 OR regexp_matches(lower(text), 'online|virtual|remote') THEN '线上' END, CASE WHEN regexp_matches(lower(text), 'offline|in[\s-]person|on[\s-]site') THEN '线下' END,
+  CASE WHEN doc_id % 3 = 1 OR regexp_matches(lower(text), 'open[\s-]source') THEN '开源' END, CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])ml($|[^\p{L}\p{N}_])|machine learning') THEN '机器学习' END,
+  CASE WHEN regexp_matches(lower(text), 'social good|impact') THEN '公益' END], lambda x: x IS NOT NULL), ',') AS v FROM documents""")
 def f3_tags(spark, sf):
-    text = F.expr("CASE doc_id % 3 WHEN 0 THEN 'an AI event, online' WHEN 1 THEN 'Web3 and open-source' ELSE 'none' END")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(E.tags(text), ",").alias("v"))
+    head = F.expr("CASE doc_id % 3 WHEN 0 THEN 'an AI event, online ' WHEN 1 THEN 'Web3 and open-source ' ELSE '' END")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(E.tags(F.concat(head, F.col("text"))), ",").alias("v"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'closed' WHEN 1 THEN 'upcoming' WHEN 2 THEN 'open' WHEN 3 THEN 'open' ELSE 'ended' END AS v FROM documents")
+#: Orders as notices of registration: what their text, and the status word of their source, say.
+_STATUS_TEXT = """CASE o_orderkey % 6 WHEN 0 THEN 'Registration is closed since ' WHEN 1 THEN 'Applications open on ' WHEN 2 THEN '报名火热 ' WHEN 3 THEN 'please register by ' WHEN 4 THEN '' ELSE 'about ' END || o_custkey"""
+_STATUS_WORD = "CASE o_orderstatus WHEN 'F' THEN ' Ended ' WHEN 'O' THEN 'LIVE' ELSE 'x' END"
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'closed' WHEN 1 THEN 'upcoming' WHEN 2 THEN 'open' WHEN 3 THEN 'open'
+  ELSE CASE o_orderstatus WHEN 'F' THEN 'ended' WHEN 'O' THEN 'open' END END AS v FROM orders""")
 def f4_status(spark, sf):
-    text = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Registration is closed' WHEN 1 THEN 'Applications open on May 1' WHEN 2 THEN '报名火热' WHEN 3 THEN 'please register' ELSE '' END")
-    return table(spark, sf, "documents").select("doc_id", E.detect_status(text, F.lit(" Ended ")).alias("v"))
+    return table(spark, sf, "orders").select("o_orderkey", E.detect_status(F.expr(_STATUS_TEXT), F.expr(_STATUS_WORD)).alias("v"))
 
 
 @query(titles_sql("CASE p_partkey % 4 WHEN 0 THEN '数学类' WHEN 1 THEN '环保类' WHEN 2 THEN '信息技术/AI类' ELSE '综合类' END AS v"))
@@ -78,48 +87,61 @@ def f10_script_values(spark, sf):
     return table(spark, sf, "pages").select("page_id", E.script_value(html, "sn", r"[a-z]+_\d+").alias("v"))
 
 
-def cards(spark, sf, card):
-    """Pages with two blocks of a listing each, built from the page's number."""
-    html = F.concat(*[F.expr(card.format(i=i)) for i in (1, 2)])
-    return table(spark, sf, "pages").select("page_id", html.alias("html"))
+def landed(spark, sf, *parts):
+    """Orders as landed pages, with the given parts of HTML joined."""
+    return table(spark, sf, "orders").select("o_orderkey", F.concat(*[F.expr(p) for p in parts]).alias("html"))
+
 
+_LIST = ["""'<ul class="news-list"><li><h3><a target="x" href="/link?url=' || o_orderkey || '"><em>' || o_orderpriority || '</em> &amp; more</a></h3><p class="txt-info">by ' || o_custkey || '</p><span class="all-time-y2">' || o_orderstatus
+  || '</span><script>document.write(timeConvert("' || unix_timestamp(o_orderdate) || '"))</script></li><li>no title</li>'""",
+  """CASE WHEN o_orderkey % 3 = 0 THEN '<li><h3><a href="https://x.org/' || o_custkey || '">second</a></h3></li></ul>' ELSE '</ul>' END"""]
 
-@query("SELECT page_id, unnest([0, 1]) AS place, unnest(['Title 1 of ' || page_id, 'Title 2 of ' || page_id]) AS title, unnest(['/a/1', '/a/2']) AS url FROM pages")
+
+@query("""SELECT o_orderkey, 0 AS place, o_orderpriority || ' & more' AS title, 'https://weixin.sogou.com/link?url=' || o_orderkey AS url, 'by ' || o_custkey AS summary, o_orderstatus AS publisher,
+    strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS publish_time FROM orders
+  UNION ALL SELECT o_orderkey, 1, 'second', 'https://x.org/' || o_custkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0""")
 def f11_articles(spark, sf):
-    rows = cards(spark, sf, """'<li class="item"><a href="/a/{i}">Title {i} of ' || page_id || '</a><p>text</p></li>'""")
-    blocks = F.regexp_extract_all("html", F.lit(r'(?is)<li class="item">(.*?)</li>'), 1)
-    each = rows.select("page_id", F.posexplode(blocks).alias("place", "b"))
-    return each.select("page_id", "place", F.regexp_extract("b", r"(?is)<a[^>]*>(.*?)</a>", 1).alias("title"), F.regexp_extract("b", r'href="([^"]*)"', 1).alias("url"))
+    rows = landed(spark, sf, *_LIST).select("o_orderkey", F.posexplode(P.article_list(F.col("html"))).alias("place", "a"))
+    return rows.select("o_orderkey", "place", "a.*")
+
 
+_ARTICLE = ["""'<title>T ' || o_custkey || '</title><meta name="author" content="Ann ' || o_orderstatus || '"><script>var biz = "MzA' || o_custkey || '=="; var mid = "' || o_orderkey || '"; var idx = "1"; var sn = "not hex!"; var ct = "' || unix_timestamp(o_orderdate) || '";</script>'""",
+  """CASE WHEN o_orderkey % 2 = 0 THEN '<h1 id="activity-name"> Head ' || o_orderkey || '</h1>' ELSE '' END""", """CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '<div class="x" id="js_content"><p>body of</p> ' || o_orderpriority || '</div>' END"""]
 
-@query("SELECT page_id, 'Head ' || page_id AS title, 'Ann' AS author, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'body text' END AS body FROM pages")
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Head ' || o_orderkey ELSE 'T ' || o_custkey END AS title, 'Ann ' || o_orderstatus AS author, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS publish_time,
+  'body of ' || o_orderpriority AS body, 'MzA' || o_custkey || '==' AS biz, CAST(o_orderkey AS VARCHAR) AS mid, '1' AS idx, NULL AS sn FROM orders WHERE o_orderkey % 5 <> 0""")
 def f12_article_pages(spark, sf):
-    html = F.expr("""'<title>Head ' || page_id || '</title><meta name="author" content="Ann">' || CASE WHEN page_id % 3 = 0 THEN '' ELSE '<div id="body"><p>body</p> text</div>' END""")
-    body = X.html_text(F.nullif(F.regexp_extract(html, r'(?is)<div id="body">(.*?)</div>', 1), F.lit("")))
-    return table(spark, sf, "pages").select("page_id", X.page_title(html).alias("title"), X.meta_content(html, "author").alias("author"), body.alias("body"))
+    return landed(spark, sf, *_ARTICLE).select("o_orderkey", P.article_page(F.col("html")).alias("a")).filter("a is not null").select("o_orderkey", "a.*")
+
+
+_CARDS = ["""CASE WHEN o_orderkey % 4 = 0 THEN '<h3><a href="/e/' || o_orderkey || '">Plain ' || o_custkey || '</a></h3> <p> ' || date_format(o_orderdate, 'yyyy-MM-dd') || '</p>' ELSE '<a itemScope="" itemType="https://schema.org/Event" href="https://a.example/?utm=1"><meta itemProp="startDate" content="'
+  || date_format(o_orderdate, 'yyyy-MM-dd') || '"/><h4>Card ' || o_custkey || '</h4>' END""", """CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN '<meta itemProp="url" content="https://e.org/' || o_orderkey || '"/><meta itemProp="eventAttendanceMode" content="https://schema.org/OnlineEventAttendanceMode"/><span itemProp="name">Hall '
+  || o_orderstatus || '</span></a>' ELSE '<meta itemProp="endDate" content="2030-01-01"/></a>' END"""]
 
 
-@query("SELECT page_id, unnest([0, 1]) AS place, unnest(['https://e.org/1', 'https://e.org/2']) AS url, unnest(['2026-05-01', '2026-05-02']) AS start FROM pages")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Plain ' ELSE 'Card ' END || o_custkey AS name, CASE o_orderkey % 4 WHEN 0 THEN '/e/' || o_orderkey WHEN 1 THEN 'https://e.org/' || o_orderkey ELSE 'https://a.example/?utm=1' END AS url,
+  strftime(o_orderdate, '%Y-%m-%d') AS "start", CASE WHEN o_orderkey % 4 > 1 THEN '2030-01-01' END AS "end", CASE WHEN o_orderkey % 4 = 1 THEN 'online' END AS mode, CASE WHEN o_orderkey % 4 = 1 THEN 'Hall ' || o_orderstatus END AS location FROM orders""")
 def f13_event_cards(spark, sf):
-    rows = cards(spark, sf, """'<div itemtype="https://schema.org/Event"><a itemprop="url" href="https://e.org/{i}"></a><meta itemprop="startDate" content="2026-05-0{i}"></div>'""")
-    each = rows.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)schema\.org/Event(.*?)</div>"), 1)).alias("place", "b"))
-    return each.select("page_id", "place", F.regexp_extract("b", r'href="([^"]*)"', 1).alias("url"), F.regexp_extract("b", r'startDate" content="([^"]*)"', 1).alias("start"))
+    return landed(spark, sf, *_CARDS).select("o_orderkey", F.explode(P.event_cards(F.col("html"))).alias("e")).select("o_orderkey", "e.*")
+
+
+_STATE = ["""CASE WHEN o_orderkey % 3 = 0 THEN '<h2><a href="/h/' || o_custkey || '">Seen ' || o_custkey || '</a></h2>' ELSE '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"hackathons":[{"' || CASE WHEN o_orderkey % 3 = 1 THEN 'name' ELSE 'title' END
+  || '":"E' || o_orderkey || '","slug":"s-' || o_custkey || '","start_date":"' || date_format(o_orderdate, 'yyyy-MM-dd') || '","state":"' || o_orderstatus || '"},{"slug":"nameless"}]}}}</script>' END"""]
 
 
-@query("SELECT page_id, 'E' || page_id AS name, 'x' AS slug FROM pages")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Seen ' || o_custkey ELSE 'E' || o_orderkey END AS name, 'https://d.example/' || CASE WHEN o_orderkey % 3 = 0 THEN 'h/' ELSE 's-' END || o_custkey AS url,
+  CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS "start", NULL AS "end", CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders""")
 def f14_page_state(spark, sf):
-    html = F.expr("""'<script id="state" type="application/json">{"events":[{"name":"E' || page_id || '","slug":"x"}]}</script>'""")
-    state = F.from_json(F.regexp_extract(html, r'(?is)<script id="state"[^>]*>(.*?)</script>', 1), "events array<struct<name:string,slug:string>>")
-    return table(spark, sf, "pages").select("page_id", F.explode(state["events"]).alias("e")).select("page_id", "e.name", "e.slug")
+    return landed(spark, sf, *_STATE).select("o_orderkey", F.explode(P.page_state(F.col("html"), "https://d.example")).alias("e")).select("o_orderkey", "e.*")
 
 
-@query("SELECT page_id, unnest(['Alpha', 'Beta Day']) AS name, unnest(['2026-08-22', '2026-06-29']) AS first_day, unnest(['2026-08-24', '2026-08-03']) AS last_day FROM pages")
+@query("""SELECT o_orderkey, unnest(['Alpha ' || o_custkey, 'Beta Day']) AS name, unnest([strftime(try_cast('2027' || strftime(o_orderdate, '-%m-%d') AS DATE), '%Y-%m-%d'), NULL]) AS first_day,
+  unnest([strftime(try_cast('2027' || strftime(o_orderdate + INTERVAL 40 DAY, '-%m-%d') AS DATE), '%Y-%m-%d'), NULL]) AS last_day FROM orders""")
 def f15_described_events(spark, sf):
-    text = F.lit("Alpha (Aug 22 - 24), Beta Day (Jun 29 - Aug 3)")
-    p = F.lit(r"([A-Z][A-Za-z ]+?) \(([^)]*)\)")
-    each = table(spark, sf, "pages").select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all(text, p, 1).alias("n"), F.regexp_extract_all(text, p, 2).alias("d"))).alias("e"))
-    got = range_dates(F.col("e.d"), 2026)
-    return each.select("page_id", F.col("e.n").alias("name"), got["start"].cast("string").alias("first_day"), got["end"].cast("string").alias("last_day"))
+    text = F.expr("'Alpha ' || o_custkey || ' (' || date_format(o_orderdate, 'MMM d') || ' - ' || date_format(o_orderdate + INTERVAL 40 DAY, 'MMM d') || '), Beta Day (' || o_orderstatus || ')'")
+    each = table(spark, sf, "orders").select("o_orderkey", F.explode(P.described_events(text, 2027)).alias("e"))
+    return each.select("o_orderkey", "e.name", F.col("e.start").cast("string").alias("first_day"), F.col("e.end").cast("string").alias("last_day"))
 
 
 @query("""SELECT page_id, place, href, title FROM (SELECT page_id, unnest(range(len(h))) AS place, unnest(h) AS href, unnest(t) AS title FROM (SELECT page_id,
@@ -130,9 +152,10 @@ def f16_links(spark, sf):
     return each.select("page_id", F.col("place").cast("long").alias("place"), "l.href", "l.title").filter(F.length("title") >= 4)
 
 
-@query("SELECT page_id, 'Spring Data Days' AS v FROM pages")
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS v FROM part""")
 def f17_name_from_host(spark, sf):
-    return table(spark, sf, "pages").select("page_id", E.name_from_host(F.lit("https://spring-data-days.example.org/x")).alias("v"))
+    host = F.concat(F.lit("https://"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".example.org/x"))
+    return table(spark, sf, "part").select("p_partkey", E.name_from_host(host).alias("v"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '高' ELSE '中' END AS authority, CASE WHEN o_orderkey % 3 = 0 THEN '["a","线上"]' ELSE '["a"]' END AS tags FROM orders""")
