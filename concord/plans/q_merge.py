@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from concord.functions import text as X
 from concord.functions import times as T
+from concord.operators import dedup
 from concord.operators import merge as M
 from concord.operators import state as S
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
-from concord.operators.dedup import shared_folder
 from concord.plans.registry import query, table
 from concord.sources import tables as IO
 from concord.streaming.sync import run_stream_sync
@@ -154,7 +154,7 @@ def merged_events(spark, sf):
 
     raw, now = raw_events(spark, sf), F.lit(NOW).cast("timestamp")
     one = U.merge_events(raw.filter("seq % 3 <> 2"), *[spark.createDataFrame([], s) for s in (U.CATALOG, U.EDITIONS, U.EVIDENCE)], now)
-    shared_folder(spark)
+    dedup.shared_folder(spark)
     return U.merge_events(raw.filter("seq % 3 <> 1"), *[one[n].checkpoint() for n in ("catalog", "editions", "evidence")], now)
 
 
