@@ -139,13 +139,13 @@ def d2_by_identity(spark, sf):
     return D.with_dropped(e, kept, "event_type", "event_id")
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id || '/' || event_id % 7 END AS pid, event_type || CAST(value AS INT) AS title FROM events),
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id || '/' || event_id % 7 END AS pid, event_type || CAST(floor(value) AS BIGINT) AS title FROM events),
   a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY event_id) AS n FROM e) WHERE pid IS NULL OR n = 1)
   SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY title ORDER BY event_id) AS m FROM a) WHERE m = 1""")
 def d3_cross_source(spark, sf):
     pid = F.when(F.col("event_id") % 3 != 0, F.concat("user_id", F.lit("/"), F.col("event_id") % 7))
     e = table(spark, sf, "events").withColumn("pid", pid)
-    return D.dedup_cross_source(e, "pid", F.concat("event_type", F.round("value").cast("int")), "event_id").select("event_id")
+    return D.dedup_cross_source(e, "pid", F.concat("event_type", F.floor("value")), "event_id").select("event_id")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE text IS NULL UNION ALL
