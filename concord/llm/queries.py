@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, chunks, decontaminate, langid, lines, pieces, quality, simhash, topk, wavelet
+from concord.llm import bpe, chat, chunks, decontaminate, langid, lines, pieces, quality, simhash, topk, wavelet
 from concord.llm.common import table
 
 __all__ = [
@@ -19,6 +19,7 @@ __all__ = [
     "op8_sentencepiece",
     "op9_simhash_near_dedup",
     "op10_quality_classifier",
+    "op12_bpe",
 ]
 
 
@@ -100,3 +101,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scorer = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, scorer).select("doc_id", F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    found = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.ids_sha256("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
