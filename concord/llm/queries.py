@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, chat, chunks, decontaminate, langid, lines, pieces, quality, simhash, topk, wavelet
+from concord.llm import audit, bpe, chat, chunks, decontaminate, langid, lines, pieces, quality, simhash, topk, wavelet
 from concord.llm.common import table
 
 __all__ = [
@@ -19,6 +19,7 @@ __all__ = [
     "op8_sentencepiece",
     "op9_simhash_near_dedup",
     "op10_quality_classifier",
+    "op11_filter_audit",
     "op12_bpe",
 ]
 
@@ -103,6 +104,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, scorer).select("doc_id", F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step and what each step of each order of the five filters keeps, removes and costs."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     found = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))

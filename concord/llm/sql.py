@@ -56,3 +56,42 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(sum(total) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+m AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN coalesce(doc_id > least, false) THEN 16 ELSE 0 END AS f
+  FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, f),
+b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS v),
+o AS (
+  SELECT p.l || q.l || r.l || s.l || u.l AS filter_order, [p.v, q.v, r.v, s.v, u.v] AS v
+  FROM b p, b q, b r, b s, b u
+  WHERE p.v + q.v + r.v + s.v + u.v = 31 AND len(list_distinct([p.v, q.v, r.v, s.v, u.v])) = 5),
+k AS (SELECT filter_order, i AS step, v[i] AS own, coalesce(list_sum(v[1:i - 1]), 0)::INTEGER AS earlier FROM o, range(1, 6) g(i)),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (WHERE f & own = 0 AND f & earlier = 0) AS kept,
+         sum(n) FILTER (WHERE f & own > 0 AND f & earlier = 0) AS removed,
+         sum(n) FILTER (WHERE f & own > 0 AND f & earlier > 0) AS redundant,
+         sum(n) FILTER (WHERE f = own) AS unique_fails,
+         sum(good) FILTER (WHERE f & own > 0 AND f & earlier = 0) AS good_lost,
+         sum(toxic) FILTER (WHERE f & own > 0 AND f & earlier = 0) AS toxic_lost
+  FROM c, k GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
