@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import audit, bpe, chat, chunks, decontaminate, langid, lines, pieces, quality, simhash, topk, wavelet
+from concord.llm import audit, bpe, chat, chunks, decontaminate, langid, lines, pieces, prefixes, quality, simhash, topk, wavelet
 from concord.llm.common import table
 
 __all__ = [
@@ -21,6 +21,7 @@ __all__ = [
     "op10_quality_classifier",
     "op11_filter_audit",
     "op12_bpe",
+    "op13_conversation_trie",
 ]
 
 
@@ -118,3 +119,9 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         bpe.ids_sha256("ids").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node of the
+    rebuilt conversations' prefix trie."""
+    return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"))

@@ -95,3 +95,35 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0)
        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM r
 """
+
+ORACLES["op13_conversation_trie"] = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+bits AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, 4294967295::BIGINT AS c FROM ids
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(s[i // 8 + 1])) ELSE c END AS x FROM bits WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM bits WHERE i = 8 * length(s)),
+f AS (SELECT a.conv_id, a.base, h, least(h, coalesce(b.n, 0)) AS n_head FROM ids a JOIN h USING (conv_id) LEFT JOIN ids b ON b.conv_id = a.base),
+r AS (
+  SELECT f.conv_id, pos, role, text FROM f JOIN t ON t.conv_id = f.base AND t.pos < f.h
+  UNION ALL SELECT f.conv_id, pos - h + n_head, role, text FROM f JOIN t ON t.conv_id = f.conv_id AND t.pos >= f.h),
+q AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS l FROM r GROUP BY conv_id),
+w AS (SELECT f.conv_id, coalesce(l, []) AS l FROM f LEFT JOIN q USING (conv_id)),
+p AS (SELECT conv_id, len(l) AS n, l[1:d] AS p, d FROM w, LATERAL (SELECT unnest(range(0, len(l) + 1)) AS d)),
+v AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(p[d].text), 0) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM p GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1),
+own AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (p)),
+below AS (
+  SELECT p[1:a] AS p, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+  FROM own, LATERAL (SELECT unnest(range(0, d + 1)) AS a) GROUP BY 1)
+SELECT own.conv_id, CAST(own.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+FROM own JOIN below ON below.p = own.p LEFT JOIN v above ON own.d > 0 AND above.p = own.p[1:own.d - 1]
+"""
