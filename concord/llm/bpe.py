@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +25,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from concord.llm.common import shared_dir, slices
 from concord.llm.wavelet import default_tokenizer, tokens_at
 
 #: Characters of a block, up to one text more.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 14_000_000
 #: Distinct words whose ids a task remembers; beyond it the task starts anew and may encode a word once more.
 TASK_WORDS = 2_000_000
 #: Ids in a batch of results, up to one text more.
@@ -102,6 +100,8 @@ def split(docs: DataFrame) -> DataFrame:
             words = [" ".join(word[i] for i in order[a:b]) for a, b in zip(ends, ends[1:])]
             places, sizes = place[code.indices.to_numpy()], pc.list_value_length(parts).to_pylist()
             yield _row(block, doc_ids, sizes, places, words, [])
+            del texts, parts, code, word, words, places
+            pa.default_memory_pool().release_unused()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _bucketed(docs.mapInArrow(cut, _BLOCK), n)
@@ -169,7 +169,7 @@ def _texts(ids: np.ndarray, offsets: np.ndarray, own: pa.StructArray) -> pa.Arra
     return pc.binary_join(lists, " ")
 
 
-def _joined(blocks: DataFrame, words: DataFrame | None, own: DataFrame | None, ids_of_words: bool) -> DataFrame:
+def _joined(blocks: DataFrame, words: DataFrame | None, own: DataFrame | None, ids_of_words: bool, packed: bool = False) -> DataFrame:
     """Blocks with what came back for them, turned into (doc_id, ids, decoded); decoded is null without own."""
     rows = blocks.select("block", "doc_ids", "sizes", "places", "n", "ids")
     rows = rows.join(words, "block", "left") if ids_of_words else rows.withColumn("w", F.lit(None).cast("array<struct<bucket:int,ids:array<int>,sizes:array<int>>>"))
@@ -180,12 +180,13 @@ def _joined(blocks: DataFrame, words: DataFrame | None, own: DataFrame | None, i
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                yield from _put({x: b.column(x)[i] for x in b.schema.names}, ids_of_words, decode, BATCH_IDS)
+                yield from _put({x: b.column(x)[i] for x in b.schema.names}, ids_of_words, decode, packed, BATCH_IDS)
+            pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(put, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(put, f"doc_id long, ids {'binary' if packed else 'array<int>'}, decoded string")
 
 
-def _put(row: dict, ids_of_words: bool, decode: bool, most: int) -> Iterator[pa.RecordBatch]:
+def _put(row: dict, ids_of_words: bool, decode: bool, packed: bool, most: int) -> Iterator[pa.RecordBatch]:
     doc_ids, places = row["doc_ids"].values, _opened(row["places"].as_py(), row["n"].as_py())
     ends = np.cumsum(np.concatenate([[0], row["sizes"].values.to_numpy()]))
     if ids_of_words:
@@ -208,7 +209,12 @@ def _put(row: dict, ids_of_words: bool, decode: bool, most: int) -> Iterator[pa.
         ids = of[np.repeat(starts[some] - to + lens, lens) + np.arange(to[-1] if len(to) else 0)]
         offsets = n_ids[a : b + 1] - n_ids[a]
         texts = _texts(ids, offsets, own) if decode else pa.nulls(b - a, pa.string())
-        yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), texts], ["doc_id", "ids", "decoded"])
+        if packed:
+            places_of = [pa.py_buffer(x.astype("<i4")) for x in (4 * offsets, ids)]
+            out = pa.Array.from_buffers(pa.binary(), b - a, [None, *places_of])
+        else:
+            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([doc_ids[a:b], out, texts], ["doc_id", "ids", "decoded"])
         a = b
 
 
@@ -216,12 +222,13 @@ def _gathered(words: DataFrame) -> DataFrame:
     return words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids", "sizes"))).alias("w"))
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): the ids of whole texts, as the tokenizers library gives them without special
     tokens added. Null texts count as empty and have no ids. Rows stay rows: repeated and null doc_ids keep one result
-    each. Other columns are ignored, whatever their names; no rows give no rows. A text is held whole by one task."""
+    each. Other columns are ignored, whatever their names; no rows give no rows. A text is held whole by one task. ids is an
+    array<int>, or packed: one binary of little-endian unsigned 32-bit integers."""
     blocks = split(docs)
-    return _joined(blocks, _gathered(word_ids(blocks, tokenizer or default_tokenizer())), None, True).drop("decoded")
+    return _joined(blocks, _gathered(word_ids(blocks, tokenizer or default_tokenizer())), None, True, packed).drop("decoded")
 
 
 def decode(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -240,18 +247,9 @@ def decode(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return _joined(blocks, None, _pieces_of(blocks, path), False).select("doc_id", F.col("decoded").alias("text"))
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, packed: bool = False) -> DataFrame:
     """(doc_id, ids, decoded) of docs (doc_id, text): encode, and decode from those ids, over the same blocks."""
     path = tokenizer or default_tokenizer()
     blocks = split(docs)
     words = _gathered(word_ids(blocks, path))
-    return _joined(blocks, words, _pieces_of(words.select("block", F.flatten("w.ids").alias("ids")), path), True)
-
-
-@F.arrow_udf(StringType())
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    """Lowercase hex of the ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
-    data, ends = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B"), np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
-    return pa.array([hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(chain([0], ends.tolist()), ends.tolist())], pa.string())
+    return _joined(blocks, words, _pieces_of(words.select("block", F.flatten("w.ids").alias("ids")), path), True, packed)

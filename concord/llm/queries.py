@@ -112,11 +112,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    found = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True)
     return found.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_sha256("ids").alias("ids_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
