@@ -116,10 +116,11 @@ def charset_match(pairs: DataFrame, a: str, b: str, mode: str = "flag") -> DataF
 
 def resolve_editions(incoming: DataFrame, editions: DataFrame) -> DataFrame:
     """incoming (seq, catalog_key, year, url, title) with event_id and how: by catalog and year, else by catalog and URL,
-    else, without a year, by catalog and title, else new (null). The edition with the smallest seq wins."""
+    else, without a year, by catalog and title, else new (null). The edition with the smallest seq wins; a blank URL or
+    title finds nothing."""
     out = incoming
     for name, cols in (("year", ["catalog_key", "year"]), ("url", ["catalog_key", "url"]), ("title", ["catalog_key", "title"])):
-        first = editions.filter(F.col(cols[1]).isNotNull()).groupBy(*cols).agg(F.min_by("event_id", "seq").alias(f"_{name}"))
+        first = editions.filter(F.col(cols[1]).cast("string") != "").groupBy(*cols).agg(F.min_by("event_id", "seq").alias(f"_{name}"))
         out = out.join(first, cols, "left")
     by_title = F.when(F.col("year").isNull(), F.col("_title"))
     how = F.when(F.col("_year").isNotNull(), "year").when(F.col("_url").isNotNull(), "url").when(by_title.isNotNull(), "title").otherwise("new")

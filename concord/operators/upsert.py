@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import extract as E
 from concord.functions import text as X
 from concord.functions import times as T
-from concord.operators.match import resolve_editions
+from concord.operators.dedup import shared_folder
 from concord.sources.tables import TableStore
 
 CATALOG = "catalog_key string, organizer string, category string, contest_level string, authority_level string, is_ministry_approved boolean"
@@ -21,7 +21,7 @@ EVIDENCE = "event_id string, field_name string, field_value string, source_url s
 STABLE = ["organizer", "category", "contest_level", "authority_level"]
 FILLED = ["summary", "source_name", "url"]
 #: Fields that leave evidence of where they come from.
-TRACED = ["deadline", "event_time", "summary", "organizer", "contest_level"]
+TRACED = ["deadline", "event_time", "summary", "source_url", "organizer", "contest_level"]
 #: The default authority, which any other value replaces, and the sources whose events are approved.
 DEFAULT_AUTHORITY = "中"
 APPROVING_SOURCES = ["教育部竞赛目录", "教育部竞赛目录（2015-2018）"]
@@ -37,38 +37,59 @@ def _last(c: str, order: str = "seq") -> Column:
     return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
 
 
-def merge_catalog(catalog: DataFrame, rows: DataFrame) -> DataFrame:
+def merge_catalog(catalog: DataFrame, rows: DataFrame, promote_approved: bool = False) -> DataFrame:
     """catalog with the stable fields of rows (seq, catalog_key, source_name, ...), which fill what is empty or the default,
-    in the order of seq. A row of an approving source approves its entry for good."""
+    in the order of seq. A new entry is approved if the source of its first row is an approving one; an entry that is there
+    stays as it is, unless promote_approved lets any row of such a source approve it."""
     authority = F.when(F.col("authority_level") != DEFAULT_AUTHORITY, F.col("authority_level"))
-    new = rows.withColumn("authority_level", authority).groupBy("catalog_key").agg(
-        *[_first(c).alias(c) for c in STABLE], F.max(F.coalesce(F.col("source_name").isin(APPROVING_SOURCES), F.lit(False))).alias("approved")
-    )
+    approves = F.coalesce(F.col("source_name").isin(APPROVING_SOURCES), F.lit(False))
+    approved = F.max(approves) if promote_approved else F.min_by(approves, "seq")
+    new = rows.withColumn("authority_level", authority).groupBy("catalog_key").agg(*[_first(c).alias(c) for c in STABLE], approved.alias("approved"))
     both = catalog.alias("c").join(new.alias("n"), "catalog_key", "full")
     known = lambda c: F.when(~F.col(f"c.{c}").isin("", DEFAULT_AUTHORITY if c == "authority_level" else ""), F.col(f"c.{c}"))
     other = {"authority_level": DEFAULT_AUTHORITY}
     fields = [F.coalesce(known(c), F.col(f"n.{c}"), F.lit(other.get(c, ""))).alias(c) for c in STABLE]
-    approved = F.coalesce("c.is_ministry_approved", F.lit(False)) | F.coalesce("n.approved", F.lit(False))
-    return both.select("catalog_key", *fields, approved.alias("is_ministry_approved"))
+    old, fresh = F.col("c.is_ministry_approved"), F.coalesce("n.approved", F.lit(False))
+    flag = F.coalesce(old, F.lit(False)) | fresh if promote_approved else F.coalesce(old, fresh)
+    return both.select("catalog_key", *fields, flag.alias("is_ministry_approved"))
+
+
+def _keys(rows: DataFrame, *cols: str) -> DataFrame:
+    """A row for each key that an edition may be found by: (catalog_key, how, place, *cols), how being 1 for the year, 2
+    for the URL and 3 for the title. Blank URLs and titles are no keys."""
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    each = [F.struct(F.lit(n).alias("how"), v.alias("place")) for n, v in ((1, F.col("year").cast("string")), (2, text("url")), (3, text("title")))]
+    return rows.select("catalog_key", *cols, F.inline(F.array(*each))).filter("place is not null")
+
+
+def _lookup(rows: DataFrame, editions: DataFrame) -> DataFrame:
+    """(seq, event_id) of the rows (seq, catalog_key, year, url, title) that an edition is found for: by the first of
+    year, URL and, without a year, title; of several editions the one with the smallest seq."""
+    index = _keys(editions, "event_id", "seq").groupBy("catalog_key", "how", "place").agg(F.min_by("event_id", "seq").alias("event_id"))
+    asked = _keys(rows, "seq", "year").filter("how < 3 or year is null").drop("year")
+    return asked.join(index, ["catalog_key", "how", "place"]).groupBy("seq").agg(F.min_by("event_id", "how").alias("event_id"))
 
 
 def identify(rows: DataFrame, editions: DataFrame) -> DataFrame:
-    """rows with event_id and known, whether the edition existed. An edition is found by catalog and year, else by catalog
-    and URL, else, without a year, by catalog and title. Rows of a batch that none is found for make new ones: one for
-    each catalog and year; rows without a year join those by URL or title, and else make one for each URL (or title)."""
-    resolved = resolve_editions(rows, editions).withColumn("known", F.col("event_id").isNotNull()).drop("how")
-    new_id = E.event_id(F.col("catalog_key"), F.col("year"), F.col("title"), F.col("url"))
-    dated = resolved.filter("not known and year is not null").withColumn("own", new_id)
-    made = dated.groupBy("catalog_key", "year").agg(F.min_by("own", "seq").alias("event_id"), F.min("seq").alias("seq"))
-    firsts = made.join(dated.select("seq", "url", "title"), "seq")
-    undated = resolve_editions(resolved.filter("not known and year is null").drop("event_id"), firsts).drop("how")
-    rest = undated.filter("event_id is null").drop("event_id").withColumn("own", new_id)
-    place = F.coalesce(F.nullif("url", F.lit("")), "title")
-    groups = rest.groupBy("catalog_key", place.alias("_place")).agg(F.min_by("own", "seq").alias("event_id"))
-    rest = rest.withColumn("_place", place).join(groups, ["catalog_key", "_place"])
-    parts = [resolved.filter("known"), dated.drop("event_id").join(made.drop("seq"), ["catalog_key", "year"]), undated.filter("event_id is not null"), rest]
-    out = [p.select(*rows.columns, "event_id", "known") for p in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    """rows with event_id and known, whether the edition existed; seq tells rows apart. An edition is found by catalog and
+    year, else by catalog and URL, else, without a year, by catalog and title; a blank URL finds nothing. Rows of a batch
+    that none is found for make new ones: one for each catalog and year; rows without a year join the first row of such
+    an edition by URL or title, and else make one for each URL, or for each title where the URL is blank.
+
+    Identities are settled over the few columns that decide them, each step from the checkpoint of the one before."""
+    shared_folder(rows.sparkSession)
+    short = rows.select("seq", "catalog_key", "year", F.nullif("url", F.lit("")).alias("url"), "title")
+    own = E.event_id(F.col("catalog_key"), F.col("year"), F.col("title"), F.col("url"))
+    ids = short.join(_lookup(short, editions), "seq", "left").withColumn("known", F.col("event_id").isNotNull()).withColumn("own", own).checkpoint()
+    first = Window.partitionBy("catalog_key", "year").orderBy("seq")
+    dated = ids.filter("not known and year is not null").withColumn("event_id", F.first("own").over(first)).withColumn("n", F.row_number().over(first)).checkpoint()
+    alone = ids.filter("not known and year is null").drop("event_id")
+    undated = alone.join(_lookup(alone, dated.filter("n = 1")), "seq", "left")
+    place = F.when(F.col("event_id").isNull(), F.coalesce("url", "title"))
+    group = Window.partitionBy("catalog_key", place).orderBy("seq")
+    undated = undated.withColumn("event_id", F.coalesce("event_id", F.first("own").over(group)))
+    out = [p.select("seq", "event_id", "known") for p in (ids.filter("known"), dated, undated)]
+    return rows.join(out[0].unionByName(out[1]).unionByName(out[2]), "seq")
 
 
 def merge_editions(editions: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
@@ -93,40 +114,41 @@ def merge_editions(editions: DataFrame, rows: DataFrame, now: Column) -> DataFra
 def merge_evidence(evidence: DataFrame, rows: DataFrame, cut: int = 2000) -> DataFrame:
     """evidence with a row for each filled field of identified rows, and for each URL, that it does not hold yet."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    value = lambda c: iso(c) if c in ("deadline", "event_time") else F.col(c)
-    long = rows.select("event_id", F.col("url").alias("source_url"), *[value(c).alias(c) for c in TRACED]).unpivot(["event_id", "source_url"], TRACED, "field_name", "field_value")
+    value = {"deadline": iso("deadline"), "event_time": iso("event_time"), "source_url": F.col("url")}
+    each = [F.struct(F.lit(c).alias("field_name"), F.substring(value.get(c, F.col(c)), 1, cut).alias("field_value")) for c in TRACED]
     keys = ["event_id", "field_name", "field_value", "source_url"]
-    fresh = long.filter(X.is_meaningful(F.col("field_value"))).withColumn("field_value", F.substring("field_value", 1, cut)).select(*keys).distinct()
-    e = evidence.select(*keys)
+    long = rows.select("event_id", F.coalesce("url", F.lit("")).alias("source_url"), F.inline(F.array(*each))).filter(X.is_meaningful(F.col("field_value")))
+    fresh, e = long.select(*keys).distinct(), evidence.select(*keys)
     return e.unionByName(fresh.join(e, [fresh[k].eqNullSafe(e[k]) for k in keys], "left_anti"))
 
 
-def merge_events(raw: DataFrame, catalog: DataFrame, editions: DataFrame, evidence: DataFrame, now: Column) -> dict[str, DataFrame]:
+def merge_events(raw: DataFrame, catalog: DataFrame, editions: DataFrame, evidence: DataFrame, now: Column, promote_approved: bool = False) -> dict[str, DataFrame]:
     """The new catalog, editions and evidence after raw (seq, title, url, organizer, category, contest_level,
     authority_level, source_name, deadline, event_time, summary), and actions (seq, event_id, action): rows without a
-    title and promotions are skipped, the first row of a new edition is added, all others are updates."""
+    title and promotions are skipped, the first row of a new edition is added, all others are updates. All four are made
+    from one checkpoint of the identified rows."""
     skip = F.when(~X.is_meaningful(F.col("title")), "skipped_invalid").when(X.is_promotion(F.col("title")), "skipped_ad")
     marked = raw.withColumn("skip", skip)
     rows = marked.filter("skip is null").drop("skip").withColumn("catalog_key", X.catalog_key(F.col("title"))).withColumn("year", X.edition_year(F.col("title")))
-    found = identify(rows, editions)
-    first = found.filter("not known").groupBy("event_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("first"))
-    done = found.join(first, "seq", "left").select("seq", "event_id", F.when(F.col("first"), "added").otherwise("updated").alias("action"))
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy("seq")) == 1
+    found = identify(rows, editions).withColumn("action", F.when(~F.col("known") & first, "added").otherwise("updated")).checkpoint()
     skipped = marked.filter("skip is not null").select("seq", F.lit(None).cast("string").alias("event_id"), F.col("skip").alias("action"))
     return {
-        "catalog": merge_catalog(catalog, rows),
+        "catalog": merge_catalog(catalog, found, promote_approved),
         "editions": merge_editions(editions, found, now),
         "evidence": merge_evidence(evidence, found),
-        "actions": done.unionByName(skipped),
+        "actions": found.select("seq", "event_id", "action").unionByName(skipped),
     }
 
 
-def sync_events(store: TableStore, raw: DataFrame, now: Column) -> DataFrame:
+def sync_events(store: TableStore, raw: DataFrame, now: Column, promote_approved: bool = False) -> DataFrame:
     """Merge raw into the store's tables catalog, editions and evidence, and return the actions. The same rows again change
-    none of the tables. Every table is written whole and becomes current at once; the actions are stored too."""
+    none of the tables. Every table is written whole and becomes current when it is; editions come last, so that a run
+    that is repeated after a failure finds the same identities. The actions are stored too."""
     empty = lambda schema: store.spark.createDataFrame([], schema)
     now_in = {n: store.read(n) if store.exists(n) else empty(s) for n, s in (("catalog", CATALOG), ("editions", EDITIONS), ("evidence", EVIDENCE))}
-    merged = merge_events(raw, now_in["catalog"], now_in["editions"], now_in["evidence"], now)
-    for name in ("actions", "catalog", "evidence", "editions"):  # editions last: until then a repeated run finds the old ones
+    merged = merge_events(raw, now_in["catalog"], now_in["editions"], now_in["evidence"], now, promote_approved)
+    for name in ("actions", "catalog", "evidence", "editions"):
         store.overwrite(name, merged[name])
     return store.read("actions")
 

@@ -181,18 +181,37 @@ def m7_editions(spark, sf):
 
 
 @query(f"""{_MERGED} SELECT k AS catalog_key, coalesce(arg_min(o_orderstatus, o) FILTER (seq % 3 <> 0), '') AS organizer, CASE WHEN count_if(seq % 2 = 0) > 0 THEN '国家级' ELSE '' END AS contest_level,
-  CASE WHEN count_if(seq % 5 = 0) > 0 THEN '高' ELSE '中' END AS authority_level, count_if(seq % 11 = 0) > 0 AS approved FROM g GROUP BY k""")
+  CASE WHEN count_if(seq % 5 = 0) > 0 THEN '高' ELSE '中' END AS authority_level, arg_min(seq % 11 = 0, o) AS approved FROM g GROUP BY k""")
 def m7_catalog(spark, sf):
     return merged_events(spark, sf)["catalog"].select("catalog_key", "organizer", "contest_level", "authority_level", F.col("is_ministry_approved").alias("approved"))
 
 
-@query(f"""WITH g AS {_GOOD}, v AS (SELECT k, y, u, unnest(['deadline', 'event_time', 'summary', 'organizer', 'contest_level']) AS f, unnest([CASE WHEN seq % 4 <> 0 THEN strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') END,
-  CASE WHEN seq % 5 <> 0 THEN strftime(o_orderdate + INTERVAL 120 DAY, '%Y-%m-%d') END, CASE WHEN seq % 7 = 0 THEN 'sum ' || seq END, CASE WHEN seq % 3 <> 0 THEN o_orderstatus END, CASE WHEN seq % 2 = 0 THEN '国家级' END]) AS x FROM g)
+@query(f"""WITH g AS {_GOOD}, v AS (SELECT k, y, u, unnest(['deadline', 'event_time', 'summary', 'organizer', 'contest_level', 'source_url']) AS f, unnest([CASE WHEN seq % 4 <> 0 THEN strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') END,
+  CASE WHEN seq % 5 <> 0 THEN strftime(o_orderdate + INTERVAL 120 DAY, '%Y-%m-%d') END, CASE WHEN seq % 7 = 0 THEN 'sum ' || seq END, CASE WHEN seq % 3 <> 0 THEN o_orderstatus END, CASE WHEN seq % 2 = 0 THEN '国家级' END, 'https://x.org/' || u]) AS x FROM g)
   SELECT f AS field_name, count(*) AS n FROM (SELECT DISTINCT * FROM v WHERE x IS NOT NULL) GROUP BY f""")
 def m7_evidence(spark, sf):
     return merged_events(spark, sf)["evidence"].groupBy("field_name").agg(F.count("*").alias("n"))
 
 
+#: Undated and dated titles of few catalogs, every third URL blank.
+_LOOSE = "CASE WHEN o_orderkey % 4 = 0 THEN (2024 + o_orderkey % 3) || '年' ELSE '' END || o_custkey % 20 || '号' || o_orderstatus || '杯大赛'"
+_LOOSE_URL = "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'https://x.org/' || o_custkey % 7 END"
+
+
+@query(f"""WITH g AS (SELECT o_orderkey AS seq, {_LOOSE} AS title, nullif({_LOOSE_URL}, '') AS url, o_custkey % 20 || '号' || o_orderstatus || '杯大赛' AS k, CASE WHEN o_orderkey % 4 = 0 THEN 2024 + o_orderkey % 3 END AS y FROM orders),
+  f AS (SELECT k, y, arg_min(title, seq) AS t, min(seq) AS s FROM g WHERE y IS NOT NULL GROUP BY k, y), d AS (SELECT f.*, g.url AS u FROM f JOIN g ON g.seq = f.s),
+  du AS (SELECT k, u, arg_min(y, s) AS y FROM d WHERE u IS NOT NULL GROUP BY k, u),
+  n AS (SELECT g.seq, g.k, g.title, coalesce(g.y, du.y) AS y, CASE WHEN g.y IS NULL AND du.y IS NULL THEN coalesce(g.url, g.title) END AS p FROM g LEFT JOIN du ON g.y IS NULL AND du.k = g.k AND du.u = g.url)
+  SELECT k AS catalog_key, arg_max(title, seq) AS title, count(*) AS n FROM n GROUP BY k, y, p""")
+def m7_blank_urls(spark, sf):
+    from concord.operators import upsert as U
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.expr(_LOOSE).alias("title"), F.expr(_LOOSE_URL).alias("url"))
+    raw = o.select("*", *[F.lit("").alias(c) for c in ("organizer", "category", "contest_level", "authority_level", "source_name", "summary")], *[F.lit(None).cast("timestamp").alias(c) for c in ("deadline", "event_time")])
+    merged = U.merge_events(raw, *[spark.createDataFrame([], s) for s in (U.CATALOG, U.EDITIONS, U.EVIDENCE)], F.lit(NOW).cast("timestamp"))
+    return merged["editions"].select("event_id", "catalog_key", "title").join(merged["actions"].groupBy("event_id").agg(F.count("*").alias("n")), "event_id").drop("event_id")
+
+
 def observations(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("domain"), F.lit("level").alias("field"), F.floor(F.col("value") / 60).cast("string").alias("value"))
 

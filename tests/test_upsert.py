@@ -37,3 +37,20 @@ def test_rows_of_a_batch_find_each_other(spark):
     empty = [spark.createDataFrame([], s) for s in (U.CATALOG, U.EDITIONS, U.EVIDENCE)]
     got = {r.seq: r.event_id for r in U.merge_events(data, *empty, now)["actions"].collect()}
     assert got[1] == got[2] != got[3] and got[4] == got[5] and len(set(got.values())) == 3
+
+
+def test_blank_urls_and_approval(spark):
+    now = F.lit("2026-07-01 00:00:00").cast("timestamp")
+    empty = [spark.createDataFrame([], s) for s in (U.CATALOG, U.EDITIONS, U.EVIDENCE)]
+    data = rows(spark, [(1, "2026年机器人大赛", "", "", ""), (2, "机器人大赛", "", "", ""), (3, "机器人大赛", None, "", "")])
+    first = U.merge_events(data, *empty, now)
+    editions = {(r.title, r.year) for r in first["editions"].collect()}
+    assert editions == {("2026年机器人大赛", 2026), ("机器人大赛", None)}
+    assert {r.seq: r.action for r in first["actions"].collect()} == {1: "added", 2: "added", 3: "updated"}
+    later = data.filter("seq = 1").withColumn("source_name", F.lit(U.APPROVING_SOURCES[0])).withColumn("url", F.lit("https://x/1"))
+    tables = [first[n].checkpoint() for n in ("catalog", "editions", "evidence")]
+    for promote in (False, True):
+        got = U.merge_events(later, *tables, now, promote)
+        assert [r.is_ministry_approved for r in got["catalog"].collect()] == [promote]
+        assert got["evidence"].filter("field_name = 'source_url' and field_value = 'https://x/1'").count() == 1
+    assert U.merge_events(later, *empty, now)["catalog"].first().is_ministry_approved
