@@ -37,12 +37,16 @@ TASK_WORDS = 2_000_000
 BATCH_IDS = 1 << 21
 #: Largest vocabulary whose table of pieces is broadcast.
 BROADCAST_PIECES = 1 << 20
-_BLOCK = "block long, doc_ids array<long>, sizes array<int>, places binary, n long, words array<string>, ids array<int>"
+_BLOCK = "block long, doc_ids array<long>, sizes array<int>, places binary, n long, words array<binary>, ids array<int>"
+
+
+def _zstd(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _squeezed(places: np.ndarray) -> bytes:
     """Places below 2^32 as byte planes, of which the upper ones are nearly empty."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return _zstd(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _opened(data: bytes, n: int) -> np.ndarray:
@@ -81,7 +85,7 @@ def _shards(spark: SparkSession) -> int:
 
 
 def split(docs: DataFrame) -> DataFrame:
-    """The blocks of docs (doc_id, text). words holds, for each bucket, its distinct words in order with spaces between;
+    """The blocks of docs (doc_id, text). words holds, for each bucket, its distinct words in order with spaces between, compressed;
     places are those of the texts' words in all buckets, one after the other, from 1; 0 is the empty word."""
     n = _shards(docs.sparkSession)
 
@@ -97,7 +101,7 @@ def split(docs: DataFrame) -> DataFrame:
             place = np.empty(len(word), np.int64)
             place[order] = np.arange(len(word)) + 1 - first
             ends = np.searchsorted(bucket[order], np.arange(-1, n), side="right").tolist()
-            words = [" ".join(word[i] for i in order[a:b]) for a, b in zip(ends, ends[1:])]
+            words = [_zstd(" ".join(word[i] for i in order[a:b]).encode()) if b > a else None for a, b in zip(ends, ends[1:])]
             places, sizes = place[code.indices.to_numpy()], pc.list_value_length(parts).to_pylist()
             yield _row(block, doc_ids, sizes, places, words, [])
             del texts, parts, code, word, words, places
@@ -108,7 +112,7 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 def _row(block: int, doc_ids: list, sizes: list, places: np.ndarray, words: list, ids: list) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "places": pa.binary(), "n": pa.int64(), "words": pa.list_(pa.string()), "ids": pa.list_(pa.int32())}
+    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "places": pa.binary(), "n": pa.int64(), "words": pa.list_(pa.binary()), "ids": pa.list_(pa.int32())}
     row = {"block": [block], "doc_ids": [doc_ids], "sizes": [sizes], "places": [_squeezed(places)], "n": [len(places)], "words": [words], "ids": [ids]}
     return pa.RecordBatch.from_pydict(row, schema=pa.schema(list(kinds.items())))
 
@@ -120,7 +124,7 @@ def word_ids(blocks: DataFrame, tokenizer: str) -> DataFrame:
         tokens, known = tokens_at(tokenizer), {}
         for b in batches:
             for block, bucket, line in zip(*(c.to_pylist() for c in b.columns)):
-                words = line.split(" ")
+                words = zstandard.ZstdDecompressor().decompress(line).decode().split(" ")
                 new = set(words).difference(known)
                 if len(known) + len(new) > TASK_WORDS:
                     known, new = {}, set(words)
@@ -132,7 +136,7 @@ def word_ids(blocks: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "ids", "sizes"])
 
     n = _shards(blocks.sparkSession)
-    rows = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter("words <> ''")
+    rows = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter("words IS NOT NULL")
     return rows.repartition(n, "bucket").mapInArrow(encoded, "block long, bucket int, ids array<int>, sizes array<int>")
 
 
