@@ -32,8 +32,8 @@ DISTINCT_PERCENT, CAPITAL_PERCENT = 50, 3
 _MARKS, _CAPITALS = re.compile(rb"[#$%&*|]"), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text in a trie, up to one text more.
 TRIE_BYTES = 8 << 20
-#: Text that a range should hold, and the least share of all text that makes a prefix too large: a level has at most
-#: 1 / LARGE_SHARE such prefixes, which are what the driver holds.
+#: Text that a range should hold, and the least share of all text that makes a prefix too large (else it is half a range):
+#: a level has at most 1 / LARGE_SHARE such prefixes, which are what the driver holds.
 RANGE_BYTES, LARGE_SHARE = 64 << 20, 1e-4
 #: Lengths of prefixes, in characters.
 DEPTHS = (16, 64, 256, 1024, 4096)
@@ -160,7 +160,8 @@ def _key(texts: DataFrame) -> tuple[DataFrame, int]:
     prefix = lambda d: F.substring("text", 1, d)
     weight = F.sum(F.octet_length("text").cast("long") + 1).alias("w")
     total = texts.agg(weight).first()["w"] or 0
-    most = max(RANGE_BYTES, total * LARGE_SHARE)
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    most = max(total / (2 * n), total * LARGE_SHARE)
     key, rest = prefix(DEPTHS[0]), texts
     for depth, longer in zip(DEPTHS, DEPTHS[1:]):
         large = [r["p"] for r in rest.groupBy(prefix(depth).alias("p")).agg(weight).filter(F.col("w") > most).select("p").collect()]
@@ -171,7 +172,6 @@ def _key(texts: DataFrame) -> tuple[DataFrame, int]:
         key = F.when(F.col("large").isNotNull(), prefix(longer)).otherwise(key if depth == DEPTHS[0] else F.col("key"))
         texts = texts.withColumn("key", key).drop("large")
         rest = rest.join(table, prefix(depth) == F.col("large"), "left_semi")
-    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     return texts if "key" in texts.columns else texts.withColumn("key", key), n
 
 
