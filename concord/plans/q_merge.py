@@ -15,7 +15,7 @@ from concord.operators import state as S
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
 from concord.plans.registry import query, table
 from concord.sources import tables as IO
-from concord.streaming.sync import run_stream_sync
+from concord.streaming.sync import BucketTable, route_stream, run_stream_sync
 
 
 def shared_folder(spark) -> str:
@@ -323,10 +323,38 @@ def s10_append_new(spark, sf):
 def x5_stream_sync(spark, sf):
     path = shared_folder(spark)
     table(spark, sf, "events").select("event_id", "user_id").repartition(4, "user_id").sortWithinPartitions("event_id").write.parquet(f"{path}/in")
-    store = IO.TableStore(spark, f"{path}/store")
+    final = BucketTable(spark, f"{path}/final", "user_id", "event_id")
     for _ in range(2):  # the second run finds nothing new
-        run_stream_sync(spark, IO.stream_raw_events(spark, f"{path}/in", "event_id long, user_id long"), store, f"{path}/checkpoint", "user_id", "event_id")
-    return store.read("final").select("user_id", "event_id")
+        run_stream_sync(IO.stream_raw_events(spark, f"{path}/in", "event_id long, user_id long"), final, f"{path}/checkpoint")
+    return final.read().select("user_id", "event_id")
+
+
+def arrivals(spark, sf):
+    """events as rows of accounts that arrive in three batches, out of order; an id comes several times."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = F.concat_ws("-", "event_type", (F.col("event_id") % 37).cast("string"))
+    batch = F.when(F.col("event_id") % 10 == 0, F.lit(2)).otherwise((F.dayofmonth("ts") > 12).cast("int"))
+    return e.select("event_id", "user_id", key.alias("key"), F.when(F.col("event_id") % 23 != 0, F.col("ts")).alias("ts"), batch.alias("batch"))
+
+
+_ARRIVALS = """(SELECT event_id, user_id, event_type || '-' || event_id % 37 AS key, CASE WHEN event_id % 23 <> 0 THEN ts END AS ts, CASE WHEN event_id % 10 = 0 THEN 2 ELSE CAST(day(ts) > 12 AS INT) END AS batch FROM events)"""
+
+
+@query(f"""WITH a AS (SELECT * FROM {_ARRIVALS}), m AS (SELECT user_id, batch, max(ts) AS t FROM a GROUP BY ALL),
+  c AS (SELECT a.*, (SELECT max(t) FROM m WHERE m.user_id = a.user_id AND m.batch < a.batch) AS newest FROM a),
+  r AS (SELECT *, CASE WHEN ts IS NULL THEN 'undated' WHEN ts < newest - INTERVAL 24 HOUR THEN 'late' END AS gone FROM c),
+  n AS (SELECT event_id, gone, row_number() OVER (PARTITION BY user_id, key, gone IS NULL ORDER BY batch, ts, event_id) AS k FROM r)
+  SELECT event_id, coalesce(gone, CASE WHEN k = 1 THEN 'take' ELSE 'known' END) AS route FROM n""")
+def x2_stream_routes(spark, sf):
+    """Three batches, each by a query of its own that starts from the checkpoint of the one before."""
+    path, rows = shared_folder(spark), arrivals(spark, sf)
+    for k in range(3):
+        rows.filter(F.col("batch") == k).drop("batch").repartition(2).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("event_id long, user_id long, key string, ts timestamp").parquet(f"{path}/in")
+        routed = route_stream(stream, "user_id", "key", "ts", order="event_id")
+        sink = routed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "route")
 
 
 @query("SELECT event_id FROM events WHERE ts >= least(TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-10' - INTERVAL 24 HOUR ELSE TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR END)")

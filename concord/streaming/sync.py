@@ -1,30 +1,122 @@
-"""Micro-batch sync: every batch goes through the batch operators, state is written after the tables, and a replayed batch
-changes nothing."""
+"""Micro-batch sync: a table in key buckets of which a batch rewrites those it changes, and keyed state that outlives a
+batch. A replayed batch changes nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from concord.operators.dedup import shared_folder
 
-from concord.sources.tables import TableStore
+#: How long a processed id stays known, and how many of the newest ones an account keeps.
+PROCESSED_TTL, MOST_PROCESSED = timedelta(days=90), 5000
+#: How far behind an account's newest row a row may lie.
+OVERLAP = timedelta(hours=24)
+#: How far clocks of machines that a stream runs on may differ: rows count as arrived late only beyond it, so none does.
+CLOCK_SLACK = "1 day"
 
 
 def dedup_within(stream: DataFrame, at: str, key: str, ttl: str = "90 days") -> DataFrame:
-    """A stream's first row of each key within a time of event time."""
+    """A stream's first row of each key within a time of event time. Rows that come later than ttl behind the stream's
+    newest time are dropped by the watermark; route_stream() keeps them."""
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def run_stream_sync(spark: SparkSession, stream: DataFrame, store: TableStore, checkpoint: str, key: str, seq: str) -> None:
-    """Merge all available records of stream into the table 'final': the first row of each key by seq stays. The number of
-    the last merged batch is stored with the table's rows, so that a batch that comes again is passed over."""
+def route_stream(stream: DataFrame, account: str, key: str, at: str, ttl: timedelta = PROCESSED_TTL, most: int = MOST_PROCESSED, overlap: timedelta = OVERLAP, order: str | None = None, parts: int = 1) -> DataFrame:
+    """The rows of a stream with route: 'late' if a row lies further than overlap behind the newest row of its account in
+    earlier batches, 'known' if its key was taken before, else 'take'; 'undated' without a time. Rows of a batch count in
+    the order of at and then of the column order (of key, if there is none).
+
+    The state of an account is its newest time, which never goes back, and the keys taken with their times: those within
+    ttl of the newest time, and of them the newest most. An account that gets no rows for ttl (and CLOCK_SLACK) forgets
+    its keys by a timer on the time of arrival and keeps its newest time. Rows without a key are never known. With parts over 1 an account's keys are dealt to so
+    many states by a hash, each with a newest time and most keys of its own, so that a busy account is no single task's."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    fields = [f for f in stream.schema.fields]
+    out = StructType([*fields, StructField("route", StringType())])
+    cols, span, lag = [f.name for f in fields], pd.Timedelta(ttl), pd.Timedelta(overlap)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        known = store.read("final") if store.exists("final") else None
-        if known is not None and (done := known.agg(F.max("_batch")).first()[0]) is not None and done >= batch_id:
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, keys, times = state.get if state.exists else (None, [], [])
+        newest = None if newest is None else pd.Timestamp(newest)
+        if state.hasTimedOut:
+            state.update((newest, [], []))
             return
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), seq).alias("r")).select("r.*").withColumn("_batch", F.lit(batch_id))
-        fresh = first if known is None else first.join(known.select(key), key, "left_anti").select(*first.columns)
-        store.overwrite("final", fresh if known is None else known.unionByName(fresh))
+        rows = pd.concat(list(frames)).sort_values([at, order or key], kind="stable")  # of one account in one micro-batch
+        known, last, routes = dict(zip(keys, map(pd.Timestamp, times))), newest, []
+        for k, t in zip(rows[key], rows[at]):
+            if pd.isna(t):
+                routes.append("undated")
+                continue
+            if newest is not None and t < newest - lag:
+                routes.append("late")
+                continue
+            last = t if last is None else max(last, t)
+            seen = known.get(k)
+            if seen is not None and t - seen <= span:
+                routes.append("known")
+                continue
+            if not pd.isna(k):
+                known[k] = t
+            routes.append("take")
+        kept = sorted(((t, k) for k, t in known.items() if last - t <= span), reverse=True)[:most] if last is not None else []
+        state.update((None if last is None else last.to_pydatetime(), [k for _, k in kept], [t.to_pydatetime() for t, _ in kept]))
+        state.setTimeoutTimestamp(int((rows["_arrived"].max() + span).timestamp() * 1000))
+        yield rows.assign(route=routes)[[*cols, "route"]]
+
+    kind = stream.schema[key].dataType.simpleString()
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    dealt = stream.withColumn("_part", part).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", CLOCK_SLACK)
+    return dealt.groupBy(account, "_part").applyInPandasWithState(
+        step, out, f"newest timestamp, keys array<{kind}>, times array<timestamp>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+class BucketTable:
+    """A Parquet table in folders bucket=k by a hash of its key, of which an upsert rewrites only those that it changes."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, seq: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.seq, self.buckets = spark, path, key, seq, buckets
+
+    def _exists(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def upsert(self, batch: DataFrame) -> int:
+        """Merge batch: of the rows of a key, those of the table among them, the one with the smallest seq stays. Returns
+        the number of buckets written. The merge reads the touched buckets alone and writes those in which a row of the
+        batch wins; the same rows again win nowhere. A job that fails between the buckets is mended by its repetition.
+
+        Only bucket numbers (buckets at most) reach the driver."""
+        shared_folder(self.spark)
+        first = lambda rows: rows.groupBy("bucket", self.key).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns if c not in ("bucket", self.key)]), self.seq).alias("r"))
+        new = first(batch.withColumn("bucket", self._bucket())).select("bucket", self.key, "r.*").withColumn("_new", F.lit(True)).checkpoint()
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        merged = new
+        if self._exists():
+            old = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(touched)).withColumn("_new", F.lit(False))
+            merged = old.unionByName(new).groupBy("bucket", self.key).agg(F.min_by(F.struct(*[c for c in new.columns if c not in ("bucket", self.key)]), F.struct(self.seq, "_new")).alias("r")).select("bucket", self.key, "r.*")
+        merged = merged.select(*new.columns).checkpoint()
+        changed = [r.bucket for r in merged.filter("_new").select("bucket").distinct().collect()]
+        if changed:
+            rows = merged.filter(F.col("bucket").isin(changed)).drop("_new").repartition("bucket")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return len(changed)
+
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_stream_sync(stream: DataFrame, table: BucketTable, checkpoint: str) -> None:
+    """Upsert all available records of stream into table, one micro-batch after the other."""
+    query = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
