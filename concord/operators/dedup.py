@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,31 +36,72 @@ def with_dropped(df: DataFrame, kept: DataFrame, source: str, seq: str = "seq")
     return df.join(kept.select(seq), seq, "left_anti").groupBy(source).agg(F.count("*").alias("dropped"))
 
 
+#: Undecided rows that dedup_greedy_or settles in one task, some 200 bytes each.
+REST_ROWS = 200_000
+
+
 def dedup_greedy_or(df: DataFrame, url: str, title: str, seq: str = "seq") -> DataFrame:
     """A row goes if its URL or its title is that of an earlier row that stays; rows that went do not block others. Null and
     empty URLs and titles block nothing and are blocked by nothing. seq is unique.
 
-    Solved by rounds over what is left undecided. A row is decided at once if no other row shares its keys; those never
-    enter a round. A round keeps every row that is first by its URL and by its title, and drops what those block; so a
-    chain of n rows, each blocked by the one before, takes n / 2 rounds, and all chains are solved side by side."""
+    Solved by rounds over what is left undecided; a row that shares no key with another never enters one. In a round, rows
+    that are first by both keys stay. A row with one earlier row among those that share its keys stays if and only if that
+    one goes; such rows form chains, which are followed by doubling, so that a chain of n rows takes about log n steps of
+    one round and all chains go side by side. What the rows that stay block is dropped, the rest goes into the next
+    round. As soon as REST_ROWS rows or fewer are undecided, one task settles them one after the other."""
     shared_folder(df.sparkSession)
     key = lambda c: F.when(F.col(c) != "", F.col(c))
-    own = df.select(seq, key(url).alias("_u"), key(title).alias("_t"))
+    own = df.select(F.col(seq).alias("_s"), key(url).alias("_u"), key(title).alias("_t"))
     several = lambda c: own.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"{c}n")).filter(f"{c}n > 1")
     left = own.join(several("_u"), "_u", "left").join(several("_t"), "_t", "left").filter("_un is not null or _tn is not null")
-    left = left.select(seq, "_u", "_t").checkpoint()
-    dropped = None
-    while not left.isEmpty():
-        least = [left.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(seq).alias(f"{c}m")) for c in ("_u", "_t")]
-        first = left.join(least[0], "_u", "left").join(least[1], "_t", "left")
-        chosen = first.filter(f"coalesce(_um, {seq}) = {seq} and coalesce(_tm, {seq}) = {seq}").select(seq, "_u", "_t").checkpoint()
-        rest = left.join(chosen.select(seq), seq, "left_anti")
-        by_url = rest.join(chosen.select("_u").distinct(), "_u", "left_semi").select(seq)
-        by_title = rest.join(chosen.select("_t").distinct(), "_t", "left_semi").select(seq)
-        blocked = by_url.union(by_title).distinct().checkpoint()
-        dropped = blocked if dropped is None else dropped.union(blocked)
-        left = rest.join(blocked, seq, "left_anti").checkpoint()
-    return df if dropped is None else df.join(dropped, seq, "left_anti")
+    left = left.select("_s", F.when(F.col("_un").isNotNull(), F.col("_u")).alias("_u"), F.when(F.col("_tn").isNotNull(), F.col("_t")).alias("_t")).checkpoint()
+    dropped = left.select("_s").limit(0)
+    while (n := left.count()) > REST_ROWS:
+        kept, gone = _decided(left)
+        rest = left.join(kept.select("_s"), "_s", "left_anti").join(gone, "_s", "left_anti")
+        taken = lambda c: rest.join(kept.filter(F.col(c).isNotNull()).select(c), c, "left_semi").select("_s")
+        gone = gone.union(taken("_u")).union(taken("_t")).distinct().checkpoint()
+        dropped, left = dropped.union(gone), rest.join(gone, "_s", "left_anti").checkpoint()
+    if n:
+        dropped = dropped.union(left.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_one_after_the_other, left.select("_s").schema))
+    return df.join(dropped.withColumnRenamed("_s", seq), seq, "left_anti")
+
+
+def _one_after_the_other(rows: pd.DataFrame) -> pd.DataFrame:
+    taken_u, taken_t, gone = set(), set(), []
+    for s, u, t in rows.sort_values("_s")[["_s", "_u", "_t"]].itertuples(index=False):
+        if (u is not None and u in taken_u) or (t is not None and t in taken_t):
+            gone.append(s)
+        else:
+            taken_u.add(u)
+            taken_t.add(t)
+    return pd.DataFrame({"_s": pd.Series(gone, dtype=rows["_s"].dtype)})
+
+
+def _decided(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of undecided rows (_s, _u, _t) those that surely stay, and (_s) those that surely go."""
+    rows = left
+    for c in ("_u", "_t"):  # the first and the second row of every key, without sorting any key's rows
+        first = left.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("_s").alias(f"{c}1"))
+        second = left.join(first, c).filter(f"_s > {c}1").groupBy(c).agg(F.min("_s").alias(f"{c}2"))
+        rows = rows.join(first, c, "left").join(second, c, "left")
+    before = lambda c: F.when(F.col("_s") == F.col(f"{c}2"), F.col(f"{c}1"))
+    early = lambda c: F.coalesce(F.col("_s") == F.col(f"{c}1"), F.lit(True))
+    known = lambda c: early(c) | (F.col("_s") == F.col(f"{c}2"))
+    a, b = before("_u"), before("_t")
+    kind = F.when(early("_u") & early("_t"), "stays").when(known("_u") & known("_t") & (a.isNull() | b.isNull() | (a == b)), "follows")
+    rows = rows.select("_s", "_u", "_t", kind.alias("kind"), F.coalesce(a, b).alias("to")).checkpoint()
+    chain = rows.filter("kind = 'follows'").select("_s", "to", F.lit(1).alias("flips")).checkpoint()
+    while True:
+        on = chain.select(F.col("_s").alias("to"), F.col("to").alias("_far"), F.col("flips").alias("_more"))
+        step = chain.join(on, "to", "left").select("_s", F.coalesce("_far", "to").alias("to"), ((F.col("flips") + F.coalesce("_more", F.lit(0))) % 2).alias("flips"), F.col("_far").isNotNull().alias("_moved")).checkpoint()
+        chain = step.drop("_moved")
+        if step.filter("_moved").isEmpty():
+            break
+    sure = rows.filter("kind = 'stays'").select("_s")
+    settled = chain.join(sure.withColumnRenamed("_s", "to"), "to", "left_semi")
+    stays = sure.union(settled.filter("flips = 0").select("_s"))
+    return rows.join(stays, "_s", "left_semi").select("_s", "_u", "_t"), settled.filter("flips = 1").select("_s")
 
 
 def dedup_cross_source(df: DataFrame, platform_id: str, title_key: Column, seq: str = "seq") -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from concord.functions import dates as D
@@ -86,3 +87,28 @@ def test_fuzzy_and_containing_pairs_against_all_pairs(spark):
         assert got == want
     pairs = match.containing_pairs(frame(left).withColumnRenamed("key", "k"), frame(right).withColumnRenamed("key", "rk")).collect()
     assert {tuple(p) for p in pairs} == {(a, b) for a in left for b in right if a and b and (a in b or b in a)}
+
+
+def jobs(spark, run):
+    """How many jobs run() takes."""
+    spark.sparkContext.setJobGroup("counted", "")
+    run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("", "")
+    return n
+
+
+@pytest.mark.parametrize("rest", [200_000, 0])
+def test_greedy_or_on_random_keys_and_long_chains(spark, monkeypatch, rest):
+    monkeypatch.setattr(dedup, "REST_ROWS", rest)
+    rng = random.Random(8)
+    key = lambda n: rng.choice(["", None, *map(str, range(n))])
+    rows = [(i, key(40), key(60)) for i in range(400)] + [(1000 + i, "hot", f"t{i % 50}") for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, url string, title string")
+    assert sorted(x.seq for x in dedup.dedup_greedy_or(df, "url", "title").collect()) == greedy(rows)
+    n = 10_000 if rest else 600
+    chain = [(i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(n)]
+    df = spark.createDataFrame(chain, "seq long, url string, title string")
+    got = []
+    used = jobs(spark, lambda: got.extend(x.seq for x in dedup.dedup_greedy_or(df, "url", "title").collect()))
+    assert sorted(got) == list(range(0, n, 2)) and used < (40 if rest else 250)
