@@ -32,6 +32,8 @@ from concord.llm.common import stored
 FAMILY, MOST_SHARED = 100, 5
 #: Turns of a segment; turns that a prefix shard should hold; conv_ids that are digested as one text.
 SEGMENT, SHARD_TURNS, END_IDS = 1024, 1 << 18, 1 << 16
+#: Turns below which a shard is not worth splitting.
+LEAST_TURNS = 64
 #: The prime and the factor of the polynomial.
 PRIME, FACTOR = (1 << 127) - 1, 0x1E3779B97F4A7C15F39CC0605CEDC835
 #: The prefix without turns.
@@ -248,13 +250,14 @@ def shard_nodes(paths: pa.Table) -> pa.Table:
 
 
 def _sharded(paths: DataFrame) -> DataFrame:
-    """paths with a column shard. Paths with one prefix and first turn share a shard; if they have over SHARD_TURNS turns,
-    they are dealt to several by their own turns."""
+    """paths with a column shard. Paths with one prefix and first turn share a shard; if they have more turns than an even
+    share, SHARD_TURNS at most, they are dealt to several by their own turns."""
     first = paths.withColumn("first", F.element_at("keys", 1))
     weight = first.groupBy("prefix", "first").agg(F.sum(F.size("keys")).alias("w"))
     total = paths.agg(F.sum(F.size("keys")).alias("w")).first()["w"] or 0
     n = max(4 * int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TURNS))
-    large = weight.filter(F.col("w") > SHARD_TURNS).select("prefix", "first", F.ceil(F.col("w") / SHARD_TURNS).alias("parts"))
+    most = min(SHARD_TURNS, max(LEAST_TURNS, total // n))
+    large = weight.filter(F.col("w") > most).select("prefix", "first", F.ceil(F.col("w") / most).alias("parts"))
     salt = F.coalesce(F.pmod(F.xxhash64("own"), F.col("parts")), F.lit(0))
     return first.join(large, ["prefix", "first"], "left").withColumn("shard", F.pmod(F.xxhash64("prefix", "first", salt), F.lit(n)))
 
