@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.functions import text as X
 
-def _grams(c: Column) -> Column:
-    """The character pairs of a key."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
 
+#: Characters of the substrings by which keys are indexed for containment.
+Q = 3
 
-def _counted(c: Column) -> Column:
-    """The character pairs of a key with their places among equal ones left out: struct<p, i>, repeats apart."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.struct(F.substring(c, i, F.lit(2)).alias("p"), i.alias("i")))
+
+def _substrings(c: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    at = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -21,29 +23,65 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def _segment(n: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of the i-th of parts even segments of n characters, the longer ones last."""
+    size, longer = F.floor(n / parts).cast("int"), (n % parts).cast("int")
+    extra = F.greatest(F.lit(0), i - (parts - longer))
+    return 1 + (i - 1) * size + F.greatest(F.lit(0), extra - 1), size + (extra > 0).cast("int")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (lk, rk) of different keys of left (lk) and right (rk) that are at least so similar.
+
+    A segment index: two keys of which the longer has L characters may differ in d = (1 - least) * L edits, so of d + 1
+    even segments of the right key one stands unchanged in the left key, and not far from its place. The right keys are
+    indexed by (length, d, segment number, segment), for each d that a left key's length can give; the number of segments
+    follows the lengths, so short keys have few long segments rather than many short ones. A left key asks with its own
+    substrings at the places that a segment can have moved to: at most i - 1 edits lie before the i-th segment and d + 1 - i
+    behind it. Keys with fewer characters than segments (least of 0.5 or less) are joined by their lengths."""
+    edits = lambda n: F.floor(n * F.lit(1 - least) + 1e-9).cast("int")
+    upto = lambda n: F.sequence(F.lit(1), n)
+    rn, ln = F.length("rk"), F.length("lk")
+
+    def own(d: Column) -> Column:
+        parts = d + 1
+
+        def segment(i: Column) -> Column:
+            start, size = _segment(rn, parts, i)
+            return F.struct(d.alias("d"), i.alias("i"), F.substring(F.col("rk"), start, size).alias("s"))
+
+        return F.when(rn > d, F.transform(upto(parts), segment)).otherwise(F.array(F.struct(d.alias("d"), F.lit(0).alias("i"), F.lit("").alias("s"))))
+
+    most = edits(F.floor(rn / F.lit(least)).cast("int"))
+    index = right.select("rk", rn.alias("n"), F.inline(F.flatten(F.transform(F.sequence(edits(rn), most), own))))
+
+    def asked(n: Column) -> Column:
+        d = edits(F.greatest(n, ln))
+        parts, shift = d + 1, ln - n
+
+        def probes(i: Column) -> Column:
+            start, size = _segment(n, parts, i)
+            low = F.greatest(F.lit(1), start - (i - 1), start + shift - (parts - i))
+            high = F.least(ln - size + 1, start + (i - 1), start + shift + (parts - i))
+            cut = lambda at: F.struct(n.alias("n"), d.alias("d"), i.alias("i"), F.substring(F.col("lk"), at, size).alias("s"))
+            return F.when(low <= high, F.transform(F.sequence(low, high), cut)).otherwise(F.filter(F.array(cut(F.lit(1))), lambda x: F.lit(False)))
+
+        alone = F.array(F.struct(n.alias("n"), d.alias("d"), F.lit(0).alias("i"), F.lit("").alias("s")))
+        return F.when(n > d, F.flatten(F.transform(upto(parts), probes))).otherwise(alone)
+
+    probe = left.select("lk", F.inline(F.array_distinct(F.flatten(F.transform(_band(ln, least), asked)))))
+    pairs = probe.join(index, ["n", "d", "i", "s"]).select("lk", "rk").filter("lk <> rk").distinct()
+    return pairs.filter(similarity(F.col("lk"), F.col("rk")) >= least)
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, key: str, least: float = 0.85, mode: str = "best") -> DataFrame:
     """(l_seq, r_seq, score): the best right row of each left row (mode best; ties to the smaller seq), or the first (mode
-    first), among those at least so similar.
-
-    Distinct keys are compared, not rows. Equal keys match by an equality join. Others by a prefix filter: an edit destroys
-    two of a key's L - 1 character pairs at most, counted with their repeats, and there are up to (1 - least) / least * L
-    edits (L the longer length). So of a key's pairs, the rarest first, one of the first 2 * edits + 1 is a pair of the
-    other key: only those are indexed, and joined with all pairs of the other side, within the length band. Keys too
-    short to have as many pairs are joined by their length alone with others as short."""
+    first), among those at least so similar. Distinct keys are compared, not rows: equal ones by an equality join, others
+    by near_pairs(). Empty keys match nothing."""
     lk = left.select(F.col(key).alias("lk")).distinct().filter("lk <> ''")
     rk = right.select(F.col(key).alias("rk")).distinct().filter("rk <> ''")
-    rare = rk.select(F.explode(_grams(F.col("rk"))).alias("g")).groupBy("g").agg(F.count("*").alias("f"))
-    edits = F.floor(F.length("lk") / F.lit(least) * F.lit(1 - least) + 1e-9)
-    placed = lk.select("lk", F.explode(_counted(F.col("lk"))).alias("g")).join(rare.select(F.col("g").alias("pair"), "f"), F.col("g")["p"] == F.col("pair"), "left")
-    order = Window.partitionBy("lk").orderBy(F.coalesce("f", F.lit(0)), "g")
-    prefix = placed.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= 2 * edits + 1)
-    lg = prefix.select("lk", F.col("g")["p"].alias("g")).distinct().withColumn("n", F.explode(_band(F.length("lk"), least)))
-    rg = rk.withColumn("g", F.explode(_grams(F.col("rk")))).withColumn("n", F.length("rk"))
-    short = lk.filter(F.length("lk") - 1 <= 2 * edits).withColumn("n", F.explode(_band(F.length("lk"), least)))
-    by_length = short.join(rk.withColumn("n", F.length("rk")), "n").select("lk", "rk")
-    pairs = lg.join(rg, ["g", "n"]).select("lk", "rk").union(by_length).distinct().filter(similarity(F.col("lk"), F.col("rk")) >= least)
     equal = lk.join(rk, F.col("lk") == F.col("rk")).select("lk", "rk")
-    scored = pairs.unionByName(equal).distinct().withColumn("score", similarity(F.col("lk"), F.col("rk")))
+    scored = near_pairs(lk, rk, least).unionByName(equal).withColumn("score", similarity(F.col("lk"), F.col("rk")))
     firsts = right.groupBy(F.col(key).alias("rk")).agg(F.min("seq").alias("r_seq"))
     by_key = scored.join(firsts, "rk")
     order = [F.desc("score"), F.col("r_seq")] if mode == "best" else [F.col("r_seq")]
@@ -53,21 +91,27 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, least: float = 0.85
 
 def _band(n: Column, least: float) -> Column:
     """The lengths that a key at least so similar can have."""
-    return F.sequence(F.ceil(n * F.lit(least)).cast("int"), F.floor(n / F.lit(least)).cast("int"))
+    return F.sequence(F.ceil(n * F.lit(least) - 1e-9).cast("int"), F.floor(n / F.lit(least) + 1e-9).cast("int"))
 
 
 def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (k, rk) of distinct keys, of left (k) and right (rk), of which one holds the other. Every key is joined by its
-    own text with the substrings of the other side that have the length of some key there: an equality join, no nested
-    loop. Empty keys hold nothing and are held by nothing."""
+    """Pairs (k, rk) of distinct keys, of left (k) and right (rk), of which one holds the other. Empty keys hold nothing and
+    are held by nothing.
+
+    A key is indexed once, under that of its substrings of Q characters which the fewest keys of the other side have; a
+    key that has one no other side's key has is held by none. The other side asks with its substrings, and each candidate
+    is compared once. Keys of fewer than Q characters are looked up as they are, among substrings of their length."""
     l, r = left.select("k").filter("k <> ''").distinct(), right.select("rk").filter("rk <> ''").distinct()
 
     def held(inner: DataFrame, outer: DataFrame, i: str, o: str) -> DataFrame:
-        sizes = inner.agg(F.collect_set(F.length(i)).alias("sizes"))  # as many as there are lengths of names
-        at = lambda n: F.transform(F.sequence(F.lit(1), F.length(o) - n + 1), lambda s: F.substring(F.col(o), s, n))
-        fits = F.filter("sizes", lambda n: n <= F.length(o))
-        parts = outer.crossJoin(F.broadcast(sizes)).select(o, F.explode(F.array_distinct(F.flatten(F.transform(fits, at)))).alias(i))
-        return parts.join(inner, i).select("k", "rk")
+        asked = outer.select(o, F.explode(_substrings(F.col(o), Q)).alias("g"))
+        counts = asked.groupBy("g").agg(F.count("*").alias("f"))
+        own = inner.filter(F.length(i) >= Q).select(i, F.explode(_substrings(F.col(i), Q)).alias("g"), F.size(_substrings(F.col(i), Q)).alias("n"))
+        rarest = own.join(counts, "g").groupBy(i).agg(F.min_by("g", F.struct("f", "g")).alias("g"), F.count("*").alias("known"), F.first("n").alias("n"))
+        found = asked.join(rarest.filter("known = n").select(i, "g"), "g").filter(F.col(o).contains(F.col(i))).select("k", "rk")
+        short = inner.filter(F.length(i) < Q)
+        few = outer.select(o, F.explode(F.flatten(F.array(*[_substrings(F.col(o), n) for n in range(1, Q)]))).alias(i))
+        return found.union(few.join(short, i).select("k", "rk"))
 
     return held(l, r, "k", "rk").union(held(r, l, "rk", "k")).distinct()
 
@@ -83,10 +127,84 @@ def exact_then_contains(left: DataFrame, right: DataFrame, key: str) -> DataFram
 
 
 def propagate_urls(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """(seq, value): for each left row the largest value of the right rows whose key holds its own or is held by it."""
-    l, r = left.select("seq", F.col(key).alias("k")), right.groupBy(F.col(key).alias("rk")).agg(F.max(value).alias(value))
-    best = containing_pairs(l, r).join(r, "rk").groupBy("k").agg(F.max(value).alias(value))
-    return l.join(best, "k").select("seq", value)
+    """(seq, value): for each left row the value of the last right row, by seq, whose key holds its own or is held by it."""
+    l, r = left.select("seq", F.col(key).alias("k")), right.groupBy(F.col(key).alias("rk")).agg(F.max(F.struct("seq", value)).alias("last"))
+    best = containing_pairs(l, r).join(r, "rk").groupBy("k").agg(F.max("last").alias("last"))
+    return l.join(best, "k").select("seq", F.col("last")[value].alias(value))
+
+
+def match_names_to_hosts(names: DataFrame, urls: DataFrame) -> DataFrame:
+    """(seq, url_seq, url): for each name (seq, name) the first URL (seq, url) whose host, without www., holds the name or is
+    held by it, both in lower-case ASCII letters and digits. Names or hosts without any match nothing."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    host = F.regexp_replace(F.regexp_extract("url", r"^(?:https?://)?([^/]*)", 1), r"^www\.", "")
+    n, u = names.select("seq", plain("name").alias("k")), urls.select(F.col("seq").alias("url_seq"), "url", plain(host).alias("rk"))
+    first = u.groupBy("rk").agg(F.min(F.struct("url_seq", "url")).alias("u"))
+    best = containing_pairs(n, first).join(first, "rk").groupBy("k").agg(F.min("u").alias("u"))
+    return n.join(best, "k").select("seq", "u.*")
+
+
+def sharing_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (k, rk) of distinct keys of left (k) and right (rk) whose sets of characters overlap by least or more: shared
+    characters over the larger number of characters.
+
+    A set join: characters are ordered by rarity over both sides. Of n characters of a key at most n - least * n are not
+    shared, so one of its rarest n - ceil(least * n) + 1 is among as many of the other key's; only those are joined, for
+    sets whose sizes allow it, and the overlap is taken once for each candidate."""
+    size = lambda c: F.size(F.array_distinct(F.split(c, "")))
+    chars = lambda df, c: df.select(c, size(F.col(c)).alias(f"{c}_n"), F.explode(F.array_distinct(F.split(F.col(c), ""))).alias("g"))
+    l, r = left.select("k").filter("k <> ''").distinct(), right.select("rk").filter("rk <> ''").distinct()
+    rare = chars(l, "k").select("g").union(chars(r, "rk").select("g")).groupBy("g").agg(F.count("*").alias("f"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(c).orderBy("f", "g"))
+        n = F.col(f"{c}_n")
+        return chars(df, c).join(rare, "g").withColumn("i", place).filter(F.col("i") <= n - F.ceil(n * F.lit(least) - 1e-9) + 1).select(c, f"{c}_n", "g")
+
+    fits = F.least("k_n", "rk_n") >= F.greatest("k_n", "rk_n") * F.lit(least) - 1e-9
+    both = rarest(l, "k").join(rarest(r, "rk"), "g").filter(fits).select("k", "rk").distinct()
+    return both.filter(charset_overlap(F.col("k"), F.col("rk")) >= least - 1e-9)
+
+
+def best_titles(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(l_seq, r_seq, score): for each left row (seq, title) the right row (seq, title) that fits best. An equal key scores 2
+    and is taken at once; else a key that holds the other scores 0.8, any other the overlap of characters, and 0.3 more
+    if one core name holds the other. Under least nothing fits; ties go to the smaller seq.
+
+    Only pairs that can reach least are made: those that overlap by it, and those of which a key or core name holds the
+    other."""
+    keyed = lambda df, seq, k: df.select(F.col("seq").alias(seq), X.compare_key(F.col("title")).alias(k)).withColumn(f"{k}_core", X.core_key(F.col(k)))
+    l, r = keyed(left, "l_seq", "k"), keyed(right, "r_seq", "rk")
+    core = containing_pairs(l.select(F.col("k_core").alias("k")), r.select(F.col("rk_core").alias("rk"))).select(F.col("k").alias("k_core"), F.col("rk").alias("rk_core"))
+    lk, rk = l.select("k", "k_core").distinct(), r.select("rk", "rk_core").distinct()
+    pairs = sharing_pairs(l, r, least).union(containing_pairs(l, r)).union(core.join(lk, "k_core").join(rk, "rk_core").select("k", "rk")).distinct()
+    pairs = pairs.join(lk, "k").join(rk, "rk")
+    a, b, x, y = (F.col(c) for c in ("k", "rk", "k_core", "rk_core"))
+    base = F.when(a.contains(b) | b.contains(a), 0.8).otherwise(charset_overlap(a, b))
+    bonus = F.when((x != "") & (y != "") & (x.contains(y) | y.contains(x)), 0.3).otherwise(0.0)
+    scored = pairs.select("k", "rk", F.when(a == b, 2.0).otherwise(base + bonus).alias("score")).filter(F.col("score") >= least)
+    firsts = r.groupBy("rk").agg(F.min("r_seq").alias("r_seq"))
+    best = scored.join(firsts, "rk").groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("down"), "r_seq")).alias("b"))
+    return l.select("l_seq", "k").join(best, "k").select("l_seq", F.col("b.r_seq").alias("r_seq"), (-F.col("b.down")).alias("score"))
+
+
+def repair_urls(events: DataFrame, pages: DataFrame, candidates: DataFrame, sources: list[str], known_bad: list[str], bad_path: str, error_marks: list[str]) -> DataFrame:
+    """events (seq, title, source_name, url) with their URLs repaired, and how: 'kept', 'repaired' or 'cleared'. A URL of
+    one of sources is bad if it is blank or known to be, if it contains bad_path, or if its page (url, html) holds one of
+    error_marks. A bad one is replaced by that of the best fitting candidate (seq, title, url), and cleared if none fits."""
+    error = F.lit(False)
+    for mark in error_marks:
+        error = error | F.col("html").contains(mark)
+    wrong = pages.filter(error).select("url").distinct().withColumn("_error", F.lit(True))
+    rows = events.join(wrong, "url", "left")
+    url = F.coalesce("url", F.lit(""))
+    bad = F.col("source_name").isin(sources) & ((url == "") | url.isin(known_bad) | url.contains(bad_path) | F.coalesce("_error", F.lit(False)))
+    rows = rows.withColumn("_bad", F.coalesce(bad, F.lit(False))).drop("_error")
+    found = best_titles(rows.filter("_bad").select("seq", "title"), candidates.select("seq", "title"))
+    new = found.join(candidates.select(F.col("seq").alias("r_seq"), F.col("url").alias("_new")), "r_seq").select(F.col("l_seq").alias("seq"), "_new")
+    how = F.when(~F.col("_bad"), "kept").when(F.col("_new").isNotNull(), "repaired").otherwise("cleared")
+    out = rows.join(new, "seq", "left").withColumn("how", how).withColumn("url", F.when(F.col("_bad"), F.coalesce("_new", F.lit(""))).otherwise(F.col("url")))
+    return out.select(*events.columns, "how")
 
 
 def charset_overlap(a: Column, b: Column) -> Column:

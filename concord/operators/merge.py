@@ -12,7 +12,7 @@ AUTHORITY = {"低": 1, "中": 2, "高": 3, "low": 1, "medium": 2, "high": 3}
 #: The columns of an event record.
 EVENT_COLUMNS = (
     "event_id title scope_type category summary signup_deadline event_time target_major target_grade contest_level tags "
-    "policy_tags source_name source_url authority_level status is_ministry_approved organizer update_time original_text"
+    "policy_tags source_name source_url authority_level status organizer update_time original_text is_ministry_approved"
 ).split()
 
 
@@ -43,22 +43,33 @@ def merge_by_priority(existing: DataFrame, incoming: DataFrame, key: str, fields
 
 
 def fold(existing: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """merge_by_priority with several incoming rows a key, in the order of seq, one after the other. Priority after a merge
-    is field by field, so the rows are folded in order; only the rows of one key meet in a task."""
-    cols = [*fields, "is_ministry_approved"]
-    first = existing.select(key, F.lit(-1).cast("long").alias("seq"), *cols)
-    rows = first.unionByName(incoming.select(key, F.col("seq").cast("long"), *cols))
-    by = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", *cols))).alias("r"))
-
-    def step(a: Column, x: Column) -> Column:
-        higher = priority(x["is_ministry_approved"], x["authority_level"]) > priority(a["is_ministry_approved"], a["authority_level"])
-        new = [F.when(is_meaningful(x[c]) & (higher | ~is_meaningful(a[c])), x[c]).otherwise(a[c]).alias(c) for c in fields]
-        flag = F.when(higher & x["is_ministry_approved"].isNotNull(), x["is_ministry_approved"]).otherwise(F.coalesce(a["is_ministry_approved"], x["is_ministry_approved"]))
-        return F.struct(*new, flag.alias("is_ministry_approved"))
+    """merge_by_priority with several incoming rows a key, in the order of seq (unique in a key), one after the other.
+    fields hold authority_level.
 
-    start = F.struct(*[F.get("r", F.lit(0))[c].alias(c) for c in cols])
-    out = F.aggregate(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), start, step)
-    return by.select(key, out.alias("m")).select(key, "m.*")
+    A key's rows never meet. What a key's priority can become depends only on whether rows are approved and on the rank of
+    their authority, and of rows alike in both only the first can raise it: so a key's few classes, each with its first
+    seq, tell by which rows the priority rises. A field has the value of the last of these that knows it, else the first
+    known value; so the rest is minima and maxima, which Spark combines before it shuffles."""
+    cols = [*fields, "is_ministry_approved"]
+    rows = existing.select(key, F.lit(-1).cast("long").alias("seq"), *cols).unionByName(incoming.select(key, F.col("seq").cast("long"), *cols))
+    known = lambda c: F.col(c).isNotNull() if c == "is_ministry_approved" else is_meaningful(F.col(c))
+    rank = F.when(known("authority_level"), priority(F.lit(None), F.col("authority_level"))["r"])
+    classes = rows.groupBy(key, F.col("is_ministry_approved").alias("a"), rank.alias("r")).agg(F.min("seq").alias("seq"))
+    by = classes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "a", "r"))).alias("c"))  # some 15 classes at most
+    start = F.struct(F.get("c", F.lit(0))["a"].alias("a"), F.get("c", F.lit(0))["r"].alias("r"), F.array().cast("array<bigint>").alias("rises"))
+
+    def step(s: Column, x: Column) -> Column:
+        level = lambda v: F.struct(F.coalesce(v["a"], F.lit(False)), F.coalesce(v["r"], F.lit(0)))
+        up = level(x) > level(s)
+        a = F.when(up & x["a"].isNotNull(), x["a"]).otherwise(F.coalesce(s["a"], x["a"]))
+        r = F.when(up & x["r"].isNotNull(), x["r"]).otherwise(F.coalesce(s["r"], x["r"]))
+        return F.struct(a.alias("a"), r.alias("r"), F.when(up, F.array_append(s["rises"], x["seq"])).otherwise(s["rises"]).alias("rises"))
+
+    rest = F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0)))
+    rises = by.select(key, F.explode(F.aggregate(rest, start, step)["rises"]).alias("seq"))
+    last = rows.join(rises, [key, "seq"]).groupBy(key).agg(*[F.max_by(c, F.when(known(c), F.col("seq"))).alias(f"_{c}") for c in cols])
+    firsts = rows.groupBy(key).agg(*[F.coalesce(F.min_by(c, F.when(known(c), F.col("seq"))), F.min_by(c, "seq")).alias(c) for c in cols])
+    return firsts.join(last, key, "left").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in cols])
 
 
 def fill_if_empty(existing: DataFrame, incoming: DataFrame, key: str, fields: list[str], default: str = "中") -> DataFrame:
@@ -107,12 +118,15 @@ def merge_candidates(pairs: DataFrame) -> DataFrame:
 
 
 def apply_follow_changes(profiles: DataFrame, changes: DataFrame) -> DataFrame:
-    """profiles (user_id, focus array) with changes (user_id, seq, op add or remove, item) applied in order; no duplicates."""
-    by = changes.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "item"))).alias("ops"))
-
-    def step(a: Column, x: Column) -> Column:
-        added = F.when(F.array_contains(a, x["item"]), a).otherwise(F.array_append(a, x["item"]))
-        return F.when(x["op"] == "add", added).otherwise(F.array_remove(a, x["item"]))
-
-    both = profiles.join(by, "user_id", "left")
-    return both.select("user_id", F.aggregate(F.coalesce("ops", F.array().cast("array<struct<seq:bigint,op:string,item:string>>")), F.coalesce("focus", F.array().cast("array<string>")), step).alias("focus"))
+    """profiles (user_id, focus array) with changes (user_id, seq, op add or remove, item) applied in order; no duplicates.
+
+    An item stays where it was if nothing removed it, and else stands in the order of its first addition behind its last
+    removal. Both are taken by item, combined before the shuffle; only the items that remain meet in a user's row."""
+    removed = changes.filter("op = 'remove'").groupBy("user_id", "item").agg(F.max("seq").alias("gone"))
+    added = changes.filter("op = 'add'").join(removed, ["user_id", "item"], "left").filter("gone is null or seq > gone")
+    added = added.groupBy("user_id", "item").agg(F.min("seq").alias("seq"))
+    own = profiles.select("user_id", F.posexplode("focus").alias("pos", "item"))
+    stays = own.join(removed, ["user_id", "item"], "left_anti").select("user_id", F.lit(0).alias("k"), F.col("pos").cast("long").alias("seq"), "item")
+    new = added.join(stays.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti").select("user_id", F.lit(1).alias("k"), F.col("seq").cast("long"), "item")
+    by = stays.unionByName(new).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "seq", "item")))["item"].alias("focus"))
+    return profiles.select("user_id").join(by, "user_id", "left").select("user_id", F.coalesce("focus", F.array().cast("array<string>")).alias("focus"))

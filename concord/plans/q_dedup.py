@@ -107,11 +107,11 @@ def j10_apply_cursor(spark, sf):
     return e.join(cursors, "user_id", "left").filter(F.col("ts") >= F.least(cut, F.coalesce(F.col("cur") - F.expr("INTERVAL 24 HOUR"), cut))).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT l.seq, max(r.seq) AS fixed FROM {_SHORT} l JOIN {_NAMES} r ON contains(l.key, r.key) OR contains(r.key, l.key) GROUP BY 1")
+@query(f"SELECT l.seq, arg_max('fixed ' || r.seq % 7, r.seq) AS fixed FROM {_SHORT} l JOIN {_NAMES} r ON contains(l.key, r.key) OR contains(r.key, l.key) GROUP BY 1")
 def j11_propagate_urls(spark, sf):
     left = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("seq"))
     left = left.select("seq", F.when(F.col("seq") % 2 == 0, F.col("p_name")).otherwise(F.substring_index("p_name", " ", 1)).alias("key"))
-    return M.propagate_urls(left, names(spark, sf, False).withColumnRenamed("seq", "fixed"), "key", "fixed")
+    return M.propagate_urls(left, names(spark, sf, False).withColumn("fixed", F.concat(F.lit("fixed "), F.col("seq") % 7)), "key", "fixed")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://fixed.example/' || page_id ELSE url END AS url FROM pages")
@@ -121,6 +121,51 @@ def j12_repair_urls(spark, sf):
     return p.join(fixes, "page_id", "left").select("page_id", F.coalesce("fix", "url").alias("url"))
 
 
+_PLAIN_HOST = "regexp_replace(lower(regexp_replace(regexp_extract(url, '^https?://([^/]*)', 1), '^www\\.', '')), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH u AS (SELECT page_id, url, {_PLAIN_HOST} AS h FROM pages), n AS (SELECT page_id AS seq, regexp_replace(lower(substr(url, 9, 10 + page_id % 20)), '[^a-z0-9]', '', 'g') AS k FROM pages WHERE page_id % 3 = 0)
+  SELECT seq, min(page_id) AS url_seq, arg_min(url, page_id) AS url FROM n JOIN u ON k <> '' AND h <> '' AND (contains(h, k) OR contains(k, h)) GROUP BY seq""")
+def j8_first_hosts(spark, sf):
+    p = table(spark, sf, "pages")
+    name = F.upper(F.expr("substr(url, 9, 10 + page_id % 20)"))
+    return M.match_names_to_hosts(p.filter("page_id % 3 = 0").select(F.col("page_id").alias("seq"), name.alias("name")), p.select(F.col("page_id").alias("seq"), "url"))
+
+
+_TITLE = "substr(regexp_extract(html, '<title>([^<]*)', 1), 1, 40)"
+_KEY = "lower(regexp_replace(regexp_replace({0}, '[\\s\\p{{Z}}　·・—―‐-]+', '', 'g'), '[（）()【】\\[\\]《》<>\"''“”‘’]', '', 'g'))"
+_CORE = "regexp_replace({0}, '2026|2025|第[一二三四五六七八九十0-9]+届|全国|大学生', '', 'g')"
+_SETS = "list_unique(list_intersect(string_split(a.k, ''), string_split(b.k, ''))) / greatest(list_unique(string_split(a.k, '')), list_unique(string_split(b.k, '')))"
+#: Titles of pages and, as candidates, parts of those titles with years and the word for students.
+_ASKED = f"(SELECT page_id AS seq, k, {_CORE.format('k')} AS c FROM (SELECT page_id, {_KEY.format(_TITLE)} AS k FROM pages))"
+_OFFERED = f"(SELECT page_id AS seq, k, {_CORE.format('k')} AS c FROM (SELECT page_id, {_KEY.format(chr(39) + '2026年全国' + chr(39) + ' || substr(' + _TITLE + ', 1 + page_id % 3, 8 + page_id % 31)')} AS k FROM pages WHERE page_id % 2 = 0))"
+_SCORED = f"""SELECT a.seq AS l_seq, b.seq AS r_seq, CASE WHEN a.k = b.k THEN 2.0 ELSE CASE WHEN contains(a.k, b.k) OR contains(b.k, a.k) THEN 0.8 ELSE {_SETS} END
+  + CASE WHEN a.c <> '' AND b.c <> '' AND (contains(a.c, b.c) OR contains(b.c, a.c)) THEN 0.3 ELSE 0 END END AS score FROM {_ASKED} a, {_OFFERED} b WHERE a.k <> '' AND b.k <> ''"""
+_BEST = f"(SELECT l_seq, r_seq, score FROM (SELECT *, row_number() OVER (PARTITION BY l_seq ORDER BY round(score, 9) DESC, r_seq) AS n FROM ({_SCORED}) WHERE score >= 0.5 - 1e-9) WHERE n = 1)"
+
+
+def page_titles(spark, sf):
+    title = F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 40)
+    asked = table(spark, sf, "pages").select("page_id", F.col("page_id").alias("seq"), "url", "html", title.alias("title"))
+    offered = asked.filter("page_id % 2 = 0").select("seq", F.concat(F.lit("2026年全国"), F.expr("substr(title, 1 + page_id % 3, 8 + page_id % 31)")).alias("title"), F.concat(F.lit("https://fixed.example/"), "page_id").alias("url"))
+    return asked, offered
+
+
+@query(f"SELECT l_seq, r_seq, round(score, 6) AS score FROM {_BEST}")
+def j5_best_titles(spark, sf):
+    asked, offered = page_titles(spark, sf)
+    return M.best_titles(asked, offered).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH e AS (SELECT page_id AS seq, url, CASE WHEN page_id % 4 <> 0 THEN 'x' ELSE 'y' END AS source_name, page_id % 4 <> 0 AND (contains(url, '/fr/') OR contains(html, 'track(1')) AS bad FROM pages)
+  SELECT e.seq, CASE WHEN NOT bad THEN url WHEN r_seq IS NULL THEN '' ELSE 'https://fixed.example/' || r_seq END AS url, CASE WHEN NOT bad THEN 'kept' WHEN r_seq IS NULL THEN 'cleared' ELSE 'repaired' END AS how
+  FROM e LEFT JOIN {_BEST} ON l_seq = e.seq""")
+def j12_repair_pages(spark, sf):
+    asked, offered = page_titles(spark, sf)
+    events = asked.select("seq", "title", F.when(F.col("page_id") % 4 != 0, "x").otherwise("y").alias("source_name"), "url")
+    return M.repair_urls(events, asked.select("url", "html"), offered, ["x"], [], "/fr/", ["track(1"]).select("seq", "url", "how")
+
+
 _UK = "lower(regexp_extract(url, '^https?://([^?#]+)', 1))"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -62,7 +63,21 @@ def m2_merge_approved_only(spark, sf):
     return M.merge_by_priority(*versions(spark, sf), "event_id", _FIELDS, approved_only=True)
 
 
-@query()
+def _merged(o, i):
+    """SQL of o merged with i, both (id, organizer, summary, authority_level, ap)."""
+    good = lambda c: f"({c} IS NOT NULL AND {c} NOT IN ('', 'null'))"
+    level = lambda t: f"(coalesce({t}.ap, false)::INT * 10 + coalesce({_RANK.format(t + '.authority_level')}, 0))"
+    up = f"coalesce({level('i')} > {level('o')}, false)"
+    value = lambda c: f"CASE WHEN o.id IS NULL THEN i.{c} WHEN i.id IS NOT NULL AND {good('i.' + c)} AND ({up} OR NOT {good('o.' + c)}) THEN i.{c} ELSE o.{c} END AS {c}"
+    ap = f"CASE WHEN o.id IS NULL OR (i.id IS NOT NULL AND {up} AND i.ap IS NOT NULL) THEN i.ap ELSE coalesce(o.ap, i.ap) END AS ap"
+    return f"SELECT coalesce(o.id, i.id) AS id, {', '.join(map(value, _FIELDS))}, {ap} FROM {o} o FULL JOIN {i} i ON o.id = i.id"
+
+
+_OLD, _NEW = re.search(r"o AS \((.*?)\),\n", _VERSIONS, re.S)[1], re.search(r"i AS \((.*?)\),\n", _VERSIONS, re.S)[1]
+
+
+@query(f"""WITH o AS ({_OLD}), i AS ({_NEW}), j AS (SELECT id, 'second' AS organizer, summary, '高' AS authority_level, ap FROM i), m AS ({_merged('o', 'i')}), n AS ({_merged('m', 'j')})
+  SELECT id AS event_id, organizer, summary, authority_level, ap AS is_ministry_approved FROM n""")
 def m1_fold_several(spark, sf):
     old, new = versions(spark, sf)
     twice = new.withColumn("seq", F.lit(1)).unionByName(new.withColumn("organizer", F.lit("second")).withColumn("authority_level", F.lit("高")).withColumn("seq", F.lit(2)))
