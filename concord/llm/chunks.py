@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import FILTER_BITS, cut, encode, fresh, key_filter, let_go, may_hold, slices, stored
@@ -126,19 +126,20 @@ def _contexts(doc: int, data: bytes, starts: np.ndarray, borders: np.ndarray, fi
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, s, ctx) of all documents: the first word of a key, and what it lies in."""
+    """(key, doc_id, s, ctx) of all documents, and k if there is one: the first word of a key, and what it lies in."""
     for batch in batches:
         for part in slices(batch, 512):
             docs = part.column("doc_id").to_pylist()
-            out = {"key": [], "doc_id": [], "s": [], "ctx": []}
-            for doc, text in zip(docs, part.column("text")):
+            rows = part.column("k").to_pylist() if "k" in part.schema.names else []
+            out = {"key": [], "doc_id": [], "s": [], "ctx": []} | ({"k": []} if rows else {})
+            for n, (doc, text) in enumerate(zip(docs, part.column("text"))):
                 data, starts, cuts, borders = chunked(text.as_py())
                 key, first, size = keys_of(data, starts, cuts)
                 if len(key):
                     cols = (key, np.full(len(key), doc, np.int64), first.astype(np.int32), _contexts(doc, data, starts, borders, first, size))
-                    for c, x in zip(out.values(), cols):
+                    for c, x in zip(out.values(), (*cols, np.full(len(key), rows[n], np.int64)) if rows else cols):
                         c.append(x)
-            kinds = (np.int64, np.int64, np.int32, np.int64)
+            kinds = (np.int64, np.int64, np.int32, np.int64, np.int64)
             cols = [pa.array((np.concatenate(c) if c else np.zeros(0, k)).view(k)) for c, k in zip(out.values(), kinds)]
             yield pa.RecordBatch.from_arrays(cols, list(out))
 
@@ -173,14 +174,14 @@ def span_starts(borders: np.ndarray, first: np.ndarray, size: np.ndarray, shared
 
 
 def _window_rows(own: DataFrame, known) -> DataFrame:
-    """(doc_id, s, n, h): spans and windows to compare of own (doc_id, text, ...); known(batch, row, key, first) says which
+    """(doc_id, k, s, n, h): spans and windows to compare of own (doc_id, k, text, ...); known(batch, row, key, first) says which
     keys are shared and which are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for part in chain.from_iterable(slices(b) for b in batches):
-            docs, start, many, h = [], [], [], []
-            for row, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"))):
+            docs, rows, start, many, h = [], [], [], [], []
+            for row, (d, k, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("k").to_pylist(), part.column("text"))):
                 data, starts, cuts, borders = chunked(t.as_py())
                 key, first, size = keys_of(data, starts, cuts)
                 shared, open_ = known(part, row, key, first)
@@ -189,13 +190,14 @@ def _window_rows(own: DataFrame, known) -> DataFrame:
                 s = np.concatenate([borders[spans], windows])
                 n = np.concatenate([np.diff(borders)[spans], np.full(len(windows), PASSAGE)])
                 docs.append(np.full(len(s), d, np.int64))
+                rows.append(np.full(len(s), k, np.int64))
                 start.append(s)
                 many.append(n)
                 h += [digest(data[a:b]) for a, b in zip(starts[s].tolist(), (starts[s + n] - 1).tolist())]
-            cols = [np.concatenate(docs), np.concatenate(start).astype(np.int32), np.concatenate(many).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(h, pa.binary())], ["doc_id", "s", "n", "h"])
+            cols = [np.concatenate(docs), np.concatenate(rows), np.concatenate(start).astype(np.int32), np.concatenate(many).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(h, pa.binary())], ["doc_id", "k", "s", "n", "h"])
 
-    return own.mapInArrow(run, "doc_id long, s int, n int, h binary")
+    return own.mapInArrow(run, "doc_id long, k long, s int, n int, h binary")
 
 
 def _by_filter(own: DataFrame, common: DataFrame, n: int) -> DataFrame:
@@ -208,13 +210,13 @@ def _by_filter(own: DataFrame, common: DataFrame, n: int) -> DataFrame:
 
 
 def _by_join(own: DataFrame, common: DataFrame) -> DataFrame:
-    keyed = own.mapInArrow(_keys, _KEY).join(common, "key")
-    marked = keyed.groupBy("doc_id").agg(F.collect_set("s").alias("at"), F.collect_set(F.when(F.col("open"), F.col("s"))).alias("wide"))
+    keyed = own.mapInArrow(_keys, f"{_KEY}, k long").join(common, "key")
+    marked = keyed.groupBy("k").agg(F.collect_set("s").alias("at"), F.collect_set(F.when(F.col("open"), F.col("s"))).alias("wide"))
 
     def known(batch: pa.RecordBatch, row: int, _, first: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(np.isin(first, batch.column(c)[row].as_py() or []) for c in ("at", "wide"))
 
-    return _window_rows(own.join(marked, "doc_id", "left"), known)
+    return _window_rows(own.join(marked, "k", "left"), known)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -226,44 +228,55 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows with a null doc_id; rows that share a doc_id are one document to each other, so repeated rows are no repeats.
     Null, empty and shorter texts, and empty tables, give no rows. Other columns are ignored. Every passage is found. A text of any length is handled whole in
     the task that has its row, with some 50 bytes for each of its words."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    seen = own.mapInArrow(_keys, _KEY).groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "ctx") for n, f in (("min", F.min), ("max", F.max))))
+    return _passages(docs).drop("k")
+
+
+def _row_key() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """repeated_passages with k, the _row_key() of their row: stretches of different texts under one doc_id stay apart."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    own = own.filter("doc_id is not null and text is not null")
+    seen = own.drop("k").mapInArrow(_keys, _KEY).groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "ctx") for n, f in (("min", F.min), ("max", F.max))))
     common = cut(seen.filter("min_doc_id < max_doc_id").select("key", (F.col("min_ctx") < F.col("max_ctx")).alias("open")))
     n = common.count()
     let_go(docs.sparkSession)
     found = stored(_by_filter(own, common, n) if n <= FILTER_KEYS else _by_join(own, common))
     same = shared_by_two(found, "h")
     let_go(docs.sparkSession)
-    hits = found.join(same, "h").select("doc_id", "s", "n", "first")
-    each = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "n", "first"))).alias("x"))
-    return each.mapInArrow(_joined, "doc_id long, start_word long, n_words long, first_doc_id long")
+    hits = found.join(same, "h").select("doc_id", "k", "s", "n", "first")
+    each = hits.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("s", "n", "first"))).alias("x"))
+    return each.mapInArrow(_joined, "doc_id long, k long, start_word long, n_words long, first_doc_id long")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
-        for d, x in zip(b.column("doc_id").to_pylist(), b.column("x").to_pylist()):
+        for d, k, x in zip(b.column("doc_id").to_pylist(), b.column("k").to_pylist(), b.column("x").to_pylist()):
             open_: list | None = None
             for r in x:
-                if open_ and r["s"] <= open_[2]:
-                    open_[2], open_[3] = max(open_[2], r["s"] + r["n"]), min(open_[3], r["first"])
+                if open_ and r["s"] <= open_[3]:
+                    open_[3], open_[4] = max(open_[3], r["s"] + r["n"]), min(open_[4], r["first"])
                 else:
                     if open_:
                         out.append(tuple(open_))
-                    open_ = [d, r["s"], r["s"] + r["n"], r["first"]]
+                    open_ = [d, k, r["s"], r["s"] + r["n"], r["first"]]
             if open_:
                 out.append(tuple(open_))
-        d, s, e, f = zip(*out) if out else ((),) * 4
-        cols = [pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array([y - x for x, y in zip(s, e)], pa.int64()), pa.array(f, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start_word", "n_words", "first_doc_id"])
+        d, k, s, e, f = zip(*out) if out else ((),) * 5
+        cols = [pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array([y - x for x, y in zip(s, e)], pa.int64()), pa.array(f, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "start_word", "n_words", "first_doc_id"])
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with the words of repeated passages taken out of text, save in the document that has them first (by
     doc_id). Changed texts have their words joined by single spaces; other texts, and all other columns, stay."""
-    names, (doc, gone) = docs.columns, fresh(docs.columns, "_doc", "_gone")
-    found = repeated_passages(docs).filter("doc_id <> first_doc_id")
-    by = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(gone))
+    names, (row, gone) = docs.columns, fresh(docs.columns, "_row", "_gone")
+    found = _passages(docs).filter("doc_id <> first_doc_id")
+    by = found.groupBy(F.col("k").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(gone))
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(map(slices, batches)):
@@ -277,5 +290,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 text.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(text, f.type) if f.name == "text" else c for f, c in zip(b.schema, b.columns)], schema=b.schema)
 
-    both = docs.join(by, F.col("doc_id").cast("long") == F.col(doc), "left").select(*names, gone)
+    both = docs.join(by, _row_key() == F.col(row), "left").select(*names, gone)
     return both.mapInArrow(taken, both.schema).select(*names)

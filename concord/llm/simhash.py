@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -269,14 +270,27 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int32)
 
 
+def recall_of(tables: int, bits: int, share: float) -> float:
+    """The chance that two texts of a similarity share a key of so many sampled bits in one of the tables, and differ in
+    NEAR_RADIUS bits or fewer: their bits agree each with the chance that the angle of their shingle sets gives."""
+    differ = np.arccos(2 * share / (1 + share)) / np.pi
+    chance = 0.0
+    for d in range(NEAR_RADIUS + 1):
+        often = comb(WIDE_BITS, d) * differ**d * (1 - differ) ** (WIDE_BITS - d)
+        same = np.prod([(WIDE_BITS - d - i) / (WIDE_BITS - i) for i in range(bits)])
+        chance += often * (1 - (1 - same) ** tables)
+    return float(chance)
+
+
 def tables_for(n: int) -> np.ndarray:
     """Masks (table, word) of the sampled bits that n fingerprints are dealt by. A key has more bits where there are more
     fingerprints, so that keys stay small, and there are as many tables as give two texts of NEAR_SHARE similarity
-    RECALL of a chance to share a key, at any n."""
-    cosine = 2 * NEAR_SHARE / (1 + NEAR_SHARE)
-    agree = 1 - np.arccos(cosine) / np.pi
+    RECALL of a chance to share a key, at any n. All tables sample the same bits, so the chance is that of each number of
+    bits that may differ, weighed by how often so many do."""
     bits = min(48, max(16, n.bit_length() - 2))
-    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**bits)))
+    count = 1
+    while recall_of(count, bits, NEAR_SHARE) < RECALL:
+        count += max(1, count // 20)
     rng = np.random.default_rng(SEED)
     out = np.zeros((count, WIDE_BITS), np.uint8)
     for row in out:

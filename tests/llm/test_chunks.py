@@ -90,3 +90,15 @@ def test_passages_of_copied_documents_in_unique_ones(spark, monkeypatch, limit):
     for x in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[x.doc_id] |= set(range(x.start_word, x.start_word + x.n_words))
     assert got == {d: w for d, w in brute(rows).items() if w}
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_texts_that_share_a_doc_id_stay_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(chunks, "FILTER_KEYS", limit)
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    a, b, c = text(80), text(200), text(70)
+    rows = [(1, a), (5, f"{a} tail"), (5, b), (5, f"{c} {a}"), (6, f"{b} end"), (5, b)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, k int")
+    got = sorted((x.doc_id, x.text) for x in chunks.drop_repeats(df).collect())
+    assert got == sorted([(1, a), (5, "tail"), (5, b), (5, b), (5, c), (6, "end")])
