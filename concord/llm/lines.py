@@ -400,17 +400,17 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("k", "doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, lines: str = "_n_lines", removed: str = "_n_removed") -> DataFrame:
     """docs with text without the lines that repeat an earlier one, equal or EDITS or fewer edits apart, directly or
-    over others, and with _n_lines and _n_removed. The other columns stay.
+    over others, and with the numbers of its lines and of those removed, named lines and removed. The other columns stay.
 
     Lines end at line feeds and are compared without white space at their ends. Lines of fewer than MIN_CHARS characters
     repeat only equal ones; blank lines always stay. Earlier is a smaller doc_id (null before all), then a smaller hash of
     the text, then an earlier place. Repeated rows are one row to each other: they stay equal. Null text stays null, with
     no lines; an empty text has one empty line. A document may lose all its lines; it stays, with an empty text. A
     text is held whole, line by line, in the task that has its row; lines of any length are compared. Columns of any
-    name stay (_n_lines and _n_removed excepted, which are replaced)."""
-    names = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    name stay (those named lines and removed excepted, which are replaced)."""
+    names = [c for c in docs.columns if c not in (lines, removed)]
     row, k, doc, gone = fresh(names, "_row", "_k", "_doc", "_gone")
     found = removals(docs).select(F.col("k").alias(k), F.col("doc_id").alias(doc), F.col("gone").alias(gone))
     keyed = docs.select(*names, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(row))
@@ -428,7 +428,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 n_lines.append(len(all_lines))
                 n_removed.append(len(places or ()))
             own = [pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, lines, removed])
 
     fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in both.schema.fields if f.name != gone]
-    return both.mapInArrow(kept, T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]))
+    return both.mapInArrow(kept, T.StructType([*fields, T.StructField(lines, T.LongType()), T.StructField(removed, T.LongType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import blocks, cut, encode
+from concord.llm.common import blocks, cut, encode, fresh
 from concord.llm.decontaminate import _WORDS
 
 REJECT = 0.5
@@ -245,8 +245,9 @@ def _only(place):
     return kept
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with _score, the probability of bad from 0 to 1, and _rejected; the other columns stay.
+def score(docs: DataFrame, scorer: Scorer, score: str = "_score", rejected: str = "_rejected") -> DataFrame:
+    """docs with _score, the probability of bad from 0 to 1, and _rejected, or other names for them, whose columns are
+    replaced where docs has them; the other columns stay.
 
     A null or blank text gets the score of the bias alone, a text of marks alone that of its votes. Repeated texts get equal scores."""
     held = docs.sparkSession.sparkContext.broadcast(scorer)  # FEATURES weights and the lexicon
@@ -254,14 +255,15 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = pa.array([held.value.score(t.as_py()) for t in b.column("text")], pa.float64())
-            own = [(f.name, c) for f, c in zip(b.schema, b.columns) if f.name != "_score"]
-            yield pa.RecordBatch.from_arrays([c for _, c in own] + [s], [x for x, _ in own] + ["_score"])
+            own = [(f.name, c) for f, c in zip(b.schema, b.columns) if f.name != score]
+            yield pa.RecordBatch.from_arrays([c for _, c in own] + [s], [x for x, _ in own] + [score])
 
-    fields = [f for f in docs.schema.fields if f.name not in ("_score", "_rejected")]
-    schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
-    return docs.drop("_rejected").mapInArrow(scored, schema).withColumn("_rejected", F.col("_score") >= REJECT)
+    fields = [f for f in docs.schema.fields if f.name not in (score, rejected)]
+    schema = T.StructType([*fields, T.StructField(score, T.DoubleType())])
+    return docs.drop(rejected).mapInArrow(scored, schema).withColumn(rejected, F.col(score) >= REJECT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier, learned from docs and labels, does not reject."""
-    return score(docs, train(docs, labels)).filter("not _rejected").select(*docs.columns)
+    p, rejected = fresh(docs.columns, "_score", "_rejected")
+    return score(docs, train(docs, labels), p, rejected).filter(~F.col(rejected)).select(*docs.columns)
