@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from concord.operators import dedup as D
 from concord.operators import match as M
 from concord.plans.q_text import EVENTS_SQL, as_events
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 
 
 @query(f"SELECT event_id, title, c_name AS owner_name FROM {EVENTS_SQL} JOIN customer ON owner = c_custkey")

@@ -9,7 +9,7 @@ from concord.functions import pages as P
 from concord.functions import text as X
 from concord.functions.times import range_dates
 from concord.plans.q_text import titles, titles_sql
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 
 _LEVEL = "CASE doc_id % 6 WHEN 0 THEN '全国' WHEN 1 THEN '省级' WHEN 2 THEN '校际' WHEN 3 THEN '书院x主办' ELSE '' END"
 

@@ -14,7 +14,7 @@ from concord.operators import dedup
 from concord.operators import merge as M
 from concord.operators import state as S
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 from concord.sources import tables as IO
 from concord.streaming.sync import BucketTable, route_stream, run_stream_sync
 

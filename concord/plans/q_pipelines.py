@@ -8,7 +8,7 @@ from concord.plans import pipelines as P
 from concord.plans.q_dedup import _NAMES, names
 from concord.plans.q_merge import _RAW, observations
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events, query_events
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 
 
 def _sync(spark, sf):

@@ -9,7 +9,7 @@ from concord.operators import rank as R
 from concord.operators import state as S
 from concord.operators.dedup import cap_round_robin, in_blocks
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 
 
 @query("""WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, min(event_id) OVER (PARTITION BY event_type) AS f FROM events)

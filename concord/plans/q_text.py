@@ -7,7 +7,7 @@ from pyspark.sql.types import StringType
 
 from concord.functions import text as X
 from concord.operators.merge import event_payload
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 
 NOW = "1998-06-01 12:00:00"
 #: part dressed as edition titles, in Spark and in DuckDB alike.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concord.functions import dates as D
 from concord.functions import times as T
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
-from concord.plans.registry import query, table
+from concord.plans.register import query, table
 
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import decontaminate, lines, pieces, quality, simhash
-from concord.llm.common import shared_dir, table
+from concord.llm.common import fresh, shared_dir, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document or line has; n_chars follows a changed text."""
-    found = lines.dedup_lines(docs)
+    n_lines, n_removed = fresh(docs.columns, "_n_lines", "_n_removed")
+    found = lines.dedup_lines(docs, n_lines, n_removed)
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        n_chars = F.when(F.col(n_removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", n_chars)
     return found.select(*docs.columns)
 
