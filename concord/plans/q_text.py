@@ -207,9 +207,9 @@ def _title_query(name, expression, sql):
     def run(spark, sf):
         return titles(spark, sf).select("p_partkey", expression(F.col("title")).alias("v"))
 
-    from concord.plans import registry
+    from concord.plans import register
 
-    registry.QUERIES[name], registry.ORACLES[name] = registry.QUERIES.pop("run"), registry.ORACLES.pop("run")
+    register.QUERIES[name], register.ORACLES[name] = register.QUERIES.pop("run"), register.ORACLES.pop("run")
 
 
 def _chain(*patterns, start="trim(title)"):
