@@ -2,45 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from concord.functions import extract as E
 from concord.functions import text as X
 from concord.functions import times as T
 from concord.operators import dedup as D
 from concord.operators import match as M
 from concord.operators import merge as G
+from concord.operators import rank as R
 from concord.operators import state as S
+from concord.operators import upsert as U
+from concord.sources.tables import TableStore, write_report
+
+
+def _table(store: TableStore, name: str, schema: str) -> DataFrame:
+    return store.read(name) if store.exists(name) else store.spark.createDataFrame([], schema)
+
+
+def refresh(store: TableStore, now: Column) -> None:
+    """Write the state at now of every edition, where any state changes."""
+    if store.exists("editions"):
+        editions = store.read("editions")
+        fresh = T.state_name(T.status_of(F.col("deadline"), now))
+        if not editions.filter(~fresh.eqNullSafe(F.col("status"))).isEmpty():
+            store.overwrite("editions", editions.withColumn("status", fresh))
+
+
+def load_catalog(store: TableStore, entries: DataFrame) -> None:
+    """Merge catalog entries (seq, title, organizer, category, contest_level, authority_level, source_name) into the
+    store's catalog; they make no editions."""
+    rows = entries.filter(X.is_meaningful(F.col("title"))).withColumn("catalog_key", X.catalog_key(F.col("title")))
+    store.overwrite("catalog", U.merge_catalog(_table(store, "catalog", U.CATALOG), rows))
+
+
+def enrich_by_rules(raw: DataFrame, entries: DataFrame, least: float = 0.85) -> DataFrame:
+    """raw events with gaps filled: organizer, category and level of the catalog entry whose title is most alike (by match
+    key, least similarity), else category and level by the rules on the title, and the default authority."""
+    key = lambda df: df.withColumn("key", X.match_key(F.col("title")))
+    found = M.fuzzy_match(key(raw), key(entries), "key", least).select(F.col("l_seq").alias("seq"), "r_seq")
+    known = entries.select(F.col("seq").alias("r_seq"), *[F.col(c).alias(f"_{c}") for c in ("organizer", "category", "contest_level", "authority_level")])
+    both = raw.join(found.join(known, "r_seq"), "seq", "left")
+    own = lambda c: F.nullif(F.col(c), F.lit(""))
+    rules = {"category": E.category(F.col("title")), "contest_level": E.level(F.col("title")), "authority_level": F.lit(U.DEFAULT_AUTHORITY), "organizer": F.lit("")}
+    filled = {c: F.coalesce(own(c), own(f"_{c}"), rule) for c, rule in rules.items()}
+    return both.withColumns(filled).select(*raw.columns)
 
 
-def full_sync(editions: DataFrame, catalog: DataFrame, sources: list[DataFrame], now: Column) -> dict[str, DataFrame]:
-    """editions (event_id, title, deadline), catalog (catalog_key, organizer, approved) and raw sources (seq, title, url,
-    organizer, deadline) to the new editions, the new catalog, the evidence rows, and the action of each raw row."""
-    raw = sources[0]
-    for s in sources[1:]:
+RAW = "seq long, title string, url string, organizer string, category string, contest_level string, authority_level string, source_name string, deadline timestamp, event_time timestamp, summary string"
+
+
+def run_full_sync(store: TableStore, entries: DataFrame, sources: list[DataFrame], now: Column) -> DataFrame:
+    """Refresh all states, load the catalog entries, fill the raw events of all sources by rules, and merge them into the
+    store's catalog, editions and evidence. Returns (action, n). sources have some of the columns of RAW; seq is unique
+    over them."""
+    refresh(store, now)
+    load_catalog(store, entries)
+    raw = store.spark.createDataFrame([], RAW)
+    for s in sources:
         raw = raw.unionByName(s, allowMissingColumns=True)
-    key = X.catalog_key(F.col("title"))
-    marked = raw.withColumn("catalog_key", key)
-    skip = F.when(~X.is_meaningful(F.col("title")), "skipped_invalid").when(X.is_promotion(F.col("title")), "skipped_ad")
-    good = marked.withColumn("skip", skip)
-    first = good.filter("skip is null").groupBy("catalog_key").agg(
-        F.min("seq").alias("first"), F.min_by("title", "seq").alias("title"), F.min_by(X.filled(F.col("organizer")), F.when(X.is_meaningful(F.col("organizer")), F.col("seq"))).alias("organizer"),
-        F.max_by("deadline", F.when(F.col("deadline").isNotNull(), F.col("seq"))).alias("deadline"), F.min_by("url", "seq").alias("url"),
-    )
-    known = editions.select(X.catalog_key(F.col("title")).alias("catalog_key"), F.col("event_id"), F.col("deadline").alias("old")).dropDuplicates(["catalog_key"])
-    both = first.join(known, "catalog_key", "full")
-    deadline = F.coalesce("deadline", "old")
-    new_editions = both.select("catalog_key", "title", deadline.alias("deadline"), T.status_of(deadline, now).alias("status"), F.col("event_id").isNull().alias("created"))
-    new_catalog = G.fill_if_empty(catalog, first.select("catalog_key", "organizer"), "catalog_key", ["organizer"])
-    actions = good.join(first.select("catalog_key", "first"), "catalog_key", "left").join(known.select("catalog_key", F.lit(True).alias("known")), "catalog_key", "left")
-    action = F.coalesce("skip", F.when((F.col("seq") == F.col("first")) & F.col("known").isNull(), "added").otherwise("updated"))
-    evidence = first.select("catalog_key", "url", F.explode(F.create_map(F.lit("organizer"), F.col("organizer"), F.lit("deadline"), F.col("deadline").cast("string"))).alias("field_name", "field_value"))
-    return {
-        "editions": new_editions,
-        "catalog": new_catalog,
-        "evidence": evidence.filter(X.is_meaningful(F.col("field_value"))),
-        "actions": actions.select("seq", "catalog_key", action.alias("action")),
-    }
+    actions = U.sync_events(store, enrich_by_rules(raw.select(*[c.split()[0] for c in RAW.split(", ")]), entries), now)
+    return actions.groupBy("action").agg(F.count("*").alias("n"))
 
 
 def candidate_decisions(candidates: DataFrame, pages: DataFrame, now: Column, limit: int) -> DataFrame:
@@ -60,6 +85,24 @@ def candidate_decisions(candidates: DataFrame, pages: DataFrame, now: Column, li
     return decided.unionByName(dropped).unionByName(cut)
 
 
+def run_candidate_sync(store: TableStore, candidates: DataFrame, pages: DataFrame, now: Column, limit: int, report: str, dry_run: bool = False) -> DataFrame:
+    """Decide on candidates (seq, source, url, title, deadline, start, status), write the report, and, unless it is a dry run,
+    merge the accepted ones into the store. The decision table is written once, below report; its counters are taken
+    while it is written, and the report and the merge read it. Returns (source, reason, n)."""
+    decided = candidate_decisions(candidates, pages, now, limit)
+    seen = Observation(f"decisions-{uuid.uuid4().hex}")
+    counted = decided.observe(seen, F.count("*").alias("candidates"), F.count_if(F.col("reason") == "accepted").alias("accepted"), F.count_if(F.col("reason") == "duplicate").alias("duplicates"), F.count_if(F.col("reason") == "truncated").alias("truncated"))
+    counted.write.parquet(f"{report}/decisions")
+    rows = store.spark.read.schema(decided.schema).parquet(f"{report}/decisions")
+    write_report(rows, seen.get, report, "source", "reason", "seq")
+    if not dry_run:
+        good = rows.filter("reason = 'accepted'").join(candidates.drop("source", "title"), "seq")
+        raw = good.select("seq", "title", "url", F.col("source").alias("source_name"), "deadline", F.col("start").alias("event_time"))
+        empty = store.spark.createDataFrame([], RAW)
+        U.sync_events(store, enrich_by_rules(empty.unionByName(raw, allowMissingColumns=True), empty), now)
+    return rows.groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
 def verify_incomplete(editions: DataFrame, observations: DataFrame, field: str) -> DataFrame:
     """editions (entity_id, field) with missing values filled by what two independent domains or more agree on."""
     missing = editions.filter(~X.is_meaningful(F.col(field))).select("entity_id")
@@ -68,17 +111,51 @@ def verify_incomplete(editions: DataFrame, observations: DataFrame, field: str)
     return both.select("entity_id", F.coalesce(X.filled(F.col(field)), "value").alias(field), F.col("value").isNotNull().alias("verified"))
 
 
-def article_sync(items: DataFrame, accounts: DataFrame, cursors: DataFrame, processed: DataFrame, now: Column, hours: int) -> DataFrame:
-    """items (key, account, at, title) with outcome: late, unknown_publisher, processed, irrelevant or taken."""
-    start = now - F.expr(f"INTERVAL {hours} HOUR")
-    known = items.join(accounts.select("account").distinct().withColumn("_known", F.lit(True)), "account", "left")
-    done = known.join(processed.select("key").distinct().withColumn("_done", F.lit(True)), "key", "left")
-    routed = S.route_by_time(done, "at", start)
-    outcome = (
-        F.when(F.col("_known").isNull(), "unknown_publisher").when(F.col("route") != "take", F.col("route")).when(F.col("_done"), "processed")
-        .when(~X.is_relevant(F.col("title"), F.lit("")), "irrelevant").otherwise("taken")
-    )
-    return routed.select("key", "account", outcome.alias("outcome"))
+def article_outcomes(items: DataFrame, accounts: DataFrame, cursors: DataFrame, processed: DataFrame, now: Column, hours: int, overlap: int = 24) -> DataFrame:
+    """items (seq, key, account, publisher, at, title, url) with outcome: unknown_publisher, undated, late, processed,
+    irrelevant or taken. A publisher is known if its account key is that of the account's name or of one of its aliases
+    (accounts: account, aliases). A row is late before the account's window: hours back and the overlap, or the overlap
+    before its cursor, whichever is earlier; 0 hours ask for everything. Of rows with one key the first by seq is taken."""
+    names = accounts.select("account", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("account"))).alias("name"))
+    names = names.select("account", X.account_key(F.col("name")).alias("_p")).filter("_p <> ''").distinct().withColumn("_known", F.lit(True))
+    rows = items.withColumn("_p", X.account_key(F.coalesce("publisher", F.lit("")))).join(names, ["account", "_p"], "left")
+    rows = rows.join(processed.select("key").distinct().withColumn("_done", F.lit(True)), "key", "left").join(cursors, "account", "left")
+    back = F.expr(f"INTERVAL {overlap} HOUR")
+    start = now - F.expr(f"INTERVAL {hours + overlap} HOUR")
+    late = F.lit(False) if hours == 0 else F.coalesce(F.col("at") < F.least(start, F.coalesce(F.col("last_at") - back, start)), F.lit(False))
+    undated = F.col("at").isNull() if hours else F.lit(False)
+    outcome = F.when(F.col("_known").isNull(), "unknown_publisher").when(undated, "undated").when(late, "late").when(F.col("_done"), "processed")
+    first = F.row_number().over(Window.partitionBy("key", outcome.isNull()).orderBy("seq")) == 1
+    outcome = outcome.when(~first, "processed").when(~X.is_relevant(F.col("title"), F.lit("")), "irrelevant").otherwise("taken")
+    return rows.withColumn("outcome", outcome).select(*items.columns, "outcome")
+
+
+#: Outcomes that are tried again, and the stage that they failed in.
+QUARANTINED = {"unknown_publisher": "publisher_verification", "undated": "publish_time"}
+
+
+def run_article_sync(store: TableStore, items: DataFrame, accounts: DataFrame, now: Column, hours: int) -> DataFrame:
+    """One round of account articles on the store's tables cursors (account, last_at), processed (key, processed_at) and
+    failures (key, stage, attempts, first_seen_at, last_seen_at): relevant new articles are merged as events; items that
+    cannot be judged are quarantined; items with a terminal action, irrelevant ones too, are acknowledged, their
+    failures cleared and their accounts' cursors advanced. State is written after the merge, so that a round that fails
+    is done again; state older than its bounds is pruned. Returns (outcome, n)."""
+    cursors, processed = _table(store, "cursors", "account string, last_at timestamp"), _table(store, "processed", "key string, processed_at timestamp")
+    failures = _table(store, "failures", "key string, stage string, attempts int, first_seen_at timestamp, last_seen_at timestamp")
+    D.shared_folder(store.spark)
+    known = article_outcomes(items, accounts, cursors, processed, now, hours).checkpoint()
+    raw = known.filter("outcome = 'taken'").select("seq", "title", "url", F.col("publisher").alias("source_name"))
+    empty = store.spark.createDataFrame([], RAW)
+    actions = U.sync_events(store, enrich_by_rules(empty.unionByName(raw, allowMissingColumns=True), empty), now)
+    done = known.join(actions.select("seq", "action"), "seq", "left").withColumn("action", F.when(F.col("outcome") == "irrelevant", "skipped_invalid").otherwise(F.col("action")))
+    acked = done.filter(F.col("action").isin(S.TERMINAL))
+    stage = F.element_at(F.create_map(*[F.lit(x) for kv in QUARANTINED.items() for x in kv]), F.col("outcome"))
+    failed = S.upsert_failures(failures, known.select("key", stage.alias("stage")).filter("stage is not null"), now)
+    now_processed, now_failed = S.acknowledge(acked.select("key", "action"), processed, failed, now)
+    store.overwrite("failures", R.prune_state(now_failed, "last_seen_at", "key", now, 14, 500))
+    store.overwrite("processed", R.prune_state(now_processed, "processed_at", "key", now, 90, 5000))
+    store.overwrite("cursors", S.advance_cursors(cursors, acked, "account", "at"))
+    return known.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def fuzzy_import(batch: DataFrame, events: DataFrame, least: float = 0.85) -> DataFrame:

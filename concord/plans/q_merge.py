@@ -13,6 +13,7 @@ from concord.functions import times as T
 from concord.operators import dedup
 from concord.operators import merge as M
 from concord.operators import state as S
+from concord.operators import verify as V
 from concord.plans.q_text import EVENTS_SQL, NOW, as_events
 from concord.plans.register import query, table
 from concord.sources import tables as IO
@@ -248,6 +249,28 @@ def m8_apply_verified(spark, sf):
     return users.join(got, "user_id", "left").select("user_id", F.coalesce("value", F.lit("unknown")).alias("level"), F.col("value").isNotNull().alias("verified"))
 
 
+_FIRST_SAID = """(SELECT user_id AS e, event_type AS d, min(event_id) AS s, arg_min(CAST(floor(value / 60) AS BIGINT), event_id) AS v FROM events GROUP BY 1, 2)"""
+
+
+@query(f"""WITH f AS {_FIRST_SAID}, c AS (SELECT e, v, count(*) AS n, min(s) AS s FROM f GROUP BY 1, 2),
+  t AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY n DESC, s) AS k FROM c), m AS (SELECT e, count(*) AS n_domains FROM f GROUP BY 1)
+  SELECT t.e AS entity_id, CAST(t.v AS VARCHAR) AS value, t.n AS n_agree, m.n_domains, t.n >= 2 AND m.n_domains >= 2 AS accepted,
+    (SELECT string_agg(f.d || '=' || f.v, ';' ORDER BY f.s) FROM f WHERE f.e = t.e) AS said FROM t JOIN m ON t.e = m.e WHERE k = 1""")
+def a1_trace(spark, sf):
+    rows = observations(spark, sf).withColumn("source_url", F.col("domain"))
+    said = F.array_join(F.transform("sources", lambda s: F.concat(s["domain"], F.lit("="), s["value"])), ";")
+    return V.consensus_trace(rows).select("entity_id", "value", F.col("n_agree").cast("long").alias("n_agree"), "n_domains", "accepted", said.alias("said"))
+
+
+@query(f"""WITH f AS {_FIRST_SAID}, c AS (SELECT e, v, count(*) AS n, min(s) AS s FROM f GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY n DESC, s) AS k FROM c)
+  SELECT f.e AS entity_id, 'level' AS field_name, CAST(f.v AS VARCHAR) AS field_value, f.d AS source_url, 'cross_verify' AS extraction_method, 'high' AS confidence, 'verified' AS verification_status
+  FROM t JOIN f ON f.e = t.e AND f.v = t.v WHERE k = 1 AND n >= 2 AND t.e % 3 <> 0""")
+def m8_evidence(spark, sf):
+    rows = observations(spark, sf).withColumn("source_url", F.col("domain"))
+    users = rows.select("entity_id").distinct().select("entity_id", F.when(F.col("entity_id") % 3 == 0, "own").alias("level"), F.lit("pending_review").alias("verification_status"))
+    return V.apply_verified(users, V.consensus_trace(rows), ["level"], F.lit(NOW).cast("timestamp"))[1].drop("fetched_at")
+
+
 @query("SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'cs' ELSE c_mktsegment END AS major, 'none' AS notify FROM customer")
 def m9_upsert_profiles(spark, sf):
     c = table(spark, sf, "customer")
@@ -311,7 +334,7 @@ def s5_table_store(spark, sf):
 def s7_report(spark, sf):
     path = shared_folder(spark)
     e = table(spark, sf, "events").select("event_id", F.lit("all").alias("source"), "event_type")
-    IO.write_report(e, path, "source", "event_type", "event_id")
+    IO.write_report(e, {}, path, "source", "event_type", "event_id")
     return spark.read.schema("event_type string, n long").json(f"{path}/funnel")
 
 

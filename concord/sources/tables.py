@@ -63,11 +63,15 @@ def stream_raw_events(spark: SparkSession, path: str, schema: T.StructType | str
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
-def write_report(decisions: DataFrame, path: str, source: str, reason: str, order: str, samples: int = 20) -> None:
-    """A dry run's report as JSON: the funnel of each source, every decision, and the first samples."""
+def write_report(decisions: DataFrame, totals: dict[str, int], path: str, source: str, reason: str, order: str, samples: int = 20) -> None:
+    """A run's report as JSON, from the stored decision table: the given totals, the funnel of each source, every accepted
+    row, and the first samples of them."""
+    spark = decisions.sparkSession
+    spark.createDataFrame([(k, int(v)) for k, v in sorted(totals.items())], "name string, n long").coalesce(1).write.json(f"{path}/totals")
     decisions.groupBy(source, reason).agg(F.count("*").alias("n")).write.json(f"{path}/funnel")
-    decisions.write.json(f"{path}/decisions")
-    decisions.orderBy(order).limit(samples).write.json(f"{path}/samples")
+    accepted = decisions.filter(F.col(reason) == "accepted")
+    accepted.write.json(f"{path}/accepted")
+    accepted.orderBy(order).limit(samples).write.json(f"{path}/samples")
 
 
 def export_ranked(df: DataFrame, path: str, columns: list[str]) -> None:
