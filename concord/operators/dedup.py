@@ -135,3 +135,8 @@ def cap_round_robin(df: DataFrame, n: int, source: str, seq: str = "seq") -> Dat
     total = df.limit(n + 1).count()
     by = [F.col(seq)] if total <= n else [F.col("_pos"), F.col("_first")]
     return dealt.withColumn("place", F.row_number().over(Window.orderBy(*by))).drop("_pos", "_first")
+
+
+def truncated(df: DataFrame, kept: DataFrame, source: str, seq: str = "seq") -> DataFrame:
+    """(source, n): how many rows of each source a cap left out; sources that lost none are not listed."""
+    return df.join(kept.select(seq), seq, "left_anti").groupBy(source).agg(F.count("*").alias("n"))
