@@ -115,23 +115,23 @@ def f12_article_pages(spark, sf):
     return landed(spark, sf, *_ARTICLE).select("o_orderkey", P.article_page(F.col("html")).alias("a")).filter("a is not null").select("o_orderkey", "a.*")
 
 
-_CARDS = ["""CASE WHEN o_orderkey % 4 = 0 THEN '<h3><a href="/e/' || o_orderkey || '">Plain ' || o_custkey || '</a></h3> <p> ' || date_format(o_orderdate, 'yyyy-MM-dd') || '</p>' ELSE '<a itemScope="" itemType="https://schema.org/Event" href="https://a.example/?utm=1"><meta itemProp="startDate" content="'
+_CARDS = ["""CASE WHEN o_orderkey % 4 = 0 THEN '<h3><a href="/e/' || o_orderkey || '">Plain ' || o_custkey || '</a></h3><p> AUG ' || (1 + o_orderkey % 9) || ' - 24</p><div>Berlin, DE</div><i>Hybrid</i>' ELSE '<a itemScope="" itemType="https://schema.org/Event" href="https://a.example/?utm=1"><meta itemProp="startDate" content="'
   || date_format(o_orderdate, 'yyyy-MM-dd') || '"/><h4>Card ' || o_custkey || '</h4>' END""", """CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN '<meta itemProp="url" content="https://e.org/' || o_orderkey || '"/><meta itemProp="eventAttendanceMode" content="https://schema.org/OnlineEventAttendanceMode"/><span itemProp="name">Hall '
   || o_orderstatus || '</span></a>' ELSE '<meta itemProp="endDate" content="2030-01-01"/></a>' END"""]
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Plain ' ELSE 'Card ' END || o_custkey AS name, CASE o_orderkey % 4 WHEN 0 THEN '/e/' || o_orderkey WHEN 1 THEN 'https://e.org/' || o_orderkey ELSE 'https://a.example/?utm=1' END AS url,
-  strftime(o_orderdate, '%Y-%m-%d') AS "start", CASE WHEN o_orderkey % 4 > 1 THEN '2030-01-01' END AS "end", CASE WHEN o_orderkey % 4 = 1 THEN 'online' END AS mode, CASE WHEN o_orderkey % 4 = 1 THEN 'Hall ' || o_orderstatus END AS location FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Plain ' ELSE 'Card ' END || o_custkey AS name, CASE o_orderkey % 4 WHEN 0 THEN 'https://list.example' WHEN 1 THEN 'https://e.org/' || o_orderkey ELSE 'https://a.example/?utm=1' END AS url,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'AUG ' || (1 + o_orderkey % 9) || ' - 24' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS "start", CASE WHEN o_orderkey % 4 > 1 THEN '2030-01-01' END AS "end", CASE o_orderkey % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'online' END AS mode, CASE o_orderkey % 4 WHEN 0 THEN 'Berlin, DE' WHEN 1 THEN 'Hall ' || o_orderstatus END AS location FROM orders""")
 def f13_event_cards(spark, sf):
-    return landed(spark, sf, *_CARDS).select("o_orderkey", F.explode(P.event_cards(F.col("html"))).alias("e")).select("o_orderkey", "e.*")
+    return landed(spark, sf, *_CARDS).select("o_orderkey", F.explode(P.event_cards(F.col("html"), F.lit("https://list.example"))).alias("e")).select("o_orderkey", "e.*")
 
 
-_STATE = ["""CASE WHEN o_orderkey % 3 = 0 THEN '<h2><a href="/h/' || o_custkey || '">Seen ' || o_custkey || '</a></h2>' ELSE '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"hackathons":[{"' || CASE WHEN o_orderkey % 3 = 1 THEN 'name' ELSE 'title' END
+_STATE = ["""CASE WHEN o_orderkey % 3 = 0 THEN '<h2><a href="/h/' || o_custkey || '">Seen ' || o_custkey || '</a></h2><b>Live now</b>' ELSE '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"hackathons":[{"' || CASE WHEN o_orderkey % 3 = 1 THEN 'name' ELSE 'title' END
   || '":"E' || o_orderkey || '","slug":"s-' || o_custkey || '","start_date":"' || date_format(o_orderdate, 'yyyy-MM-dd') || '","state":"' || o_orderstatus || '"},{"slug":"nameless"}]}}}</script>' END"""]
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Seen ' || o_custkey ELSE 'E' || o_orderkey END AS name, 'https://d.example/' || CASE WHEN o_orderkey % 3 = 0 THEN 'h/' ELSE 's-' END || o_custkey AS url,
-  CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS "start", NULL AS "end", CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Seen ' || o_custkey ELSE 'E' || o_orderkey END AS name, 'https://d.example' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '/s-' || o_custkey END AS url,
+  CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS "start", NULL AS "end", CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'Live' END AS status FROM orders""")
 def f14_page_state(spark, sf):
     return landed(spark, sf, *_STATE).select("o_orderkey", F.explode(P.page_state(F.col("html"), "https://d.example")).alias("e")).select("o_orderkey", "e.*")
 
