@@ -43,7 +43,10 @@ def enrich_by_rules(raw: DataFrame, entries: DataFrame, least: float = 0.85) ->
     """raw events with gaps filled: organizer, category and level of the catalog entry whose title is most alike (by match
     key, least similarity), else category and level by the rules on the title, and the default authority."""
     key = lambda df: df.withColumn("key", X.match_key(F.col("title")))
-    found = M.fuzzy_match(key(raw), key(entries), "key", least).select(F.col("l_seq").alias("seq"), "r_seq")
+    if entries.isEmpty():  # nothing to match with
+        found = raw.sparkSession.createDataFrame([], "seq long, r_seq long")
+    else:
+        found = M.fuzzy_match(key(raw), key(entries), "key", least).select(F.col("l_seq").alias("seq"), "r_seq")
     known = entries.select(F.col("seq").alias("r_seq"), *[F.col(c).alias(f"_{c}") for c in ("organizer", "category", "contest_level", "authority_level")])
     both = raw.join(found.join(known, "r_seq"), "seq", "left")
     own = lambda c: F.nullif(F.col(c), F.lit(""))
