@@ -9,10 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset and the session
+    runs on one machine (tests). A cluster without it is refused, as its machines do not share local folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='concord-')}"
+
+
 def shared_folder(spark: SparkSession) -> None:
-    """See that checkpoints have a folder: spark.checkpoint.dir where it is set, a local one otherwise (tests)."""
+    """See that checkpoints have a folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='concord-')}")
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
 def first_by(df: DataFrame, key: Column, *order: str | Column, keep_blank: bool = True) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,9 +20,8 @@ from concord.streaming.sync import BucketTable, route_stream, run_stream_sync
 
 
 def shared_folder(spark) -> str:
-    """A new folder below the one that driver and executors share (a local one where none is set, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='concord-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{dedup.shared_base(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 _FIELDS = ["organizer", "summary", "authority_level"]
