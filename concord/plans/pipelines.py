@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from concord.functions import candidates as CF
 from concord.functions import extract as E
 from concord.functions import text as X
 from concord.functions import times as T
+from concord.operators import candidates as C
 from concord.operators import dedup as D
 from concord.operators import match as M
 from concord.operators import merge as G
@@ -106,6 +108,28 @@ def run_candidate_sync(store: TableStore, candidates: DataFrame, pages: DataFram
     return rows.groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
+def sync_candidates(
+    store: TableStore, candidates: DataFrame, listed: DataFrame, pages: DataFrame, parsed: DataFrame, now: Column, year: int, limit: int, report: str, dry_run: bool = False
+) -> DataFrame:
+    """Candidate sync over all its phases: the decisions of operators.candidates.decide are written once, below report,
+    their counters taken meanwhile; the report, the funnel and, unless it is a dry run, the merge of the accepted rows into
+    the store read that table. Returns the funnel, a row a source and one of all."""
+    decided = C.decide(candidates, listed, pages, parsed, now, year, limit)
+    seen, source = Observation(f"sync-{uuid.uuid4().hex}"), CF.candidate_source(F.lit(None), F.col("source"), F.col("url"))
+    counts = [F.count_if(F.col("reason") == r).alias(r) for r in ("accepted", "prefetch_duplicates", "truncated_by_limit", "postparse_duplicates")]
+    counted = decided.withColumn("source_key", source).observe(seen, F.count("*").alias("candidates"), *counts)
+    counted.write.parquet(f"{report}/decisions")
+    rows = store.spark.read.schema(counted.schema).parquet(f"{report}/decisions")
+    write_report(rows, seen.get, report, "source_key", "reason", "seq")
+    if not dry_run:
+        at = lambda c: T.coerce_ts(F.col(c), "Asia/Shanghai")
+        events = C.to_events(rows.filter("reason = 'accepted'"))
+        raw = events.withColumn("seq", F.col("seq") * (1 << 20) + F.col("place"))  # a page of bounded bytes lists fewer events
+        raw = raw.select("seq", "title", F.col("source_url").alias("url"), "organizer", "category", "contest_level", "authority_level", "source_name", "summary", at("signup_deadline").alias("deadline"), at("event_time").alias("event_time"))
+        U.sync_events(store, raw, now)
+    return R.funnel(rows, "source_key", "reason")
+
+
 def verify_incomplete(editions: DataFrame, observations: DataFrame, field: str) -> DataFrame:
     """editions (entity_id, field) with missing values filled by what two independent domains or more agree on."""
     missing = editions.filter(~X.is_meaningful(F.col(field))).select("entity_id")

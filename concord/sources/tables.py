@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,52 @@ def read_contest_records(spark: SparkSession, path: str, multi_line: bool = True
     return raw.select("title", F.coalesce("detail_url", "source_url").alias("url"), F.coalesce("source", F.lit("unknown")).alias("source_name"))
 
 
+#: Limits of a run where the configuration has none.
+LIMITS = {"max_future_days": 400, "max_page_bytes": 2097152}
+SOURCES = (
+    "known_platforms array<struct<name string, domain string, base_url string, authority string>>, search_queries array<string>, "
+    "exclusion_patterns array<string>, max_future_days int, max_page_bytes int"
+)
+
+
+@dataclass(frozen=True)
+class SourceConfig:
+    """platforms (name, domain, base_url, authority), the patterns of what is left out, and the limits of a run."""
+
+    platforms: DataFrame
+    exclusion_patterns: list[str]
+    limits: dict[str, int]
+
+
+def read_source_config(spark: SparkSession, path: str, multi_line: bool = True) -> SourceConfig:
+    """The configuration of the sources, one JSON object. Missing limits have their defaults, a missing list is empty; of
+    two platforms with one domain the first counts."""
+    raw = spark.read.schema(SOURCES).option("multiLine", multi_line).json(path)
+    each = raw.select(F.posexplode("known_platforms").alias("place", "p")).select("place", "p.*").withColumn("domain", F.lower("domain"))
+    columns = ["name", "base_url", "authority"]
+    platforms = each.filter("domain <> ''").groupBy("domain").agg(*[F.min_by(F.struct(c), "place")[c].alias(c) for c in columns])
+    one = raw.select("exclusion_patterns", *LIMITS).first()  # one row by definition
+    given = one.asDict() if one else {}
+    return SourceConfig(platforms.select("name", "domain", "base_url", "authority"), given.get("exclusion_patterns") or [], {k: given.get(k) or v for k, v in LIMITS.items()})
+
+
+def apply_source_config(pages: DataFrame, config: SourceConfig, url: str, title: str, html: str, otherwise: str = "low") -> DataFrame:
+    """pages without those of more than the permitted bytes and those whose title has an excluded phrase (any case), with
+    platform and platform_authority of the platform whose domain is the URL's host or a parent of it. A host's parents are
+    equality keys, so that the join does not compare all pairs; of several the longest domain counts."""
+    left_out = [F.lower(F.coalesce(F.col(title), F.lit(""))).contains(p.lower()) for p in config.exclusion_patterns if p]
+    small = F.coalesce(F.octet_length(html), F.lit(0)) <= config.limits["max_page_bytes"]
+    kept = pages.filter(small & ~reduce(lambda a, b: a | b, left_out, F.lit(False)))
+    host = F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), r"^.*@|:\d*$", "")
+    labels = F.split(host, r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    found = kept.select(host.alias("_host"), parents.alias("_domain")).distinct().select("_host", F.explode("_domain").alias("_d"))
+    known = config.platforms.select(F.col("domain").alias("_d"), F.col("name").alias("_name"), F.col("authority").alias("_authority"))
+    best = found.join(known, "_d").groupBy("_host").agg(F.max_by(F.struct("_name", "_authority"), F.length("_d")).alias("_d"))
+    both = kept.withColumn("_host", host).join(best, "_host", "left")
+    return both.select(*pages.columns, F.col("_d._name").alias("platform"), F.coalesce("_d._authority", F.lit(otherwise)).alias("platform_authority"))
+
+
 def read_pages(pages: DataFrame, max_bytes: int = 2 << 20, max_chars: int = 8192) -> DataFrame:
     """Landed pages of status 200 (where a status is known) and bounded size, their text cut."""
     ok = F.col("status") == 200 if "status" in pages.columns else F.lit(True)
