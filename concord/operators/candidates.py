@@ -10,7 +10,7 @@ from concord.functions import dates as D
 from concord.functions import extract as E
 from concord.functions import text as X
 from concord.functions import times as T
-from concord.operators.dedup import cap_round_robin, first_by
+from concord.operators.dedup import cap_round_robin, first_by, shared_folder
 
 #: What a candidate has; times are text. place tells events of one listing apart, and is 0 for other rows.
 CANDIDATE = (
@@ -78,7 +78,8 @@ def decide(candidates: DataFrame, listed: DataFrame, pages: DataFrame, parsed: D
     topic, then by the fields parsed from it (parsed: url_key and some of OVERLAID; else organizer and summary out of the
     text), the dates of ranges, of their context, its own, and the status that the text tells. Rows without a URL cannot be
     opened: fetch_failed. Of accepted rows with one platform id or one title the first stays, the others are
-    postparse_duplicates. Rows left out earlier have the reasons prefetch_duplicates and truncated_by_limit."""
+    postparse_duplicates. What the texts tell is taken out once and checkpointed, so that the rules work on short columns.
+    Rows left out earlier have the reasons prefetch_duplicates and truncated_by_limit."""
     rows = candidates.select(*NAMES).withColumn("_n", _place_of(identity(), F.lit(True), "seq"))
     first = rows.filter("_n = 1").drop("_n", "place")
     taken = cap_round_robin(first, limit, "source").drop("place").withColumn("place", F.lit(0)).select(*NAMES)
@@ -97,11 +98,13 @@ def decide(candidates: DataFrame, listed: DataFrame, pages: DataFrame, parsed: D
     by_page = F.col("url_key").isNotNull()
     full = fill_from_text(full, F.col("text"), by_page & F.col("_parsed").isNull())
 
-    text = F.when(by_page, F.col("text"))
+    full, text = full.withColumns({"text": F.when(by_page, F.col("text")), "_read": by_page}), F.col("text")
     told = D.resolve_dates(D.ranges(text, year), D.assign_dates(D.scored_dates(text)), *[F.col(c) for c in DATES])
+    shared_folder(candidates.sparkSession)
+    full = full.select(*NAMES, "kind", "_later", "_why", "_read", told.alias("_told"), E.detect_status(text, F.col("status")).alias("_says")).checkpoint()
     by_own = F.coalesce(E.status_word(F.col("status")), F.when(F.col("event_start") != "", "upcoming"))
-    status = F.when(by_page, E.detect_status(text, F.col("status"))).otherwise(by_own)
-    full = full.withColumn("_told", told).withColumns({**{c: F.when(by_page, F.col("_told")[c]).otherwise(F.col(c)) for c in DATES}, "status": status})
+    status = F.when(F.col("_read"), F.col("_says")).otherwise(by_own)
+    full = full.withColumns({**{c: F.when(F.col("_read"), F.col("_told")[c]).otherwise(F.col(c)) for c in DATES}, "status": status})
     at = lambda c, last=False: T.coerce_ts(F.col(c), "Asia/Shanghai", last)
     judged = T.accept_by_time(at("signup_deadline", True), at("event_start"), at("event_end", True), F.col("status"), now, max_days)
     reason = F.coalesce("_why", F.when((judged == "accepted") & (F.trim(F.coalesce("title", F.lit(""))) == ""), "missing_title_filtered"), judged)
