@@ -97,11 +97,14 @@ def p16_verifiable_fields(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(gone, ",").alias("missing"), F.arrays_overlap(gone, F.array(*map(F.lit, CF.CRITICAL))).alias("critical"))
 
 
-@query("""SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS place, unnest(l) AS url FROM (SELECT page_id, ['https://out.example.com/' || page_id, 'http://x.org/a'] ||
-  list_filter(list_distinct(regexp_extract_all(html, '(?i)href="(https?://[^"]+)"', 1)), lambda u: false) AS l FROM pages)""")
+_LINKED = """concat('<a href="', url, '">self</a><A HREF="https://Own.org/', page_id, '">a</A><a href="http://x.org/', page_id % 7, '">b</a><a href="', url, '">again</a>', html)"""
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract_all({_LINKED}, '(?i)href="(https?://[^"]+)"', 1) AS l FROM pages),
+  k AS (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i AND NOT regexp_matches(lower(x), '^https?://own\\.org')) AS l FROM l)
+  SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS place, unnest(l) AS url FROM k""")
 def f16_external_links(spark, sf):
-    html = F.expr("""concat('<a href="https://own.org/x">a</a><A HREF="https://out.example.com/', page_id, '">b</A><a href="http://x.org/a">c</a><a href="http://x.org/a">d</a><a href="/r">e</a>')""")
-    return table(spark, sf, "pages").select("page_id", F.posexplode(CF.external_links(html, ["own.org"])).alias("place", "url"))
+    return table(spark, sf, "pages").select("page_id", F.posexplode(CF.external_links(F.expr(_LINKED), ["own.org"])).alias("place", "url"))
 
 
 @query("""SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^/?#]+)', 1), '([^.]+\\.[^.]+)$', 1) AS d, CASE WHEN regexp_matches(url, '^https?://([^/?#]*\\.)?example\\.org([/?#]|$)') THEN 'Org' WHEN regexp_matches(url, '^https?://([^/?#]*\\.)?example\\.net([/?#]|$)') THEN 'Net' END AS platform,
