@@ -94,9 +94,11 @@ def _runs(x):
 @query("""SELECT c_custkey, count(*) AS n, sum(p_size) AS days FROM customer, part WHERE c_custkey % 50 = 0
   AND p_size >= 0 AND p_name IS NOT NULL GROUP BY 1""")
 def j9_profile_pairs(spark, sf):
-    profiles = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select("c_custkey")
-    events = table(spark, sf, "part").filter("p_size >= 0 and p_name is not null").select("p_partkey", "p_size")
-    return D.in_blocks(profiles, events).groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("p_size").alias("days"))
+    """Every profile meets every event, so that the totals of its pairs are those of all events, taken once, for each of its rows."""
+    profiles = table(spark, sf, "customer").filter("c_custkey % 50 = 0").groupBy("c_custkey").agg(F.count("*").alias("_rows"))
+    events = table(spark, sf, "part").filter("p_size >= 0 and p_name is not null").agg(F.count("*").alias("n"), F.sum("p_size").alias("days"))
+    pairs = profiles.crossJoin(F.broadcast(events.filter("n > 0")))  # one row, or none
+    return pairs.select("c_custkey", (F.col("n") * F.col("_rows")).alias("n"), (F.col("days") * F.col("_rows")).alias("days"))
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT e.*, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-10' END AS cur FROM events e) WHERE ts >= least(TIMESTAMP '2024-01-15', coalesce(cur - INTERVAL 24 HOUR, TIMESTAMP '2024-01-15')) GROUP BY user_id")
