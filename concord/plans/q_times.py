@@ -84,7 +84,7 @@ def t6_refresh_status(spark, sf):
     return changed.groupBy(F.col("status").alias("old"), F.col("_new").alias("new")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, strftime(to_timestamp(event_id * 1000) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') AS v FROM events")
+@query("SELECT event_id, strftime(to_timestamp(event_id * 1000) AT TIME ZONE 'Asia/Shanghai', '%Y-%m-%dT%H:%M:%S') AS v FROM events")
 def t7_epoch_to_ts(spark, sf):
     return table(spark, sf, "events").select("event_id", T.epoch_to_iso(F.col("event_id") * 1000).alias("v"))
 
