@@ -54,3 +54,27 @@ def test_blank_urls_and_approval(spark):
         assert [r.is_ministry_approved for r in got["catalog"].collect()] == [promote]
         assert got["evidence"].filter("field_name = 'source_url' and field_value = 'https://x/1'").count() == 1
     assert U.merge_events(later, *empty, now)["catalog"].first().is_ministry_approved
+
+
+def test_titles_are_judged_once_for_each_kind(spark, monkeypatch):
+    now = F.lit("2026-07-01 00:00:00").cast("timestamp")
+    empty = [spark.createDataFrame([], s) for s in (U.CATALOG, U.EDITIONS, U.EVIDENCE)]
+    seen = spark.sparkContext.accumulator(0)
+    key = U.X.catalog_key
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(U.X, "catalog_key", lambda c: F.udf(look, "string")(key(c)))
+    data = rows(spark, [(i, f"{2020 + i % 3}年杯赛", f"https://x/{i % 2}", "", "s") for i in range(300)])
+    got = U.merge_events(data, *empty, now)
+    assert got["actions"].groupBy("action").count().count() == 2 and got["editions"].count() == 3 and got["catalog"].count() == 1
+    assert 0 < seen.value <= 24  # six kinds, not 300 rows
+
+
+def test_evidence_that_is_held_stays_as_it_is(spark):
+    held = spark.createDataFrame([("e", "summary", "s", "u"), ("e", "summary", "s", "u"), ("f", "summary", None, "u")], U.EVIDENCE)
+    new = rows(spark, [(1, "t", "u", "", "s"), (2, "t", "u", "", "other")]).withColumn("event_id", F.lit("e")).drop("deadline").withColumn("deadline", F.lit(None).cast("timestamp"))
+    got = sorted(map(tuple, U.merge_evidence(held, new).filter("field_name = 'summary'").collect()), key=repr)
+    assert got == [("e", "summary", "other", "u"), ("e", "summary", "s", "u"), ("e", "summary", "s", "u"), ("f", "summary", None, "u")]
