@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def route_stream(stream: DataFrame, account: str, key: str, at: str, ttl: timede
     earlier batches, 'known' if its key was taken before, else 'take'; 'undated' without a time. Rows of a batch count in
     the order of at and then of the column order (of key, if there is none).
 
-    The state of an account is its newest time, which never goes back, and the keys taken with their times: those within
+    The state of an account is its newest time, which never goes back, and the keys taken with their times, all in
+    microseconds, which pass between Spark and Python as they are: those within
     ttl of the newest time, and of them the newest most. An account that gets no rows for ttl (and CLOCK_SLACK) forgets
     its keys by a timer on the time of arrival and keeps its newest time. Rows without a key are never known. With parts over 1 an account's keys are dealt to so
     many states by a hash, each with a newest time and most keys of its own, so that a busy account is no single task's."""
@@ -40,41 +42,49 @@ def route_stream(stream: DataFrame, account: str, key: str, at: str, ttl: timede
 
     fields = [f for f in stream.schema.fields]
     out = StructType([*fields, StructField("route", StringType())])
-    cols, span, lag = [f.name for f in fields], pd.Timedelta(ttl), pd.Timedelta(overlap)
+    cols, (span, lag) = [f.name for f in fields], (x // timedelta(microseconds=1) for x in (ttl, overlap))
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest, keys, times = state.get if state.exists else (None, [], [])
-        newest = None if newest is None else pd.Timestamp(newest)
         if state.hasTimedOut:
             state.update((newest, [], []))
             return
-        rows = pd.concat(list(frames)).sort_values([at, order or key], kind="stable")  # of one account in one micro-batch
-        known, last, routes = dict(zip(keys, map(pd.Timestamp, times))), newest, []
-        for k, t in zip(rows[key], rows[at]):
-            if pd.isna(t):
-                routes.append("undated")
+        frames = list(frames)  # of one account in one micro-batch
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        micros = lambda c: c.to_numpy("datetime64[us]").astype("int64")
+        place = rows[order or key]
+        if place.dtype.kind in "iuf":
+            by = np.lexsort((place.to_numpy(), micros(rows[at])))
+        else:
+            by = place.reset_index(drop=True).to_frame("o").assign(t=micros(rows[at])).sort_values(["t", "o"], kind="stable").index.to_numpy()
+        known, last, routes = dict(zip(keys, times)), newest, [None] * len(rows)
+        at_, no_time, key_, no_key = micros(rows[at]).tolist(), rows[at].isna().tolist(), rows[key].tolist(), rows[key].isna().tolist()
+        for i in by.tolist():
+            t, k = at_[i], key_[i]
+            if no_time[i]:
+                routes[i] = "undated"
                 continue
             if newest is not None and t < newest - lag:
-                routes.append("late")
+                routes[i] = "late"
                 continue
             last = t if last is None else max(last, t)
-            seen = known.get(k)
+            seen = None if no_key[i] else known.get(k)
             if seen is not None and t - seen <= span:
-                routes.append("known")
+                routes[i] = "known"
                 continue
-            if not pd.isna(k):
+            if not no_key[i]:
                 known[k] = t
-            routes.append("take")
+            routes[i] = "take"
         kept = sorted(((t, k) for k, t in known.items() if last - t <= span), reverse=True)[:most] if last is not None else []
-        state.update((None if last is None else last.to_pydatetime(), [k for _, k in kept], [t.to_pydatetime() for t, _ in kept]))
-        state.setTimeoutTimestamp(int((rows["_arrived"].max() + span).timestamp() * 1000))
-        yield rows.assign(route=routes)[[*cols, "route"]]
+        state.update((last, [k for _, k in kept], [t for t, _ in kept]))
+        state.setTimeoutTimestamp((int(micros(rows["_arrived"]).max()) + span) // 1000)
+        yield rows[cols].assign(route=routes)
 
     kind = stream.schema[key].dataType.simpleString()
     part = F.pmod(F.xxhash64(key), F.lit(parts))
     dealt = stream.withColumn("_part", part).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", CLOCK_SLACK)
     return dealt.groupBy(account, "_part").applyInPandasWithState(
-        step, out, f"newest timestamp, keys array<{kind}>, times array<timestamp>", "append", GroupStateTimeout.EventTimeTimeout
+        step, out, f"newest long, keys array<{kind}>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

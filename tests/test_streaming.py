@@ -10,6 +10,10 @@ from concord.streaming import sync as S
 START = datetime(2026, 1, 1)
 
 
+def micro(at):
+    return (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
 def simulate(batches, ttl, most, overlap):
     """Routes by event id, one row after the other."""
     newest, known, out = {}, {}, {}
@@ -87,3 +91,29 @@ def test_dedup_within_time(spark, tmp_path):
     out = S.dedup_within(stream, "at", "k").writeStream.format("memory").queryName("within").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp")
     out.trigger(availableNow=True).start().awaitTermination()
     assert spark.table("within").groupBy("k").count().filter(F.col("count") > 1).isEmpty() and spark.table("within").count() == 2
+
+
+def test_state_passes_as_whole_numbers(spark, tmp_path, monkeypatch):
+    """Times in the state are microseconds, so that an account's keys are not turned into times and back in every batch."""
+    import pandas as pd
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    asked = []
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandasWithState", lambda self, f, out, schema, *_: asked.append((f, schema)))
+    spark.createDataFrame([], "id long, account string, key string, at timestamp").write.parquet(f"file://{tmp_path}/in")
+    S.route_stream(spark.readStream.schema("id long, account string, key string, at timestamp").parquet(f"file://{tmp_path}/in"), "account", "key", "at", order="id")
+    (step, schema), kept = asked[0], []
+
+    class State:
+        exists, hasTimedOut = True, False
+        get = (micro(START), ["k1"], [micro(START)])
+        update = staticmethod(kept.append)
+        setTimeoutTimestamp = staticmethod(kept.append)
+
+    at = [START + timedelta(hours=1), None, START - timedelta(days=2), START + timedelta(days=91), START + timedelta(minutes=5)]
+    rows = pd.DataFrame({"id": range(5), "account": "a", "key": ["k1", "k2", "k3", "k1", None], "at": pd.to_datetime(at), "_arrived": pd.to_datetime([START] * 5), "_part": 0})
+    got = pd.concat(step(("a", 0), iter([rows]), State))
+    assert list(got["route"]) == ["known", "undated", "late", "take", "take"] and list(got.columns) == ["id", "account", "key", "at", "route"]
+    newest, times = micro(START + timedelta(days=91)), [micro(START + timedelta(days=91))]
+    assert kept == [(newest, ["k1"], times), (micro(START) + 90 * 24 * 3600 * 1_000_000) // 1000] and all(type(x) is int for x in (kept[0][0], *kept[0][2]))
+    assert "timestamp" not in schema
