@@ -93,7 +93,8 @@ def test_dedup_within_time(spark, tmp_path):
     assert spark.table("within").groupBy("k").count().filter(F.col("count") > 1).isEmpty() and spark.table("within").count() == 2
 
 
-def test_state_passes_as_whole_numbers(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("order", ["id", None])
+def test_state_passes_as_whole_numbers(spark, tmp_path, monkeypatch, order):
     """Times in the state are microseconds, so that an account's keys are not turned into times and back in every batch."""
     import pandas as pd
     from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
@@ -101,7 +102,7 @@ def test_state_passes_as_whole_numbers(spark, tmp_path, monkeypatch):
     asked = []
     monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandasWithState", lambda self, f, out, schema, *_: asked.append((f, schema)))
     spark.createDataFrame([], "id long, account string, key string, at timestamp").write.parquet(f"file://{tmp_path}/in")
-    S.route_stream(spark.readStream.schema("id long, account string, key string, at timestamp").parquet(f"file://{tmp_path}/in"), "account", "key", "at", order="id")
+    S.route_stream(spark.readStream.schema("id long, account string, key string, at timestamp").parquet(f"file://{tmp_path}/in"), "account", "key", "at", order=order)
     (step, schema), kept = asked[0], []
 
     class State:
