@@ -112,3 +112,16 @@ def test_greedy_or_on_random_keys_and_long_chains(spark, monkeypatch, rest):
     got = []
     used = jobs(spark, lambda: got.extend(x.seq for x in dedup.dedup_greedy_or(df, "url", "title").collect()))
     assert sorted(got) == list(range(0, n, 2)) and used < (40 if rest else 250)
+
+
+def test_greedy_or_follows_chains_only_where_rounds_are_slow(spark, monkeypatch):
+    followed = []
+    decided = dedup._decided
+    monkeypatch.setattr(dedup, "_decided", lambda left: followed.append(1) or decided(left))
+    monkeypatch.setattr(dedup, "REST_ROWS", 300)
+    rng, big = random.Random(5), 1 << 60  # ids that no double holds
+    rows = [(big + i, f"u{rng.randrange(300)}" if i % 7 else None, f"t{rng.randrange(200)}" if i % 5 else "") for i in range(4000)]
+    frame = lambda rows: spark.createDataFrame(rows, "seq long, url string, title string")
+    assert sorted(x.seq for x in dedup.dedup_greedy_or(frame(rows), "url", "title").collect()) == greedy(rows) and not followed
+    chain = [(i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(800)]
+    assert sorted(x.seq for x in dedup.dedup_greedy_or(frame(chain), "url", "title").collect()) == list(range(0, 800, 2)) and len(followed) == 1
