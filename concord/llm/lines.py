@@ -9,9 +9,9 @@ Lines of MIN_CHARS or more characters are near if at most EDITS edits (insert, d
    distinct one once with its text. The rest is passed over by a filter of those keys, of bounded size, and an exact join.
 3. Within a key, pairs are verified by a banded bit-parallel automaton: for each number of edits a bit vector over the
    2 EDITS + 1 diagonals of the band, stepped for many pairs at once. Only links that span a key's components leave it.
-4. A key with more than KEY_ROWS lines is verified in pairs of blocks of KEY_ROWS, in as many tasks. One with more than
-   REFINE_ROWS is dealt anew first: its lines, without the common segment, are split and indexed below that key, and so
-   on for REFINE_LEVELS levels.
+4. A key with more than KEY_ROWS lines is verified in pairs of blocks of KEY_ROWS, in as many tasks; a filter of these
+   keys, of bounded size, spares the lines of all others a second shuffle. A key with more than REFINE_ROWS is dealt anew
+   first: its lines, without the common segment, are split and indexed below that key, and so on for REFINE_LEVELS levels.
 5. Components of the links, with equal lines as one, are the classes. The first line of a class by (doc_id, place)
    stays; all others go. Shorter lines are classes of equal lines.
 """
@@ -277,6 +277,21 @@ def _candidates(held) -> callable:
     return run
 
 
+def _spots_of(held) -> callable:
+    """The spots of lines whose keys the filter may hold, a row each (key, start, size, d, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chain.from_iterable(slices(x, 1 << 12, column="line") for x in batches):
+            spots = b.column("spots")
+            fields = dict(zip(("key", "start", "size"), spots.flatten().flatten()))
+            hit = may_hold(held.value, fields["key"].to_numpy(zero_copy_only=False))
+            of = pa.array(np.repeat(np.arange(len(b)), spots.value_lengths().to_numpy(zero_copy_only=False))[hit])
+            cols = [x.filter(pa.array(hit)) for x in fields.values()] + [b.column("d").take(of), b.column("line").take(of)]
+            yield pa.RecordBatch.from_arrays(cols, [*fields, "d", "line"])
+
+    return run
+
+
 def _spanning(a: list[int], b: list[int], n: int) -> list[tuple[int, int]]:
     """(member, smallest member) of the components of links a[i], b[i] among n."""
     root = list(range(n))
@@ -340,6 +355,7 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _LINE = "d binary, line string, spots array<struct<key:long,start:int,size:int>>"
+_SPOT = "key long, start int, size int, d binary, line string"
 _ROW = "key long, start int, size int, d binary, rest string, line string"
 
 
@@ -360,9 +376,10 @@ def links(own: DataFrame) -> DataFrame:
     few = each.join(shared.filter(F.col("n") <= KEY_ROWS).select("key"), "key")
     found = _verified(few.groupBy("key").agg(F.collect_list(F.struct("d", "line")).alias("members")))
     hot = shared.filter(F.col("n") > KEY_ROWS).select("key")
-    if hot.isEmpty():
+    if not (n_hot := hot.count()):
         return found
-    level = cut(each.join(hot, "key").select("key", "start", "size", "d", F.col("line").alias("rest"), "line").dropDuplicates(["key", "d"]))
+    some = lines.mapInArrow(_spots_of(key_filter(hot, n_hot)), _SPOT)  # few of all, so that only these are shuffled once more
+    level = cut(some.join(hot, "key").select("key", "start", "size", "d", F.col("line").alias("rest"), "line").dropDuplicates(["key", "d"]))
     for depth in range(REFINE_LEVELS + 1):
         sized = level.join(_shared(level, "d"), "key")
         last = depth == REFINE_LEVELS

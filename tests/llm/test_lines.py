@@ -120,3 +120,21 @@ def test_template_with_many_variants(spark, monkeypatch):
     cls = brute([t for _, t in rows])
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("_n_removed = 0").count()
     assert got == len(set(cls.values()))
+
+
+def test_only_lines_of_large_keys_are_shuffled_again(spark, monkeypatch):
+    monkeypatch.setattr(lines, "KEY_ROWS", 16)
+    plans, cut = [], lines.cut
+
+    def seen(df):
+        if df.columns == ["key", "start", "size", "d", "rest", "line"]:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(lines, "cut", seen)
+    r = random.Random(2)
+    other = ["".join(r.choices("abcdefgh ", k=40)) for _ in range(30)]
+    rows = list(enumerate([f"Posted by the user number {i:07d} today" for i in range(0, 4_000, 67)] + other + [x + "y" for x in other]))
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("_n_removed = 0").count()
+    assert got == len(set(brute([t for _, t in rows]).values()))
+    assert len(plans) == 1 and "Generate" not in plans[0] and "MapInArrow" in plans[0]  # no row of another key before the join
