@@ -59,3 +59,8 @@ def test_value_is_taken_once_for_a_kind(spark):
     pairs = R.each_pair(users, events, F.udf(look, "string")(F.concat("major", "target_major")))
     pairs.write.format("noop").mode("overwrite").save()
     assert 0 < seen.value <= 40 * 4 * 4 < pairs.count() == 40 * 160  # four kinds; dealing them may take a value again
+
+
+def test_reasons_are_taken_for_kinds_of_customers(spark):
+    got = plan(QUERIES["r3_reasons"](spark, SF))
+    assert "explode(_users" in got and got.index("explode(_users") < got.index("array_compact" if "array_compact" in got else "array_join")  # reasons below the users
