@@ -18,10 +18,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -32,16 +33,16 @@ from concord.llm.common import cut, shared_dir, slices
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: Most tasks that read shards.
-READ_TASKS = 10_000
+#: Shards that a task reads, one after the other, and most tasks that read shards.
+READ_SHARDS, READ_TASKS = 4, 10_000
 #: Words, and pieces of words, whose ids a worker remembers: some 200 bytes each.
-CACHE_WORDS, CACHE_PIECES = 1 << 19, 1 << 18
+CACHE_WORDS, CACHE_PIECES = 1 << 18, 1 << 18
 #: Below this character lower case goes letter by letter and nothing composes.
 _SIMPLE = "\u0250"
 #: Marks that often end a word.
 _MARKS = frozenset(".,;:!?")
-#: Characters whose words are handled at once.
-PART_CHARS = 1 << 20
+#: Bytes of texts, or characters of a longer one, whose words are handled at once.
+PART_BYTES = 1 << 23
 _MAGIC, _BLOCK = b"WMT1", 512
 
 
@@ -63,7 +64,10 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.own, self.known = Tokenizer.from_file(path), {"": b""}
+        self.own = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.own.model)  # for pieces, which are lower-case and composed already
+        self.plain.pre_tokenizer = self.own.pre_tokenizer
+        self.known = {"": b""}
         self.piece: dict[str, bytes] = {}
         vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -73,7 +77,7 @@ class Tokens:
         """Learn the ids of pieces, encoded as one text."""
         for i in range(0, len(new), 1024):
             part = new[i : i + 1024]
-            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 cuts, data = [0, *(4 * ends).tolist()], ids.tobytes()
@@ -108,47 +112,42 @@ class Tokens:
         found.update((w, self._alone(w)) for w in odd)
         return found
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, with END_ID; a long text is handled in parts cut at spaces."""
-        end = np.array([END_ID], "<u4")
-        held: list[list[list[str]]] = []  # the words of some texts, in lists
-        chars = 0
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, with END_ID. Texts of over PART_BYTES in all go one by one, each in parts cut at spaces."""
+        end = np.array([END_ID], "<u4").tobytes()
+        if (pc.sum(pc.binary_length(texts)).as_py() or 0) <= PART_BYTES:
+            data, cuts = self._ids(texts)
+            yield from (np.frombuffer(data[x:y].to_pybytes() + end, "<u4") for x, y in zip(cuts, cuts[1:]))
+            return
         for text in texts:
-            text = (text or "").replace("\n", " ")
-            if len(text) > PART_CHARS:
-                yield from self._flush(held, end)
-                parts = [np.frombuffer(b"".join(self._ids(p.split(" "))), "<u4") for p in _parts(text)]
-                yield np.concatenate([*parts, end])
-                held, chars = [], 0
-                continue
-            held.append(text.split(" "))
-            chars += len(text)
-            if chars > PART_CHARS:
-                yield from self._flush(held, end)
-                held, chars = [], 0
-        yield from self._flush(held, end)
-
-    def _flush(self, held: list[list[str]], end: np.ndarray) -> Iterator[np.ndarray]:
-        ids = self._ids(list(chain.from_iterable(held)))
-        for words in held:
-            yield np.frombuffer(b"".join(islice(ids, len(words))) + end.tobytes(), "<u4")
-
-    def _ids(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word. Up to CACHE_WORDS words stay known."""
-        new = self._encoded(set(words).difference(self.known))
-        keep = len(self.known) < CACHE_WORDS
-        self.known.update(new)
-        out = list(map(self.known.__getitem__, words))
-        if not keep:
-            for w in new:
-                del self.known[w]
-        return iter(out)
+            parts = (self._ids(pa.array([p])) for p in _parts((text.as_py() or "").replace("\n", " ")))
+            yield np.frombuffer(b"".join([*(data[: cuts[-1]].to_pybytes() for data, cuts in parts), end]), "<u4")
+
+    def _ids(self, texts: pa.Array) -> tuple[pa.Buffer, list[int]]:
+        """The ids of texts in a row, and the bytes at which each text begins and the last one ends. Arrow cuts the texts
+        and numbers their words, so that Python sees each distinct one once. Up to CACHE_WORDS words stay known."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.string()), "\n", " "), " ")
+        code = lists.flatten().dictionary_encode()
+        words = code.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = list(map(self.known.get, words))
+        at = [i for i, x in enumerate(each) if x is None]
+        new = self._encoded(words[i] for i in at)
+        for i in at:
+            each[i] = new[words[i]]
+        if len(self.known) < CACHE_WORDS:
+            self.known.update(new)
+        got = pa.array(each, pa.binary()).take(code.indices)
+        del code, words, each
+        pa.default_memory_pool().release_unused()
+        ends = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1)
+        firsts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists))])
+        return got.buffers()[2], ends[firsts].tolist()
 
 
 def _parts(text: str) -> Iterator[str]:
-    """text in parts of about PART_CHARS characters, cut at spaces, which are left out."""
+    """text in parts of about PART_BYTES characters, cut at spaces, which are left out."""
     at = 0
-    while len(text) - at > PART_CHARS and (end := text.find(" ", at + PART_CHARS)) >= 0:
+    while len(text) - at > PART_BYTES and (end := text.find(" ", at + PART_BYTES)) >= 0:
         yield text[at:end]
         at = end + 1
     yield text[at:]
@@ -319,9 +318,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
 
         total = 0
         for b in batches:
-            for some in slices(b):
+            for some in slices(b, b.num_rows, PART_BYTES):
                 part = some.column("part")[0].as_py()
-                for doc, got in zip(some.column("doc_id").to_pylist(), tokens.encode(t.as_py() for t in some.column("text"))):
+                for doc, got in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text"))):
                     ids.append(got)
                     doc_ids.append(doc)
                     sizes.append(len(got))
@@ -357,7 +356,7 @@ def read(shards: DataFrame, folder: str) -> DataFrame:
                 cols = [pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    tasks = max(1, min(shards.count(), READ_TASKS))  # rows are few and small, but each stands for a file
+    tasks = max(1, min(-(-shards.count() // READ_SHARDS), READ_TASKS))  # rows are few and small, but each stands for a file
     return placed.repartition(tasks, "file").mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -53,3 +55,27 @@ def test_rank_select_access():
         assert [matrix.select(s, j) for j in (0, 5, 10**6)] == ([*places[[0, 5]].tolist(), -1] if len(places) else [-1] * 3)
     one = wavelet.WaveletMatrix.build(np.array([5, 5], np.uint32))
     assert one.all().tolist() == [5, 5] and one.access(1) == 5
+
+
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(wavelet, "PART_BYTES", 30)
+    tokens, texts = wavelet.Tokens(wavelet.default_tokenizer()), ["Ein Übermaß,\nnone here. " * 9, None, "a\n" * 40, "x" * 90 + " y", *ODD]
+    got = [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(tokens.encode(pa.array(texts)))]
+    assert got == [(i, n, crc) for i, _, n, crc in brute(enumerate(texts))]
+
+
+def test_repeated_words_are_numbered_by_arrow():
+    tokens, texts = wavelet.Tokens(wavelet.default_tokenizer()), pa.array(["the same few words, again and again " * 1000] * 10)
+    tracemalloc.start()
+    got = [len(x) for x in tokens.encode(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [8 * 1000 + 1] * 10 and peak < 1 << 20  # a Python object for each of 70,000 words has over 3 MB
+
+
+def test_a_task_reads_several_shards(spark):
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('word ', id) AS text").repartition(40)
+    folder = wavelet.new_folder(spark)
+    shards = spark.createDataFrame([(f"s{i}", i, 0, 1, 1) for i in range(40)], "file string, part int, k int, n_docs long, n_tokens long")
+    assert wavelet.read(shards, folder).rdd.getNumPartitions() == 10
+    assert wavelet.read(wavelet.write(rows, folder), folder).count() == 40
