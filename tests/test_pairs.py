@@ -64,3 +64,11 @@ def test_value_is_taken_once_for_a_kind(spark):
 def test_reasons_are_taken_for_kinds_of_customers(spark):
     got = plan(QUERIES["r3_reasons"](spark, SF))
     assert "explode(_users" in got and got.index("explode(_users") < got.index("array_compact" if "array_compact" in got else "array_join")  # reasons below the users
+
+
+def test_tasks_follow_the_blocks_of_rows_joined_by_kind(spark):
+    a = spark.range(50).select(F.col("id").alias("x"), (F.col("id") % 3).alias("k"))
+    b = spark.range(300).select(F.col("id").alias("y"), (F.col("id") % 3).alias("k"))
+    pairs = in_blocks(a, b, 7, 11, on=("k",))
+    assert pairs.count() == pairs.select("x", "y").distinct().count() == sum(1 for x in range(50) for y in range(300) if x % 3 == y % 3)
+    assert pairs.rdd.getNumPartitions() == 8 * 28  # and not the number set for shuffles
